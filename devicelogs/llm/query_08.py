@@ -1,0 +1,17 @@
+"""op8_quality_classifier; not expressible in SQL, tested by held-out accuracy."""
+
+from pyspark.sql import functions as F
+
+from .common import held_out, read_table
+from .quality_classifier import FOLD, FOLDS, THRESHOLD, score, train
+
+
+def op8_quality_classifier(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score(docs, train(docs, read_table(spark, sf_dir, "labels")))
+    predicted = (F.col("_score") >= THRESHOLD).cast("int").alias("predicted")
+    return scored.select("doc_id", held_out(F.col("doc_id"), FOLDS, FOLD).alias("held_out"), F.col("_score").alias("score"), predicted)
+
+
+QUERIES = {"op8_quality_classifier": op8_quality_classifier}
+ORACLE_SQL: dict[str, str] = {}
