@@ -12,50 +12,74 @@ table gives an empty result, and further columns of the input pass through.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 WINDOW = 3
 #: Stripped from the ends of a line.
 BLANKS = " \t\r\x0b\x0c"
 KEY = ["_doc", "_hash"]
+_REBUILT = T.StructType([T.StructField("text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])
 
 
-def _lines(text: str | Column) -> Column:
-    return F.split(text, "\n", -1)
-
-
-def _windows(text: str | Column) -> Column:
-    """(pos, h1, h2) of each window that has a word; null where there are fewer than WINDOW lines."""
-    lines = F.transform(_lines(text), lambda x: F.btrim(x, F.lit(BLANKS)))
+def window_hashes(text: str) -> list[tuple[int, bytes]]:
+    """(position, 128-bit hash) of each window that has a word."""
+    lines = [x.strip(BLANKS) for x in text.split("\n")]
+    windows = ((k, "\n".join(lines[k : k + WINDOW])) for k in range(len(lines) - WINDOW + 1))
+    return [(k, xxhash.xxh3_128_digest(w.encode("utf-8", "surrogatepass"))) for k, w in windows if len(w) >= WINDOW]
 
-    def window(k: Column) -> Column:
-        parts = [F.get(lines, k + i) for i in range(WINDOW)]
-        return F.struct(k.cast("int").alias("pos"), F.xxhash64(*parts).alias("h1"), F.xxhash64(F.lit(1), *reversed(parts)).alias("h2"), F.concat(*parts).alias("all"))
 
-    n = F.size(lines)
-    return F.filter(F.when(n >= WINDOW, F.transform(F.sequence(F.lit(0), n - WINDOW), window)), lambda w: w["all"] != "")
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows, places, hashes = [], [], []
+        for row, text in enumerate(batch.column("text")):
+            for place, digest in window_hashes(text.as_py() or ""):
+                rows.append(row)
+                places.append(place)
+                hashes.append(digest)
+        halves = np.frombuffer(b"".join(hashes), "<i8").reshape(-1, 2)
+        at = pa.array(rows, pa.int64())
+        columns = [batch.column("_doc").take(at), batch.column("_hash").take(at), pa.array(places, pa.int32()), pa.array(halves[:, 0]), pa.array(halves[:, 1])]
+        yield pa.RecordBatch.from_arrays(columns, names=[*KEY, "pos", "h1", "h2"])
 
 
 def repeated_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """_doc, _hash and pos of every occurrence of a window but its first."""
-    keyed = docs.select(F.col(doc_id).alias("_doc"), F.xxhash64(text).alias("_hash"), F.explode(_windows(F.col(text))).alias("w"))
-    found = keyed.select(*KEY, "w.pos", "w.h1", "w.h2")
+    keyed = docs.select(F.col(doc_id).alias("_doc"), F.xxhash64(text).alias("_hash"), F.col(text).cast("string").alias("text"))
+    found = keyed.mapInArrow(_windows, f"_doc {dict(keyed.dtypes)['_doc']}, _hash long, pos int, h1 long, h2 long")
     place = F.struct("_doc", "_hash", "pos")
     firsts = found.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     return found.join(firsts, ["h1", "h2"]).where(~place.eqNullSafe(F.col("first"))).select(*KEY, "pos")
 
 
+@F.pandas_udf(_REBUILT)
+def _rebuilt(text: pd.Series, starts: pd.Series) -> pd.DataFrame:
+    """The text without the lines that windows at these positions cover."""
+    out = []
+    for t, at in zip(text, starts, strict=True):
+        if t is None:
+            out.append((None, 0, 0))
+        elif at is None:
+            out.append((t, t.count("\n") + 1, 0))
+        else:
+            lines = t.split("\n")
+            gone = {k for p in at for k in range(p, p + WINDOW)}
+            out.append(("\n".join(x for k, x in enumerate(lines) if k not in gone), len(lines), len(gone)))
+    return pd.DataFrame(out, columns=["text", "n_lines", "n_removed"])
+
+
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with the lines of later occurrences removed from text, and the columns _n_lines and _n_removed."""
     covered = repeated_windows(docs, doc_id, text).groupBy(*KEY).agg(F.collect_set("pos").alias("_at"))
     keyed = docs.withColumns({"_doc": F.col(doc_id), "_hash": F.xxhash64(text)}).alias("d")
     same = F.col("d._doc").eqNullSafe(F.col("c._doc")) & (F.col("d._hash") == F.col("c._hash"))
-    joined = keyed.join(covered.alias("c"), same, "left")
-    lines = _lines(F.col(f"d.{text}"))
-    gone = F.array_distinct(F.flatten(F.transform("_at", lambda p: F.sequence(p, p + WINDOW - 1))))
-    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone), lambda k: F.get(lines, k))
-    new = F.when(F.col("_at").isNull(), F.col(f"d.{text}")).otherwise(F.array_join(left, "\n"))
-    kept = [new.alias(c) if c == text else F.col(f"d.`{c}`") for c in docs.columns]
-    n_lines = F.when(F.col(f"d.{text}").isNull(), 0).otherwise(F.size(lines)).cast("long")
-    return joined.select(*kept, n_lines.alias("_n_lines"), F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("_n_removed"))
+    joined = keyed.join(covered.alias("c"), same, "left").withColumn("_new", _rebuilt(F.col(f"d.{text}"), F.col("c._at")))
+    kept = [F.col("_new.text").alias(c) if c == text else F.col(f"d.`{c}`") for c in docs.columns]
+    return joined.select(*kept, F.col("_new.n_lines").alias("_n_lines"), F.col("_new.n_removed").alias("_n_removed"))
