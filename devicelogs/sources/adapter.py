@@ -14,7 +14,7 @@ def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     device = (F.col("user_id") % 20).cast("string")
     boot = F.concat(device, F.lit("-"), F.floor((F.dayofmonth("ts") - 1) / 10).cast("string"))
     rows = e.select(
-        "event_id", device.alias("device_id"), boot.alias("boot_id"), "ts", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"), F.col("event_type").alias("tag"),
+        "event_id", device.alias("device_id"), boot.alias("boot_id"), F.col("ts").cast("timestamp").alias("ts"), F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"), F.col("event_type").alias("tag"),
         F.floor("value").cast("int").alias("temp"), F.get_json_object("props", "$.k").cast("int").alias("k"))
     step = F.lit(1) + F.when(F.col("event_id") % 37 == 0, 1).otherwise(0)
     numbered = running(rows, {"token": total(step)}, order=("ts_us", "event_id"))
