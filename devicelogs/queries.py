@@ -366,8 +366,9 @@ def wake_sessions(spark, sf_dir):
     return _sessions(spark, sf_dir)
 
 
-#: Events as context-switch rows of two cpus, for joins with sessions.
-_EC = "ec AS (SELECT device_id, boot_id, event_id AS line_id, ts_us, (event_id % 5 = 0)::INT AS cpu, k % 10 AS pid, k % 5 = 0 AS swapper, temp::BIGINT AS rtime, CASE WHEN event_id % 3 = 0 THEN 'begin' WHEN event_id % 7 = 1 THEN 'end' ELSE 'info' END AS kind FROM log)"
+#: Events as context-switch periods of two cpus, for joins with sessions.
+_EC = """ec AS (SELECT device_id, boot_id, event_id * 10 + i AS line_id, ts_us + i * 1000000 AS ts_us, event_id % 2 AS cpu, (k + i) % 10 AS pid, (k + i) % 5 = 0 AS swapper, (temp + i)::BIGINT AS rtime,
+  CASE i WHEN 0 THEN 'begin' WHEN 4 THEN 'end' ELSE 'info' END AS kind FROM log, (SELECT unnest(range(5)) AS i))"""
 _EP = f"""{_EC}, ei AS (SELECT ec.*, session_id FROM ss JOIN ec ON ec.device_id = ss.device_id AND ec.boot_id = ss.boot_id AND ec.ts_us >= wake_us AND ec.ts_us < sleep_us),
 eq AS (SELECT *, row_number() OVER w AS pos, coalesce(sum((kind = 'end')::INT) OVER (PARTITION BY device_id, boot_id, session_id, cpu ORDER BY ts_us, line_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS period_id FROM ei WINDOW w AS (PARTITION BY device_id, boot_id, session_id, cpu ORDER BY ts_us, line_id)),
 eb AS (SELECT session_id, cpu, period_id, min(pos) FILTER (kind = 'begin') AS b, max(pos) FILTER (kind = 'end') AS e, max(ts_us) FILTER (kind = 'end') AS end_us FROM eq GROUP BY ALL),
@@ -376,16 +377,19 @@ sa AS (SELECT ss.session_id, wake_us, l.ts_us AS alarm_us, md5(l.event_id::VARCH
 
 
 def _event_ctx(log: DataFrame) -> DataFrame:
-    kind = F.when(F.col("event_id") % 3 == 0, "begin").when(F.col("event_id") % 7 == 1, "end").otherwise("info")
-    comm = F.when(F.col("k") % 5 == 0, "swapper/1").otherwise("app")
-    return log.select("device_id", "boot_id", F.col("event_id").alias("line_id"), "ts_us", (F.col("event_id") % 5 == 0).cast("int").alias("cpu"), (F.col("k") % 10).alias("pid"), comm.alias("comm"), F.col("temp").cast("long").alias("rtime"), F.lit(0).cast("long").alias("bg_rtime"), kind.alias("kind"))
+    """Each event as a context-switch period of three rows in the four seconds from it."""
+    rows = log.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(4))))
+    kind = F.when(F.col("i") == 0, "begin").when(F.col("i") == 4, "end").otherwise("info")
+    pid = (F.col("k") + F.col("i")) % 10
+    comm = F.when(pid % 5 == 0, "swapper/1").otherwise("app")
+    return rows.select("device_id", "boot_id", (F.col("event_id") * 10 + F.col("i")).alias("line_id"), (F.col("ts_us") + F.col("i") * 1_000_000).alias("ts_us"), (F.col("event_id") % 2).alias("cpu"), pid.alias("pid"), comm.alias("comm"), (F.col("temp") + F.col("i")).cast("long").alias("rtime"), F.lit(0).cast("long").alias("bg_rtime"), kind.alias("kind"))
 
 
 @query(f"""WITH {_SESSIONS}, {_EP}, bz AS (SELECT device_id, boot_id, session_id, cpu, period_id, end_us, sum(rtime)::BIGINT AS total_time, round(CASE WHEN sum(rtime) = 0 THEN 0 ELSE sum(CASE WHEN swapper THEN 0 ELSE rtime END) / sum(rtime) END, 6) AS busyness FROM er WHERE session_id IN (SELECT session_id FROM sa) GROUP BY ALL)
-SELECT session_id, bz.cpu, period_id, total_time, busyness, f.temp * 1000 AS frequency FROM bz ASOF JOIN (SELECT *, (event_id % 5 = 0)::INT AS cpu FROM log WHERE tag = 'view') f ON f.device_id = bz.device_id AND f.boot_id = bz.boot_id AND f.cpu = bz.cpu AND bz.end_us >= f.ts_us""")
+SELECT session_id, bz.cpu, period_id, total_time, busyness, f.temp * 1000 AS frequency FROM bz ASOF JOIN (SELECT *, event_id % 2 AS cpu FROM log WHERE tag = 'view') f ON f.device_id = bz.device_id AND f.boot_id = bz.boot_id AND f.cpu = bz.cpu AND bz.end_us >= f.ts_us""")
 def suspend_cpu(spark, sf_dir):
     log = read_events(spark, sf_dir)
-    freq = log.where("tag = 'view'").select("device_id", "boot_id", "ts_us", (F.col("event_id") % 5 == 0).cast("int").alias("cpu"), (F.col("temp") * 1000).alias("freq"))
+    freq = log.where("tag = 'view'").select("device_id", "boot_id", "ts_us", (F.col("event_id") % 2).alias("cpu"), (F.col("temp") * 1000).alias("freq"))
     found = W.suspend_cpu(_sessions(spark, sf_dir), alarms_of(log), _event_ctx(log), freq, 24 * HOUR)
     return found.select("session_id", "cpu", "period_id", "total_time", F.round("busyness", 6).alias("busyness"), "frequency")
 
