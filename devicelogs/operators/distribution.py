@@ -37,12 +37,12 @@ def trailing_histogram(probes: DataFrame, temps: DataFrame, period_us: int = PER
 
 def nearest_rank(histogram: DataFrame, percentiles: list[int], by: list[str], temp: str = "temp", n: str = "n") -> DataFrame:
     """Per group and percentile the smallest temperature whose cumulative count reaches ceil(size * p / 100); p = 0 gives the minimum."""
-    entries = histogram.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(F.col(temp).alias("t"), F.col(n).alias("n")))).alias("_h"), F.sum(n).alias("_size"))
-    cumulative = F.aggregate("_h", F.array().cast("array<struct<t:int,c:bigint>>"), lambda acc, x: F.concat(acc, F.array(F.struct(x["t"].cast("int").alias("t"), (x["n"] + F.coalesce(F.try_element_at(acc, F.lit(-1))["c"], F.lit(0))).cast("bigint").alias("c")))))
-    ranked = entries.select(*by, "_size", cumulative.alias("_c")).withColumn("p", F.explode(F.array(*[F.lit(p) for p in percentiles])))
-    rank = F.ceil(F.col("_size") * F.col("p") / 100)
-    hit = F.get(F.filter("_c", lambda x: x["c"] >= F.greatest(rank, F.lit(1))), F.lit(0))["t"]
-    return ranked.select(*by, "p", hit.alias("percentile_temp"))
+    group = Window.partitionBy(*by)
+    counted = histogram.withColumns({"_upto": F.sum(n).over(group.orderBy(temp)), "_size": F.sum(n).over(group)})
+    rank = lambda p: F.greatest(F.ceil(F.col("_size") * p / 100), F.lit(1))
+    found = counted.groupBy(*by).agg(*[F.min(F.when(F.col("_upto") >= rank(p), F.col(temp))).alias(f"_p{p}") for p in percentiles])
+    rows = F.explode(F.array(*[F.struct(F.lit(p).alias("p"), F.col(f"_p{p}").alias("percentile_temp")) for p in percentiles]))
+    return found.select(*by, rows.alias("_r")).select(*by, "_r.*")
 
 
 def trailing_percentile(probes: DataFrame, temps: DataFrame, percentiles: list[int], period_us: int = PERIOD_US, probe: str = "probe_id", at: str = "at_us", keys=KEYS) -> DataFrame:

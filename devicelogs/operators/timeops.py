@@ -24,7 +24,7 @@ DAY_US = 86_400_000_000
 
 @dataclass(frozen=True)
 class Spec:
-    """A running value: the last or next non-null value, or the total."""
+    """A running value: the first, last or next non-null value, or the total."""
 
     kind: str
     value: Column
@@ -36,6 +36,11 @@ def last(value: Column, inclusive: bool = True) -> Spec:
     return Spec("last", value, inclusive)
 
 
+def first(value: Column, inclusive: bool = True) -> Spec:
+    """Earliest non-null value so far."""
+    return Spec("first", value, inclusive)
+
+
 def lag(value: Column) -> Spec:
     """Value of the row before, which may be null; a struct with the field v."""
     return Spec("last", F.struct(value.alias("v")), False)
@@ -89,13 +94,17 @@ def running(df: DataFrame, specs: dict[str, Spec], keys=KEYS, order=ORDER, slice
         if s.kind == "last":
             edge.append(F.max_by(s.value, known).alias(there))
             carried[there] = F.last(there, True).over(before)
+        elif s.kind == "first":
+            edge.append(F.min_by(s.value, known).alias(there))
+            carried[there] = F.first(there, True).over(before)
         elif s.kind == "next":
             edge.append(F.min_by(s.value, known).alias(there))
             carried[there] = F.first(there, True).over(after)
         else:
             edge.append(F.sum(s.value).alias(there))
             carried[there] = F.coalesce(F.sum(there).over(before), F.lit(0))
-        merged[name] = F.col(here) + F.col(there) if s.kind == "total" else F.coalesce(F.col(here), F.col(there))
+        near, far = (there, here) if s.kind == "first" else (here, there)
+        merged[name] = F.col(here) + F.col(there) if s.kind == "total" else F.coalesce(F.col(near), F.col(far))
     ends = cut.groupBy(*keys, "_slice").agg(*edge).withColumns(carried)
     joined = cut.withColumns(within).join(ends, [*keys, "_slice"])
     return joined.select(*df.columns, *[c.alias(n) for n, c in merged.items()])
@@ -105,6 +114,8 @@ def _within(s: Spec, window: WindowSpec) -> Column:
     back = window.rowsBetween(Window.unboundedPreceding, 0 if s.inclusive else -1)
     if s.kind == "last":
         return F.last(s.value, True).over(back)
+    if s.kind == "first":
+        return F.first(s.value, True).over(back)
     if s.kind == "next":
         return F.first(s.value, True).over(window.rowsBetween(0 if s.inclusive else 1, Window.unboundedFollowing))
     return F.coalesce(F.sum(s.value).over(back), F.lit(0))

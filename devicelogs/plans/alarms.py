@@ -6,14 +6,14 @@ temps: device_id, boot_id, ts_us, temp.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.algorithms import Algorithm, registry
 from ..operators.distribution import HOUR_US as _HOUR
 from ..operators.distribution import PERIOD_US, trailing_histogram
 
-from ..operators.timeops import KEYS, asof_nearest, asof_next, interval_join
+from ..operators.timeops import KEYS, first, following, interval_join, last, running
 
 SECOND = 1_000_000
 
@@ -23,15 +23,30 @@ def closed_alarms(alarms: DataFrame, temps: DataFrame, start_tolerance_us: int |
 
     They close at the first reading after the window's end, or (``close_at="first_reading"``) after delivery; readings behind that are unknown.
     """
-    first = temps.groupBy(*keys).agg(F.min("ts_us").alias("_first"))
-    ready = alarms.where("window_length_ms <> 0").join(first, [*keys]).where(F.col("ts_us") - F.col("_first") > period_us).drop("_first")
-    ends = ready.withColumn("_end", F.greatest("ts_us", "max_when_us") if close_at == "window_end" else F.col("ts_us"))
-    closed = asof_next(ends, temps, F.col("ts_us"), "close_us", "_end", keys=keys).where("close_us is not null").drop("_end")
-    started = asof_nearest(closed, temps, start_tolerance_us, "when_rtc_us", keys=keys, until=F.col("close_us"))
-    started = started.where("near_value is not null").withColumnRenamed("near_ts", "start_ts").drop("near_value", "near_delta")
-    timed = started.withColumn("_trigger", F.col("when_rtc_us") + F.col("late_us"))
-    found = asof_nearest(timed, temps, trigger_tolerance_us, "_trigger", keys=keys, until=F.col("close_us"))
-    return found.where("near_value is not null").withColumnRenamed("near_value", "trigger_temp").drop("near_ts", "near_delta", "_trigger")
+    end = F.greatest("ts_us", "max_when_us") if close_at == "window_end" else F.col("ts_us")
+    times = {"close": end, "start": F.col("when_rtc_us"), "trigger": F.col("when_rtc_us") + F.col("late_us")}
+    probe = F.explode(F.array(*[F.struct(F.lit(k).alias("what"), t.alias("t")) for k, t in times.items()]))
+    probes = alarms.where("window_length_ms <> 0").withColumn("_probe", probe).withColumns({"_t": F.col("_probe.t"), "_side": F.lit(1)})
+    readings = temps.select(*keys, F.col("ts_us").alias("_t"), F.lit(0).alias("_side"), F.struct(F.col("ts_us").alias("t"), F.col("temp").alias("v")).alias("_p"))
+    union = probes.unionByName(readings, allowMissingColumns=True)
+    specs = {"_first": first(F.col("_p.t")), "_back": last(F.col("_p")), "_ahead": following(F.col("_p"))}
+    seen = running(union, specs, keys, ("_t", "_side")).where("_probe is not null")  # all look-ups in one shuffle
+    of = lambda what, c: F.max(F.when(F.col("_probe.what") == what, F.col(c)))
+    found = [of(w, c).alias(f"_{w}{c}") for w in times for c in ("_t", "_first", "_back", "_ahead")]
+    more = [c for c in alarms.columns if c not in (*keys, "alarm_key")]
+    rows = seen.groupBy(*keys, "alarm_key").agg(*[F.first(c).alias(c) for c in more], *found).withColumn("close_us", F.col("_close_ahead.t"))
+    rows = rows.where((F.col("ts_us") - F.col("_close_first") > period_us) & F.col("close_us").isNotNull())
+
+    def nearest(what: str) -> tuple[Column, Column]:
+        """The nearest reading, and how far it is; of equally near ones the earlier."""
+        t, back = F.col(f"_{what}_t"), F.col(f"_{what}_back")
+        ahead = F.when(F.col(f"_{what}_ahead.t") <= F.col("close_us"), F.col(f"_{what}_ahead"))
+        near = F.when(ahead.isNull() | (t - back["t"] <= ahead["t"] - t), back).otherwise(ahead)
+        return near, F.abs(near["t"] - t)
+
+    (start, start_delta), (trigger, trigger_delta) = nearest("start"), nearest("trigger")
+    kept = rows.where((start_delta <= start_tolerance_us) & (trigger_delta <= trigger_tolerance_us))
+    return kept.select(*alarms.columns, "close_us", start["t"].alias("start_ts"), trigger["v"].alias("trigger_temp"))
 
 
 def alarm_temps(alarms: DataFrame, temps: DataFrame, bucket_us: int = _HOUR, keys=KEYS, **tolerances) -> DataFrame:
@@ -51,13 +66,13 @@ def alarm_trigger_temp(alarms: DataFrame, temps: DataFrame, share: float = 0.8,
 
 def percentile_array(histogram: DataFrame, by: list[str]) -> DataFrame:
     """by, percentiles: the nearest-rank temperatures of 0 to 100 percent."""
-    rows = histogram.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("temp", "n"))).alias("_h"), F.sum("n").alias("_size"))
-    at = lambda i: F.aggregate(F.slice("_h", 1, i + 1), F.lit(0).cast("bigint"), lambda a, x: a + x["n"])
-    cumulative = F.transform(F.sequence(F.lit(0), F.size("_h") - 1), at)
-    rows = rows.withColumn("_c", cumulative)
-    rank = lambda p: F.greatest(F.ceil(F.col("_size") * p / 100), F.lit(1))
-    reach = lambda p: F.size(F.filter("_c", lambda c: c < rank(p)))
-    return rows.select(*by, F.transform(F.sequence(F.lit(0), F.lit(100)), lambda p: F.get("_h", reach(p))["temp"]).alias("percentiles"))
+    group = Window.partitionBy(*by)
+    upto = F.sum("n").over(group.orderBy("temp"))
+    counted = histogram.withColumns({"_upto": upto, "_before": upto - F.col("n"), "_size": F.sum("n").over(group)})
+    share = lambda c: F.floor(F.col(c) * 100 / F.col("_size"))
+    times = share("_upto") - share("_before") + F.when(F.col("_before") == 0, 1).otherwise(0)  # so many percentiles name this temperature
+    runs = counted.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("temp", times.cast("int").alias("times")))).alias("_runs"))
+    return runs.select(*by, F.flatten(F.transform("_runs", lambda r: F.array_repeat(r["temp"], r["times"]))).alias("percentiles"))
 
 
 def evaluate_algorithms(alarms: DataFrame, temps: DataFrame, least_window_ms: int = 3_600_000, min_readings: int = 100, algorithms: dict[str, Algorithm] | None = None, period_us: int = PERIOD_US, keys=KEYS, **more) -> DataFrame:

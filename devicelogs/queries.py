@@ -390,7 +390,7 @@ SELECT session_id, bz.cpu, period_id, total_time, busyness, f.temp * 1000 AS fre
 def suspend_cpu(spark, sf_dir):
     log = read_events(spark, sf_dir)
     freq = log.where("tag = 'view'").select("device_id", "boot_id", "ts_us", (F.col("event_id") % 2).alias("cpu"), (F.col("temp") * 1000).alias("freq"))
-    found = W.suspend_cpu(_sessions(spark, sf_dir), alarms_of(log), _event_ctx(log), freq, 24 * HOUR)
+    found = W.suspend_cpu(O.written(_sessions(spark, sf_dir)), alarms_of(log), _event_ctx(log), freq, 24 * HOUR)
     return found.select("session_id", "cpu", "period_id", "total_time", F.round("busyness", 6).alias("busyness"), "frequency")
 
 
@@ -398,7 +398,7 @@ def suspend_cpu(spark, sf_dir):
 SELECT er.session_id, alarm_key, er.cpu, period_id, line_id, period_total, round(CASE WHEN period_total <> 0 THEN rtime / period_total END, 6) AS share, ts_us - alarm_us AS after_us FROM er JOIN pt USING (session_id, cpu, period_id) JOIN sa ON sa.session_id = er.session_id AND sa.app_pid = er.pid WHERE alarm_us <= wake_us + {24 * HOUR}""")
 def alarm_cpu(spark, sf_dir):
     log = read_events(spark, sf_dir)
-    found = W.alarm_cpu(_sessions(spark, sf_dir), alarms_of(log), _event_ctx(log), 24 * HOUR, 24 * HOUR)
+    found = W.alarm_cpu(O.written(_sessions(spark, sf_dir)), alarms_of(log), _event_ctx(log), 24 * HOUR, 24 * HOUR)
     return found.select("session_id", "alarm_key", "cpu", "period_id", "line_id", "period_total", F.round("share", 6).alias("share"), "after_us")
 
 
