@@ -48,9 +48,9 @@ def cpu_state(events: DataFrame, keys=KEYS, slices: Column | None = None, order=
     return running(events, specs, (*keys, "cpu"), order, slices)
 
 
-def cpu_last_event(events: DataFrame, keys=KEYS, slices: Column | None = None) -> DataFrame:
+def cpu_last_event(events: DataFrame, keys=KEYS, slices: Column | None = None, order=("token", "trace_time", "line_id")) -> DataFrame:
     """Per row the id of the cpu's latest frequency or state line so far; of a tie the state line."""
-    seen = running(events, {"_f": last(F.when(F.col("freq").isNotNull(), F.struct("ts_us", "line_id"))), "_s": last(F.when(F.col("hotplug").isNotNull(), F.struct("ts_us", "line_id")))}, (*keys, "cpu"), slices=slices)
+    seen = running(events, {"_f": last(F.when(F.col("freq").isNotNull(), F.struct("ts_us", "line_id"))), "_s": last(F.when(F.col("hotplug").isNotNull(), F.struct("ts_us", "line_id")))}, (*keys, "cpu"), order, slices)
     pick = F.when(F.col("_f").isNull() | (F.col("_s.ts_us") >= F.col("_f.ts_us")), F.col("_s.line_id")).otherwise(F.col("_f.line_id"))
     return seen.withColumn("last_event_line", pick).drop("_f", "_s")
 

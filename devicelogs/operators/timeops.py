@@ -12,7 +12,7 @@ import tempfile
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 KEYS = ("device_id", "boot_id")
@@ -63,16 +63,20 @@ def time_slice(size: int = DAY_US, column: str = "ts_us") -> Column:
     return F.floor(F.col(column) / size)
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the folder that driver and executors share; a local test session gets one of its own."""
-    spark = df.sparkSession
+def new_folder(spark: SparkSession) -> str:
+    """A new folder below spark.checkpoint.dir, which driver and executors share; a local test session gets one of its own."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/logs-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/logs-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in the shared folder."""
+    path = new_folder(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def running(df: DataFrame, specs: dict[str, Spec], keys=KEYS, order=ORDER, slices: Column | None = None) -> DataFrame:

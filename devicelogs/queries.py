@@ -15,6 +15,7 @@ from .plans import daily as Y
 from .plans import quality as Q
 from .plans import sessions as W
 from .sources.adapter import alarms_of, read_ctx, read_events
+from .streaming import jobs as R
 
 HOUR = 3_600_000_000
 QUERIES: dict = {}
@@ -488,6 +489,57 @@ def parse_thermal(spark, sf_dir):
     return found.select("device_id", "boot_id", "token", "sensor", "temp")
 
 
+@query(f"WITH {LOG}, {_ranked(_DAYS, '[0, 1, 2, 3, 4, 5]')} SELECT device_id, probe_id AS day, count(*) AS n, min(percentile_temp) AS low, max(percentile_temp) AS high FROM pc GROUP BY ALL")
+def ambient_collected(spark, sf_dir):
+    temps = Y.ambient_collected(Y.ambient_from_distribution(read_events(spark, sf_dir)))
+    return temps.select("device_id", "day", F.size("temps").cast("long").alias("n"), F.array_min("temps").alias("low"), F.array_max("temps").alias("high"))
+
+
+@query(f"""WITH {_SESSIONS}, {_EP}, pt AS (SELECT session_id, cpu, period_id, sum(rtime)::BIGINT AS period_total FROM er GROUP BY ALL)
+SELECT er.session_id, alarm_key, max(ts_us - alarm_us) AS duration_us, round(sum(CASE WHEN period_total <> 0 THEN rtime / period_total END), 6) AS busy FROM er JOIN pt USING (session_id, cpu, period_id) JOIN sa ON sa.session_id = er.session_id AND sa.app_pid = er.pid WHERE alarm_us <= wake_us + {24 * HOUR} GROUP BY ALL""")
+def alarm_durations(spark, sf_dir):
+    log = read_events(spark, sf_dir)
+    used = W.alarm_cpu(O.written(_sessions(spark, sf_dir)), alarms_of(log), _event_ctx(log), 24 * HOUR, 24 * HOUR)
+    return W.alarm_durations(used).select("session_id", "alarm_key", "duration_us", F.round("busy", 6).alias("busy"))
+
+
+@query(f"""WITH {_CPU}, e AS (SELECT *, last_value(CASE WHEN freq IS NOT NULL THEN line_id END IGNORE NULLS) OVER w AS f, max(CASE WHEN freq IS NOT NULL THEN ts_us END) OVER w AS ft, last_value(CASE WHEN hotplug IS NOT NULL THEN line_id END IGNORE NULLS) OVER w AS s, max(CASE WHEN hotplug IS NOT NULL THEN ts_us END) OVER w AS st
+  FROM (SELECT *, row_number() OVER (PARTITION BY device_id, boot_id, cpu ORDER BY ts_us, line_id) AS pos FROM cp) WINDOW w AS (PARTITION BY device_id, boot_id, cpu ORDER BY pos ROWS UNBOUNDED PRECEDING))
+SELECT line_id, CASE WHEN f IS NULL OR st >= ft THEN s ELSE f END AS last_event_line FROM e""")
+def cpu_last_event(spark, sf_dir):
+    return S.cpu_last_event(_cpu_events(spark, sf_dir), order=("ts_us", "line_id")).select("line_id", "last_event_line")
+
+
+def _event_stream(spark, sf_dir) -> DataFrame:
+    """The events as a stream, with event_id as token."""
+    name = "events.parquet"
+    e = spark.readStream.schema(spark.read.parquet(f"{sf_dir}/{name}").schema).option("pathGlobFilter", name).parquet(sf_dir)
+    device = (F.col("user_id") % 20).cast("string")
+    boot = F.concat(device, F.lit("-"), F.floor((F.dayofmonth("ts") - 1) / 10).cast("string"))
+    pm = F.when(F.col("event_type") == "purchase", "entry").when(F.col("event_type") == "signup", "exit")
+    ts = F.col("ts").cast("timestamp")
+    return e.select(F.col("event_id").alias("token"), F.col("event_id").alias("line_id"), device.alias("device_id"), boot.alias("boot_id"), ts.alias("ts"), F.unix_micros(ts).alias("ts_us"), pm.alias("pm"))
+
+
+def _streamed(df: DataFrame) -> DataFrame:
+    """All that a stream gives for the files that are there, by way of a file sink."""
+    spark = df.sparkSession
+    path = O.new_folder(spark)
+    sink = df.writeStream.format("parquet").option("checkpointLocation", f"{path}/state").option("path", f"{path}/rows").trigger(availableNow=True)
+    sink.start().awaitTermination()
+    return spark.read.schema(df.schema).parquet(f"{path}/rows")
+
+
+@query(f"WITH {LOG}, e AS (SELECT *, last_value(CASE WHEN pm = 'entry' THEN ts_us END IGNORE NULLS) OVER (PARTITION BY device_id, boot_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS en FROM st) SELECT device_id, boot_id, event_id AS line_id, coalesce((ts_us - en) * 1000, -1) AS sleep_ns FROM e WHERE pm = 'exit'")
+def stream_sleep_durations(spark, sf_dir):
+    return _streamed(R.sleep_durations(_event_stream(spark, sf_dir)))
+
+
+@query(f"WITH {LOG}, l AS (SELECT device_id, boot_id, event_id, lag(event_id) OVER (PARTITION BY device_id, boot_id ORDER BY event_id) AS b FROM log) SELECT device_id, boot_id, event_id AS line_id, event_id AS token FROM l WHERE b <> 0 AND event_id > b + 1")
+def stream_gap_events(spark, sf_dir):
+    return _streamed(R.gap_events(_event_stream(spark, sf_dir)))
+
+
 def queries() -> dict:
     return dict(QUERIES)
 
