@@ -13,7 +13,7 @@ from ..functions.algorithms import Algorithm, registry
 from ..operators.distribution import HOUR_US as _HOUR
 from ..operators.distribution import PERIOD_US, trailing_histogram
 
-from ..operators.timeops import KEYS, first, following, interval_join, last, running
+from ..operators.timeops import KEYS, first, following, interval_join, last, running, written
 
 SECOND = 1_000_000
 
@@ -78,7 +78,7 @@ def percentile_array(histogram: DataFrame, by: list[str]) -> DataFrame:
 def evaluate_algorithms(alarms: DataFrame, temps: DataFrame, least_window_ms: int = 3_600_000, min_readings: int = 100, algorithms: dict[str, Algorithm] | None = None, period_us: int = PERIOD_US, keys=KEYS, **more) -> DataFrame:
     """Per alarm with a long window and more than min_readings readings: what temperature each algorithm picks."""
     rows = alarm_temps(alarms.where(F.col("window_length_ms") >= least_window_ms), temps, keys=keys, period_us=period_us, **more)
-    rows = rows.where(F.size("readings") > min_readings)
+    rows = written(rows.where(F.size("readings") > min_readings))  # read twice
     probes = rows.select(*keys, F.col("alarm_key").alias("probe_id"), F.col("close_us").alias("at_us"))
     table = percentile_array(trailing_histogram(probes, temps, period_us, keys=keys), [*keys, "probe_id"]).withColumnRenamed("probe_id", "alarm_key")
     full = rows.join(table, [*keys, "alarm_key"]).withColumn("window_us", F.col("window_length_ms") * 1000)
