@@ -5,7 +5,8 @@ from .quality_rules import BASE_FAILED, HOST_LIMIT, HOST_RULES, quality_rules
 
 
 def op1_host_quality_rules(spark, sf_dir):
-    return quality_rules(read_table(spark, sf_dir, "documents")).drop("host")
+    found = quality_rules(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines")
 
 
 def _sql() -> str:

@@ -50,8 +50,8 @@ def corpus(seed, n=160):
     return list(enumerate(docs))
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
-def test_against_brute_force(spark, seed, monkeypatch):
+@pytest.mark.parametrize("seed", [1, 2])
+def test_against_brute_force(spark, seed):
     docs = corpus(seed)
     df = spark.createDataFrame([(d, t, 5) for d, t in docs], "doc_id long, text string, n_shingles int").repartition(3)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in j.jaccard_components(df).collect()}
