@@ -246,7 +246,7 @@ class _Components:
 
     def __init__(self, classes: DataFrame):
         self.classes = classes
-        self.labels = written(classes.select("rep", F.col("rep").alias("label")))
+        self.labels = classes.select("rep", F.col("rep").alias("label"))
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that are links."""
@@ -258,16 +258,17 @@ class _Components:
         label = lambda c: self.labels.select(F.col("rep").alias(c), F.col("label").alias(f"l{c}"))
         links = self.verified(pairs.distinct()).join(label("a"), "a").join(label("b"), "b").where("la <> lb")
         edges = written(links.select(F.least("la", "lb").alias("u"), F.greatest("la", "lb").alias("v")).distinct())
-        found = False
-        while not edges.isEmpty():
-            found = True
-            both = edges.union(edges.select("v", "u"))
-            parent = written(both.groupBy("u").agg(F.least("u", F.min("v")).alias("p")))
+        if edges.isEmpty():
+            return False
+        labels = self.labels
+        while not edges.isEmpty():  # every label goes to its smallest neighbour, until no link is between two labels
+            parent = edges.union(edges.select("v", "u")).groupBy("u").agg(F.least("u", F.min("v")).alias("p"))
             to = lambda c: parent.select(F.col("u").alias(c), F.col("p").alias(f"p{c}"))  # noqa: B023, E731
-            self.labels = written(self.labels.join(to("label"), "label", "left").select("rep", F.coalesce("plabel", "label").alias("label")))
+            labels = labels.join(to("label"), "label", "left").select("rep", F.coalesce("plabel", "label").alias("label"))
             moved = edges.join(to("u"), "u").join(to("v"), "v").where("pu <> pv")
             edges = written(moved.select(F.least("pu", "pv").alias("u"), F.greatest("pu", "pv").alias("v")).distinct())
-        return found
+        self.labels = written(labels)
+        return True
 
     def resolve(self, lists: DataFrame) -> None:
         """Connects what is linked within lists of (key, rep, n, pos) of classes."""
@@ -300,11 +301,11 @@ def components(classes: DataFrame) -> DataFrame:
     prefixes = written(classes.mapInArrow(_prefixes, "rep long, n long, own long, prefix array<bigint>"))
     key = [F.xxhash64("prefix").alias("k1"), F.xxhash64(F.lit(1), "prefix").alias("k2"), "n"]
     grouped = prefixes.select("*", *key[:2])
-    groups = written(grouped.groupBy("k1", "k2", "n").agg(F.min("rep").alias("gid"), F.count("*").alias("size")))
+    groups = grouped.groupBy("k1", "k2", "n").agg(F.min("rep").alias("gid"), F.count("*").alias("size"))
     members = written(grouped.join(groups, ["k1", "k2", "n"]).select("gid", "rep", "n", "size"))
     known = _Components(classes)
     known.resolve(members.where("size > 1").select(F.col("gid").alias("key"), "rep", "n", F.lit(0).cast("long").alias("pos")))
-    heads = prefixes.join(groups.select(F.col("gid").alias("rep")), "rep")
+    heads = prefixes.join(members.where("gid = rep").select("rep"), "rep")
     postings = written(heads.select(F.col("rep").alias("gid"), "own", F.posexplode("prefix").alias("i", "key")).select("gid", "key", (F.col("own") + F.col("i")).alias("pos")))
     shared = postings.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
     known.resolve(postings.join(shared, "key").join(members, "gid").select("key", "rep", "n", "pos"))
