@@ -47,9 +47,16 @@ def stopping(limit: Column | None = None) -> Algorithm:
 
     def build() -> Column:
         bound = F.lit(100 / math.e) if limit is None else limit
-        seen = F.filter(_readings(), lambda r: _percent(r) < bound)
-        best = F.coalesce(F.array_min(F.transform(seen, lambda r: r["temp"])), F.lit(100_000))
-        return _first_or_last(lambda r: (_percent(r) >= bound) & (r["temp"] < best))
+        start = F.struct(F.lit(100_000).alias("best"), F.lit(None).cast("int").alias("pick"))
+
+        def step(state: Column, r: Column) -> Column:
+            watching = _percent(r) < bound
+            best = F.when(watching, F.least(state["best"], r["temp"])).otherwise(state["best"])
+            pick = F.coalesce(state["pick"], F.when(~watching & (r["temp"] < state["best"]), r["temp"]))
+            return F.struct(best.alias("best"), pick.alias("pick"))
+
+        picked = F.aggregate(_readings(), start, step)["pick"]  # one pass in time order
+        return F.coalesce(picked, F.try_element_at("readings", F.lit(-1))["temp"])
 
     return build
 
