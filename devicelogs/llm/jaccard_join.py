@@ -2,7 +2,7 @@
 
 1. Shingle sets are hashed per document. Blocks of documents send their shingles, packed as arrays, to hash buckets, which count in how many
    sets each occurs, and get back the shingles that occur in two sets or more. A shingle that is frequent within a block travels as a
-   count, so no bucket holds a frequent shingle's documents.
+   count, so no bucket holds a frequent shingle's documents. What a block needs back unchanged passes under a key of its own.
 2. Equal sets become one class, which is represented by its smallest doc_id.
 3. Shingles are ordered by frequency, rare ones first. Sets of n shingles that are similar enough share one of their first
    n - ceil(0.75 n) + 1; a class whose prefix has only shingles of its own is done. Classes with identical prefix and size form one group.
@@ -97,8 +97,8 @@ class _Block:
 
     def rows(self, block: int, bits: int) -> Iterator[tuple]:
         """Rows of _PACKED: the documents, and the shingles by bucket."""
-        spread = (1 << bits) + block % (1 << bits)
-        yield spread, block, DOCS, np.array(self.ids, "<i8").tobytes(), np.array(self.sizes, "<u4").tobytes(), b"".join(self.marks)
+        alone = -1 - block  # a key that no bucket and no other block has
+        yield alone, block, DOCS, np.array(self.ids, "<i8").tobytes(), np.array(self.sizes, "<u4").tobytes(), b"".join(self.marks)
         if not self.sets:
             return
         all_shingles = np.concatenate(self.sets)
@@ -109,7 +109,7 @@ class _Block:
             hot, n = values[frequent], counts[frequent]
             at = np.minimum(np.searchsorted(hot, all_shingles), len(hot) - 1)
             is_hot = hot[at] == all_shingles
-            yield spread, block, HOT_REFS, _token(all_shingles[is_hot], bits).tobytes(), owners[is_hot].tobytes(), b""
+            yield alone, block, HOT_REFS, _token(all_shingles[is_hot], bits).tobytes(), owners[is_hot].tobytes(), b""
             all_shingles, owners = all_shingles[~is_hot], owners[~is_hot]
             yield from self._by_bucket(block, bits, HOT, hot, n.astype("<u4"))
         yield from self._by_bucket(block, bits, COLD, all_shingles, owners)

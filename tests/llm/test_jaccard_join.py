@@ -91,6 +91,18 @@ def test_frequent_shingles_travel_as_counts(monkeypatch):
             assert np.frombuffer(made.tokens[k], "<u8").tolist() == [t for _, t in want]
 
 
+def test_blocks_pass_the_buckets_apart(monkeypatch):
+    monkeypatch.setattr(j, "FREQUENT", 2)
+    keys = []
+    for block in [k << 32 for k in range(200)] + [(3 << 32) + 1, (3 << 32) + 2]:
+        made = j._Block()
+        made.add(1, np.arange(9, dtype=np.uint64))
+        made.add(2, np.arange(8, dtype=np.uint64))
+        keys.append({r[0] for r in made.rows(block, 6) if r[2] in (j.DOCS, j.HOT_REFS)})
+    assert all(len(k) == 1 for k in keys) and len(set().union(*keys)) == len(keys)
+    assert not set().union(*keys) & set(range(1 << 6))
+
+
 def test_query(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in op3_jaccard_join(spark, "/root/testdata/sf0.01").collect()}
