@@ -3,7 +3,9 @@
 Every rolling gram of GRAM words of every text is hashed and joined with the grams of the license templates, a table whose size is checked before it
 is broadcast. A match at word p of the text and word q of a template votes for the diagonal p - q. A phrase template is found where one
 diagonal has all of its grams. Other templates merge neighbouring diagonals whose spans lie close, which bridges inserted and dropped
-words, and the merged span is verified: the share of the template's grams that it holds, and its length.
+words, and the merged span is verified: the share of the template's grams that it holds, one of them with the word that tells the license
+from its siblings, and its length. Of verified spans that cover each other by more than half, the one with the highest share counts, then
+the one of the longest template; equal ones all count, as in a notice that names two terms.
 
 Null and empty texts have no words. Rows with equal doc_id are told apart by their text's hash; rows that are equal in both get equal results. An empty table
 gives an empty result.
@@ -14,10 +16,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 GRAM = 3
 #: Diagonals that are no further apart than this, in spans that overlap or lie this close, are one match.
@@ -25,6 +29,10 @@ NEAR = 4
 #: Share of a template's grams that a verified span holds, and how much longer than the template it may be.
 LEAST_SHARE = 0.6
 MOST_STRETCH = 1.5
+#: A verified span of the label must hold this word of its template.
+TELLING = {"apache-2": "apache", "gpl-3": "3", "gpl-2": "2", "lgpl": "lesser", "mpl-2": "mozilla", "cc-by-nc": "noncommercial", "cc-by-sa": "sharealike"}
+#: Wins over others that it overlaps, whatever their shares: the others' templates say the same but for the telling word.
+FIRST = "lgpl"
 #: A larger template table is joined by a shuffle.
 BROADCAST_GRAMS = 1_000_000
 
@@ -89,13 +97,15 @@ class GramHasher:
 
 
 def template_grams(spark: SparkSession) -> DataFrame:
-    """template, label, phrase, n_grams, q, gram of all templates."""
+    """template, label, phrase, n_grams, q, gram of all templates; the grams from lo to hi have the telling word."""
     hasher, rows = GramHasher(), []
     texts = [(label, phrase, True) for phrase, label in PHRASES.items()] + [(*t, False) for t in TEMPLATES]
     for number, (label, text, phrase) in enumerate(texts):
         grams = hasher(words_of(text)).tolist()
-        rows += [(number, label, phrase, len(grams), q, g) for q, g in enumerate(grams)]
-    return spark.createDataFrame(rows, "template int, label string, phrase boolean, n_grams int, q int, gram long")
+        hi = words_of(text).index(TELLING[label].encode()) if label in TELLING and not phrase else None
+        lo = None if hi is None else hi - GRAM + 1
+        rows += [(number, label, phrase, len(grams), lo, hi, q, g) for q, g in enumerate(grams)]
+    return spark.createDataFrame(rows, "template int, label string, phrase boolean, n_grams int, lo int, hi int, q int, gram long")
 
 
 _GRAMS = "_hash long, grams array<bigint>"
@@ -114,31 +124,64 @@ def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def votes(docs: DataFrame, templates: DataFrame) -> DataFrame:
-    """doc_id, _hash, template, label, phrase, n_grams, diagonal, and the template positions qs that voted."""
+    """doc_id, _hash, template, label, phrase, n_grams, lo, hi, diagonal, and the template positions qs that voted."""
     rows = docs.select("doc_id", "_hash", "text").mapInArrow(_grams, f"doc_id {dict(docs.dtypes)['doc_id']}, {_GRAMS}")
     rolled = rows.select("doc_id", "_hash", F.posexplode("grams").alias("p", "gram"))
     small = F.broadcast(templates) if templates.count() <= BROADCAST_GRAMS else templates
     matched = rolled.join(small, "gram").withColumn("diagonal", F.col("p") - F.col("q"))
-    return matched.groupBy("doc_id", "_hash", "template", "label", "phrase", "n_grams", "diagonal").agg(F.collect_set("q").alias("qs"))
+    return matched.groupBy("doc_id", "_hash", "template", "label", "phrase", "n_grams", "lo", "hi", "diagonal").agg(F.collect_set("q").alias("qs"))
+
+
+def strongest(spans: list[dict]) -> list[dict]:
+    """The spans of one text without those that a stronger one covers by more than half of the shorter."""
+    rank = lambda s: (s["label"] == FIRST, s["share"], s["n_grams"])
+    kept, run, reach = [], [], -1
+    for s in [*sorted(spans, key=lambda s: (s["start"], s["end"])), None]:
+        if run and (s is None or s["start"] >= reach):  # a run of spans that overlap one another ends
+            won = []
+            for x in sorted(run, key=rank, reverse=True):
+                covers = (w for w in won if 2 * (min(x["end"], w["end"]) - max(x["start"], w["start"])) > min(x["end"] - x["start"], w["end"] - w["start"]))
+                if all(rank(w) == rank(x) for w in covers):
+                    won.append(x)
+            kept += won
+            run, reach = [], -1
+        if s is not None:
+            run.append(s)
+            reach = max(reach, s["end"])
+    return kept
+
+
+_SPANS = T.ArrayType(T.StructType().add("label", "string").add("phrase", "boolean").add("start", "integer").add("end", "integer").add("share", "double").add("n_grams", "integer"))
+
+
+@F.pandas_udf(_SPANS)
+def _strongest(found: pd.Series) -> pd.Series:
+    return found.map(lambda spans: strongest(list(spans)))
 
 
 def spans(voted: DataFrame) -> DataFrame:
     """doc_id, _hash, label, phrase, start, end (in words) and share of every verified match."""
     sized = voted.withColumns({"start": F.col("diagonal") + F.array_min("qs"), "end": F.col("diagonal") + F.array_max("qs") + GRAM})
-    exact = sized.where(F.col("phrase") & (F.size("qs") == F.col("n_grams")))
-    exact = exact.select("doc_id", "_hash", "label", "phrase", "start", "end", F.lit(1.0).alias("share"))
+    sized = sized.withColumn("whole", F.size("qs") == F.col("n_grams"))
+    columns = ["doc_id", "_hash", "label", "phrase", "start", "end", "share", "n_grams"]
+    exact = sized.where("whole").withColumn("share", F.lit(1.0)).select(*columns)
     keys = ["doc_id", "_hash", "template"]
-    order = Window.partitionBy(*keys).orderBy("start", "diagonal")
+    parts = sized.where(~F.col("phrase") & ~F.col("whole"))
+    along = Window.partitionBy(*keys).orderBy("diagonal")
+    turned = F.col("diagonal") - F.lag("diagonal").over(along) > NEAR * F.lit(2)
+    parts = parts.withColumn("band", F.sum(F.coalesce(turned, F.lit(True)).cast("int")).over(along))
+    order = Window.partitionBy(*keys, "band").orderBy("start", "diagonal")
     last_end = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    apart = F.col("start") > last_end + NEAR
-    turned = F.abs(F.col("diagonal") - F.lag("diagonal").over(order)) > NEAR * F.lit(2)
-    islands = sized.where(~F.col("phrase")).withColumn("new", F.coalesce(apart | turned, F.lit(True)).cast("int"))
+    islands = parts.withColumn("new", F.coalesce(F.col("start") > last_end + NEAR, F.lit(True)).cast("int"))
     islands = islands.withColumn("island", F.sum("new").over(order))
-    merged = islands.groupBy(*keys, "label", "phrase", "n_grams", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.array_distinct(F.flatten(F.collect_list("qs"))).alias("held"))
+    merged = islands.groupBy(*keys, "label", "phrase", "n_grams", "lo", "hi", "band", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.array_distinct(F.flatten(F.collect_list("qs"))).alias("held"))
     share = F.size("held") / F.col("n_grams")
     length = F.col("end") - F.col("start")
-    verified = merged.withColumn("share", share).where((share >= LEAST_SHARE) & (length <= MOST_STRETCH * (F.col("n_grams") + GRAM - 1)))
-    return exact.unionByName(verified.select("doc_id", "_hash", "label", "phrase", "start", "end", "share"))
+    told = F.col("hi").isNull() | F.exists("held", lambda q: q.between(F.col("lo"), F.col("hi")))
+    verified = merged.withColumn("share", share).where((share >= LEAST_SHARE) & told & (length <= MOST_STRETCH * (F.col("n_grams") + GRAM - 1)))
+    rivals = exact.where(~F.col("phrase")).unionByName(verified.select(*columns)).groupBy("doc_id", "_hash").agg(F.collect_list(F.struct("label", "phrase", "start", "end", "share", "n_grams")).alias("all"))
+    kept = rivals.select("doc_id", "_hash", F.inline(_strongest("all")))
+    return exact.where("phrase").unionByName(kept).drop("n_grams")
 
 
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

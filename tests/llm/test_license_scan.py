@@ -37,6 +37,28 @@ def test_base_and_labels(spark):
     assert m.scan(df.limit(0)).count() == 0
 
 
+def test_siblings_and_repeats(spark):
+    by = {(label, "lesser" in text): text for label, text in m.TEMPLATES}
+    nc, sa, cc, gpl2, apache = by["cc-by-nc", False], by["cc-by-sa", False], by["cc-by", False], by["gpl-2", False], by["apache-2", False]
+    gpl3 = next(t for label, t in m.TEMPLATES if label == "gpl-3" and "either" in t)
+    lgpl = next(t for label, t in m.TEMPLATES if label == "lgpl")
+    want = [(text, label) for label, text in m.TEMPLATES] + [
+        ("Lorem ipsum " + cc + ". " + nc, "cc-by,cc-by-nc"),
+        (nc.replace("NonCommercial", "NonCommercial-ShareAlike"), "cc-by-nc,cc-by-sa"),
+        (lgpl + "; either version 3 of the License, or any later version", "lgpl"),
+        (lgpl.replace("published", "made known") + "; either version 3 of the License, or any later version", "lgpl"),
+        (gpl2.replace("version 2", "version 1"), ""),
+        (gpl2.split(";")[0], ""),
+        (gpl3.replace("terms", "written terms"), "gpl-3"),
+        (apache.replace("not use", "not ever use").replace("except in", "except where in"), "apache-2"),
+        ("All rights reserved. All rights reserved. x All rights reserved", "proprietary"),
+        (sa.upper() + " " + gpl2, "cc-by-sa,gpl-2"),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(want)], "doc_id long, text string")
+    got = {r.doc_id: r.labels for r in m.scan(df).collect()}
+    assert got == {i: labels for i, (_, labels) in enumerate(want)}
+
+
 def test_query_against_brute_force(spark):
     texts = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
     rows = op7_license_scan(spark, "/root/testdata/sf0.001").collect()
