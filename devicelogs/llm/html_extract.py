@@ -4,7 +4,9 @@ A page goes through the standard library's streaming parser. Block elements end
 in it. The ratio of text to tags per line is smoothed with a Gaussian kernel, and lines are clustered around a threshold, the page's own
 deviation: the lines above it vote for the region they stand in. A region is an ``article`` or ``main`` element, or what lies outside of
 them; a line in such an element votes with more weight. All lines of the chosen regions are content, low ones too, but for what the markup
-itself marks as menu, header, footer, sidebar, notice, advert, form, script, style or reader comment: these lines have the ratio 0.
+itself marks as menu, header, footer, sidebar, notice, advert, form, script, style or reader comment: these lines have the ratio 0. A class or id that only tells of a layout (has-sidebar) marks nothing. Where no article or main stands
+outside of what class and id mark, those inside of it are regions, but not within reader comments or links to other pages; where nothing at
+all stands outside, class and id are not heeded.
 
 Null html counts as empty html and gives an empty text. Unclosed elements are closed by the end of their parent. Equal rows get equal results; an empty table gives an
 empty result.
@@ -27,6 +29,12 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 SKIPPED = frozenset("aside button canvas datalist dialog embed fieldset footer form head header iframe input label legend math menu nav noframes noscript object optgroup option output progress script select style svg template textarea title video audio".split())
 SKIPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 SKIPPED_WORDS = re.compile(r"(?:^|[\s_-])(?:ad|ads|adv|advert|adverts|advertisement|advertising|banner|breadcrumb|breadcrumbs|comment|comments|consent|cookie|cookies|disqus|footer|header|masthead|menu|nav|navbar|navigation|newsletter|notice|notices|popup|promo|related|reply|replies|respond|share|sharing|sidebar|signup|social|sponsor|sponsored|subscribe|toolbar|widget)(?:$|[\s_-])", re.I)
+#: Class words that name what a page has or lacks, not what the element is.
+LAYOUT = re.compile(r"(?:has|with|without|no|not)[_-]", re.I)
+#: An article within an element of these words is no content.
+CLOSED_WORDS = re.compile(r"(?:^|[\s_-])(?:comment|comments|disqus|related|reply|replies|respond)(?:$|[\s_-])", re.I)
+#: How a line is skipped: not, only by what is around its article or main element, by class or id, by the markup.
+OPEN, AROUND, NAMED, CLOSED = range(4)
 #: The start of these ends an open paragraph.
 CLOSES_P = BLOCKS - {"br", "body", "html", "head", "caption", "tbody", "td", "tfoot", "th", "thead", "tr", "option", "optgroup", "legend", "figcaption", "title"}
 
@@ -36,29 +44,34 @@ CONTENT = frozenset(["article", "main"])
 CONTENT_WEIGHT = 20
 #: A region is content from this share of the strongest region's votes.
 REGION_SHARE = 0.1
-Line = tuple[str, int, int, bool]
+Line = tuple[str, int, int, int]
 
 
-def _skips(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+def _skips(tag: str, attrs: list[tuple[str, str | None]]) -> int:
     if tag in SKIPPED:
-        return True
+        return CLOSED
+    found = OPEN
     for name, value in attrs:
-        if name == "hidden" or value and (name == "role" and value.lower() in SKIPPED_ROLES or name in ("class", "id") and SKIPPED_WORDS.search(value) or name == "aria-hidden" and value == "true"):
-            return True
-    return False
+        if name == "hidden" or value and (name == "role" and value.lower() in SKIPPED_ROLES or name == "aria-hidden" and value == "true"):
+            return CLOSED
+        if value and name in ("class", "id"):
+            for word in value.split():
+                if SKIPPED_WORDS.search(word) and not LAYOUT.match(word):
+                    found = max(found, CLOSED if CLOSED_WORDS.search(word) else NAMED)
+    return found
 
 
 class Lines(HTMLParser):
-    """Parser events to lines: text, tags, region (0: outside of article and main), inside of an element that is skipped."""
+    """Parser events to lines: text, tags, region (0: outside of article and main), how it is skipped."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
-        self.stack: list[tuple[str, int, bool]] = []
+        self.stack: list[tuple[str, int, int]] = []
         self.parts: list[str] = []
         self.tags = 0
         self.regions = self.region = 0
-        self.skipped = False
+        self.skipped = OPEN
 
     def end_line(self) -> None:
         text = " ".join("".join(self.parts).split())
@@ -75,15 +88,16 @@ class Lines(HTMLParser):
         self.tags += 1
         if tag in VOID:
             return
-        skips = _skips(tag, attrs) if tag not in ("html", "body", "article", "main") else False
-        if skips and not self.skipped:
+        skips = _skips(tag, attrs) if tag not in ("html", "body", "article", "main") else OPEN
+        if skips > self.skipped:
             self.end_line()
         self.stack.append((tag, self.region, self.skipped))
-        if tag in CONTENT and not self.skipped and not self.region:
+        if tag in CONTENT and self.skipped < CLOSED and not self.region:
             self.end_line()
+            self.skipped = AROUND if self.skipped else OPEN
             self.regions += 1
             self.region = self.regions
-        self.skipped = self.skipped or skips
+        self.skipped = max(self.skipped, skips)
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)  # HTML knows no empty form of elements that aren't void
@@ -123,6 +137,9 @@ def content_lines(lines: list[Line]) -> list[bool]:
     """Which lines are content."""
     if not lines:
         return []
+    ways = {way for *_, way in lines}
+    heeded = OPEN if any(region and way == OPEN for _, _, region, way in lines) else AROUND if ways & {OPEN, AROUND} else NAMED
+    lines = [(text, tags, region, way > heeded) for text, tags, region, way in lines]
     ratios = np.array([0.0 if skipped else len(text) / max(tags, 1) * (CONTENT_WEIGHT if region else 1) for text, tags, region, skipped in lines])
     smooth = smoothed(ratios)
     limit = min(ratios.std(), smooth.max())

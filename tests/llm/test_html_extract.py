@@ -17,6 +17,15 @@ def test_article_without_the_rest():
     assert extract(PAGE.replace("{more}", inner)) == "Head & é One two. Three four. Last inline."
 
 
+def test_wrappers_keep_their_article():
+    article = '<article><p>one text of words.</p><div class="ad">buy</div></article>'
+    for name in ("content has-sidebar", "with-sidebar", "no-header", "page-widget-container", "sidebar"):
+        assert extract(f'<div class="{name}">{article}<p class="related">more</p></div><p>foot</p>') == "one text of words."
+    assert extract('<div class="page-widget-container"><p>one text of words.</p></div>') == "one text of words."
+    assert extract(f'{article}<div class="widget"><article>card card card</article></div>') == "one text of words."
+    assert extract('<p>one text of words.</p><div id="comments"><article>reader</article></div>') == "one text of words."
+
+
 def test_no_article_uses_ratios():
     menu = "".join(f'<li><a href="/{i}">m{i}</a></li>' for i in range(20))
     text = "<p>" + "word " * 60 + "end.</p><p>short</p><p>" + "more " * 60 + "end.</p>"
