@@ -1,18 +1,23 @@
 """BPE encoding and decoding with a given tokenizer file.
 
-Texts are encoded word by word: the tokenizer's pattern never joins what white space parts, so the ids of a text are those of its words, and
-each worker keeps the ids of the words it has met. A text above LONG_CHARS is cut into leaves that Spark deals out as rows and encodes in
+Where the tokenizer file splits each word by itself with a pattern (``splitter``), the ids of a text are those of its pieces, and each worker
+keeps the ids of the pieces it has met; words beyond Latin-1 are pieces as they are. With any other file texts are encoded whole. Decoding is the tokenizer's own. A text above LONG_CHARS is cut into leaves that Spark deals out as rows and encodes in
 parallel; a tree of joins then puts the halves together. A join re-encodes a window around the cut, and lets it grow until its tokens agree
 with those of both halves: the halves' tokens outside of the agreement and the window's tokens inside are the encoding of the whole.
 
-Null counts as empty text and gives no ids. Equal rows get equal results; an empty table gives an empty result.
+Null counts as empty text and gives no ids. Equal rows, and rows with a null or repeated doc_id, get results by their texts; an empty table
+gives an empty result. Other columns of the input are not read. A text of any length is encoded whole.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import re
+import unicodedata
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -22,8 +27,8 @@ from pyspark.sql import functions as F
 
 #: Longer texts are cut into leaves of at most half as many code points.
 LONG_CHARS = 65_536
-#: Words whose ids a worker keeps, and the length of the longest that it keeps.
-CACHED_WORDS = 400_000
+#: From so many pieces on a worker forgets those that it met once, and those that are longer than this.
+CACHED_PIECES = 500_000
 CACHED_CHARS = 48
 #: Code points that are encoded together; bounds the words held at once.
 BATCH_CHARS = 1_000_000
@@ -32,6 +37,22 @@ WINDOW = 64
 AGREE = 3
 #: str.split() takes these as white space, the tokenizer does not.
 _NOT_SPACE = "\x1c\x1d\x1e\x1f"
+_NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+
+
+def splitter(tokenizer: dict) -> re.Pattern | None:
+    """The pattern by which a tokenizer file splits lower-cased Latin-1 text, if the file normalizes and splits each word by itself."""
+    first, *rest = (tokenizer.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    cuts = (first.get("type"), first.get("behavior"), first.get("invert")) == ("Split", "Removed", True)
+    bytes_only = [(x.get("type"), x.get("use_regex"), x.get("add_prefix_space")) for x in rest] == [("ByteLevel", False, False)]
+    if not (cuts and bytes_only) or (tokenizer.get("normalizer") or {}).get("normalizers") != _NORMALIZERS or tokenizer.get("post_processor") or tokenizer["model"]["type"] != "BPE":
+        return None
+    pattern = first["pattern"]["Regex"]
+    for kind in "LN":
+        members = (chr(c) for c in range(256) if unicodedata.category(chr(c))[0] == kind)
+        pattern = pattern.replace(f"\\p{{{kind}}}", "".join(map(re.escape, members)))
+    made = re.compile(pattern)
+    return None if any(x != x.strip() for x in made.findall(" a  1 . ' \t's ")) else made
 
 
 def default_tokenizer() -> str:
@@ -40,8 +61,21 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class _Numbered(dict):
+    """Pieces and their numbers; a new one gets the next."""
+
+    def __init__(self, pieces: list[str] = ()):
+        super().__init__(zip(pieces, range(len(pieces)), strict=True))
+        self.new: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        self[piece] = n = len(self)
+        self.new.append(piece)
+        return n
+
+
 class Encoder:
-    """A tokenizer with the ids of the words met so far."""
+    """A tokenizer with the ids of the pieces met so far."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -50,47 +84,79 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.known: dict[str, bytes] = {}
+        with open(path, encoding="utf-8") as f:
+            self.pattern = splitter(json.load(f))
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.known, self.pool = _Numbered(), np.zeros(0, "<u4")
+        self.starts, self.counts, self.seen = (np.zeros(0, np.int64) for _ in range(3))  # of each piece: place and length in the pool, how often met
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.tokens = [self.tokenizer.id_to_token(i) or "" for i in range(size)]
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def words(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of distinct words, encoded in one call."""
-        made = self.tokenizer.encode(words, is_pretokenized=True, add_special_tokens=False)
-        ids = np.array(made.ids, "<u4").tobytes()
-        ends = np.searchsorted(np.array(made.word_ids, np.int64), np.arange(len(words)), side="right") * 4
-        starts = np.concatenate([[0], ends[:-1]])
-        return {w: ids[a:b] for w, a, b in zip(words, starts.tolist(), ends.tolist(), strict=True)}
+    def pieces(self, text: str) -> list[str] | None:
+        """What the tokenizer encodes one by one; None if only the tokenizer knows."""
+        if self.pattern is None or any(c in text for c in _NOT_SPACE) or any(t in text for t in self.added):
+            return None
+        if _latin(text):
+            return self.pattern.findall(text.lower())
+        return [p for w in text.split() for p in (self.pattern.findall(w.lower()) if _latin(w) else (w,))]
+
+    def learn(self, pieces: list[str]) -> None:
+        """Appends the ids of distinct pieces to the pool; encodes them in one call."""
+        made = self.tokenizer.encode(pieces, is_pretokenized=True, add_special_tokens=False)
+        counts = np.bincount(np.array(made.word_ids, np.int64), minlength=len(pieces))
+        self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(counts) - counts])
+        self.counts = np.concatenate([self.counts, counts])
+        self.seen = np.concatenate([self.seen, np.zeros(len(pieces), np.int64)])
+        self.pool = np.concatenate([self.pool, np.array(made.ids, "<u4")])
+
+    def forget(self) -> None:
+        """Keeps the pieces that were met more than once."""
+        kept = self.seen > 1
+        pieces = [p for p, k in zip(self.known, kept.tolist(), strict=True) if k and len(p) <= CACHED_CHARS]
+        old = np.array([self.known[p] for p in pieces], np.int64)
+        flat = self._ids_of(old)
+        self.known = _Numbered(pieces)
+        self.pool, self.counts, self.seen = flat, self.counts[old], self.seen[old] // 2
+        self.starts = np.cumsum(self.counts) - self.counts
+
+    def _ids_of(self, numbers: np.ndarray) -> np.ndarray:
+        counts = self.counts[numbers]
+        ends = np.cumsum(counts)
+        return self.pool[np.repeat(self.starts[numbers] - ends + counts, counts) + np.arange(ends[-1] if len(ends) else 0)]
 
     def batch(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        parts, missing = [], {}
-        for text in texts:
-            if any(c in text for c in _NOT_SPACE):
-                parts.append((None, [self.whole(text)]))
-                continue
-            words = text.split()
-            ids = list(map(self.known.get, words))
-            at = [i for i, x in enumerate(ids) if x is None] if None in ids else []
-            for i in at:
-                missing[words[i]] = None
-            parts.append(([(i, words[i]) for i in at], ids))
-        if missing:
-            found = self.words(list(missing))
-            room = CACHED_WORDS - len(self.known)
-            if room > 0:
-                self.known.update([x for x in found.items() if len(x[0]) <= CACHED_CHARS][:room])
-            for at, ids in parts:
-                for i, word in at or ():
-                    ids[i] = found[word]
-        return [b"".join(ids) for _, ids in parts]
+        cut = [self.pieces(text) for text in texts]
+        numbers = np.fromiter(map(self.known.__getitem__, chain.from_iterable(filter(None, cut))), np.int64)
+        if self.known.new:
+            self.learn(self.known.new)
+            self.known.new = []
+        self.seen += np.bincount(numbers, minlength=len(self.seen))
+        raw = memoryview(self._ids_of(numbers).tobytes())
+        ends = np.concatenate([[0], np.cumsum(self.counts[numbers])])[np.cumsum([0, *[len(x or ()) for x in cut]])] * 4
+        made = [self.whole(t) if x is None else bytes(raw[a:b]) for t, x, a, b in zip(texts, cut, ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+        if len(self.known) > CACHED_PIECES:
+            self.forget()
+        return made
 
     def decode(self, ids: bytes) -> str:
-        """The tokens with spaces between them, as the tokenizer file has no decoder of its own."""
-        return " ".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        """The tokenizer's own decoding; without a decoder in the file that is the tokens with spaces between them."""
+        numbers = np.frombuffer(ids, "<u4").tolist()
+        return " ".join(map(self.tokens.__getitem__, numbers)) if self.tokenizer.decoder is None else self.tokenizer.decode(numbers, skip_special_tokens=False)
+
+
+def _latin(text: str) -> bool:
+    """Whether all characters are Latin-1: these are their own normal form, and their lower case doesn't depend on their neighbours."""
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
 
 
 @lru_cache(maxsize=2)

@@ -8,7 +8,8 @@ and length that are offset by the counts of the tasks before, so no length is ga
 The plan has a bounded size: a length opens one group of sequences at most and splits one group at most, so there are no more than
 2 * capacity groups, whatever the number of documents.
 
-Null text counts as empty and gives one piece that holds the end token. Rows that are repeated are packed each for itself; an empty table
+Null text counts as empty and gives one piece that holds the end token. Rows that are repeated, or have a null doc_id, are packed each for
+itself; doc_id keeps its type and other columns are not read, whatever their names. A text of any length is cut into pieces. An empty table
 gives an empty result.
 """
 
@@ -31,7 +32,7 @@ from .common import written
 CAPACITY = 4096
 END_ID = 1
 
-_PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, local long"
+_PIECE = "doc_id {kind}, piece int, start long, length long, ids_crc32 long, task int, local long"
 _PLAN = "length long, low long, high long, first long, each long, place long"
 
 
@@ -80,27 +81,36 @@ def plan_slots(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tupl
     return slots
 
 
-def cut_pieces(ids: np.ndarray, capacity: int = CAPACITY) -> list[tuple[int, int, int, int]]:
-    """(piece, start, length, crc32) of a document's ids."""
-    raw = ids.astype("<u4", copy=False).tobytes()
-    return [(k, a, min(capacity, len(ids) - a), zlib.crc32(raw[4 * a : 4 * (a + capacity)])) for k, a in enumerate(range(0, len(ids), capacity))]
+_END = np.array([END_ID], "<u4").tobytes()
+
+
+def cut_pieces(raw: bytes, capacity: int = CAPACITY) -> list[tuple[int, int, int, int]]:
+    """(piece, start, length, crc32) of a document's ids, four bytes each, and the end token."""
+    n = len(raw) // 4 + 1
+    if n <= capacity:
+        return [(0, 0, n, zlib.crc32(_END, zlib.crc32(raw)))]
+    view = memoryview(raw + _END)
+    return [(k, a, min(capacity, n - a), zlib.crc32(view[4 * a : 4 * (a + capacity)])) for k, a in enumerate(range(0, n, capacity))]
 
 
 def _pieces(path: str, capacity: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, end, task = encoder(path), np.array([END_ID], "<u4"), TaskContext.get().partitionId()
+        coder, task = encoder(path), TaskContext.get().partitionId()
         counts: dict[int, int] = defaultdict(int)
         for batch in batches:
-            at, doc_ids = 0, batch.column("doc_id").to_pylist()
+            at, doc_ids = 0, batch.column("doc_id")
             for group in in_groups(batch.column("text").to_pylist()):
-                rows = []
-                for doc_id, raw in zip(doc_ids[at : at + len(group)], coder.batch(group), strict=True):
-                    for piece, start, length, crc in cut_pieces(np.concatenate([np.frombuffer(raw, "<u4"), end]), capacity):
-                        rows.append((doc_id, piece, start, length, crc, task, counts[length]))
+                owners, rows, local = [], [], []
+                for k, raw in enumerate(coder.batch(group), at):
+                    cut = cut_pieces(raw, capacity)
+                    rows += cut
+                    for _, _, length, _ in cut:
+                        owners.append(k)
+                        local.append(counts[length])
                         counts[length] += 1
                 at += len(group)
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
-                columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+                piece, start, length, crc = zip(*rows, strict=True)
+                columns = [doc_ids.take(pa.array(owners, pa.int64())), pa.array(piece, pa.int32()), *[pa.array(c, pa.int64()) for c in (start, length, crc)], pa.array([task] * len(rows), pa.int32()), pa.array(local, pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in _PIECE.split(", ")])
 
     return run
@@ -108,8 +118,8 @@ def _pieces(path: str, capacity: int) -> Callable:
 
 def pieces(docs: DataFrame, tokenizer: str | None = None, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY) -> DataFrame:
     """The pieces of all documents, with the task that made each and its number among that task's pieces of equal length."""
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(_pieces(tokenizer or default_tokenizer(), capacity), _PIECE)
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    return rows.mapInArrow(_pieces(tokenizer or default_tokenizer(), capacity), _PIECE.format(kind=dict(rows.dtypes)["doc_id"]))
 
 
 def pack(docs: DataFrame, tokenizer: str | None = None, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY) -> DataFrame:

@@ -8,7 +8,7 @@ from devicelogs.llm import bpe
 from devicelogs.llm.query_09 import op9_bpe_round_trip
 
 CODER = bpe.encoder(bpe.default_tokenizer())
-ODD = ["", " ", "it's they're", "ÀÉ é İ ΑΣ ς", "a\x1cb\x85c d e　f\x0bg\x1f", "<|endoftext|>x <|startoftext|>", "''''s 're", "漢字かな" * 40, "😀👍🏽" * 9, "﻿x​y", "1234 ½ ２"]
+ODD = ["", " ", "it's they're", "ÀÉ é İ ΑΣ ς", "a\x1cb\x85c d e　f\x0bg\x1f", "<|endoftext|>x <|startoftext|>", "''''s 're", "漢字かな" * 40, "“Été” l’été n’ª 3²¼ µßÿ— x", "😀👍🏽" * 9, "﻿x​y", "1234 ½ ２"]
 
 
 def ids(raw):
