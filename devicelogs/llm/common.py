@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,19 +21,58 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir, which driver and executors share."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:  # a local test session
-        base = tempfile.mkdtemp(prefix="spark-")
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="spark-")  # a local session: one machine
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame) -> DataFrame:
     """df as a Parquet table in the shared folder: it survives lost executors and ends the lineage."""
-    path = shared_dir(df.sparkSession)
+    return _stored(df, shared_dir(df.sparkSession))
+
+
+def _stored(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables in the shared folder that go when what comes after them is written."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.root, self.paths = spark, shared_dir(spark), {}
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        path = f"{self.root}/{len(self.paths)}"
+        made = _stored(df, path)
+        self.paths[id(made)] = (made, path)
+        return made
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Removes tables of this folder that nothing will read again."""
+        jvm = self.spark._jvm
+        for table in tables:
+            made, path = self.paths[id(table)]
+            if made is table:
+                where = jvm.org.apache.hadoop.fs.Path(path)
+                where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def fresh(taken: Iterable[str], *names: str) -> list[str]:
+    """These names, each with as many underscores before it as make it differ from the taken ones, whatever their case."""
+    lower = {t.lower() for t in taken}
+    found = []
+    for name in names:
+        while name.lower() in lower:
+            name = f"_{name}"
+        lower.add(name.lower())
+        found.append(name)
+    return found
+
+
 def held_out(doc_id: Column, folds: int, fold: int) -> Column:
     """True for the rows whose labels must not be learnt from."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == fold, F.lit(False))

@@ -6,15 +6,17 @@
 2. Equal sets become one class, which is represented by its smallest doc_id.
 3. Shingles are ordered by frequency, rare ones first. Sets of n shingles that are similar enough share one of their first
    n - ceil(0.75 n) + 1; a class whose prefix has only shingles of its own is done. Classes with identical prefix and size form one group.
-4. Groups that share a prefix shingle are filtered by size and position, expanded to their classes, and verified on whole sets.
+4. Groups that share a prefix shingle form pairs, which are filtered by size and by the place of the shingle; the pairs that are left are
+   expanded to their classes and verified on whole sets.
 
-Components need no link between classes that are connected already. So each list of classes that share a prefix shingle is compared with a
-few hubs at first, only one class for each component found so far, and links are merged. Lists that are still of several components then take more and more
-of their members as hubs until each pair of them that is not connected has been verified. A large group of near copies thus costs a
-number of pairs in proportion to its size, and no pair is left out.
+Components need no link between classes that are connected already, so step 4 runs three times, and what is linked gets one label after
+each. Twice it only takes stars: every class of a group with the group's head, and of each shingle's groups one per label with the first.
+The third time it takes every pair of groups with different labels that share a shingle: no pair is left out, and a large group of near
+copies, which has one label by then, costs pairs in proportion to its size. Shingles with many groups are salted.
 
-Null and empty texts have empty sets, which are linked with nothing. A null doc_id has a null component. Repeated rows get equal results; rows of one doc_id with different
-texts count by their texts. An empty table gives an empty result.
+Null and empty texts have empty sets, which are linked with nothing. A null doc_id has a null component. Repeated rows get equal results; rows
+of one doc_id with different texts count by their texts. doc_id is a number; other columns are not read, whatever their names. A text of any
+length has its whole set. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import Scratch
 
 SHINGLE = 5
 #: Similarity as a fraction: 75 / 100.
@@ -39,7 +41,10 @@ BLOCK_DOCS = 60_000
 #: From so many sets in a block a shingle travels as a count.
 FREQUENT = 128
 BUCKET_SHINGLES = 1_000_000
-BUCKETS = (64, 16_384)
+#: Bits of a bucket's number; 32 are enough for 2 ** 52 shingles.
+BUCKET_BITS = (6, 32)
+#: Shingles with more groups than this are salted; there is room for so many such shingles in a broadcast.
+HOT_GROUPS, HOT_SHINGLES = 2_000, 100_000
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
@@ -116,13 +121,12 @@ class _Block:
 
     @staticmethod
     def _by_bucket(block: int, bits: int, kind: int, shingles: np.ndarray, with_: np.ndarray) -> Iterator[tuple]:
-        bucket = (shingles >> np.uint64(64 - bits)).astype(np.uint16)
+        bucket = shingles >> np.uint64(64 - bits)
         order = np.argsort(bucket, kind="stable")
-        ends = np.searchsorted(bucket[order], np.arange((1 << bits) + 1))
+        found, starts = np.unique(bucket[order], return_index=True)
         rest = (shingles[order] & np.uint64(0xFFFFFFFF)).astype("<u4")
         with_ = with_[order]
-        for k in np.flatnonzero(np.diff(ends)).tolist():
-            a, b = ends[k], ends[k + 1]
+        for k, a, b in zip(found.tolist(), starts.tolist(), [*starts[1:].tolist(), len(rest)], strict=True):
             yield k, block, kind, rest[a:b].tobytes(), with_[a:b].tobytes(), b""
 
 
@@ -201,7 +205,7 @@ def _sets_of_block(rows: pd.DataFrame) -> pd.DataFrame:
 def shingle_sets(docs: DataFrame) -> DataFrame:
     """_SETS of docs, which have doc_id and text."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = int(np.clip(np.ceil(np.log2(max(size / 7 / BUCKET_SHINGLES, 1))), *np.log2(BUCKETS)))
+    bits = int(np.clip(np.ceil(np.log2(max(size / 7 / BUCKET_SHINGLES, 1))), *BUCKET_BITS))
     packed = docs.mapInArrow(_pack(bits), _PACKED)
     counted = packed.groupBy("bucket").applyInPandas(_count_bucket, "block long, kind int, a binary, b binary, c binary")
     return counted.groupBy("block").applyInPandas(_sets_of_block, _SETS)
@@ -241,87 +245,144 @@ def _overlap_fits(a: str, b: str) -> Column:
     return (OF + SIMILAR) * reach >= SIMILAR * (F.col(f"{a}.n") + F.col(f"{b}.n"))
 
 
-class _Components:
-    """Labels of classes: the smallest class that is known to be connected with each."""
-
-    def __init__(self, classes: DataFrame):
-        self.classes = classes
-        self.labels = classes.select("rep", F.col("rep").alias("label"))
+def contract(edges: DataFrame, tables: Scratch) -> DataFrame:
+    """u and root, the smallest node that is connected with u, of all nodes of the edges (u, v) that aren't such a root themselves.
+
+    Nodes hang on their smallest neighbour, pointers are doubled until all point at roots, and the edges between roots are the next round's.
+    """
+    edges = tables.keep(edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u <> v").distinct())
+    roots = None
+    while roots is None or not edges.isEmpty():
+        hung = tables.keep(edges.groupBy(F.col("v").alias("u")).agg(F.min("u").alias("root")).withColumn("moved", F.lit(True)))
+        while not hung.where("moved").isEmpty():
+            above = hung.select(F.col("u").alias("root"), F.col("root").alias("top"))
+            higher = tables.keep(hung.join(above, "root", "left").select("u", F.coalesce("top", "root").alias("root"), F.col("top").isNotNull().alias("moved")))
+            tables.drop(hung)
+            hung = higher
+        hung = hung.drop("moved") if roots is None else hung.select("u", "root")
+        to = lambda c: hung.select(F.col("u").alias(c), F.col("root").alias(f"r{c}"))  # noqa: B023, E731
+        ends = edges.join(to("u"), "u", "left").join(to("v"), "v", "left").select(F.coalesce("ru", "u").alias("x"), F.coalesce("rv", "v").alias("y"))
+        left = tables.keep(ends.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).where("u <> v").distinct())
+        merged = hung if roots is None else roots.join(to("root"), "root", "left").select("u", F.coalesce("rroot", "root").alias("root")).unionByName(hung)
+        roots = tables.keep(merged)
+        tables.drop(edges)
+        edges = left
+    return roots
+
+
+class _Join:
+    """The groups of classes, and what is connected so far.
+
+    labels: rep and label of the classes that have another label than themselves.
+    """
+
+    def __init__(self, classes: DataFrame, tables: Scratch):
+        self.classes, self.tables, self.labels = classes, tables, None
+        prefixes = tables.keep(classes.mapInArrow(_prefixes, "rep long, n long, own long, prefix array<bigint>"))
+        grouped = prefixes.select("rep", "n", F.xxhash64("prefix").alias("k1"), F.xxhash64(F.lit(1), "prefix").alias("k2"))
+        heads = grouped.groupBy("k1", "k2", "n").agg(F.min("rep").alias("gid"))
+        self.members = tables.keep(grouped.join(heads, ["k1", "k2", "n"]).select("gid", "rep"))
+        head_rows = prefixes.join(self.members.where("gid = rep").select("rep"), "rep")
+        postings = head_rows.select(F.col("rep").alias("gid"), "n", "own", F.posexplode("prefix").alias("i", "key")).select("gid", "n", "key", (F.col("own") + F.col("i")).alias("pos"))
+        self.postings = tables.keep(postings)
+        tables.drop(prefixes)
+        self.hot_from = max(HOT_GROUPS, self.postings.count() // HOT_SHINGLES)  # so there are HOT_SHINGLES of them at most
+
+    def units(self) -> DataFrame:
+        """gid, label, head: the groups, cut by label."""
+        labelled = self.members if self.labels is None else self.members.join(self.labels, "rep", "left")
+        label = F.col("rep") if self.labels is None else F.coalesce("label", "rep")
+        return labelled.select("gid", "rep", label.alias("label"))
 
     def verified(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) that are links."""
+        """The pairs (a, b) of classes that are links."""
         side = lambda c: self.classes.select(F.col("rep").alias(c), F.col("n_shingles").alias(f"n{c}"), F.col("tokens").alias(f"t{c}"))
         return pairs.join(side("a"), "a").join(side("b"), "b").where(_sizes_fit(F.col("na"), F.col("nb"))).mapInArrow(_linked, "a long, b long")
 
-    def connect(self, pairs: DataFrame) -> bool:
-        """Verifies the pairs and merges what they link; whether there were links."""
-        label = lambda c: self.labels.select(F.col("rep").alias(c), F.col("label").alias(f"l{c}"))
-        links = self.verified(pairs.distinct()).join(label("a"), "a").join(label("b"), "b").where("la <> lb")
-        edges = written(links.select(F.least("la", "lb").alias("u"), F.greatest("la", "lb").alias("v")).distinct())
-        if edges.isEmpty():
-            return False
-        labels = self.labels
-        while not edges.isEmpty():  # every label goes to its smallest neighbour, until no link is between two labels
-            parent = edges.union(edges.select("v", "u")).groupBy("u").agg(F.least("u", F.min("v")).alias("p"))
-            to = lambda c: parent.select(F.col("u").alias(c), F.col("p").alias(f"p{c}"))  # noqa: B023, E731
-            labels = labels.join(to("label"), "label", "left").select("rep", F.coalesce("plabel", "label").alias("label"))
-            moved = edges.join(to("u"), "u").join(to("v"), "v").where("pu <> pv")
-            edges = written(moved.select(F.least("pu", "pv").alias("u"), F.greatest("pu", "pv").alias("v")).distinct())
-        self.labels = written(labels)
-        return True
-
-    def resolve(self, lists: DataFrame) -> None:
-        """Connects what is linked within lists of (key, rep, n, pos) of classes."""
-        hubs, spread = 1, False
-        while True:
-            labelled = lists.join(self.labels, "rep")
-            mixed = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
-            lists = written(labelled.join(mixed, "key").select("key", "rep", "n", "pos", "label"))
-            if lists.isEmpty():
-                return
-            if not spread:  # one class for each component, against the first of them
-                chosen = lists.groupBy("key", "label").agg(F.min("rep").alias("rep"))
-                first = chosen.groupBy("key").agg(F.min("rep").alias("hub"))
-                pairs = chosen.join(first, "key").where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b"))
-                spread = not self.connect(pairs)
-                lists = lists.select("key", "rep", "n", "pos")
-                continue
-            salt = F.pmod(F.xxhash64("rep"), F.lit(hubs))
-            picked = lists.groupBy("key", salt.alias("salt")).agg(F.min_by(F.struct("rep", "n", "pos", "label"), "rep").alias("h")).select("key", "h.*").alias("h")
-            others = lists.alias("o").join(picked, "key").where("o.label <> h.label")
-            fits = others.where(_sizes_fit(F.col("o.n"), F.col("h.n")) & _overlap_fits("o", "h"))
-            self.connect(fits.select(F.least("h.rep", "o.rep").alias("a"), F.greatest("h.rep", "o.rep").alias("b")))
-            done = picked.select("key", F.col("h.rep").alias("rep"))
-            lists = lists.select("key", "rep", "n", "pos").join(done, ["key", "rep"], "left_anti")
-            hubs *= 8
-
-
-def components(classes: DataFrame) -> DataFrame:
-    """rep and label of the classes (rep, n_shingles, tokens) whose prefix is shared."""
-    prefixes = written(classes.mapInArrow(_prefixes, "rep long, n long, own long, prefix array<bigint>"))
-    key = [F.xxhash64("prefix").alias("k1"), F.xxhash64(F.lit(1), "prefix").alias("k2"), "n"]
-    grouped = prefixes.select("*", *key[:2])
-    groups = grouped.groupBy("k1", "k2", "n").agg(F.min("rep").alias("gid"), F.count("*").alias("size"))
-    members = written(grouped.join(groups, ["k1", "k2", "n"]).select("gid", "rep", "n", "size"))
-    known = _Components(classes)
-    known.resolve(members.where("size > 1").select(F.col("gid").alias("key"), "rep", "n", F.lit(0).cast("long").alias("pos")))
-    heads = prefixes.join(members.where("gid = rep").select("rep"), "rep")
-    postings = written(heads.select(F.col("rep").alias("gid"), "own", F.posexplode("prefix").alias("i", "key")).select("gid", "key", (F.col("own") + F.col("i")).alias("pos")))
-    shared = postings.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
-    known.resolve(postings.join(shared, "key").join(members, "gid").select("key", "rep", "n", "pos"))
-    return known.labels
+    def connect(self, pairs: DataFrame) -> None:
+        """Verifies the pairs and gives one label to what they link."""
+        links = self.tables.keep(self.verified(pairs.distinct()))
+        if self.labels is None:
+            self.labels = self.tables.keep(contract(links.toDF("u", "v"), self.tables).toDF("rep", "label"))
+            return
+        to = lambda c: self.labels.select(F.col("rep").alias(c), F.col("label").alias(f"l{c}"))
+        ends = links.join(to("a"), "a", "left").join(to("b"), "b", "left").select(F.coalesce("la", "a").alias("u"), F.coalesce("lb", "b").alias("v"))
+        roots = contract(ends, self.tables).toDF("label", "root")
+        old = self.labels.join(roots, "label", "left").select("rep", F.coalesce("root", "label").alias("label"))
+        more = roots.select(F.col("label").alias("rep"), F.col("root").alias("label"))
+        self.tables.drop(links)
+        self.labels = self.tables.keep(old.unionByName(more))
+
+    def salted(self, rows: DataFrame, stats: DataFrame, way: str) -> tuple[DataFrame, DataFrame]:
+        """Rows and one row per key of stats, with a salt that deals the rows of a key with many groups."""
+        hot = F.broadcast(stats.where(F.col("m") > self.hot_from).select("key", F.ceil(F.col("m") / self.hot_from).cast("int").alias("salts")))
+        dealt = rows.join(hot, "key", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64(way), "salts"), F.lit(0))).drop("salts")
+        copies = F.coalesce(F.ceil(F.col("m") / self.hot_from).cast("int"), F.lit(1))
+        return dealt, stats.withColumn("salt", F.explode(F.sequence(F.lit(0), copies - 1)))
+
+    def stars(self) -> DataFrame:
+        """Pairs (a, b): every class with its group's head, and of each shingle's groups one per label with the first."""
+        units = self.units()
+        inside = units.where("rep <> gid").select(F.col("gid").alias("a"), F.col("rep").alias("b"))
+        if self.labels is not None:  # what has the head's label needs no other link
+            heads = units.where("rep = gid").select("gid", F.col("label").alias("l"))
+            inside = units.where("rep <> gid").join(heads, "gid").where("label <> l").select(F.col("gid").alias("a"), F.col("rep").alias("b"))
+        lists = self.postings
+        if self.labels is not None:
+            lists = lists.join(units.where("rep = gid").select("gid", "label"), "gid")
+            lists = lists.groupBy("key", "label").agg(F.min_by(F.struct("gid", "n", "pos"), "gid").alias("g")).select("key", "g.*")
+        lists = self.tables.keep(lists)
+        first = lists.groupBy("key").agg(F.count("*").alias("m"), F.min_by(F.struct("gid", "n", "pos"), "gid").alias("h")).where("m > 1")
+        first = self.tables.keep(first.select("key", "m", "h.*"))
+        dealt, hubs = self.salted(lists, first, "gid")
+        met = dealt.alias("o").join(hubs.alias("h"), ["key", "salt"]).where("o.gid <> h.gid").where(_sizes_fit(F.col("o.n"), F.col("h.n")) & _overlap_fits("o", "h"))
+        return inside.unionByName(met.select(F.col("h.gid").alias("a"), F.col("o.gid").alias("b")))
+
+    def rest(self) -> DataFrame:
+        """Pairs (a, b) of classes with different labels whose groups share a shingle and pass the filters."""
+        units = self.tables.keep(self.units())
+        parts = units.select("gid", "label").distinct()
+        lists = self.postings.join(parts, "gid").select("key", "gid", "label", "n", "pos")
+        by_label = lists.groupBy("key", "label").agg(F.count("*").alias("k"))
+        stats = by_label.groupBy("key").agg(F.sum("k").alias("m"), F.max_by("label", "k").alias("most"), F.count("*").alias("labels")).where("labels > 1")
+        stats = self.tables.keep(stats.select("key", "m", "most"))
+        dealt, keys = self.salted(lists, stats, "gid")
+        open_lists = self.tables.keep(dealt.join(keys.select("key", "salt", "most", "m"), ["key", "salt"]))
+        # of two labels one at least isn't the most frequent
+        fewer = open_lists.where("label <> most").drop("salt").withColumn("salt", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("m") / self.hot_from).cast("int"), F.lit(1)) - 1)))
+        every = open_lists.withColumn("salt", F.when(F.col("m") > self.hot_from, F.col("salt")).otherwise(0))
+        met = fewer.alias("h").join(every.alias("o"), ["key", "salt"]).where("o.label <> h.label")
+        met = met.where(_sizes_fit(F.col("o.n"), F.col("h.n")) & _overlap_fits("o", "h"))
+        one, two = F.struct("h.gid", "h.label"), F.struct("o.gid", "o.label")
+        groups = met.select(F.least(one, two).alias("x"), F.greatest(one, two).alias("y")).distinct()
+        groups = self.tables.keep(groups.select(F.col("x.gid").alias("ga"), F.col("x.label").alias("la"), F.col("y.gid").alias("gb"), F.col("y.label").alias("lb")))
+        side = lambda c: units.select(F.col("gid").alias(f"g{c}"), F.col("label").alias(f"l{c}"), F.col("rep").alias(c))
+        return groups.join(side("a"), ["ga", "la"]).join(side("b"), ["gb", "lb"]).select("a", "b")
+
+
+def components(classes: DataFrame, tables: Scratch) -> DataFrame:
+    """rep and label of those of the classes (rep, n_shingles, tokens) whose label is another class."""
+    join = _Join(classes, tables)
+    join.connect(join.stars())
+    join.connect(join.stars())
+    join.connect(join.rest())
+    return join.labels
 
 
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
+    tables = Scratch(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    sets = written(shingle_sets(rows.where(F.col("doc_id").isNotNull())))
-    classes = written(sets.where("n_shingles > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n_shingles"), F.max("tokens").alias("tokens")))
-    labels = components(classes.where(F.col("tokens").isNotNull()).select("rep", "n_shingles", "tokens"))
-    by_set = classes.select("s1", "s2", "rep").join(labels, "rep", "left").select("s1", "s2", F.coalesce("label", "rep").alias("component_id"))
-    found = sets.select("doc_id", "n_shingles", "s1", "s2").join(by_set, ["s1", "s2"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    found = tables.keep(shingle_sets(rows.where(F.col("doc_id").isNotNull())))
+    classes = tables.keep(found.where("n_shingles > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n_shingles"), F.max("tokens").alias("tokens")))
+    sets = tables.keep(found.select("doc_id", "n_shingles", "s1", "s2"))
+    tables.drop(found)
+    labels = components(classes.where(F.col("tokens").isNotNull()).select("rep", "n_shingles", "tokens"), tables)
+    by_set = tables.keep(classes.select("s1", "s2", "rep").join(labels, "rep", "left").select("s1", "s2", F.coalesce("label", "rep").alias("component_id")))
+    tables.drop(classes)
+    given = sets.join(by_set, ["s1", "s2"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     nameless = rows.where(F.col("doc_id").isNull()).mapInArrow(_sizes_only, "doc_id long, n_shingles long, component_id long")
-    return found.unionByName(nameless)
+    return given.unionByName(nameless)
 
 
 def _sizes_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -3,9 +3,12 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from devicelogs.llm import jaccard_join as j
+from devicelogs.llm.common import Scratch
 from devicelogs.llm.query_03 import op3_jaccard_join
 
 
@@ -71,8 +74,6 @@ def test_frequent_shingles_travel_as_counts(monkeypatch):
     monkeypatch.setattr(j, "FREQUENT", 3)
     rng = np.random.default_rng(0)
     sets = [np.unique(rng.integers(0, 60, 20).astype(np.uint64) << np.uint64(58) | rng.integers(0, 2, 20).astype(np.uint64)) for _ in range(30)]
-    import pandas as pd
-
     blocks = [j._Block(), j._Block()]
     for k, s in enumerate(sets):
         blocks[k % 2].add(k, s)
@@ -107,3 +108,38 @@ def test_query(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in op3_jaccard_join(spark, "/root/testdata/sf0.01").collect()}
     assert got == brute(docs)
+
+
+def test_chain_of_sliding_documents(spark):
+    words = [f"w{k}" for k in range(240)]
+    docs = [(k, " ".join(words[k : k + 40])) for k in range(200)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in j.jaccard_components(df).collect()} == dict.fromkeys(range(200), 0)
+
+
+def test_paths_and_stars_contract_in_few_rounds(spark):
+    rng = random.Random(3)
+    names = rng.sample(range(1000, 2000), 200)
+    edges = [(k, k + 1) for k in range(200)] + [(a, b) for a, b in zip(names, names[1:])] + [(3000 + k, 5000) for k in range(100)]
+    tables = Scratch(spark)
+    got = {r.u: r.root for r in j.contract(spark.createDataFrame(edges, "u long, v long"), tables).collect()}
+    want = {k: 0 for k in range(1, 201)} | {n: min(names) for n in names if n != min(names)} | {k: 3000 for k in [*range(3001, 3100), 5000]}
+    assert got == want
+    assert len(tables.paths) < 50  # a step per link would take more than 200
+
+
+def test_hot_shingles_are_salted(spark, monkeypatch):
+    monkeypatch.setattr(j, "HOT_GROUPS", 3)
+    docs = corpus(5)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in j.jaccard_components(df).collect()}
+    assert got == brute(docs)
+
+
+def test_many_buckets(spark, monkeypatch):
+    monkeypatch.setattr(j, "BUCKET_BITS", (30, 32))
+    docs = corpus(6, 60)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(2)
+    monkeypatch.setattr(j, "shingle_sets", lambda rows: rows.mapInArrow(j._pack(30), j._PACKED).groupBy(F.expr("bucket % 7")).applyInPandas(lambda g: pd.concat([j._count_bucket(x) for _, x in g.groupby("bucket")]), "block long, kind int, a binary, b binary, c binary").groupBy("block").applyInPandas(j._sets_of_block, j._SETS))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in j.jaccard_components(df).collect()}
+    assert got == brute(docs)
