@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 #: Longer texts are cut into leaves of at most half as many code points.
 LONG_CHARS = 65_536
 #: From so many pieces on a worker forgets those that it met once, and those that are longer than this.
-CACHED_PIECES = 500_000
+CACHED_PIECES = 350_000
 CACHED_CHARS = 48
 #: Code points that are encoded together; bounds the words held at once.
 BATCH_CHARS = 1_000_000
@@ -40,12 +40,13 @@ _NOT_SPACE = "\x1c\x1d\x1e\x1f"
 _NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
 
 
-def splitter(tokenizer: dict) -> re.Pattern | None:
-    """The pattern by which a tokenizer file splits lower-cased Latin-1 text, if the file normalizes and splits each word by itself."""
-    first, *rest = (tokenizer.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+def splitter(tokenizer) -> re.Pattern | None:
+    """The pattern by which a tokenizer splits lower-cased Latin-1 text, if it normalizes and splits each word by itself."""
+    state = lambda part: json.loads(part.__getstate__()) if part else {}
+    first, *rest = state(tokenizer.pre_tokenizer).get("pretokenizers") or [{}]
     cuts = (first.get("type"), first.get("behavior"), first.get("invert")) == ("Split", "Removed", True)
     bytes_only = [(x.get("type"), x.get("use_regex"), x.get("add_prefix_space")) for x in rest] == [("ByteLevel", False, False)]
-    if not (cuts and bytes_only) or (tokenizer.get("normalizer") or {}).get("normalizers") != _NORMALIZERS or tokenizer.get("post_processor") or tokenizer["model"]["type"] != "BPE":
+    if not (cuts and bytes_only) or state(tokenizer.normalizer).get("normalizers") != _NORMALIZERS or tokenizer.post_processor or type(tokenizer.model).__name__ != "BPE":
         return None
     pattern = first["pattern"]["Regex"]
     for kind in "LN":
@@ -84,8 +85,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        with open(path, encoding="utf-8") as f:
-            self.pattern = splitter(json.load(f))
+        self.pattern = splitter(self.tokenizer)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known, self.pool = _Numbered(), np.zeros(0, "<u4")
         self.starts, self.counts, self.seen = (np.zeros(0, np.int64) for _ in range(3))  # of each piece: place and length in the pool, how often met
@@ -264,42 +264,53 @@ def _encode_leaves(path: str) -> Callable:
     return run
 
 
-def _join_leaves(path: str) -> Callable:
+def _join_leaves(path: str, decoded: bool) -> Callable:
     def run(leaves: pd.DataFrame) -> pd.DataFrame:
         leaves = leaves.sort_values("leaf")
         text = "".join(leaves.text)
         segments = [(a, a + len(t), [tuple(x) for x in np.frombuffer(k, "<i8").reshape(-1, 3).tolist()]) for a, t, k in zip(leaves.start, leaves.text, leaves.tokens, strict=True)]
-        ids = tree(encoder(path), segments, lambda a, b: text[a:b])
-        return pd.DataFrame({"row": [leaves.row.iloc[0]], "ids": [np.array(ids, "<u4").tobytes()]})
+        raw = np.array(tree(encoder(path), segments, lambda a, b: text[a:b]), "<u4").tobytes()
+        found = {"row": [leaves.row.iloc[0]], "ids": [raw]}
+        return pd.DataFrame(found | {"decoded": [encoder(path).decode(raw)]} if decoded else found)
 
     return run
 
 
-def _encode_rows(path: str) -> Callable:
+def _encode_rows(path: str, decoded: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(path)
         for batch in batches:
-            names = [n for n in batch.schema.names if n != "text"]
-            at = 0
+            at, doc_ids = 0, batch.column("doc_id")
             for group in in_groups(batch.column("text").to_pylist()):
-                part = batch.slice(at, len(group))
+                ids = coder.batch(group)
+                columns = [doc_ids.slice(at, len(group)), pa.array(ids, pa.binary())]
+                if decoded:
+                    columns.append(pa.array([coder.decode(x) for x in ids], pa.string()))
                 at += len(group)
-                yield pa.RecordBatch.from_arrays([*[part.column(n) for n in names], pa.array(coder.batch(group), pa.binary())], names=[*names, "ids"])
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "decoded"][: len(columns)])
 
     return run
 
 
-def encode(docs: DataFrame, tokenizer: str | None = None, doc_id: str = "doc_id", text: str = "text", long_chars: int = LONG_CHARS) -> DataFrame:
-    """doc_id and ids of every row: little-endian unsigned 32-bit integers without special tokens of the tokenizer's own."""
-    path = tokenizer or default_tokenizer()
+def _encoded(docs: DataFrame, path: str, doc_id: str, text: str, long_chars: int, decoded: bool) -> DataFrame:
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     kind = dict(rows.dtypes)["doc_id"]
     is_long = F.char_length("text") > long_chars
-    short = rows.where(~is_long).mapInArrow(_encode_rows(path), f"doc_id {kind}, ids binary")
+    short = rows.where(~is_long).mapInArrow(_encode_rows(path, decoded), f"doc_id {kind}, ids binary" + ", decoded string" * decoded)
     long_rows = rows.where(is_long).withColumn("row", F.monotonically_increasing_id())
     leaves = long_rows.select("row", "text").mapInArrow(_cut(max(long_chars // 2, 1)), _LEAF).repartition("row", "leaf").mapInArrow(_encode_leaves(path), _ENCODED_LEAF)
-    joined = leaves.groupBy("row").applyInPandas(_join_leaves(path), "row long, ids binary")
-    return short.unionByName(long_rows.select("row", "doc_id").join(joined, "row").select("doc_id", "ids"))
+    joined = leaves.groupBy("row").applyInPandas(_join_leaves(path, decoded), "row long, ids binary" + ", decoded string" * decoded)
+    return short.unionByName(long_rows.select("row", "doc_id").join(joined, "row").drop("row"))
+
+
+def encode(docs: DataFrame, tokenizer: str | None = None, doc_id: str = "doc_id", text: str = "text", long_chars: int = LONG_CHARS) -> DataFrame:
+    """doc_id and ids of every row: little-endian unsigned 32-bit integers without special tokens of the tokenizer's own."""
+    return _encoded(docs, tokenizer or default_tokenizer(), doc_id, text, long_chars, False)
+
+
+def round_trip(docs: DataFrame, tokenizer: str | None = None, doc_id: str = "doc_id", text: str = "text", long_chars: int = LONG_CHARS) -> DataFrame:
+    """doc_id, ids and decoded of every row, in one pass."""
+    return _encoded(docs, tokenizer or default_tokenizer(), doc_id, text, long_chars, True)
 
 
 def _decode_rows(path: str) -> Callable:
