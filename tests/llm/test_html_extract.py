@@ -1,9 +1,11 @@
+import math
 import re
-
-from devicelogs.llm.html_extract import extract, extract_pages, smoothed
+import time
 
 import numpy as np
 
+from devicelogs.llm.html_extract import LINK_SHARE, Lines, content_lines, extract, extract_pages, smoothed
+
 PAGE = """<!DOCTYPE html><html><head><title>No</title><style>p{x}</style><script>var t="</p>";</script></head><body>
 <header>site</header><nav><ul><li><a href="/a">menu</a></li></ul></nav><div class="ad">buy</div><div class="cookie-notice">cookies</div>
 <article><h1>Head &amp; &eacute;</h1><p><b>One
@@ -55,3 +57,84 @@ def test_null_and_clashing_columns(spark):
     rows = [(None, None, None, "x"), (1, "u", "<article><p>a</p></article>", "y"), (1, "u", "<article><p>a</p></article>", "y")]
     got = extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
     assert sorted((r.page_id or 0, r.text) for r in got) == [(0, ""), (1, "a"), (1, "a")]
+
+
+def test_no_markup_stops_a_page():
+    assert extract("<article><p>a<![foo[bar]]>b</p></article>") == "ab"
+    assert extract("<article><p>a<!-- b <p>c</p></article><p>d</p>") == "ac"
+    assert extract("<article><p>a < b <c</p>") == "a < b"
+    assert extract("<article><p>one</p><p>a <b") == "one a <b"
+
+
+def test_elements_end_where_html_ends_them():
+    assert extract('<article><p>long text of words</p><ul><li class="ad">Buy<li>item one<li>item two</ul></article>') == "long text of words item one item two"
+    assert extract('<article><table><tr><td class="ad">Buy<td>cell<tr><td>next</table><dl><dt class="ad">no<dd>yes</dl></article>') == "cell next yes"
+    assert extract('<article><p class="ad">no <b>bold<div>yes</div></article>') == "yes"
+    assert extract("<article><ul><li>a<ul><li>b</ul>c<li>d</ul></article>") == "a b c d"
+
+
+def test_words_of_the_article_stay():
+    assert extract("<article><p>Let <math><mi>x</mi></math> be <label>real</label>.</p></article>") == "Let x be real."
+    assert extract('<article><div class="related-work"><p>others did</p></div><p class="share price">it rose</p></article>') == "others did it rose"
+    assert extract('<article><p>text</p><div class="related-posts">more</div><div class="share buttons">tweet</div></article>') == "text"
+
+
+def test_titles_and_short_ends_stay_without_an_article():
+    body = "<h1>Title</h1><p>" + "word " * 60 + "end.</p><p>short</p>"
+    menu = "".join(f'<li><a href="/{i}">m{i}</a></li>' for i in range(20))
+    got = extract(f"<body><ul>{menu}</ul><div>{body}</div><div>(c) site</div></body>")
+    assert got == "Title " + "word " * 60 + "end. short"
+
+
+def test_ratios_drop_lists_of_links_within_an_article():
+    links = "".join(f'<li><a href="/{i}">other page {i}</a></li>' for i in range(12))
+    text = "<p>" + "word " * 80 + "end.</p><p>short</p>"
+    got = extract(f"<article>{text}<ul>{links}</ul></article>")
+    assert got == "word " * 80 + "end. short"
+    assert extract(f'<article>{text}<p><a href="/x">the source</a></p>{text}</article>').count("the source") == 1
+
+
+def test_hostile_pages_take_seconds():
+    began = time.time()
+    for part in ("<b>", "</i>", "<a ", "<!--", "<!-- >", "<p><b>", "<a x='", "</a ", "<![foo[bar]]>", "<", "<ul><li>", "<td>", "<li><b>"):
+        extract("<article>" + part * (300_000 // len(part)))
+    extract("<b>" * 20_000 + "</i>" * 20_000)
+    assert time.time() - began < 60
+
+
+def slow_content(lines):
+    """The described choice for pages with an article, number by number."""
+    heeded = 0 if any(x.region and x.skipped == 0 for x in lines) else 1 if any(x.skipped < 2 for x in lines) else 2
+    given = [0 if x.skipped > heeded else max(len(x.text) - x.linked, 0) / max(x.tags, 1) * (4 if x.region else 1) for x in lines]
+    smooth = []
+    for k in range(len(given)):
+        near = [(given[i], math.exp(-((i - k) ** 2) / 2)) for i in range(max(0, k - 3), min(len(given), k + 4))]
+        smooth.append(sum(v * w for v, w in near) / sum(w for _, w in near))
+    mean = sum(given) / len(given)
+    limit = min(math.sqrt(sum((v - mean) ** 2 for v in given) / len(given)), max(smooth))
+    high = [s >= limit - 1e-9 and v > 0 for s, v in zip(smooth, given)]
+    votes = {}
+    for x, s, h in zip(lines, smooth, high):
+        if h:
+            votes[x.region] = votes.get(x.region, 0) + s
+    chosen = {r for r, v in votes.items() if v >= 0.1 * max(votes.values())} - {0}
+    return [x.region in chosen and x.skipped <= heeded and (s >= limit - 1e-9 or x.linked < LINK_SHARE * len("".join(x.text.split()))) for x, s in zip(lines, smooth)]
+
+
+def test_ratios_against_brute_force(spark):
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    links = "".join(f'<li><a href="/{i}">other page {i}</a></li>' for i in range(9))
+    pages += [f"<p>teaser text</p><article><p>{'w ' * n}</p><ul>{links}</ul><p>{'v ' * 50}</p></article><article><p>x</p></article>" for n in (1, 9, 80, 400)]
+    dropped = 0
+    for html in pages:
+        lines = Lines().read(html)
+        want = slow_content(lines)
+        assert content_lines(lines) == want
+        dropped += any(x.region and not w and x.skipped == 0 for x, w in zip(lines, want))
+    assert dropped
+
+
+def test_ids_keep_their_type(spark):
+    rows = [("a", "u", "<article><p>a</p></article>"), (None, "u", "<p>b</p>")]
+    assert {(r.page_id, r.text) for r in extract_pages(spark.createDataFrame(rows, "page_id string, url string, html string")).collect()} == {("a", "a"), (None, "b")}
+    assert extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
