@@ -4,8 +4,8 @@ A page goes through the standard library's streaming parser. Block elements end
 text, the number of tags met in it, and the box (the innermost block element that holds other blocks) it stands in. The ratio of a line is
 its text outside of links per tag. Ratios are smoothed with a Gaussian kernel, and lines fall into two clusters at a threshold, the page's
 own deviation. The high cluster votes for regions: a region is an ``article`` or ``main`` element, or what lies outside of them. In an
-``article`` or ``main`` that is chosen all lines are content but for those of the low cluster that are mostly links. Outside of them content
-reaches from the first high line to the last, and over their neighbours in the same boxes, without low lines that are mostly links. What the
+``article`` or ``main`` that is chosen all lines are content but for runs of the low cluster that are mostly links. Outside of them content
+reaches from the first high line to the last, and over their neighbours in the same boxes, without such runs. What the
 markup itself marks as menu, header, footer, sidebar, notice, advert, form, script, style or reader comment has the ratio 0 and is never
 content. A class or id that only tells of a layout (has-sidebar) marks nothing. Where no article or main stands outside of what class and id
 mark, those inside of it are regions, but not within reader comments or links to other pages; where nothing at all stands outside, class and
@@ -24,6 +24,7 @@ from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from html import unescape
 from html.parser import HTMLParser
+from itertools import groupby
 from typing import NamedTuple
 
 import numpy as np
@@ -65,8 +66,8 @@ CONTENT = frozenset(["article", "main"])
 CONTENT_WEIGHT = 4
 #: A region is content from this share of the strongest region's votes.
 REGION_SHARE = 0.1
-#: From this share of link text on a line of the low cluster is a menu.
-LINK_SHARE = 0.5
+#: So many lines of the low cluster in a row, each with this share of link text, are a menu.
+MENU_LINES, LINK_SHARE = 3, 0.5
 
 
 class Line(NamedTuple):
@@ -247,7 +248,8 @@ def content_lines(lines: list[Line]) -> list[bool]:
         votes[lines[k].region] = votes.get(lines[k].region, 0.0) + smooth[k]
     least = REGION_SHARE * max(votes.values(), default=0.0)
     chosen = {region for region, vote in votes.items() if vote >= least}
-    fits = [x.skipped <= heeded and (near[k] or x.linked < LINK_SHARE * len("".join(x.text.split()))) for k, x in enumerate(lines)]
+    menus = _runs([not near[k] and x.linked >= LINK_SHARE * len("".join(x.text.split())) for k, x in enumerate(lines)], MENU_LINES)
+    fits = [x.skipped <= heeded and not menu for x, menu in zip(lines, menus, strict=True)]
     if chosen == {0} or not chosen:  # no element holds the content
         at = np.flatnonzero(high)
         if not len(at):
@@ -257,6 +259,15 @@ def content_lines(lines: list[Line]) -> list[bool]:
     return [x.region in chosen - {0} and f for x, f in zip(lines, fits, strict=True)]
 
 
+def _runs(flags: list[bool], least: int) -> list[bool]:
+    """The flags that are set in runs of at least so many."""
+    out: list[bool] = []
+    for flag, run in groupby(flags):
+        n = len(list(run))
+        out += [flag and n >= least] * n
+    return out
+
+
 def _reach(lines: list[Line], fits: list[bool], k: int, step: int) -> int:
     """How far content goes on from a high line: over lines in its box."""
     box = lines[k].box

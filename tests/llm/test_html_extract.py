@@ -118,7 +118,9 @@ def slow_content(lines):
         if h:
             votes[x.region] = votes.get(x.region, 0) + s
     chosen = {r for r, v in votes.items() if v >= 0.1 * max(votes.values())} - {0}
-    return [x.region in chosen and x.skipped <= heeded and (s >= limit - 1e-9 or x.linked < LINK_SHARE * len("".join(x.text.split()))) for x, s in zip(lines, smooth)]
+    links = [s < limit - 1e-9 and x.linked >= LINK_SHARE * len("".join(x.text.split())) for x, s in zip(lines, smooth)]
+    menu = [any(all(links[i : i + 3]) and len(links[i : i + 3]) == 3 for i in range(max(0, k - 2), k + 1)) for k in range(len(lines))]
+    return [x.region in chosen and x.skipped <= heeded and not m for x, m in zip(lines, menu)]
 
 
 def test_ratios_against_brute_force(spark):
