@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, written
 
 SHINGLE = 5
 #: Similarity as a fraction: 75 / 100.
@@ -50,7 +50,9 @@ _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 COLD, HOT, HOT_REFS, DOCS = range(4)
 _PACKED = "bucket long, block long, kind int, a binary, b binary, c binary"
-_SETS = "doc_id long, n_shingles long, s1 long, s2 long, tokens binary"
+_SETS = "doc_id long, text_hash long, n_shingles long, s1 long, s2 long, tokens binary"
+#: A class is named by its smallest doc_id and a part of its set's hash, as texts of one doc_id may differ.
+_CLASS = "struct<id:bigint,s1:bigint>"
 
 
 class Shingler:
@@ -89,14 +91,14 @@ class _Block:
         self.seen: dict[bytes, int] = {}
         self.shingles = 0
 
-    def add(self, doc_id: int, shingles: np.ndarray) -> None:
+    def add(self, doc_id: int, text_hash: int, shingles: np.ndarray) -> None:
         mark = xxhash.xxh3_128_digest(shingles.tobytes()) if len(shingles) else b"\0" * 16
         if len(shingles) and mark not in self.seen:
-            self.seen[mark] = len(self.ids)
+            self.seen[mark] = len(self.sizes)
             self.sets.append(shingles)
-            self.at.append(len(self.ids))
+            self.at.append(len(self.sizes))
             self.shingles += len(shingles)
-        self.ids.append(doc_id)
+        self.ids += doc_id, text_hash
         self.sizes.append(len(shingles))
         self.marks.append(mark)
 
@@ -143,9 +145,9 @@ def _pack(bits: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, block, number = Shingler(), _Block(), TaskContext.get().partitionId() << 32
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                block.add(doc_id, shingler(text.as_py()))
-                if block.shingles >= BLOCK_SHINGLES or len(block.ids) >= BLOCK_DOCS:
+            for doc_id, text_hash, text in zip(batch.column("doc_id").to_pylist(), batch.column("text_hash").to_pylist(), batch.column("text"), strict=True):
+                block.add(doc_id, text_hash, shingler(text.as_py()))
+                if block.shingles >= BLOCK_SHINGLES or len(block.sizes) >= BLOCK_DOCS:
                     yield out(list(block.rows(number, bits)))
                     block, number = _Block(), number + 1
         if block.ids:
@@ -185,7 +187,7 @@ def _sets_of_block(rows: pd.DataFrame) -> pd.DataFrame:
     def joined(kind: int, column: str, dtype: str) -> np.ndarray:
         return np.frombuffer(b"".join(rows[column][rows.kind == kind]), dtype)
 
-    ids, sizes = joined(DOCS, "a", "<i8"), joined(DOCS, "b", "<u4").astype(np.int64)
+    ids, sizes = joined(DOCS, "a", "<i8").reshape(-1, 2), joined(DOCS, "b", "<u4").astype(np.int64)
     marks = joined(DOCS, "c", "<i8").reshape(-1, 2)
     hot, hot_sets = joined(HOT, "a", "<u8"), joined(HOT, "c", "<u4")
     order = np.argsort(hot)
@@ -199,11 +201,11 @@ def _sets_of_block(rows: pd.DataFrame) -> pd.DataFrame:
     shared = np.diff(ends)
     reaches = (shared > 0) & (sizes - shared < prefix_length(sizes))
     blobs = [tokens[ends[k] : ends[k + 1]].tobytes() if reaches[k] else None for k in range(len(ids))]
-    return pd.DataFrame({"doc_id": ids, "n_shingles": sizes, "s1": marks[:, 0], "s2": marks[:, 1], "tokens": blobs})
+    return pd.DataFrame({"doc_id": ids[:, 0], "text_hash": ids[:, 1], "n_shingles": sizes, "s1": marks[:, 0], "s2": marks[:, 1], "tokens": blobs})
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """_SETS of docs, which have doc_id and text."""
+    """_SETS of docs, which have doc_id, text_hash and text."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = int(np.clip(np.ceil(np.log2(max(size / 7 / BUCKET_SHINGLES, 1))), *BUCKET_BITS))
     packed = docs.mapInArrow(_pack(bits), _PACKED)
@@ -278,7 +280,7 @@ class _Join:
 
     def __init__(self, classes: DataFrame, tables: Scratch):
         self.classes, self.tables, self.labels = classes, tables, None
-        prefixes = tables.keep(classes.mapInArrow(_prefixes, "rep long, n long, own long, prefix array<bigint>"))
+        prefixes = tables.keep(classes.mapInArrow(_prefixes, f"rep {_CLASS}, n long, own long, prefix array<bigint>"))
         grouped = prefixes.select("rep", "n", F.xxhash64("prefix").alias("k1"), F.xxhash64(F.lit(1), "prefix").alias("k2"))
         heads = grouped.groupBy("k1", "k2", "n").agg(F.min("rep").alias("gid"))
         self.members = tables.keep(grouped.join(heads, ["k1", "k2", "n"]).select("gid", "rep"))
@@ -297,7 +299,7 @@ class _Join:
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) of classes that are links."""
         side = lambda c: self.classes.select(F.col("rep").alias(c), F.col("n_shingles").alias(f"n{c}"), F.col("tokens").alias(f"t{c}"))
-        return pairs.join(side("a"), "a").join(side("b"), "b").where(_sizes_fit(F.col("na"), F.col("nb"))).mapInArrow(_linked, "a long, b long")
+        return pairs.join(side("a"), "a").join(side("b"), "b").where(_sizes_fit(F.col("na"), F.col("nb"))).mapInArrow(_linked, f"a {_CLASS}, b {_CLASS}")
 
     def connect(self, pairs: DataFrame) -> None:
         """Verifies the pairs and gives one label to what they link."""
@@ -361,7 +363,7 @@ class _Join:
 
 
 def components(classes: DataFrame, tables: Scratch) -> DataFrame:
-    """rep and label of those of the classes (rep, n_shingles, tokens) whose label is another class."""
+    """rep and label of those of the classes (rep, n_shingles, tokens) whose label, the smallest class they are connected with, is another one."""
     join = _Join(classes, tables)
     join.connect(join.stars())
     join.connect(join.stars())
@@ -369,20 +371,43 @@ def components(classes: DataFrame, tables: Scratch) -> DataFrame:
     return join.labels
 
 
-def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles and component_id of every row."""
+def _labelled(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """doc_id, text_hash, n_shingles and component (a class; null without words) of the rows that have a doc_id."""
     tables = Scratch(docs.sparkSession)
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    found = tables.keep(shingle_sets(rows.where(F.col("doc_id").isNotNull())))
-    classes = tables.keep(found.where("n_shingles > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n_shingles"), F.max("tokens").alias("tokens")))
-    sets = tables.keep(found.select("doc_id", "n_shingles", "s1", "s2"))
+    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
+    found = tables.keep(shingle_sets(rows.where(F.col("doc_id").isNotNull()).withColumn("text_hash", F.xxhash64("text"))))
+    by_set = found.where("n_shingles > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("id"), F.max("n_shingles").alias("n_shingles"), F.max("tokens").alias("tokens"))
+    classes = tables.keep(by_set.select("s1", "s2", F.struct("id", "s1").alias("rep"), "n_shingles", "tokens"))
+    sets = tables.keep(found.drop("tokens"))
     tables.drop(found)
     labels = components(classes.where(F.col("tokens").isNotNull()).select("rep", "n_shingles", "tokens"), tables)
-    by_set = tables.keep(classes.select("s1", "s2", "rep").join(labels, "rep", "left").select("s1", "s2", F.coalesce("label", "rep").alias("component_id")))
+    named = tables.keep(classes.select("s1", "s2", "rep").join(labels, "rep", "left").select("s1", "s2", F.coalesce("label", "rep").alias("component")))
     tables.drop(classes)
-    given = sets.join(by_set, ["s1", "s2"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-    nameless = rows.where(F.col("doc_id").isNull()).mapInArrow(_sizes_only, "doc_id long, n_shingles long, component_id long")
-    return given.unionByName(nameless)
+    return sets.join(named, ["s1", "s2"], "left").select("doc_id", "text_hash", "n_shingles", "component")
+
+
+def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_shingles and component_id of every row."""
+    given = _labelled(docs, doc_id, text).select("doc_id", "n_shingles", F.coalesce("component.id", "doc_id").alias("component_id"))
+    nameless = docs.where(F.col(f"`{doc_id}`").isNull()).select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
+    return given.unionByName(nameless.mapInArrow(_sizes_only, "doc_id long, n_shingles long, component_id long"))
+
+
+def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with one row of each component: the one with the smallest doc_id, of its texts the one with the smallest hash.
+
+    Rows without words stay, but for repeated ones; rows without doc_id stay all. Repeated rows are those of one doc_id and text.
+    """
+    found = written(_labelled(docs, doc_id, text))
+    row = F.struct("doc_id", "text_hash")
+    kept = found.where(F.col("component").isNotNull()).groupBy("component").agg(F.min(row).alias("kept"))
+    by_row = found.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n"), F.max("component").alias("component"))
+    judged = by_row.join(kept, "component", "left").withColumn("goes", F.coalesce(row != F.col("kept"), F.lit(False)))
+    odd = written(judged.where("goes or n > 1").select("doc_id", "text_hash", "goes"))
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.xxhash64(F.col(f"`{text}`").cast("string")).alias("text_hash"))
+    plain = whole.join(odd, ["doc_id", "text_hash"], "left_anti")
+    once = whole.join(odd.where("not goes"), ["doc_id", "text_hash"], "left_semi").dropDuplicates(["doc_id", "text_hash"])
+    return plain.unionByName(once).select("row.*")
 
 
 def _sizes_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -5,9 +5,9 @@ word in it is hashed to 128 bits; a window that occurs more than once in the cor
 and each later one goes: the positions that later occurrences cover are merged and the lines there are removed. Windows overlap, so a run
 of one line shrinks to its first line, and a line that a first and a later occurrence share goes.
 
-Null text stays null and texts of fewer than three lines have no windows. Rows with equal doc_id are told apart by their text; rows that
-are equal in both count as one document and are treated alike. A document all of whose lines go keeps its row, with empty text. An empty
-table gives an empty result, and further columns of the input pass through.
+Null text stays null and texts of fewer than three lines have no windows. Rows with equal doc_id, or none, are told apart by their text; rows
+that are equal in both count as one document and are treated alike. A document all of whose lines go keeps its row, with empty text. A text
+of any length is compared whole. An empty table gives an empty result, and further columns of the input pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,14 +18,15 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import written
+
 WINDOW = 3
 #: Stripped from the ends of a line.
 BLANKS = " \t\r\x0b\x0c"
-KEY = ["_doc", "_hash"]
 _REBUILT = T.StructType([T.StructField("text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])
 
 
@@ -46,17 +47,23 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 hashes.append(digest)
         halves = np.frombuffer(b"".join(hashes), "<i8").reshape(-1, 2)
         at = pa.array(rows, pa.int64())
-        columns = [batch.column("_doc").take(at), batch.column("_hash").take(at), pa.array(places, pa.int32()), pa.array(halves[:, 0]), pa.array(halves[:, 1])]
-        yield pa.RecordBatch.from_arrays(columns, names=[*KEY, "pos", "h1", "h2"])
+        columns = [batch.column("doc").take(at), batch.column("hash").take(at), pa.array(places, pa.int32()), pa.array(halves[:, 0]), pa.array(halves[:, 1])]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc", "hash", "pos", "h1", "h2"])
+
+
+def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """doc, hash, text, and the whole row."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    return docs.select(F.col(f"`{doc_id}`").alias("doc"), F.col(f"`{text}`").cast("string").alias("text"), row).withColumn("hash", F.xxhash64("text"))
 
 
 def repeated_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """_doc, _hash and pos of every occurrence of a window but its first."""
-    keyed = docs.select(F.col(doc_id).alias("_doc"), F.xxhash64(text).alias("_hash"), F.col(text).cast("string").alias("text"))
-    found = keyed.mapInArrow(_windows, f"_doc {dict(keyed.dtypes)['_doc']}, _hash long, pos int, h1 long, h2 long")
-    place = F.struct("_doc", "_hash", "pos")
+    """doc, hash (of the text) and pos of every occurrence of a window but its first."""
+    keyed = _keyed(docs, doc_id, text).select("doc", "hash", "text")
+    found = written(keyed.mapInArrow(_windows, f"doc {dict(keyed.dtypes)['doc']}, hash long, pos int, h1 long, h2 long"))  # read twice
+    place = F.struct("doc", "hash", "pos")
     firsts = found.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return found.join(firsts, ["h1", "h2"]).where(~place.eqNullSafe(F.col("first"))).select(*KEY, "pos")
+    return found.join(firsts, ["h1", "h2"]).where(~place.eqNullSafe(F.col("first"))).select("doc", "hash", "pos")
 
 
 @F.pandas_udf(_REBUILT)
@@ -75,11 +82,25 @@ def _rebuilt(text: pd.Series, starts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["text", "n_lines", "n_removed"])
 
 
+def _cut(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """row and new: the text that is left, with its numbers of lines before and of lines removed."""
+    covered = repeated_windows(docs, doc_id, text).groupBy("doc", "hash").agg(F.collect_set("pos").alias("at")).alias("c")
+    same = F.col("d.doc").eqNullSafe(F.col("c.doc")) & (F.col("d.hash") == F.col("c.hash"))
+    joined = _keyed(docs, doc_id, text).alias("d").join(covered, same, "left")
+    return joined.select("d.row", _rebuilt(F.col("d.text"), F.col("c.at")).alias("new"))
+
+
+def _columns(docs: DataFrame, text: str) -> list[Column]:
+    return [F.col("new.text").alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in docs.columns]
+
+
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with the lines of later occurrences removed from text, and the columns _n_lines and _n_removed."""
-    covered = repeated_windows(docs, doc_id, text).groupBy(*KEY).agg(F.collect_set("pos").alias("_at"))
-    keyed = docs.withColumns({"_doc": F.col(doc_id), "_hash": F.xxhash64(text)}).alias("d")
-    same = F.col("d._doc").eqNullSafe(F.col("c._doc")) & (F.col("d._hash") == F.col("c._hash"))
-    joined = keyed.join(covered.alias("c"), same, "left").withColumn("_new", _rebuilt(F.col(f"d.{text}"), F.col("c._at")))
-    kept = [F.col("_new.text").alias(c) if c == text else F.col(f"d.`{c}`") for c in docs.columns]
-    return joined.select(*kept, F.col("_new.n_lines").alias("_n_lines"), F.col("_new.n_removed").alias("_n_removed"))
+    """docs with the lines of later occurrences removed from text."""
+    return _cut(docs, doc_id, text).select(*_columns(docs, text))
+
+
+def count_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_lines: str = "n_lines", n_removed: str = "n_removed") -> DataFrame:
+    """As dedup_lines, with two more columns: how many lines the text had, and how many were removed."""
+    if {n_lines.lower(), n_removed.lower()} & {c.lower() for c in docs.columns}:
+        raise ValueError("docs has columns of these names; choose others")
+    return _cut(docs, doc_id, text).select(*_columns(docs, text), F.col("new.n_lines").alias(n_lines), F.col("new.n_removed").alias(n_removed))

@@ -5,8 +5,9 @@ whether it repeats the word before). Each indicator is scaled by its class log-c
 scaled indicators by dual coordinate descent. A part of the sample calibrates the margin to a probability.
 
 The model is fitted in one task on a sample of at most TRAIN_ROWS labelled rows; the weights, one number per hash bucket, are broadcast and
-score every document. Null text counts as empty. Equal texts get equal scores; without labelled rows of both classes every score is the
-share of label 1 (0.5 without any).
+score every document. Null text counts as empty, and a text of any length is scored whole. Equal texts get equal scores, whatever the doc_id;
+further columns pass through. Of labelled rows with one doc_id the first text in order is learnt from. Without labelled rows of both classes
+every score is the share of label 1 (0.5 without any); an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,8 +27,10 @@ FOLDS, FOLD = 3, 1
 #: Most labelled rows that a model is fitted on.
 TRAIN_ROWS = 12_000
 BUCKETS = 1 << 18
-#: Pseudo-count of the ratios, cost of a unit of hinge loss, passes over the sample, share of the plain mean weight.
-ALPHA, COST, PASSES, MEAN_SHARE = 1.0, 0.1, 8, 0.25
+#: Pseudo-count of the ratios, cost of a unit of hinge loss, share of the plain mean weight.
+ALPHA, COST, MEAN_SHARE = 1.0, 10.0, 0.25
+#: Passes over the sample end where no dual could gain more than this, or after so many.
+TOLERANCE, PASSES = 0.05, 12
 THRESHOLD = 0.5
 _CACHED = 300_000
 
@@ -75,21 +78,25 @@ def ratios(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     return np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
 
 
-def dual_coordinate_descent(rows: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, cost: float = COST, passes: int = PASSES, seed: int = 7) -> tuple[np.ndarray, float]:
-    """Weights and bias of the linear model with the least L2 norm plus hinge loss."""
+def dual_coordinate_descent(rows: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, cost: float = COST, passes: int = PASSES, tolerance: float = TOLERANCE, seed: int = 7) -> tuple[np.ndarray, float]:
+    """Weights and bias of the linear model with the least half squared norm (bias included) plus cost times hinge loss."""
     rng = np.random.default_rng(seed)
     w, bias, duals = np.zeros(BUCKETS), 0.0, np.zeros(len(rows))
     sign = np.where(y == 1, 1.0, -1.0)
     norms = np.array([v @ v + 1.0 for v in values])
     for _ in range(passes):
+        worst = 0.0
         for i in rng.permutation(len(rows)):
             slope = sign[i] * (w[rows[i]] @ values[i] + bias) - 1
             new = min(max(duals[i] - slope / norms[i], 0.0), cost)
             if new != duals[i]:
+                worst = max(worst, abs(slope))  # it isn't at a bound that the slope points out of
                 step = (new - duals[i]) * sign[i]
                 w[rows[i]] += step * values[i]
                 bias += step
                 duals[i] = new
+        if worst < tolerance:
+            break
     return w, bias
 
 
@@ -103,7 +110,7 @@ def fit(rows: list[np.ndarray], y: np.ndarray) -> tuple[np.ndarray, float, float
     unit = [r[row] / max(np.sqrt((r[row] ** 2).sum()), 1e-9) for row in rows]
     test = np.arange(len(rows)) % 5 == 0 if len(rows) >= 50 else np.zeros(len(rows), bool)
     train = np.flatnonzero(~test)
-    w, bias = dual_coordinate_descent([rows[i] for i in train], [unit[i] for i in train], y[train], cost=COST * 100)
+    w, bias = dual_coordinate_descent([rows[i] for i in train], [unit[i] for i in train], y[train])
     mean = np.abs(w).sum() / max((w != 0).sum(), 1)
     w = (1 - MEAN_SHARE) * w + MEAN_SHARE * mean * np.sign(w)
     used = np.flatnonzero(test) if test.any() and len(set(y[test].tolist())) == 2 else train
@@ -132,24 +139,26 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int
     return bytes(made.model)
 
 
-def _score(model) -> Callable:
+def _score(model, column: str, of: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers = np.frombuffer(model.value, "<f4").astype(np.float64)
         w, r, (bias, slope, level) = numbers[:BUCKETS], numbers[BUCKETS : 2 * BUCKETS], numbers[2 * BUCKETS :]
         product, squares, make = w * r, r * r, Features()
         for batch in batches:
             margins = np.empty(len(batch))
-            for k, text in enumerate(batch.column("text")):
+            for k, text in enumerate(batch.column(of)):
                 row = make(text.as_py() or "")
                 margins[k] = product[row].sum() / max(np.sqrt(squares[row].sum()), 1e-9) + bias
             score = sigmoid(slope * margins + level)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], names=[*batch.schema.names, "_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], names=[*batch.schema.names, column])
 
     return run
 
 
-def score(docs: DataFrame, model: bytes) -> DataFrame:
-    """docs with a column _score: the probability of label 1."""
+def score(docs: DataFrame, model: bytes, column: str = "score", text: str = "text") -> DataFrame:
+    """docs with one more column: the probability of label 1. docs must have no column of its name."""
+    if column.lower() in {c.lower() for c in docs.columns}:
+        raise ValueError(f"docs has a column {column}; choose another name")
     held = docs.sparkSession.sparkContext.broadcast(model)  # 2 * BUCKETS + 3 floats
     schema = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes)
-    return docs.mapInArrow(_score(held), f"{schema}, _score double")
+    return docs.mapInArrow(_score(held, column, text), f"{schema}, `{column}` double")

@@ -1,14 +1,12 @@
 """op4_line_dedup."""
 
-from pyspark.sql import functions as F
-
 from .common import read_table
-from .line_dedup import dedup_lines
+from .line_dedup import count_lines
 
 
 def op4_line_dedup(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    return dedup_lines(docs).select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), "text")
+    return count_lines(docs).select("doc_id", "n_lines", "n_removed", "text")
 
 
 SQL = """

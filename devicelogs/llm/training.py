@@ -12,13 +12,13 @@ from .common import held_out
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, fold: int, bound: int) -> DataFrame:
     """doc_id, text and label of at most ``bound`` labelled rows outside of the held-out fold, chosen by a hash of doc_id.
 
-    Rows without a label don't count; of several labels of a document the largest counts, of several rows one.
+    Rows without a label don't count; of several labels of a document the largest counts, of several texts the first in their order.
     """
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), folds, fold))
     known = known.groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)  # the bound holds for what is broadcast, too
     rows = docs.select(F.col("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return rows.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
+    return rows.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
 
 
 def logistic_fit(x: np.ndarray, y: np.ndarray, prior: np.ndarray, strength: np.ndarray, steps: int = 50) -> np.ndarray:

@@ -76,7 +76,7 @@ def test_frequent_shingles_travel_as_counts(monkeypatch):
     sets = [np.unique(rng.integers(0, 60, 20).astype(np.uint64) << np.uint64(58) | rng.integers(0, 2, 20).astype(np.uint64)) for _ in range(30)]
     blocks = [j._Block(), j._Block()]
     for k, s in enumerate(sets):
-        blocks[k % 2].add(k, s)
+        blocks[k % 2].add(k, 100 + k, s)
     rows = pd.DataFrame([r for n, b in enumerate(blocks) for r in b.rows(n, 6)], columns=["bucket", "block", "kind", "a", "b", "c"])
     assert {j.HOT, j.COLD} <= set(rows.kind)
     counted = pd.concat([j._count_bucket(g) for _, g in rows.groupby("bucket")])
@@ -97,8 +97,8 @@ def test_blocks_pass_the_buckets_apart(monkeypatch):
     keys = []
     for block in [k << 32 for k in range(200)] + [(3 << 32) + 1, (3 << 32) + 2]:
         made = j._Block()
-        made.add(1, np.arange(9, dtype=np.uint64))
-        made.add(2, np.arange(8, dtype=np.uint64))
+        made.add(1, 0, np.arange(9, dtype=np.uint64))
+        made.add(2, 0, np.arange(8, dtype=np.uint64))
         keys.append({r[0] for r in made.rows(block, 6) if r[2] in (j.DOCS, j.HOT_REFS)})
     assert all(len(k) == 1 for k in keys) and len(set().union(*keys)) == len(keys)
     assert not set().union(*keys) & set(range(1 << 6))
@@ -143,3 +143,18 @@ def test_many_buckets(spark, monkeypatch):
     monkeypatch.setattr(j, "shingle_sets", lambda rows: rows.mapInArrow(j._pack(30), j._PACKED).groupBy(F.expr("bucket % 7")).applyInPandas(lambda g: pd.concat([j._count_bucket(x) for _, x in g.groupby("bucket")]), "block long, kind int, a binary, b binary, c binary").groupBy("block").applyInPandas(j._sets_of_block, j._SETS))
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in j.jaccard_components(df).collect()}
     assert got == brute(docs)
+
+
+def test_rows_are_judged_by_their_texts(spark):
+    x, y, z = (" ".join(f"{c}{k}" for k in range(30)) for c in "xyz")
+    rows = [(3, x), (7, x), (7, y), (8, x + " more"), (8, z), (9, z), (9, z), (4, y + " end"), (4, y), (5, ""), (5, ""), (6, None), (None, x), (None, x)]
+    docs = spark.createDataFrame([(d, t, "r", d) for d, t in rows], "doc_id long, text string, row string, text_hash long")
+    got = {(r.doc_id, r.text, r.component_id) for r in docs.select("doc_id", "text").join(j.jaccard_components(docs), "doc_id").collect() if r.doc_id == 3}
+    assert got == {(3, x, 3)}
+    kept = j.drop_near_copies(docs)
+    assert kept.columns == docs.columns
+    rest = sorted(((r.doc_id or 0, r.text or "-") for r in kept.collect()))
+    of = lambda d: [t for i, t in rest if i == d]
+    assert of(3) == [x] and of(7) == [] and of(8) == [z] and of(9) == [] and len(of(4)) == 1 and of(5) == ["-"] and of(6) == ["-"] and of(0) == [x, x]
+    assert j.drop_near_copies(spark.createDataFrame([(3, x), (7, x), (7, "q w e r t y u")], "doc_id long, text string")).count() == 2
+    assert j.drop_near_copies(docs.limit(0)).count() == 0

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from devicelogs.llm import quality_classifier as q
 from devicelogs.llm.query_08 import op8_quality_classifier
@@ -14,6 +15,26 @@ def test_ratios_and_solver():
     assert q.fit([], np.zeros(0, int))[2] == 0 and q.fit(rows[:2], y[:2])[3] > 3
 
 
+def test_solver_reaches_the_least_loss():
+    rng = np.random.default_rng(4)
+    n, m, cost = 60, 12, 0.7
+    rows = [np.sort(rng.choice(m, 5, replace=False)) for _ in range(n)]
+    values = [rng.normal(size=5) for _ in rows]
+    y = np.array([int(v.sum() + rng.normal() > 0) for v in values])
+    w, b = q.dual_coordinate_descent(rows, values, y, cost, 4000, 1e-9)
+    x = np.zeros((n, m + 1))
+    for k, (r, v) in enumerate(zip(rows, values)):
+        x[k, r], x[k, m] = v, 1.0
+    sign = np.where(y == 1, 1.0, -1.0)
+    loss = lambda u: 0.5 * u @ u + cost * np.maximum(0, 1 - sign * (x @ u)).sum()
+    found, slow = np.concatenate([w[:m], [b]]), np.zeros(m + 1)
+    best = loss(slow)
+    for k in range(1, 60_000):  # sub-gradient steps on the loss itself
+        slow = slow - (slow - cost * (x * sign[:, None])[sign * (x @ slow) < 1].sum(0)) / k
+        best = min(best, loss(slow))
+    assert loss(found) <= best + 1e-6 and best - loss(found) < 0.01 * best
+
+
 def test_held_out_accuracy(spark):
     got = {r.doc_id: r for r in op8_quality_classifier(spark, "/root/testdata/sf0.01").collect()}
     labels = {r.doc_id: r.quality for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
@@ -27,7 +48,12 @@ def test_odd_rows(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, label string")
     labels = spark.createDataFrame([(1, 0), (2, 1), (2, None), (None, 1), (77, 1)], "doc_id long, quality int")
     got = q.score(docs, q.train(docs, labels)).collect()
-    assert len(got) == 5 and len({r._score for r in got if r.text == "same words"}) == 1
+    assert len(got) == 5 and len({r.score for r in got if r.text == "same words"}) == 1
     empty = q.score(docs.limit(0), q.train(docs.limit(0), labels.limit(0)))
     assert empty.count() == 0
-    assert {r._score for r in q.score(docs, q.train(docs, labels.limit(0))).collect()} == {0.5}
+    assert {r.score for r in q.score(docs, q.train(docs, labels.limit(0))).collect()} == {0.5}
+    with pytest.raises(ValueError):
+        q.score(docs, q.train(docs, labels), "label")
+    assert q.score(docs.withColumnRenamed("label", "_score"), q.train(docs, labels)).columns == ["doc_id", "text", "_score", "score"]
+    twice = [spark.createDataFrame(x, "doc_id long, text string") for x in ([(1, "a b"), (1, "c d"), (2, "e")], [(2, "e"), (1, "c d"), (1, "a b")])]
+    assert q.train(twice[0], labels) == q.train(twice[1], labels)
