@@ -1,7 +1,10 @@
 """From raw documents to packed sequences: quality rules, quality classifier, line dedup, near-duplicate removal, best-fit packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next stage's docs. All but
-the last return the columns of documents.
+the last return the columns of documents, and further columns of any name with them.
+
+Null text counts as empty text: the quality rules reject it. Rows without doc_id, and rows that share one, are judged by their texts. Repeated
+rows get equal results; near_duplicates keeps one of them. Texts of any length are read whole. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -9,8 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from devicelogs.llm.common import read_table, written
-from devicelogs.llm.jaccard_join import jaccard_components
+from devicelogs.llm.common import fresh, read_table, written
+from devicelogs.llm.jaccard_join import drop_near_copies
 from devicelogs.llm.line_dedup import dedup_lines
 from devicelogs.llm.packing import pack
 from devicelogs.llm.quality_classifier import THRESHOLD, score, train
@@ -25,23 +28,19 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is below the threshold go. The model learns from the labelled rows of the raw documents."""
     model = train(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
-    return score(docs, model).where(F.col("_score") >= THRESHOLD).drop("_score")
+    (name,) = fresh(docs.columns, "score")
+    return score(docs, model, name).where(F.col(name) >= THRESHOLD).drop(name)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later occurrences of repeated passages are cut from the texts, and n_chars follows; no document goes."""
-    cut = dedup_lines(docs).drop("_n_lines", "_n_removed")
+    cut = dedup_lines(docs)
     return cut.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else cut
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest doc_id stays; of repeated rows one. Documents without words or without doc_id stay."""
-    return docs.join(_representatives(docs), "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where(F.col("doc_id").isNull()))
-
-
-def _representatives(docs: DataFrame) -> DataFrame:
-    found = jaccard_components(docs.select("doc_id", "text"))
-    return found.where(F.col("doc_id") == F.col("component_id")).select("doc_id")
+    """Of each group of linked rows the one with the smallest doc_id stays; of repeated rows one. Rows without words or without doc_id stay."""
+    return drop_near_copies(docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
