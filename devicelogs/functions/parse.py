@@ -25,8 +25,9 @@ BATTERY = "BatteryProperties struct<ChargerAcOnline:boolean,ChargerUsbOnline:boo
 
 def parse_loglines(raw: DataFrame, line: str = "value") -> DataFrame:
     """The header fields, ts_us, and the line with its md5. Lines without a header are left out; see rejected."""
-    found = raw.where(F.col(line).rlike(HEADER))
-    columns = [F.regexp_extract(line, HEADER, k + 1).try_cast(kind).alias(name) for k, (name, kind) in enumerate(FIELDS)]
+    found = raw.where(F.col(line).rlike(HEADER)).withColumn("_parts", F.split(line, r"\s+", 13))  # the time has two parts
+    part = lambda k: F.concat_ws(" ", F.get("_parts", F.lit(6)), F.get("_parts", F.lit(7))) if k == 6 else F.get("_parts", F.lit(k + (k > 6)))
+    columns = [part(k).try_cast(kind).alias(name) for k, (name, kind) in enumerate(FIELDS)]
     more = [c for c in raw.columns if c != line]
     parsed = found.select(*columns, F.col(line).alias("line"), F.md5(line).alias("line_id"), *more)
     return parsed.withColumn("ts_us", F.unix_micros("ts"))
@@ -73,11 +74,11 @@ def extract_wakelocks(log: DataFrame) -> DataFrame:
 
 
 def extract_trace(log: DataFrame, tag: str, fields: dict[str, str], pattern: str = r"\b{tag}:\s*(.*)$", pair: str = r"(\w+)=(\S+)") -> DataFrame:
-    """Kernel-trace lines of a tag with its k=v fields, cast to the given types."""
+    """Kernel-trace lines of a tag with its k=v fields, cast to the given types; a field takes the place of a header column of its name."""
     body = F.regexp_extract("payload", pattern.format(tag=tag), 1)
     value = lambda k: F.regexp_extract(body, rf"\b{k}=(\S+)", 1)
     rows = log.where(F.col("payload").contains(f"{tag}:"))
-    return rows.select(*log.columns, *[F.when(value(k) != "", value(k)).try_cast(kind).alias(k) for k, kind in fields.items()])
+    return rows.select(*[c for c in log.columns if c not in fields], *[F.when(value(k) != "", value(k)).try_cast(kind).alias(k) for k, kind in fields.items()])
 
 
 def extract_pm(log: DataFrame) -> DataFrame:

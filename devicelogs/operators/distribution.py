@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .timeops import KEYS, interval_join, last, running
+from .timeops import KEYS, interval_join, last, running, total
 
 HOUR_US = 3_600_000_000
 PERIOD_US = 24 * HOUR_US
@@ -95,34 +95,29 @@ def curve_grid(spark, periods_s: list[int], top: int = 120, step: int = 5) -> Da
     return rows.select("curve", "temp_bucket", F.explode(F.array(*[F.lit(p) for p in periods_s])).alias("period_s"))
 
 
-def _later_counts(classed: DataFrame, periods_s: list[int], threshold: str, keys=KEYS) -> DataFrame:
-    """classed with, per period, how many later readings come in less than it, and how many of these are below the threshold temperature.
-
-    Frames reach into the next slice: readings are dealt to the slice before, too, within the longest period.
-    """
-    longest = max(periods_s) * 1_000_000
-    size = F.lit(max(longest, 86_400_000_000))
-    own = F.floor(F.col("ts_us") / size)
-    both = classed.withColumn("_slice", F.explode(F.array_distinct(F.array(own, F.floor((F.col("ts_us") - longest) / size)))))
-    slices = Window.partitionBy(*keys, "_slice").orderBy("ts_us")
-    columns = {}
-    for p in periods_s:
-        frame = slices.rangeBetween(1, p * 1_000_000 - 1)
-        columns[f"seen_{p}"] = F.count("temp").over(frame)
-        columns[f"below_{p}"] = F.coalesce(F.sum((F.col("temp") < F.col(threshold)).cast("long")).over(frame), F.lit(0))
-    return both.withColumns(columns).where(F.col("_slice") == own).drop("_slice")
-
-
-def curve_probabilities(classed: DataFrame, periods_s: list[int], threshold: str = "threshold_temp", keys=KEYS) -> DataFrame:
+def curve_probabilities(classed: DataFrame, periods_s: list[int], threshold: str = "threshold_temp", keys=KEYS, slices: Column | None = None) -> DataFrame:
     """curve, temp_bucket, period_s: seen later readings and those below the threshold temperature, summed over all readings.
 
-    A later reading has a later time; readings of one microsecond don't see each other.
+    A later reading has a later time and comes in less than the period; readings of one microsecond don't see each other. Readings are counted
+    once along the stream; each reading takes the count just before its periods' ends less the count at its own time. ``slices`` is a number
+    over _at.
     """
-    counted = _later_counts(classed, periods_s, threshold, keys)
-    bucket = (F.col("temp") - F.col("temp") % 5).alias("temp_bucket")
-    sums = counted.groupBy("curve", bucket).agg(*[F.sum(f"{k}_{p}").alias(f"{k}_{p}") for p in periods_s for k in ("seen", "below")])
-    rows = F.explode(F.array(*[F.struct(F.lit(p).alias("period_s"), F.col(f"seen_{p}").alias("seen"), F.col(f"below_{p}").alias("below")) for p in periods_s]))
-    return sums.select("curve", "temp_bucket", rows.alias("r")).select("curve", "temp_bucket", "r.*").where("seen > 0")
+    bucket = F.col("temp") - F.col("temp") % 5
+    looks = [F.struct(F.lit(p).alias("p"), (F.col("ts_us") + max(p * 1_000_000 - 1, 0)).alias("at")) for p in (-1, 0, *periods_s)]
+    rows = classed.select(*keys, "curve", bucket.alias("temp_bucket"), "ts_us", (F.col("temp") < F.col(threshold)).alias("_below"), F.explode(F.array(*looks)).alias("_l"))
+    is_reading = F.col("_l.p") < 0
+    weighed = rows.select(*keys, "curve", "temp_bucket", F.col("_l.p").alias("_p"), F.when(is_reading, F.col("ts_us")).otherwise(F.col("_l.at")).alias("_at"), (~is_reading).cast("int").alias("_side"), is_reading.cast("long").alias("_one"), (is_reading & F.col("_below")).cast("long").alias("_low"))
+    counted = running(weighed, {"_seen": total(F.col("_one")), "_under": total(F.coalesce("_low", F.lit(0)))}, keys, ("_at", "_side"), slices).where("_p >= 0")
+    sums = counted.groupBy("curve", "temp_bucket").agg(*[F.sum(F.when(F.col("_p") == p, F.col(c))).alias(f"{c}_{p}") for p in (0, *periods_s) for c in ("_seen", "_under")])
+    parts = [F.struct(F.lit(p).alias("period_s"), (F.col(f"_seen_{p}") - F.col("_seen_0")).alias("seen"), (F.col(f"_under_{p}") - F.col("_under_0")).alias("below")) for p in periods_s]
+    return sums.select("curve", "temp_bucket", F.explode(F.array(*parts)).alias("r")).select("curve", "temp_bucket", "r.*").where("seen > 0")
+
+
+def curve_map(classed: DataFrame, periods_s: list[int], top: int = 120, threshold: str = "threshold_temp", keys=KEYS, slices: Column | None = None) -> DataFrame:
+    """curve_probabilities on the whole grid: cells that no reading fell into have zeros, buckets from top on are left out."""
+    grid = curve_grid(classed.sparkSession, periods_s, top)
+    filled = grid.join(curve_probabilities(classed, periods_s, threshold, keys, slices), ["curve", "temp_bucket", "period_s"], "left")
+    return filled.select("curve", "temp_bucket", "period_s", F.coalesce("seen", F.lit(0)).alias("seen"), F.coalesce("below", F.lit(0)).alias("below"))
 
 
 def curve_accuracy(classed: DataFrame, periods_s: list[int], threshold: str = "threshold_temp", keys=KEYS) -> DataFrame:

@@ -48,6 +48,25 @@ def cpu_state(events: DataFrame, keys=KEYS, slices: Column | None = None, order=
     return running(events, specs, (*keys, "cpu"), order, slices)
 
 
+def cpu_snapshot(probes: DataFrame, events: DataFrame, at: str, since: str | None = None, keys=KEYS, time: str = "ts_us", slices: Column | None = None) -> DataFrame:
+    """probes with cpu, frequency and online: the state of every cpu of the probe's stream at a time, this time's events included.
+
+    probes with a column cpu get the state of this cpu alone. ``since`` names a time before which nothing is known. A cpu that no event has
+    named is left out. With a gap epoch among the keys, states don't reach over a gap.
+    """
+    named = events.where("cpu is not null")
+    if "cpu" not in probes.columns:
+        cpus = named.groupBy(*keys).agg(F.collect_set("cpu").alias("_cpus"))  # a device has few
+        probes = probes.join(cpus, [*keys]).withColumn("cpu", F.explode("_cpus")).drop("_cpus")
+    online = F.when(F.col("freq").isNotNull(), "online").when(F.col("error") == 0, F.col("hotplug")) if "hotplug" in events.columns else F.when(F.col("freq").isNotNull(), "online")
+    when = F.col(time)
+    states = named.select(*keys, "cpu", when.alias("_t"), F.when(F.col("freq").isNotNull(), F.struct(F.col("freq").alias("v"), when.alias("t"))).alias("_f"), F.when(online.isNotNull(), F.struct(online.alias("v"), when.alias("t"))).alias("_o"), F.struct(when.alias("t")).alias("_k"), F.lit(0).alias("_side"), F.lit(True).alias("_event"))
+    union = probes.withColumns({"_t": F.col(at), "_side": F.lit(1)}).unionByName(states, allowMissingColumns=True)
+    seen = running(union, {"_freq": last(F.col("_f")), "_online": last(F.col("_o")), "_known": last(F.col("_k"))}, (*keys, "cpu"), ("_t", "_side"), slices).where("_event is null and _known is not null")
+    value = lambda c: F.col(f"{c}.v") if since is None else F.when(F.col(f"{c}.t") >= F.col(since), F.col(f"{c}.v"))
+    return seen.select(*probes.columns, value("_freq").alias("frequency"), value("_online").alias("online"))
+
+
 def cpu_last_event(events: DataFrame, keys=KEYS, slices: Column | None = None, order=("token", "trace_time", "line_id")) -> DataFrame:
     """Per row the id of the cpu's latest frequency or state line so far; of a tie the state line."""
     seen = running(events, {"_f": last(F.when(F.col("freq").isNotNull(), F.struct("ts_us", "line_id"))), "_s": last(F.when(F.col("hotplug").isNotNull(), F.struct("ts_us", "line_id")))}, (*keys, "cpu"), order, slices)

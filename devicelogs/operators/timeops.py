@@ -12,7 +12,7 @@ import tempfile
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 KEYS = ("device_id", "boot_id")
@@ -67,6 +67,8 @@ def new_folder(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir, which driver and executors share; a local test session gets one of its own."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/logs-{uuid.uuid4().hex}"
@@ -84,16 +86,14 @@ def running(df: DataFrame, specs: dict[str, Spec], keys=KEYS, order=ORDER, slice
     order = [c for c in order if c in df.columns]
     keys = list(keys)
     if slices is None:
-        window = Window.partitionBy(*keys).orderBy(*order)
-        return df.select("*", *[_within(s, window).alias(name) for name, s in specs.items()])
+        return df.select("*", *[_within(s, keys, order).alias(name) for name, s in specs.items()])
     cut, place = written(df.withColumn("_slice", slices)), F.struct(*order)
-    inside = Window.partitionBy(*keys, "_slice").orderBy(*order)
-    across = Window.partitionBy(*keys).orderBy("_slice")
-    before, after = across.rowsBetween(Window.unboundedPreceding, -1), across.rowsBetween(1, Window.unboundedFollowing)
+    by_slice, up_to = Window.partitionBy(*keys), (Window.unboundedPreceding, -1)
+    before, after = by_slice.orderBy("_slice").rowsBetween(*up_to), by_slice.orderBy(F.desc("_slice")).rowsBetween(*up_to)
     within, edge, carried, merged = {}, [], {}, {}
     for name, s in specs.items():
         here, there = f"_in_{name}", f"_of_{name}"
-        within[here] = _within(s, inside)
+        within[here] = _within(s, [*keys, "_slice"], order)
         known = F.when(s.value.isNotNull(), place)
         if s.kind == "last":
             edge.append(F.max_by(s.value, known).alias(there))
@@ -103,7 +103,7 @@ def running(df: DataFrame, specs: dict[str, Spec], keys=KEYS, order=ORDER, slice
             carried[there] = F.first(there, True).over(before)
         elif s.kind == "next":
             edge.append(F.min_by(s.value, known).alias(there))
-            carried[there] = F.first(there, True).over(after)
+            carried[there] = F.last(there, True).over(after)
         else:
             edge.append(F.sum(s.value).alias(there))
             carried[there] = F.coalesce(F.sum(there).over(before), F.lit(0))
@@ -114,14 +114,14 @@ def running(df: DataFrame, specs: dict[str, Spec], keys=KEYS, order=ORDER, slice
     return joined.select(*df.columns, *[c.alias(n) for n, c in merged.items()])
 
 
-def _within(s: Spec, window: WindowSpec) -> Column:
-    back = window.rowsBetween(Window.unboundedPreceding, 0 if s.inclusive else -1)
-    if s.kind == "last":
+def _within(s: Spec, keys: list[str], order: list[str]) -> Column:
+    """Every frame reaches back from the row, in reverse order for what follows: Spark adds one row at a time to it."""
+    turned = [F.col(c).desc() for c in order] if s.kind == "next" else order
+    back = Window.partitionBy(*keys).orderBy(*turned).rowsBetween(Window.unboundedPreceding, 0 if s.inclusive else -1)
+    if s.kind in ("last", "next"):
         return F.last(s.value, True).over(back)
     if s.kind == "first":
         return F.first(s.value, True).over(back)
-    if s.kind == "next":
-        return F.first(s.value, True).over(window.rowsBetween(0 if s.inclusive else 1, Window.unboundedFollowing))
     return F.coalesce(F.sum(s.value).over(back), F.lit(0))
 
 

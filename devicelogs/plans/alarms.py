@@ -18,10 +18,11 @@ from ..operators.timeops import KEYS, first, following, interval_join, last, run
 SECOND = 1_000_000
 
 
-def closed_alarms(alarms: DataFrame, temps: DataFrame, start_tolerance_us: int | Column = 3 * SECOND, trigger_tolerance_us: int = 2 * SECOND, period_us: int = PERIOD_US, close_at: str = "window_end", keys=KEYS) -> DataFrame:
+def closed_alarms(alarms: DataFrame, temps: DataFrame, start_tolerance_us: int | Column = 3 * SECOND, trigger_tolerance_us: int = 2 * SECOND, period_us: int = PERIOD_US, close_at: str = "window_end", keys=KEYS, slices: Column | None = None) -> DataFrame:
     """Alarms with a window whose distribution is full at delivery and that a later reading closes, with start_ts, trigger_temp and close_us.
 
     They close at the first reading after the window's end, or (``close_at="first_reading"``) after delivery; readings behind that are unknown.
+    ``slices`` is a number over _t.
     """
     end = F.greatest("ts_us", "max_when_us") if close_at == "window_end" else F.col("ts_us")
     times = {"close": end, "start": F.col("when_rtc_us"), "trigger": F.col("when_rtc_us") + F.col("late_us")}
@@ -30,7 +31,7 @@ def closed_alarms(alarms: DataFrame, temps: DataFrame, start_tolerance_us: int |
     readings = temps.select(*keys, F.col("ts_us").alias("_t"), F.lit(0).alias("_side"), F.struct(F.col("ts_us").alias("t"), F.col("temp").alias("v")).alias("_p"))
     union = probes.unionByName(readings, allowMissingColumns=True)
     specs = {"_first": first(F.col("_p.t")), "_back": last(F.col("_p")), "_ahead": following(F.col("_p"))}
-    seen = running(union, specs, keys, ("_t", "_side")).where("_probe is not null")  # all look-ups in one shuffle
+    seen = running(union, specs, keys, ("_t", "_side"), slices).where("_probe is not null")  # all look-ups in one shuffle
     of = lambda what, c: F.max(F.when(F.col("_probe.what") == what, F.col(c)))
     found = [of(w, c).alias(f"_{w}{c}") for w in times for c in ("_t", "_first", "_back", "_ahead")]
     more = [c for c in alarms.columns if c not in (*keys, "alarm_key")]

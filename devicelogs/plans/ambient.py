@@ -5,11 +5,15 @@ Spark reduces the tables first and deals them out; a small sorted helper then wa
 
 from __future__ import annotations
 
+from collections import defaultdict, deque
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.states import ctx_periods
 from ..operators.timeops import KEYS, following, gap_epochs, interval_join, last, running, total
+from .sessions import _shares, temps_within, with_frequency
 
 SECOND = 1_000_000
 
@@ -56,51 +60,83 @@ def ambient_from_suspend(events: DataFrame, least_sleep_us: int = 1200 * SECOND,
 
 
 def _holds(tail_us: int):
+    """Pairs the locks of one epoch. A release belongs to the acquire of its lock, whoever calls it; the alarm goes the tail after the hold."""
+
     def holds(rows: pd.DataFrame) -> pd.DataFrame:
-        found, queue, open_locks, held = [], [], set(), None
+        found = []
+        queues: defaultdict[int, deque] = defaultdict(deque)  # alarms that wait, by pid
+        owner: dict[int, int] = {}  # pid that acquired an open lock
+        count: defaultdict[int, int] = defaultdict(int)
+        first: dict[int, int] = {}  # acquire that began a pid's hold
+        ended: list[tuple[int, int, int]] = []  # pid, acquire, release of holds whose tail runs
+
+        def serve(now: int) -> None:
+            while ended and now - ended[0][2] > tail_us:
+                pid, acquire, release = ended.pop(0)
+                if queues[pid]:
+                    alarm = queues[pid].popleft()
+                    found.append((rows.device_id.iloc[0], rows.boot_id.iloc[0], pid, alarm["alarm_key"], int(alarm["ts_us"]), acquire, release, release + tail_us))
+
         for r in rows.sort_values(["ts_us", "line_id"]).to_dict("records"):
+            now = int(r["ts_us"])
+            serve(now)
             if r["what"] == "alarm":
-                queue.append(r)
+                queues[int(r["pid"])].append(r)
             elif r["what"] == "acquire":
-                if held is None and queue:
-                    held = r
-                if held is not None:
-                    open_locks.add(r["lock"])
-            elif held is not None and r["lock"] in open_locks:
-                open_locks.discard(r["lock"])
-                if not open_locks:
-                    alarm = queue.pop(0)
-                    found.append((r["device_id"], r["boot_id"], int(r["pid"]), alarm["alarm_key"], int(alarm["ts_us"]), int(held["ts_us"]), int(r["ts_us"]), int(r["ts_us"]) + tail_us))
-                    held = None
+                pid = int(r["pid"])
+                if queues[pid]:
+                    owner[r["lock"]] = pid
+                    if count[pid] == 0:
+                        first[pid] = now
+                    count[pid] += 1
+            elif r["lock"] in owner:
+                pid = owner.pop(r["lock"])
+                count[pid] = max(count[pid] - 1, 0)
+                if count[pid] == 0 and pid in first:
+                    ended.append((pid, first.pop(pid), now))
+        serve(int(rows.last_us.max()))
         return pd.DataFrame(found, columns=["device_id", "boot_id", "pid", "alarm_key", "alarm_us", "acquire_us", "release_us", "until_us"])
 
     return holds
 
 
 def wakelock_holds(events: DataFrame, tail_us: int = 10 * SECOND, keys=KEYS, slices=None) -> DataFrame:
-    """Per process and alarm the hold from the first acquire until no lock is open, while unplugged with the screen off.
+    """Per process and alarm the hold from the first acquire until no lock of the process is open, while unplugged with the screen off.
 
     events: as for sessions, with what (alarm, acquire, release or null), pid, lock and alarm_key. A gap, charging and the screen turning on
-    clear all that waits; of waiting alarms the oldest is served.
+    clear all that waits. An alarm waits until the tail after its hold has passed; of waiting alarms the oldest is served.
     """
     counted = gap_epochs(events, keys, slices)
     resets = (F.col("charge") == "charging") | (F.col("screen") == "on")
     scope = (*keys, "gap_epoch")
     stated = running(counted, {"_charge": last(F.col("charge")), "_screen": last(F.col("screen")), "reset_id": total(F.coalesce(resets.cast("long"), F.lit(0)))}, scope, slices=slices)
+    epoch = [*scope, "reset_id"]
+    ends = stated.groupBy(*epoch).agg(F.max("ts_us").alias("last_us"))
     dark = (F.col("_charge") == "unplugged") & (F.col("_screen") == "off")
-    small = stated.where("what is not null").where((F.col("what") != "alarm") | dark)
-    small = small.select(*scope, "reset_id", "pid", "ts_us", "line_id", "what", "lock", "alarm_key")
-    waiting = small.where("what = 'alarm'").select(*scope, "reset_id", "pid").distinct()
-    of_alarms = small.join(waiting, [*scope, "reset_id", "pid"], "left_semi")
+    small = stated.where("what is not null").where((F.col("what") != "alarm") | dark).select(*epoch, "pid", "ts_us", "line_id", "what", "lock", "alarm_key")
+    waiting = small.where("what = 'alarm'").select(*epoch, "pid").distinct()
+    taken = small.where("what <> 'release'").join(waiting, [*epoch, "pid"], "left_semi")
+    released = small.where("what = 'release'").join(taken.where("what = 'acquire'").select(*epoch, "lock").distinct(), [*epoch, "lock"], "left_semi")
+    rows = taken.unionByName(released).join(ends, epoch)
     schema = "device_id string, boot_id string, pid long, alarm_key string, alarm_us long, acquire_us long, release_us long, until_us long"
-    return of_alarms.groupBy(*scope, "reset_id", "pid").applyInPandas(_holds(tail_us), schema)
+    return rows.groupBy(*epoch).applyInPandas(_holds(tail_us), schema)
 
 
-def alarm_wakelock_cpu(holds: DataFrame, ctx: DataFrame, bucket_us: int = 3600 * SECOND, keys=KEYS) -> DataFrame:
-    """Per hold and cpu the run time of the process from acquire to the tail; holds without a row of the process are left out."""
+def alarm_wakelock_cpu(holds: DataFrame, ctx: DataFrame, freq: DataFrame, temps: DataFrame | None = None, bucket_us: int = 3600 * SECOND, keys=KEYS) -> DataFrame:
+    """Per hold and row of its process (by tgid or pid) inside a period between acquire and tail: the row's share, the period's total and the
+    cpu's frequency at the period's end, which is unknown at the acquire; rows before the cpu's first frequency are left out, and so are
+    holds without a row. With temps, the temperatures of the hold."""
     spans = holds.withColumnRenamed("pid", "hold_pid")
-    rows = interval_join(spans, ctx, "acquire_us", "until_us", bucket_us, keys=keys, closed=True).where("pid = hold_pid")
-    return rows.groupBy(*keys, "alarm_key", "hold_pid", "cpu").agg(F.sum("rtime").alias("rtime"), F.first(F.col("release_us") - F.col("acquire_us")).alias("duration_us"))
+    scope = (*keys, "alarm_key", "acquire_us")
+    inside = interval_join(spans, ctx, "acquire_us", "until_us", bucket_us, keys=keys, closed=True)
+    rows = _shares(ctx_periods(inside, scope), scope)
+    matched = rows.where((F.col("tgid") == F.col("hold_pid")) | (F.col("pid") == F.col("hold_pid")))
+    known = with_frequency(matched, freq, "end_ts_us", "acquire_us", keys)
+    found = known.select(*scope, "hold_pid", "cpu", "period_id", "line_id", "period_total", "share", "frequency", (F.col("release_us") - F.col("acquire_us")).alias("duration_us"))
+    if temps is None:
+        return found
+    read = temps_within(spans.withColumn("_start", F.col("acquire_us")), temps, "_start", "until_us", ["alarm_key", "acquire_us"], bucket_us, keys, True)
+    return found.join(read, [*scope], "left")
 
 
 def mean_hold(holds: DataFrame) -> DataFrame:

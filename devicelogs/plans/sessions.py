@@ -5,11 +5,11 @@ events: device_id, boot_id, token, trace_time, line_id, ts_us, gap, pm (entry /
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.states import busyness, ctx_periods
-from ..operators.timeops import KEYS, asof_last, following, gap_epochs, interval_join, last, running
+from ..operators.states import busyness, cpu_snapshot, ctx_periods
+from ..operators.timeops import KEYS, following, gap_epochs, interval_join, last, running
 
 SECOND, HOUR = 1_000_000, 3_600_000_000
 
@@ -53,33 +53,63 @@ def suspend_cpu(sessions: DataFrame, alarms: DataFrame, ctx: DataFrame, freq: Da
     scope = (*keys, "session_id")
     periods = ctx_periods(inside, scope)
     busy = busyness(periods.withColumn("end_us", F.col("end_ts_us")), by=("period_id", "end_us"), keys=scope)
-    return busy if freq is None else with_frequency(busy, freq, "end_us", keys)
+    return busy if freq is None else with_frequency(busy, freq, "end_us", keys=keys)
 
 
-def with_frequency(rows: DataFrame, freq: DataFrame, at: str, keys=KEYS) -> DataFrame:
-    """rows with the frequency of their cpu at a time; rows whose cpu has none yet are left out."""
+def with_frequency(rows: DataFrame, freq: DataFrame, at: str, since: str | None = None, keys=KEYS) -> DataFrame:
+    """rows with the frequency of their cpu at a time; rows whose cpu has none yet (or none since a time) are left out."""
+    return cpu_snapshot(rows, freq, at, since, keys).where("frequency is not null").drop("online")
 
-    timed = rows.withColumn("_at", F.col(at))
-    found = asof_last(timed, freq.withColumn("_at", F.col("ts_us")), F.col("freq"), "frequency", (*keys, "cpu"), "_at")
-    return found.where("frequency is not null").drop("_at")
 
+def _shares(periods: DataFrame, scope: tuple) -> DataFrame:
+    """Info rows of periods with period_total and the row's share of it."""
+    whole = Window.partitionBy(*scope, "cpu", "period_id")
+    timed = periods.withColumn("period_total", F.sum("rtime").over(whole))
+    return timed.withColumn("share", F.try_divide(F.col("rtime"), F.col("period_total")))
 
-def alarm_cpu(sessions: DataFrame, alarms: DataFrame, ctx: DataFrame, within_us: int = 5 * SECOND, bucket_us: int = 2 * HOUR, keys=KEYS) -> DataFrame:
-    """Per alarm in a session's first microseconds and row of its process: the row's share of its period; last, how long the process ran on."""
+
+def temps_within(spans: DataFrame, temps: DataFrame, start: str, end: str, by: list[str], bucket_us: int = 2 * HOUR, keys=KEYS, closed: bool = False) -> DataFrame:
+    """Per span its readings as a list in time order."""
+    inside = interval_join(spans.select(*keys, *by, start, end), temps.select(*keys, "ts_us", "temp"), start, end, bucket_us, keys=keys, closed=closed)
+    return inside.groupBy(*keys, *by).agg(F.transform(F.sort_array(F.collect_list(F.struct("ts_us", "temp"))), lambda r: r["temp"]).alias("temps"))
+
+
+def alarm_cpu(sessions: DataFrame, alarms: DataFrame, ctx: DataFrame, freq: DataFrame, within_us: int = 5 * SECOND, bucket_us: int = 2 * HOUR, keys=KEYS) -> DataFrame:
+    """Per alarm in a session's first microseconds and row of its process (tgid): the row's share of its period, the period's total, the
+    cpu's frequency at the period's end, and how long after the alarm the row came. Rows whose cpu has no frequency yet are left out."""
     early = sessions_with_alarms(sessions, alarms, within_us, bucket_us, keys)
     chosen = sessions.join(early.select(*keys, "session_id").distinct(), [*keys, "session_id"], "left_semi")
     scope = (*keys, "session_id")
-    periods = ctx_periods(session_rows(chosen, ctx, bucket_us, keys), scope)
-    sums = periods.groupBy(*scope, "cpu", "period_id").agg(F.sum("rtime").alias("period_total"))
-    timed = periods.join(sums, [*scope, "cpu", "period_id"])
-    matched = timed.join(early.select(*scope, "alarm_key", "alarm_us", F.col("app_pid").alias("pid")), [*scope, "pid"])
-    share = F.try_divide(F.col("rtime"), F.col("period_total"))
-    return matched.select(*scope, "alarm_key", "cpu", "period_id", "line_id", "period_total", share.alias("share"), (F.col("ts_us") - F.col("alarm_us")).alias("after_us"))
-
-
-def alarm_durations(used: DataFrame, keys=KEYS) -> DataFrame:
-    """Per alarm the time from its delivery to the last row of its process."""
-    return used.groupBy(*keys, "session_id", "alarm_key").agg(F.max("after_us").alias("duration_us"), F.sum("share").alias("busy"))
+    rows = _shares(ctx_periods(session_rows(chosen, ctx, bucket_us, keys), scope), scope)
+    matched = rows.join(early.select(*scope, "alarm_key", "alarm_us", F.col("app_pid").alias("tgid")), [*scope, "tgid"])
+    known = with_frequency(matched, freq, "end_ts_us", keys=keys)
+    return known.select(*scope, "alarm_key", "cpu", "period_id", "line_id", "period_total", "share", "frequency", (F.col("ts_us") - F.col("alarm_us")).alias("after_us"))
+
+
+def alarm_durations(used: DataFrame, sessions: DataFrame | None = None, temps: DataFrame | None = None, bucket_us: int = 2 * HOUR, keys=KEYS) -> DataFrame:
+    """Per alarm the time from its delivery to the last row of its process, and the temperatures of its session if sessions and temps are given."""
+    sums = used.groupBy(*keys, "session_id", "alarm_key").agg(F.max("after_us").alias("duration_us"), F.sum("share").alias("busy"))
+    if sessions is None:
+        return sums
+    return sums.join(temps_within(sessions, temps, "wake_us", "sleep_us", ["session_id"], bucket_us, keys), [*keys, "session_id"], "left")
+
+
+def busyness_data(used: DataFrame, by=("device_id", "alarm_key")) -> DataFrame:
+    """Partial results: per alarm and cpu the lists of shares, period totals and frequencies, in the order of the rows, and the longest duration."""
+    rows = F.sort_array(F.collect_list(F.struct("line_id", "share", "period_total", "frequency")))
+    made = used.groupBy(*by, "cpu").agg(rows.alias("_r"), F.max("after_us").alias("duration_us"))
+    return made.select(*by, "cpu", F.col("_r.share").alias("busyness"), F.col("_r.period_total").alias("periods"), F.col("_r.frequency").alias("frequency"), "duration_us")
+
+
+def merge_results(*parts: DataFrame, by=("device_id", "cpu")) -> DataFrame:
+    """Partial results as one: lists under one key are appended part by part, durations add up."""
+    numbered = [p.select(*by, "busyness", "periods", "frequency", "duration_us", F.lit(k).alias("_part")) for k, p in enumerate(parts)]
+    union = numbered[0]
+    for p in numbered[1:]:
+        union = union.unionByName(p)
+    lists = F.sort_array(F.collect_list(F.struct("_part", "busyness", "periods", "frequency")))
+    merged = union.groupBy(*by).agg(lists.alias("_l"), F.sum("duration_us").alias("duration_us"))
+    return merged.select(*by, *[F.flatten(f"_l.{c}").alias(c) for c in ("busyness", "periods", "frequency")], "duration_us")
 
 
 def screen_off_cpu(events: DataFrame, keys=KEYS, slices: Column | None = None) -> DataFrame:

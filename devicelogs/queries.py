@@ -14,10 +14,13 @@ from .plans import ambient as M
 from .plans import daily as Y
 from .plans import quality as Q
 from .plans import sessions as W
+from .sources import logs as L
 from .sources.adapter import alarms_of, read_ctx, read_events
 from .streaming import jobs as R
 
 HOUR = 3_600_000_000
+#: (ts_us, line_id) isn't unique in the context-switch rows; these are, but for rows that are equal.
+_CTX_ORDER = ("ts_us", "line_id", "pid", "rtime", "bg_rtime")
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
@@ -31,7 +34,7 @@ gp AS (SELECT *, coalesce(token > lag(token) OVER (PARTITION BY device_id, boot_
 ep AS (SELECT *, (sum(gap::INT) OVER (PARTITION BY device_id, boot_id ORDER BY token))::BIGINT AS gap_epoch FROM gp)"""
 CTX = """ctx AS (SELECT (l_suppkey % 20)::VARCHAR AS device_id, year(l_shipdate)::VARCHAR AS boot_id, l_linenumber % 4 AS cpu, l_partkey AS pid, l_partkey % 5 = 0 AS swapper, l_quantity::BIGINT AS rtime,
   floor(l_quantity * l_discount)::BIGINT AS bg_rtime, epoch_us(l_shipdate) AS ts_us, l_orderkey * 10 + l_linenumber AS line_id FROM lineitem),
-kx AS (SELECT *, CASE WHEN line_id % 11 = 0 THEN 'begin' WHEN line_id % 7 = 0 THEN 'end' ELSE 'info' END AS kind, row_number() OVER (PARTITION BY device_id, boot_id, cpu ORDER BY ts_us, line_id) AS pos FROM ctx),
+kx AS (SELECT *, CASE WHEN line_id % 11 = 0 THEN 'begin' WHEN line_id % 7 = 0 THEN 'end' ELSE 'info' END AS kind, row_number() OVER (PARTITION BY device_id, boot_id, cpu ORDER BY ts_us, line_id, pid, rtime, bg_rtime) AS pos FROM ctx),
 pid0 AS (SELECT *, coalesce(sum((kind = 'end')::INT) OVER (PARTITION BY device_id, boot_id, cpu ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS period_id FROM kx),
 bd AS (SELECT device_id, boot_id, cpu, period_id, min(pos) FILTER (kind = 'begin') AS b, max(pos) FILTER (kind = 'end') AS e FROM pid0 GROUP BY ALL),
 pr AS (SELECT pid0.* FROM pid0 JOIN bd USING (device_id, boot_id, cpu, period_id) WHERE kind = 'info' AND b < e AND pos > b AND pos < e)"""
@@ -86,6 +89,12 @@ def gap_epochs(spark, sf_dir):
     return O.gap_epochs(read_events(spark, sf_dir)).select("event_id", "gap", "gap_epoch")
 
 
+@query(f"WITH {LOG} SELECT event_id, gap, gap_epoch FROM ep")
+def gap_epochs_in_slices(spark, sf_dir):
+    """As for boots that are too long for one task."""
+    return O.gap_epochs(read_events(spark, sf_dir), slices=O.token_slice(50)).select("event_id", "gap", "gap_epoch")
+
+
 def _lines(log: DataFrame) -> DataFrame:
     """Log text of the events; every third line occurs twice."""
     line = F.concat_ws(" ", "device_id", "boot_id", F.col("token").cast("string"), F.col("event_id").cast("string"), "tag")
@@ -156,9 +165,9 @@ _CPU = f"""{CTX}, cp AS (SELECT *, CASE WHEN line_id % 5 <> 0 THEN rtime * 1000
 
 
 @query(f"""WITH {_CPU} SELECT line_id, coalesce(last_value(freq IGNORE NULLS) OVER w, -1) AS freq_before, last_value(CASE WHEN freq IS NOT NULL THEN 'online' WHEN error = 0 THEN hotplug END IGNORE NULLS) OVER w AS online_before
-FROM cp WINDOW w AS (PARTITION BY device_id, boot_id, cpu ORDER BY ts_us, line_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
+FROM cp WINDOW w AS (PARTITION BY device_id, boot_id, cpu ORDER BY ts_us, line_id, pid, rtime, bg_rtime ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
 def cpu_state(spark, sf_dir):
-    return S.cpu_state(_cpu_events(spark, sf_dir), order=("ts_us", "line_id")).select("line_id", F.coalesce("freq_before", F.lit(-1)).alias("freq_before"), "online_before")
+    return S.cpu_state(_cpu_events(spark, sf_dir), order=_CTX_ORDER).select("line_id", F.coalesce("freq_before", F.lit(-1)).alias("freq_before"), "online_before")
 
 
 @query(f"""WITH {LOG}, f AS (SELECT *, CASE WHEN tag = 'click' THEN k % 3 END AS fg FROM log),
@@ -270,6 +279,15 @@ def curve_probabilities(spark, sf_dir):
     return D.curve_probabilities(_with_threshold(_classed(spark, sf_dir)), [3600, 14400, 43200])
 
 
+@query(f"""WITH {_CURVE}, {_THRESHOLD}, sn AS (SELECT a.curve, a.temp - a.temp % 5 AS temp_bucket, p AS period_s, count(*) AS seen, sum((b.temp < x)::INT)::BIGINT AS below
+FROM cv a JOIN cv b ON a.device_id = b.device_id AND a.boot_id = b.boot_id AND b.ts_us > a.ts_us JOIN th ON th.device_id = a.device_id AND th.boot_id = a.boot_id, (SELECT unnest([3600, 14400]) AS p)
+WHERE b.ts_us - a.ts_us < p * 1000000::BIGINT GROUP BY ALL)
+SELECT c.curve, g.temp_bucket, q.period_s, coalesce(seen, 0) AS seen, coalesce(below, 0) AS below FROM (SELECT unnest(['heating', 'cooling', 'unknown']) AS curve) c, (SELECT unnest(range(0, 120, 5))::INT AS temp_bucket) g, (SELECT unnest([3600, 14400]) AS period_s) q
+LEFT JOIN sn ON sn.curve = c.curve AND sn.temp_bucket = g.temp_bucket AND sn.period_s = q.period_s""")
+def curve_map(spark, sf_dir):
+    return D.curve_map(_with_threshold(_classed(spark, sf_dir)), [3600, 14400])
+
+
 @query(f"""WITH {_CURVE}, {_THRESHOLD}, f AS (SELECT device_id, boot_id, arg_min(temp, ts_us) AS t, arg_min(curve, ts_us) AS curve, min(ts_us) AS ts_us FROM cv WHERE curve <> 'unknown' GROUP BY ALL),
 s AS (SELECT f.device_id, f.boot_id, f.curve, f.t - f.t % 5 AS temp_bucket, p AS period_s, max((b.ts_us - f.ts_us < p * 1000000::BIGINT)::INT) AS seen, max((b.ts_us - f.ts_us < p * 1000000::BIGINT AND b.temp < x)::INT) AS below
   FROM f JOIN log b ON f.device_id = b.device_id AND f.boot_id = b.boot_id AND b.ts_us > f.ts_us AND b.ts_us < f.ts_us + 43200000000 JOIN th ON th.device_id = f.device_id AND th.boot_id = f.boot_id, (SELECT unnest([3600, 14400, 43200]) AS p) GROUP BY ALL)
@@ -310,6 +328,13 @@ def alarm_trigger_temp(spark, sf_dir):
     return found.select("device_id", "alarm_key", "trigger_temp")
 
 
+@query(f"WITH {LOG}, {_AL} SELECT device_id, alarm_key, trigger_temp FROM nr")
+def alarm_trigger_temp_in_slices(spark, sf_dir):
+    log = read_events(spark, sf_dir)
+    found = A.alarm_trigger_temp(alarms_of(log), log.select("device_id", "boot_id", "ts_us", "temp"), trigger_tolerance_us=_TRIGGER, slices=O.time_slice(column="_t"))
+    return found.select("device_id", "alarm_key", "trigger_temp")
+
+
 _EVALUATED = f"""{LOG}, {_AL}, {_INSIDE},
 big AS (SELECT alarm_key, count(*) AS cnt, sqrt(count(*)) AS root FROM ins GROUP BY alarm_key HAVING count(*) > 5),
 x AS (SELECT ins.*, (ins.ts_us - when_us) * 100.0::DOUBLE / (window_length_ms * 1000) AS pct, cnt, ceil(root) AS card FROM ins JOIN big USING (alarm_key) WHERE window_length_ms >= 3600000),
@@ -338,13 +363,13 @@ def algorithm_results(spark, sf_dir):
 
 @query(f"WITH {CTX} SELECT line_id, cpu, period_id FROM pr")
 def ctx_periods(spark, sf_dir):
-    return S.ctx_periods(read_ctx(spark, sf_dir)).select("line_id", "cpu", "period_id")
+    return S.ctx_periods(read_ctx(spark, sf_dir), order=_CTX_ORDER).select("line_id", "cpu", "period_id")
 
 
 def _busyness(kind: str, amount: str) -> None:
     @query(f"WITH {CTX} SELECT device_id, boot_id, cpu, period_id, sum(rtime)::BIGINT AS total_time, round(CASE WHEN sum(rtime) = 0 THEN 0 ELSE sum(CASE WHEN swapper THEN 0 ELSE {amount} END) / sum(rtime) END, 6) AS busyness FROM pr GROUP BY ALL", f"busyness_{kind}")
     def run(spark, sf_dir):
-        periods = S.ctx_periods(read_ctx(spark, sf_dir))
+        periods = S.ctx_periods(read_ctx(spark, sf_dir), order=_CTX_ORDER)
         return S.busyness(periods, kind).withColumn("busyness", F.round("busyness", 6))
 
 
@@ -368,7 +393,7 @@ def wake_sessions(spark, sf_dir):
 
 
 #: Events as context-switch periods of two cpus, for joins with sessions.
-_EC = """ec AS (SELECT device_id, boot_id, event_id * 10 + i AS line_id, ts_us + i * 1000000 AS ts_us, event_id % 2 AS cpu, (k + i) % 10 AS pid, (k + i) % 5 = 0 AS swapper, (temp + i)::BIGINT AS rtime,
+_EC = """ec AS (SELECT device_id, boot_id, event_id * 10 + i AS line_id, ts_us + i * 1000000 AS ts_us, event_id % 2 AS cpu, (k + i) % 10 AS tgid, (k + 3 * i) % 10 AS pid, (k + i) % 5 = 0 AS swapper, (temp + i)::BIGINT AS rtime,
   CASE i WHEN 0 THEN 'begin' WHEN 4 THEN 'end' ELSE 'info' END AS kind FROM log, (SELECT unnest(range(5)) AS i))"""
 _EP = f"""{_EC}, ei AS (SELECT ec.*, session_id FROM ss JOIN ec ON ec.device_id = ss.device_id AND ec.boot_id = ss.boot_id AND ec.ts_us >= wake_us AND ec.ts_us < sleep_us),
 eq AS (SELECT *, row_number() OVER w AS pos, coalesce(sum((kind = 'end')::INT) OVER (PARTITION BY device_id, boot_id, session_id, cpu ORDER BY ts_us, line_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS period_id FROM ei WINDOW w AS (PARTITION BY device_id, boot_id, session_id, cpu ORDER BY ts_us, line_id)),
@@ -381,26 +406,81 @@ def _event_ctx(log: DataFrame) -> DataFrame:
     """Each event as a context-switch period of three rows in the four seconds from it."""
     rows = log.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(4))))
     kind = F.when(F.col("i") == 0, "begin").when(F.col("i") == 4, "end").otherwise("info")
-    pid = (F.col("k") + F.col("i")) % 10
-    comm = F.when(pid % 5 == 0, "swapper/1").otherwise("app")
-    return rows.select("device_id", "boot_id", (F.col("event_id") * 10 + F.col("i")).alias("line_id"), (F.col("ts_us") + F.col("i") * 1_000_000).alias("ts_us"), (F.col("event_id") % 2).alias("cpu"), pid.alias("pid"), comm.alias("comm"), (F.col("temp") + F.col("i")).cast("long").alias("rtime"), F.lit(0).cast("long").alias("bg_rtime"), kind.alias("kind"))
+    tgid = (F.col("k") + F.col("i")) % 10
+    comm = F.when(tgid % 5 == 0, "swapper/1").otherwise("app")
+    return rows.select("device_id", "boot_id", (F.col("event_id") * 10 + F.col("i")).alias("line_id"), (F.col("ts_us") + F.col("i") * 1_000_000).alias("ts_us"), (F.col("event_id") % 2).alias("cpu"), tgid.alias("tgid"), ((F.col("k") + 3 * F.col("i")) % 10).alias("pid"), comm.alias("comm"), (F.col("temp") + F.col("i")).cast("long").alias("rtime"), F.lit(0).cast("long").alias("bg_rtime"), kind.alias("kind"))
 
 
 @query(f"""WITH {_SESSIONS}, {_EP}, bz AS (SELECT device_id, boot_id, session_id, cpu, period_id, end_us, sum(rtime)::BIGINT AS total_time, round(CASE WHEN sum(rtime) = 0 THEN 0 ELSE sum(CASE WHEN swapper THEN 0 ELSE rtime END) / sum(rtime) END, 6) AS busyness FROM er WHERE session_id IN (SELECT session_id FROM sa) GROUP BY ALL)
 SELECT session_id, bz.cpu, period_id, total_time, busyness, f.temp * 1000 AS frequency FROM bz ASOF JOIN (SELECT *, event_id % 2 AS cpu FROM log WHERE tag = 'view') f ON f.device_id = bz.device_id AND f.boot_id = bz.boot_id AND f.cpu = bz.cpu AND bz.end_us >= f.ts_us""")
 def suspend_cpu(spark, sf_dir):
     log = read_events(spark, sf_dir)
-    freq = log.where("tag = 'view'").select("device_id", "boot_id", "ts_us", (F.col("event_id") % 2).alias("cpu"), (F.col("temp") * 1000).alias("freq"))
-    found = W.suspend_cpu(O.written(_sessions(spark, sf_dir)), alarms_of(log), _event_ctx(log), freq, 24 * HOUR)
+    found = W.suspend_cpu(O.written(_sessions(spark, sf_dir)), alarms_of(log), _event_ctx(log), _freq(log), 24 * HOUR)
     return found.select("session_id", "cpu", "period_id", "total_time", F.round("busyness", 6).alias("busyness"), "frequency")
 
 
-@query(f"""WITH {_SESSIONS}, {_EP}, pt AS (SELECT session_id, cpu, period_id, sum(rtime)::BIGINT AS period_total FROM er GROUP BY ALL)
-SELECT er.session_id, alarm_key, er.cpu, period_id, line_id, period_total, round(CASE WHEN period_total <> 0 THEN rtime / period_total END, 6) AS share, ts_us - alarm_us AS after_us FROM er JOIN pt USING (session_id, cpu, period_id) JOIN sa ON sa.session_id = er.session_id AND sa.app_pid = er.pid WHERE alarm_us <= wake_us + {24 * HOUR}""")
+def _freq(log: DataFrame) -> DataFrame:
+    return log.where("tag = 'view'").select("device_id", "boot_id", "ts_us", (F.col("event_id") % 2).alias("cpu"), (F.col("temp") * 1000).alias("freq"))
+
+
+_FQ = "fq AS (SELECT device_id, boot_id, ts_us AS f_us, event_id % 2 AS cpu, temp * 1000 AS frequency FROM log WHERE tag = 'view')"
+_USED = f"""{_SESSIONS}, {_EP}, {_FQ}, pt AS (SELECT session_id, cpu, period_id, sum(rtime)::BIGINT AS period_total FROM er GROUP BY ALL),
+um AS (SELECT er.device_id, er.boot_id, er.session_id, alarm_key, er.cpu, period_id, line_id, period_total, end_us, CASE WHEN period_total <> 0 THEN rtime / period_total END AS share, ts_us - alarm_us AS after_us
+  FROM er JOIN pt USING (session_id, cpu, period_id) JOIN sa ON sa.session_id = er.session_id AND sa.app_pid = er.tgid WHERE alarm_us <= wake_us + {24 * HOUR}),
+us AS (SELECT um.*, frequency FROM um ASOF JOIN fq ON fq.device_id = um.device_id AND fq.boot_id = um.boot_id AND fq.cpu = um.cpu AND um.end_us >= fq.f_us)"""
+
+
+def _used(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    log, sessions = read_events(spark, sf_dir), O.written(_sessions(spark, sf_dir))
+    return log, sessions, W.alarm_cpu(sessions, alarms_of(log), _event_ctx(log), _freq(log), 24 * HOUR, 24 * HOUR)
+
+
+@query(f"WITH {_USED} SELECT session_id, alarm_key, cpu, period_id, line_id, period_total, round(share, 6) AS share, frequency, after_us FROM us")
 def alarm_cpu(spark, sf_dir):
+    found = _used(spark, sf_dir)[2]
+    return found.select("session_id", "alarm_key", "cpu", "period_id", "line_id", "period_total", F.round("share", 6).alias("share"), "frequency", "after_us")
+
+
+@query(f"""WITH {_USED}, tp AS (SELECT session_id, count(*) AS readings, sum(l.temp)::BIGINT AS sum_temp FROM ss JOIN log l ON l.device_id = ss.device_id AND l.boot_id = ss.boot_id AND l.ts_us >= wake_us AND l.ts_us < sleep_us GROUP BY ALL)
+SELECT us.session_id, alarm_key, max(after_us) AS duration_us, round(sum(share), 6) AS busy, any_value(readings) AS readings, any_value(sum_temp) AS sum_temp FROM us JOIN tp ON tp.session_id = us.session_id GROUP BY ALL""")
+def alarm_durations(spark, sf_dir):
+    log, sessions, used = _used(spark, sf_dir)
+    found = W.alarm_durations(used, sessions, log, 24 * HOUR)
+    return found.select("session_id", "alarm_key", "duration_us", F.round("busy", 6).alias("busy"), F.size("temps").cast("long").alias("readings"), F.aggregate("temps", F.lit(0).cast("long"), lambda a, x: a + x).alias("sum_temp"))
+
+
+@query(f"""WITH {_USED}, pa AS (SELECT device_id, session_id, alarm_key, cpu, count(*) AS n, sum(period_total)::BIGINT AS periods, sum(frequency)::BIGINT AS frequencies, max(after_us) AS duration_us FROM us GROUP BY ALL)
+SELECT device_id, cpu, sum(n)::BIGINT AS n, sum(periods)::BIGINT AS periods, sum(frequencies)::BIGINT AS frequencies, sum(duration_us)::BIGINT AS duration_us FROM pa GROUP BY ALL""")
+def merged_results(spark, sf_dir):
+    used = O.written(_used(spark, sf_dir)[2])
+    parts = [W.busyness_data(used.where(F.col("session_id") % 2 == k), ("device_id", "session_id", "alarm_key")) for k in (0, 1)]
+    add = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
+    return W.merge_results(*parts).select("device_id", "cpu", F.size("busyness").cast("long").alias("n"), add("periods").alias("periods"), add("frequency").alias("frequencies"), "duration_us")
+
+
+@query(f"""WITH {LOG}, ce AS (SELECT *, event_id % 2 AS cpu, CASE WHEN tag = 'view' THEN temp * 1000 END AS freq, CASE WHEN tag = 'signup' THEN CASE WHEN k % 2 = 0 THEN 'online' ELSE 'offline' END END AS hotplug, k // 2 % 2 AS err FROM log WHERE tag IN ('view', 'signup'))
+SELECT p.event_id, ce.cpu, coalesce(arg_max(freq, ce.ts_us) FILTER (freq IS NOT NULL), -1) AS frequency, coalesce(arg_max(CASE WHEN freq IS NOT NULL THEN 'online' ELSE hotplug END, ce.ts_us) FILTER (freq IS NOT NULL OR err = 0), 'unknown') AS online
+FROM log p JOIN ce ON ce.device_id = p.device_id AND ce.boot_id = p.boot_id AND ce.ts_us <= p.ts_us WHERE p.tag = 'error' GROUP BY ALL""")
+def cpu_snapshot(spark, sf_dir):
+    log = read_events(spark, sf_dir)
+    plug = F.col("tag") == "signup"
+    events = log.where(F.col("tag").isin("view", "signup")).withColumns({"cpu": F.col("event_id") % 2, "freq": F.when(~plug, F.col("temp") * 1000), "hotplug": F.when(plug, F.when(F.col("k") % 2 == 0, "online").otherwise("offline")), "error": F.when(plug, F.floor(F.col("k") / 2) % 2)})
+    seen = S.cpu_snapshot(log.where("tag = 'error'").select("device_id", "boot_id", "event_id", "ts_us"), events, "ts_us")
+    return seen.select("event_id", "cpu", F.coalesce("frequency", F.lit(-1)).alias("frequency"), F.coalesce("online", F.lit("unknown")).alias("online"))
+
+
+@query(f"""WITH {_SESSIONS}, {_EC}, {_FQ}, hi AS (SELECT ec.*, session_id, wake_us, sleep_us FROM ss JOIN ec ON ec.device_id = ss.device_id AND ec.boot_id = ss.boot_id AND ec.ts_us BETWEEN wake_us AND sleep_us),
+hq AS (SELECT *, row_number() OVER w AS pos, coalesce(sum((kind = 'end')::INT) OVER (PARTITION BY session_id, cpu ORDER BY ts_us, line_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS period_id FROM hi WINDOW w AS (PARTITION BY session_id, cpu ORDER BY ts_us, line_id)),
+hb AS (SELECT session_id, cpu, period_id, min(pos) FILTER (kind = 'begin') AS b, max(pos) FILTER (kind = 'end') AS e, max(ts_us) FILTER (kind = 'end') AS end_us FROM hq GROUP BY ALL),
+hr AS (SELECT hq.*, end_us FROM hq JOIN hb USING (session_id, cpu, period_id) WHERE kind = 'info' AND b < e AND pos > b AND pos < e),
+ht AS (SELECT session_id, cpu, period_id, sum(rtime)::BIGINT AS period_total FROM hr GROUP BY ALL),
+hm AS (SELECT hr.*, period_total, CASE WHEN period_total <> 0 THEN rtime / period_total END AS share FROM hr JOIN ht USING (session_id, cpu, period_id) WHERE tgid = session_id % 10 OR pid = session_id % 10)
+SELECT session_id, hm.cpu, period_id, line_id, period_total, round(share, 6) AS share, frequency, sleep_us - wake_us AS duration_us FROM hm ASOF JOIN fq ON fq.device_id = hm.device_id AND fq.boot_id = hm.boot_id AND fq.cpu = hm.cpu AND hm.end_us >= fq.f_us WHERE f_us >= wake_us""")
+def hold_cpu(spark, sf_dir):
     log = read_events(spark, sf_dir)
-    found = W.alarm_cpu(O.written(_sessions(spark, sf_dir)), alarms_of(log), _event_ctx(log), 24 * HOUR, 24 * HOUR)
-    return found.select("session_id", "alarm_key", "cpu", "period_id", "line_id", "period_total", F.round("share", 6).alias("share"), "after_us")
+    spans = O.written(_sessions(spark, sf_dir)).select("device_id", "boot_id", (F.col("session_id") % 10).alias("pid"), F.col("session_id").alias("alarm_key"), F.col("wake_us").alias("acquire_us"), F.col("sleep_us").alias("release_us"), F.col("sleep_us").alias("until_us"))
+    found = M.alarm_wakelock_cpu(spans, _event_ctx(log), _freq(log), None, 24 * HOUR)
+    return found.select(F.col("alarm_key").alias("session_id"), "cpu", "period_id", "line_id", "period_total", F.round("share", 6).alias("share"), "frequency", "duration_us")
 
 
 _DARK = f"""{LOG}, cq AS (SELECT *, CASE WHEN tag IN ('click', 'signup') THEN event_id % 2 END AS cpu, CASE WHEN tag = 'click' THEN k END AS freq, CASE WHEN tag = 'signup' AND k % 4 = 0 THEN 'offline' END AS hotplug, k % 2 AS error FROM ep),
@@ -448,8 +528,15 @@ def wakelock_holds(spark, sf_dir):
 
 @query()
 def alarm_wakelock_cpu(spark, sf_dir):
-    ctx = _event_ctx(read_events(spark, sf_dir)).withColumn("pid", F.col("pid") % 2)
-    return M.alarm_wakelock_cpu(M.wakelock_holds(_lock_events(spark, sf_dir), 3600_000_000), ctx, 6 * HOUR)
+    log = read_events(spark, sf_dir)
+    ctx = _event_ctx(log).withColumns({"pid": F.col("pid") % 2, "tgid": F.col("tgid") % 2})
+    found = M.alarm_wakelock_cpu(O.written(M.wakelock_holds(_lock_events(spark, sf_dir), 3600_000_000)), ctx, _freq(log), log, 6 * HOUR)
+    return found.withColumn("readings", F.size("temps")).drop("temps")
+
+
+@query()
+def mean_hold(spark, sf_dir):
+    return M.mean_hold(M.wakelock_holds(_lock_events(spark, sf_dir), 3600_000_000))
 
 
 def _text_lines(log: DataFrame) -> DataFrame:
@@ -489,25 +576,124 @@ def parse_thermal(spark, sf_dir):
     return found.select("device_id", "boot_id", "token", "sensor", "temp")
 
 
+#: Payloads of the further kinds of lines, by k % 9, with the arguments of their formats.
+_KINDS = [
+    ("cpu_frequency: state=%d cpu_id=%d", "temp", "k"), ("sched_cpu_hotplug: cpu %d state=offline error=%d", "k", "temp"), ("phonelab_periodic_ctx_switch_marker: BEGIN cpu=%d count=%d", "k", "temp"),
+    ("phonelab_periodic_ctx_switch_info: cpu=%d pid=%d tgid=7 rtime=9 comm=app", "k", "temp"), ("phonelab_proc_foreground: pid=%d tgid=%d comm=app", "k", "temp"),
+    ('{"func":"acquireWakeLockInternal","lock":%d,"tag":"t","flags":1,"pid":%d,"uid":3}', "k", "temp"), ('{"func":"releaseWakeLockInternal","lock":%d,"tag":"t","flags":0,"pid":%d}', "k", "temp"),
+    ('{"BatteryProperties":{"ChargerAcOnline":false,"ChargerUsbOnline":true,"ChargerWirelessOnline":false,"k":%d,"t":%d}}', "k", "temp"), ("healthd: battery l=%d v=%d chg=", "k", "temp"),
+]
+
+
+def _kind_lines(spark, sf_dir) -> DataFrame:
+    """The events as parsed log lines of the further kinds."""
+    log, payload = read_events(spark, sf_dir), F.lit(None).cast("string")
+    for k, (form, *names) in enumerate(_KINDS):
+        payload = F.when(F.col("k") % 9 == k, F.format_string(form, *names)).otherwise(payload)
+    header = F.format_string("%s 1 1.5 %s %d %s 2024-01-01 00:00:00.5 9 8 D Tag ", "device_id", "boot_id", F.col("token"), F.col("trace_time").cast("decimal(20,6)").cast("string"))
+    return P.parse_loglines(log.select(F.concat(header, payload).alias("value")))
+
+
+def _parsed(name: str, k: int, columns: dict[str, str], read) -> None:
+    """A query of one kind of line: the columns that the parser finds, and what they are in SQL."""
+
+    @query(f"WITH {LOG} SELECT device_id, boot_id, token, {', '.join(f'{v} AS {c}' for c, v in columns.items())} FROM log WHERE k % 9 = {k}", name)
+    def run(spark, sf_dir):
+        return read(_kind_lines(spark, sf_dir)).select("device_id", "boot_id", "token", *columns)
+
+
+_trace = lambda tag, **fields: lambda log: P.extract_trace(log, tag, fields)
+_parsed("parse_cpu_frequency", 0, {"state": "temp", "cpu_id": "k"}, _trace("cpu_frequency", state="int", cpu_id="int"))
+_parsed("parse_hotplug", 1, {"state": "'offline'", "error": "temp"}, _trace("sched_cpu_hotplug", state="string", error="int"))
+_parsed("parse_ctx_marker", 2, {"cpu": "k", "count": "temp"}, _trace("phonelab_periodic_ctx_switch_marker", cpu="int", count="int"))
+_parsed("parse_ctx_info", 3, {"cpu": "k", "pid": "temp", "tgid": "7", "rtime": "9::BIGINT", "comm": "'app'"}, _trace("phonelab_periodic_ctx_switch_info", cpu="int", pid="int", tgid="int", rtime="long", comm="string"))
+_parsed("parse_foreground", 4, {"pid": "k", "tgid": "temp"}, _trace("phonelab_proc_foreground", pid="int", tgid="int"))
+_parsed("parse_acquire", 5, {"lock": "k::BIGINT", "lock_pid": "temp", "uid": "3", "kind": "'acquire'"}, lambda log: P.extract_wakelocks(log).where("kind = 'acquire'"))
+_parsed("parse_release", 6, {"lock": "k::BIGINT", "lock_pid": "temp", "kind": "'release'"}, lambda log: P.extract_wakelocks(log).where("kind = 'release'"))
+_parsed("parse_battery", 7, {"ac": "false", "usb": "true", "wireless": "false"}, P.extract_battery)
+_parsed("parse_healthd", 8, {"chg": "''"}, P.extract_healthd)
+
+
+@query(f"WITH {LOG} SELECT token, device_id, boot_id, 'u' || event_id::VARCHAR AS uuid, md5('x') IS NOT NULL AS has_key FROM log WHERE tag = 'click'")
+def parse_alarms_without_prefix(spark, sf_dir):
+    """Lines whose payload doesn't begin with the marker."""
+    raw = _text_lines(read_events(spark, sf_dir)).withColumn("value", F.regexp_replace("value", r'"func":"AlarmManagerService->deliverAlarmsLocked\(\)"', '"func":"other"'))
+    log = P.parse_loglines(raw)
+    found = P.extract_alarms(log, require_prefix=False)
+    return found.select("token", "device_id", "boot_id", "uuid", (F.length("alarm_key") == 32).alias("has_key"))
+
+
+# Sources and sinks
+
+
+@query(f"WITH {LOG} SELECT device_id, boot_id, token, tag || ':' AS tag FROM log WHERE device_id IN ('3', '7', '11')")
+def read_raw_files(spark, sf_dir):
+    path = f"{O.new_folder(spark)}/raw"
+    _text_lines(read_events(spark, sf_dir)).write.option("compression", "gzip").text(path)
+    return P.parse_loglines(L.read_raw(spark, path, "*.gz", ["3", "7", "11"])).select("device_id", "boot_id", "token", "tag")
+
+
+def _stitched(spark, sf_dir) -> str:
+    """A stitched log in two steps; a third of the lines come in both."""
+    path = f"{O.new_folder(spark)}/log"
+    rows = _lines(read_events(spark, sf_dir)).drop("copy")
+    part = lambda keep, file: rows.where(keep).withColumn("file", F.lit(file))
+    one = part(F.col("event_id") % 3 < 2, "a")
+    taken = O.written(L.stitch_incrementally(one, None, path, lambda df: df.drop("file")))
+    L.stitch_incrementally(one.unionByName(part(F.col("event_id") % 3 > 0, "b")), taken, path, lambda df: df.drop("file"))
+    return path
+
+
+def _as_text(log: DataFrame) -> DataFrame:
+    """Partition columns are read as numbers where they look like such."""
+    return log.withColumns({c: F.col(c).cast("string") for c in ("device_id", "boot_id")})
+
+
+@query(f"WITH {LOG} SELECT device_id, boot_id, token, event_id FROM log")
+def stitch_in_steps(spark, sf_dir):
+    return _as_text(L.read_loglines(spark, _stitched(spark, sf_dir))).select("device_id", "boot_id", "token", "event_id")
+
+
+@query(f"WITH {LOG} SELECT device_id, boot_id, event_id FROM log WHERE device_id IN ('2', '5') AND boot_id LIKE '%-1' AND ts >= '2024-01-12' AND ts < '2024-01-16'")
+def read_selection(spark, sf_dir):
+    log = L.read_loglines(spark, _stitched(spark, sf_dir), ["2", "5"], ["2-1", "5-1"])
+    return _as_text(L.in_daterange(log, "20240112-20240115")).select("device_id", "boot_id", "event_id")
+
+
+@query(f"WITH {LOG} SELECT device_id, boot_id, min(ts_us) * 1000 AS start_ns, max(ts_us) * 1000 AS end_ns, count(*) AS lines FROM log GROUP BY ALL")
+def manifest(spark, sf_dir):
+    files = _as_text(L.build_manifest(spark, _stitched(spark, sf_dir)))
+    return files.groupBy("device_id", "boot_id").agg(F.min("start_ns").alias("start_ns"), F.max("end_ns").alias("end_ns"), F.sum("lines").alias("lines"))
+
+
+@query(f"WITH {_LINES} SELECT event_id, copy FROM ln WHERE contains(line, ' 1') OR contains(line, 'click') OR regexp_matches(line, 'vi.w$')")
+def line_filter(spark, sf_dir):
+    return L.line_filter(_lines(read_events(spark, sf_dir)), [" 1", "click"], ["vi.w$"]).select("event_id", "copy")
+
+
+@query(f"WITH {LOG} SELECT device_id, tag, count(*) AS n FROM log GROUP BY ALL")
+def write_result(spark, sf_dir):
+    path = O.new_folder(spark)
+    L.write_result(Q.tag_count(read_events(spark, sf_dir)).groupBy("device_id", "tag").agg(F.sum("n").alias("n")), path, "tags")
+    return spark.read.json(f"{path}/analysis/tags").select(F.col("device_id").cast("string").alias("device_id"), "tag", "n")
+
+
+@query(f"WITH {LOG} SELECT event_id FROM log WHERE temp > 30 AND tag <> 'view' AND k % 2 = 1")
+def apply_predicates(spark, sf_dir):
+    return S.apply_predicates(read_events(spark, sf_dir), F.col("temp") > 30, F.col("tag") != "view", F.col("k") % 2 == 1).select("event_id")
+
+
 @query(f"WITH {LOG}, {_ranked(_DAYS, '[0, 1, 2, 3, 4, 5]')} SELECT device_id, probe_id AS day, count(*) AS n, min(percentile_temp) AS low, max(percentile_temp) AS high FROM pc GROUP BY ALL")
 def ambient_collected(spark, sf_dir):
     temps = Y.ambient_collected(Y.ambient_from_distribution(read_events(spark, sf_dir)))
     return temps.select("device_id", "day", F.size("temps").cast("long").alias("n"), F.array_min("temps").alias("low"), F.array_max("temps").alias("high"))
 
 
-@query(f"""WITH {_SESSIONS}, {_EP}, pt AS (SELECT session_id, cpu, period_id, sum(rtime)::BIGINT AS period_total FROM er GROUP BY ALL)
-SELECT er.session_id, alarm_key, max(ts_us - alarm_us) AS duration_us, round(sum(CASE WHEN period_total <> 0 THEN rtime / period_total END), 6) AS busy FROM er JOIN pt USING (session_id, cpu, period_id) JOIN sa ON sa.session_id = er.session_id AND sa.app_pid = er.pid WHERE alarm_us <= wake_us + {24 * HOUR} GROUP BY ALL""")
-def alarm_durations(spark, sf_dir):
-    log = read_events(spark, sf_dir)
-    used = W.alarm_cpu(O.written(_sessions(spark, sf_dir)), alarms_of(log), _event_ctx(log), 24 * HOUR, 24 * HOUR)
-    return W.alarm_durations(used).select("session_id", "alarm_key", "duration_us", F.round("busy", 6).alias("busy"))
-
-
 @query(f"""WITH {_CPU}, e AS (SELECT *, last_value(CASE WHEN freq IS NOT NULL THEN line_id END IGNORE NULLS) OVER w AS f, max(CASE WHEN freq IS NOT NULL THEN ts_us END) OVER w AS ft, last_value(CASE WHEN hotplug IS NOT NULL THEN line_id END IGNORE NULLS) OVER w AS s, max(CASE WHEN hotplug IS NOT NULL THEN ts_us END) OVER w AS st
-  FROM (SELECT *, row_number() OVER (PARTITION BY device_id, boot_id, cpu ORDER BY ts_us, line_id) AS pos FROM cp) WINDOW w AS (PARTITION BY device_id, boot_id, cpu ORDER BY pos ROWS UNBOUNDED PRECEDING))
+  FROM (SELECT *, row_number() OVER (PARTITION BY device_id, boot_id, cpu ORDER BY ts_us, line_id, pid, rtime, bg_rtime) AS pos FROM cp) WINDOW w AS (PARTITION BY device_id, boot_id, cpu ORDER BY pos ROWS UNBOUNDED PRECEDING))
 SELECT line_id, CASE WHEN f IS NULL OR st >= ft THEN s ELSE f END AS last_event_line FROM e""")
 def cpu_last_event(spark, sf_dir):
-    return S.cpu_last_event(_cpu_events(spark, sf_dir), order=("ts_us", "line_id")).select("line_id", "last_event_line")
+    return S.cpu_last_event(_cpu_events(spark, sf_dir), order=_CTX_ORDER).select("line_id", "last_event_line")
 
 
 def _event_stream(spark, sf_dir) -> DataFrame:
@@ -516,9 +702,8 @@ def _event_stream(spark, sf_dir) -> DataFrame:
     e = spark.readStream.schema(spark.read.parquet(f"{sf_dir}/{name}").schema).option("pathGlobFilter", name).parquet(sf_dir)
     device = (F.col("user_id") % 20).cast("string")
     boot = F.concat(device, F.lit("-"), F.floor((F.dayofmonth("ts") - 1) / 10).cast("string"))
-    pm = F.when(F.col("event_type") == "purchase", "entry").when(F.col("event_type") == "signup", "exit")
     ts = F.col("ts").cast("timestamp")
-    return e.select(F.col("event_id").alias("token"), F.col("event_id").alias("line_id"), device.alias("device_id"), boot.alias("boot_id"), ts.alias("ts"), F.unix_micros(ts).alias("ts_us"), pm.alias("pm"))
+    return states(e.select(F.col("event_id").alias("token"), F.col("event_id").alias("line_id"), device.alias("device_id"), boot.alias("boot_id"), ts.alias("ts"), F.unix_micros(ts).alias("ts_us"), F.col("event_type").alias("tag"), F.floor("value").cast("int").alias("temp"), F.get_json_object("props", "$.k").cast("int").alias("k")))
 
 
 def _streamed(df: DataFrame) -> DataFrame:
@@ -540,6 +725,53 @@ def stream_gap_events(spark, sf_dir):
     return _streamed(R.gap_events(_event_stream(spark, sf_dir)))
 
 
+#: Windows that the watermark, an hour behind the last event, has passed.
+_PASSED = "epoch_us({}) <= (SELECT max(ts_us) FROM log) // 1000 * 1000 - 3600000000"
+
+
+@query(f"WITH {LOG} SELECT device_id, strftime(ts, '%Y%m%d') AS day, temp, count(*) AS n FROM log WHERE {_PASSED.format('date_trunc(' + chr(39) + 'day' + chr(39) + ', ts) + INTERVAL 1 DAY')} GROUP BY ALL")
+def stream_daily_histogram(spark, sf_dir):
+    return _streamed(R.daily_histogram(_event_stream(spark, sf_dir)))
+
+
+@query(f"WITH {LOG} SELECT device_id, strftime(ts, '%Y%m%d') AS day, count(*) FILTER (tag = 'click') AS num_alarms FROM log WHERE {_PASSED.format('date_trunc(' + chr(39) + 'day' + chr(39) + ', ts) + INTERVAL 1 DAY')} GROUP BY ALL")
+def stream_alarms_per_device_day(spark, sf_dir):
+    return _streamed(R.alarms_per_device_day(_event_stream(spark, sf_dir), F.col("tag") == "click"))
+
+
+@query(f"""WITH {LOG}, w AS (SELECT *, to_timestamp(0)::TIMESTAMP + to_microseconds((ts_us // 43200000000 + i) * 43200000000) AS end_ts FROM log, (SELECT unnest([1, 2]) AS i))
+SELECT device_id, boot_id, epoch_us(end_ts) AS at_us, temp, count(*) AS n FROM w WHERE {_PASSED.format('end_ts')} GROUP BY ALL""")
+def stream_trailing_distribution(spark, sf_dir):
+    found = _streamed(R.trailing_distribution(_event_stream(spark, sf_dir), slide="12 hours"))
+    return found.select("device_id", "boot_id", F.unix_micros("at").alias("at_us"), "temp", "n")
+
+
+@query(f"WITH {LOG} SELECT device_id, boot_id, event_id AS line_id FROM log")
+def stream_dedup_lines(spark, sf_dir):
+    twice = _event_stream(spark, sf_dir).withColumn("line", F.concat_ws(" ", "device_id", F.col("token").cast("string"))).withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
+    return _streamed(R.dedup_lines(twice).select("device_id", "boot_id", "line_id"))
+
+
+@query(f"WITH {LOG} SELECT a.event_id AS alarm_key, epoch_us(r.ts) AS reading_us, r.temp FROM log a JOIN log r ON r.device_id = a.device_id AND r.boot_id = a.boot_id AND r.ts >= a.ts AND r.ts < a.ts + INTERVAL 6 HOUR WHERE a.tag = 'click'")
+def stream_readings_of_alarms(spark, sf_dir):
+    clicks = _event_stream(spark, sf_dir).where("tag = 'click'")
+    alarms = clicks.select("device_id", "boot_id", F.col("line_id").alias("alarm_key"), F.col("ts").alias("alarm_ts"), F.col("ts").alias("start_ts"), (F.col("ts") + F.expr("interval 6 hours")).alias("end_ts"))
+    found = _streamed(R.readings_of_alarms(alarms, _event_stream(spark, sf_dir)).select("alarm_key", "ts", "temp"))
+    return found.select("alarm_key", F.unix_micros("ts").alias("reading_us"), "temp")
+
+
+@query(f"""WITH {LOG}, e AS (SELECT *, CASE WHEN charge = 'charging' OR screen = 'on' THEN 'reset' ELSE pm END AS what FROM st),
+n AS (SELECT *, lead(what) OVER w AS next_what, lead(ts_us) OVER w AS next_us FROM e WHERE what IS NOT NULL WINDOW w AS (PARTITION BY device_id, boot_id ORDER BY event_id))
+SELECT device_id, boot_id, ts_us AS wake_us, next_us AS sleep_us FROM n WHERE what = 'exit' AND next_what = 'entry' AND next_us - ts_us <= {48 * HOUR}""")
+def stream_pending_sessions(spark, sf_dir):
+    return _streamed(R.pending_sessions(_event_stream(spark, sf_dir), max_session="48 hours"))
+
+
+@query()
+def stream_ambient_from_suspend(spark, sf_dir):
+    return _streamed(R.ambient_from_suspend(_event_stream(spark, sf_dir)))
+
+
 def queries() -> dict:
     return dict(QUERIES)
 

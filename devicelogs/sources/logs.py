@@ -54,9 +54,15 @@ def new_files(raw: DataFrame, consumed: DataFrame) -> DataFrame:
 
 
 def stitch_incrementally(raw: DataFrame, consumed: DataFrame | None, path: str, parse) -> DataFrame:
-    """Stitches what is new onto the stitched log; returns the files taken."""
-    fresh = raw if consumed is None else new_files(raw, consumed)
-    write_stitched(stitch(parse(fresh)), path, "overwrite" if consumed is None else "append")
+    """Stitches what is new onto the stitched log, whose lines stay single; returns the files taken."""
+    if consumed is None:
+        write_stitched(stitch(parse(raw)), path)
+        return raw.select("file").distinct()
+    fresh = new_files(raw, consumed)
+    new = stitch(parse(fresh))
+    there = raw.sparkSession.read.parquet(path).select("device_id", "boot_id", "line_md5")
+    line = ["device_id", "boot_id", "line_md5"]
+    write_stitched(stitch(new.join(there.withColumns({c: F.col(c).cast("string") for c in line}), line, "left_anti").drop("line_md5", "part")), path, "append")
     return fresh.select("file").distinct()
 
 

@@ -70,6 +70,34 @@ def sleep_durations(events: DataFrame) -> DataFrame:
     return rows.groupBy("device_id", "boot_id").applyInPandasWithState(step, "device_id string, boot_id string, line_id long, sleep_ns long", "entry long", "append", GroupStateTimeout.NoTimeout)
 
 
+def ambient_from_suspend(events: DataFrame, least_sleep_us: int = 1_200_000_000, max_temp: int = 35) -> DataFrame:
+    """The first reading of at most max_temp after each long sleep, with five numbers of state per boot (-1: none)."""
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        entry, left, before, temp, waiting = state.get if state.exists else (-1, -1, 0, 0, 0)
+        out = []
+        for r in pd.concat(list(batches)).sort_values(["token", "line_id"]).itertuples():
+            if r.pm == "entry":
+                if left < 0 or before == 0 or temp > before:
+                    entry, before = r.ts_us, temp
+                    waiting = waiting if left < 0 else 0
+            elif r.pm == "exit":
+                left = r.ts_us
+                if entry >= 0 and left - entry > least_sleep_us:
+                    waiting = 1
+            else:
+                temp = int(r.temp)
+                if waiting and temp <= max_temp:
+                    out.append((*key, r.ts_us, temp))
+                    waiting, entry, left = 0, -1, -1
+        state.update(tuple(int(x) for x in (entry, left, before, temp, waiting)))
+        yield pd.DataFrame(out, columns=["device_id", "boot_id", "ts_us", "ambient_temp"])
+
+    rows = events.where("pm is not null or temp is not null").select("device_id", "boot_id", "token", "line_id", "ts_us", "pm", "temp")
+    schema = "device_id string, boot_id string, ts_us long, ambient_temp int"
+    return rows.groupBy("device_id", "boot_id").applyInPandasWithState(step, schema, "entry long, gone long, before long, temp long, waiting long", "append", GroupStateTimeout.NoTimeout)
+
+
 def gap_events(log: DataFrame) -> DataFrame:
     """The lines before which tokens are missing, with the last token of each boot as state."""
 

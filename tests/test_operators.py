@@ -1,5 +1,6 @@
 import bisect
 import random
+import time
 from datetime import datetime, timezone
 
 import pytest
@@ -30,6 +31,7 @@ def readings(spark, pairs):
 
 
 def test_nearest_rank(spark):
+    # The readings and their percentiles.
     temps = [43, 54, 56, 61, 62, 66, 68, 69, 69, 70, 71, 72, 77, 78, 79, 85, 87, 88, 89, 93, 95, 96, 98, 99, 99]
     h = readings(spark, enumerate(temps)).groupBy("device_id", "temp").agg(F.count("*").alias("n"))
     got = {r.p: r.percentile_temp for r in D.nearest_rank(h, [0, 1, 50, 90, 100], ["device_id"]).collect()}
@@ -38,6 +40,7 @@ def test_nearest_rank(spark):
     assert [r.percentiles[p] for p in (0, 1, 50, 90, 100)] == [43, 43, 77, 98, 99]
 
 
+# Probes and the readings that must be found.
 NEAREST = [
     ("2017-02-06 13:51:03.849685", "2017-02-06 13:50:15.101710"), ("2017-02-06 14:38:03.849685", "2017-02-06 13:50:15.101710"), ("2017-02-06 15:38:03.849684", "2017-02-06 16:38:03.849685"),
     ("2017-02-06 16:38:03.849686", "2017-02-06 16:38:03.849685"), ("2017-02-06 20:49:13.296307", "2017-02-06 20:49:13.296306"), ("2017-02-06 20:49:13.496307", "2017-02-06 20:49:13.496306"),
@@ -199,16 +202,82 @@ def test_ambient_from_suspend_against_a_state_machine(spark):
     assert sorted(got) == sorted(want) and got
 
 
+LOCKS = "device_id string, boot_id string, token long, trace_time double, line_id long, ts_us long, screen string, charge string, what string, pid long, lock long, alarm_key string"
+
+
+def lock_log(spark, *events):
+    """Events (second, what, pid, lock or alarm key) after the screen went off and the charger."""
+    rows = [("d", "b", 1, 0.0, 0, 0, "off", None, None, None, None, None), ("d", "b", 2, 0.0, 1, 0, None, "unplugged", None, None, None, None)]
+    for i, (t, what, pid, which) in enumerate(events, 3):
+        state = {"on": ("on", None), "charging": (None, "charging")}.get(what, (None, None))
+        rows.append(("d", "b", i, float(t), i, t * 1_000_000, *state, what if what in ("alarm", "acquire", "release") else None, pid, which if what != "alarm" else None, which if what == "alarm" else None))
+    return spark.createDataFrame(rows, LOCKS)
+
+
+def holds(spark, *events):
+    return sorted((r.alarm_key, r.pid, r.acquire_us // 1_000_000, r.release_us // 1_000_000) for r in M.wakelock_holds(lock_log(spark, *events)).collect())
+
+
 def test_wakelock_holds(spark):
-    base = [("screen", None, None), ("charge", None, None), ("alarm", None, "k1"), ("acquire", 1, None), ("acquire", 2, None), ("release", 1, None), ("acquire", 2, None), ("release", 2, None), ("acquire", 3, None), ("release", 3, None)]
-    rows = [("d", "b", i + 1, float(i), i, i * 1_000_000, "off" if w == "screen" else None, "unplugged" if w == "charge" else None, w if w in ("alarm", "acquire", "release") else None, 7, lock, key) for i, (w, lock, key) in enumerate(base)]
-    df = spark.createDataFrame(rows, "device_id string, boot_id string, token long, trace_time double, line_id long, ts_us long, screen string, charge string, what string, pid long, lock long, alarm_key string")
-    (r,) = M.wakelock_holds(df).collect()
-    assert (r.alarm_key, r.acquire_us, r.release_us, r.until_us) == ("k1", 3_000_000, 7_000_000, 17_000_000)
-    ctx = spark.createDataFrame([("d", "b", 0, 7, 5_000_000, 30), ("d", "b", 0, 7, 16_000_000, 4), ("d", "b", 0, 8, 5_000_000, 9), ("d", "b", 0, 7, 18_000_000, 1)], "device_id string, boot_id string, cpu int, pid long, ts_us long, rtime long")
-    (c,) = M.alarm_wakelock_cpu(M.wakelock_holds(df), ctx).collect()
-    assert (c.rtime, c.duration_us) == (34, 4_000_000)
-    assert M.mean_hold(M.wakelock_holds(df)).first().mean_hold_s == 4.0
+    one = [(1, "alarm", 7, "k1"), (2, "acquire", 7, 1), (3, "acquire", 7, 2), (4, "release", 7, 1), (5, "release", 7, 2)]
+    assert holds(spark, *one, (20, None, None, None)) == [("k1", 7, 2, 5)]
+    assert holds(spark, *one, (15, None, None, None)) == []  # the tail has not passed
+    assert holds(spark, *one, (9, "on", None, None), (20, None, None, None)) == [] == holds(spark, *one, (9, "charging", None, None), (20, None, None, None))
+    assert holds(spark, *one[:4], (5, "release", 9, 2), (20, None, None, None)) == [("k1", 7, 2, 5)]  # released by another process
+    again = [*one, (8, "acquire", 7, 3), (9, "release", 7, 3), (30, None, None, None)]
+    assert holds(spark, *again) == [("k1", 7, 2, 5)]  # the second hold finds no alarm any more
+    assert holds(spark, (0, "alarm", 7, "k0"), *again) == [("k0", 7, 2, 5), ("k1", 7, 8, 9)]
+    assert holds(spark, (1, "acquire", 7, 1), (2, "alarm", 7, "k"), (3, "release", 7, 1), (20, None, None, None)) == []
+    assert holds(spark, (1, "alarm", 7, "k"), (2, "acquire", 8, 1), (3, "release", 8, 1), (20, None, None, None)) == []
+
+
+def test_alarm_wakelock_cpu(spark):
+    log = lock_log(spark, (1, "alarm", 7, "k1"), (2, "acquire", 7, 1), (6, "release", 7, 1), (30, None, None, None))
+    found = M.wakelock_holds(log)
+    kinds = [(2, "begin", 0, 0), (3, "info", 7, 1), (4, "info", 1, 7), (5, "info", 1, 1), (6, "end", 0, 0), (7, "begin", 0, 0), (8, "info", 7, 7), (9, "end", 0, 0), (17, "begin", 0, 0), (18, "info", 7, 7), (19, "end", 0, 0)]
+    ctx = spark.createDataFrame([("d", "b", 0, pid, tgid, t * 1_000_000, t, kind, 10 * t, "x") for t, kind, pid, tgid in kinds], "device_id string, boot_id string, cpu int, pid int, tgid int, ts_us long, line_id long, kind string, rtime long, comm string")
+    freq = lambda *at: spark.createDataFrame([("d", "b", t * 1_000_000, 0, f) for t, f in at], "device_id string, boot_id string, ts_us long, cpu int, freq int")
+    temps = readings(spark, [(t * 1_000_000, t) for t in (1, 2, 5, 16, 17)])
+    rows = M.alarm_wakelock_cpu(found, ctx, freq((1, 100), (5, 200), (8, 300)), temps).collect()
+    assert sorted((r.line_id, r.period_total, round(r.share, 3), r.frequency, r.duration_us) for r in rows) == [(3, 120, 0.25, 200, 4_000_000), (4, 120, 0.333, 200, 4_000_000), (8, 80, 1.0, 300, 4_000_000)]
+    assert rows[0].temps == [2, 5, 16]
+    assert [r.line_id for r in M.alarm_wakelock_cpu(found, ctx, freq((1, 100), (8, 300))).collect()] == [8]  # unknown at the acquire
+    assert M.mean_hold(found).first().mean_hold_s == 4.0
+
+
+def test_long_streams_take_seconds(spark):
+    n = 200_000
+    began = time.time()
+    log = spark.range(n).select(F.lit("d").alias("device_id"), F.lit("b").alias("boot_id"), (F.col("id") * 1_000_000).alias("ts_us"), (F.col("id") * 7919 % 60).cast("int").alias("temp"), F.lit("heating").alias("curve"), F.lit(20).alias("threshold_temp"))
+    assert O.asof_nearest(log, log.where("ts_us % 7000000 = 0"), 3_000_000).where("near_value is null").count() == 0
+    got = D.curve_probabilities(log, [60, 3600])
+    assert {r.period_s: r.s for r in got.groupBy("period_s").agg(F.sum("seen").alias("s")).collect()} == {p: (p - 1) * n - (p - 1) * p // 2 for p in (60, 3600)}
+    assert time.time() - began < 90
+
+
+def test_curve_probabilities_in_slices(spark):
+    rng = random.Random(8)
+    rows = [("d", "b", rng.randint(0, 400) * 1_000_000, rng.randint(10, 60), "cooling", 30) for _ in range(150)]
+    log = spark.createDataFrame(rows, "device_id string, boot_id string, ts_us long, temp int, curve string, threshold_temp int")
+    want = {}
+    for a in rows:
+        for p in (30, 100):
+            later = [b for b in rows if a[2] < b[2] < a[2] + p * 1_000_000]
+            seen, below = want.get((a[3] - a[3] % 5, p), (0, 0))
+            want[a[3] - a[3] % 5, p] = seen + len(later), below + sum(b[3] < 30 for b in later)
+    for cut in (None, F.floor(F.col("_at") / 70_000_000)):
+        got = {(r.temp_bucket, r.period_s): (r.seen, r.below) for r in D.curve_probabilities(log, [30, 100], slices=cut).collect()}
+        assert got == {k: v for k, v in want.items() if v[0]}
+
+
+def test_steps_keep_stitched_lines_single(spark, tmp_path):
+    lines = lambda file, tokens: spark.createDataFrame([("d1", "b1", t, t / 2, f"line {t}", t, file) for t in tokens], "device_id string, boot_id string, token long, trace_time double, line string, ts_us long, file string")
+    path = str(tmp_path / "log")
+    parse = lambda df: df.drop("file")
+    taken = logs.stitch_incrementally(lines("a", [1, 2, 3, 3]), None, path, parse)
+    taken = O.written(taken)
+    assert [r.file for r in logs.stitch_incrementally(lines("a", [1, 9]).unionByName(lines("b", [2, 3, 4, 4])), taken, path, parse).collect()] == ["b"]
+    assert sorted(r.token for r in logs.read_loglines(spark, path).collect()) == [1, 2, 3, 4]
 
 
 def test_wake_session_rules(spark):

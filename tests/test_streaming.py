@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from devicelogs import queries as q
-from devicelogs.plans import daily, quality
+from devicelogs.plans import ambient, daily, quality
 from devicelogs.operators import timeops
 from devicelogs.sources.adapter import read_events
 from devicelogs.streaming import jobs
@@ -53,6 +53,8 @@ def test_keyed_state_equals_batch(spark, files):
     got = rows(run(jobs.sleep_durations(stream(spark, files))), "line_id", "sleep_ns")
     want = rows(daily.sleep_durations(log).fillna(-1), "line_id", "sleep_ns")
     assert got == want and got
+    got = rows(run(jobs.ambient_from_suspend(stream(spark, files))), "device_id", "boot_id", "ts_us", "ambient_temp")
+    assert got == rows(ambient.ambient_from_suspend(log), "device_id", "boot_id", "ts_us", "ambient_temp") and got
     got = rows(run(jobs.gap_events(stream(spark, files))), "line_id", "token")
     assert got == rows(timeops.flag_gaps(log).where("gap"), "line_id", "token")
 
