@@ -2,13 +2,15 @@
 
 Every rolling gram of GRAM words of every text is hashed and joined with the grams of the license templates, a table whose size is checked before it
 is broadcast. A match at word p of the text and word q of a template votes for the diagonal p - q. A phrase template is found where one
-diagonal has all of its grams. Other templates merge neighbouring diagonals whose spans lie close, which bridges inserted and dropped
-words, and the merged span is verified: the share of the template's grams that it holds, one of them with the word that tells the license
-from its siblings, and its length. Of verified spans that cover each other by more than half, the one with the highest share counts, then
-the one of the longest template; equal ones all count, as in a notice that names two terms.
-
-Null and empty texts have no words. Rows with equal doc_id are told apart by their text's hash; rows that are equal in both get equal results. An empty table
-gives an empty result.
+diagonal has all of its grams. Other templates merge neighbouring diagonals whose spans lie close, which bridges inserted and dropped words.
+Merged spans that hold enough of the template's grams are verified word by word on the text: the share of the template's words that stand in
+the span in their order, the word that tells the license from its siblings among them, and the span's length. Of verified spans that cover
+each other by more than half, the one with the highest share counts, then the one of the longest template; equal ones all count, as in a
+notice that names two terms.
+
+Null and empty texts have no words. Rows with equal doc_id, or none, are told apart by their text's hash; rows that are equal in both get
+equal results. doc_id keeps its type and other columns are not read, whatever their names. A text of any length is scanned whole. An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,18 +25,22 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import written
+
 GRAM = 3
 #: Diagonals that are no further apart than this, in spans that overlap or lie this close, are one match.
 NEAR = 4
-#: Share of a template's grams that a verified span holds, and how much longer than the template it may be.
-LEAST_SHARE = 0.6
+#: Share of a template's grams that a span must hold to be verified, of its words that a verified span holds, and how much longer than the
+#: template it may be.
+LEAST_GRAMS = 0.3
+LEAST_SHARE = 0.75
 MOST_STRETCH = 1.5
 #: A verified span of the label must hold this word of its template.
 TELLING = {"apache-2": "apache", "gpl-3": "3", "gpl-2": "2", "lgpl": "lesser", "mpl-2": "mozilla", "cc-by-nc": "noncommercial", "cc-by-sa": "sharealike"}
 #: Wins over others that it overlaps, whatever their shares: the others' templates say the same but for the telling word.
 FIRST = "lgpl"
-#: A larger template table is joined by a shuffle.
-BROADCAST_GRAMS = 1_000_000
+#: Larger tables of template grams, and of documents with spans, are joined by a shuffle.
+BROADCAST_GRAMS = BROADCAST_DOCS = 1_000_000
 
 # Phrases that count at each place, by label.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
@@ -96,16 +102,23 @@ class GramHasher:
         return out.view(np.int64)
 
 
+#: Template number: label, words, and whether it is a phrase.
+ALL_TEMPLATES = [(label, words_of(text), True) for text, label in PHRASES.items()] + [(label, words_of(text), False) for label, text in TEMPLATES]
+
+
+def telling(number: int) -> bytes | None:
+    """The word that a span of the template must have."""
+    label, _, phrase = ALL_TEMPLATES[number]
+    return TELLING[label].encode() if label in TELLING and not phrase else None
+
+
 def template_grams(spark: SparkSession) -> DataFrame:
-    """template, label, phrase, n_grams, q, gram of all templates; the grams from lo to hi have the telling word."""
+    """template, phrase, n_grams, q and gram of all templates."""
     hasher, rows = GramHasher(), []
-    texts = [(label, phrase, True) for phrase, label in PHRASES.items()] + [(*t, False) for t in TEMPLATES]
-    for number, (label, text, phrase) in enumerate(texts):
-        grams = hasher(words_of(text)).tolist()
-        hi = words_of(text).index(TELLING[label].encode()) if label in TELLING and not phrase else None
-        lo = None if hi is None else hi - GRAM + 1
-        rows += [(number, label, phrase, len(grams), lo, hi, q, g) for q, g in enumerate(grams)]
-    return spark.createDataFrame(rows, "template int, label string, phrase boolean, n_grams int, lo int, hi int, q int, gram long")
+    for number, (_, words, phrase) in enumerate(ALL_TEMPLATES):
+        grams = hasher(words).tolist()
+        rows += [(number, phrase, len(grams), q, g) for q, g in enumerate(grams)]
+    return spark.createDataFrame(rows, "template int, phrase boolean, n_grams int, q int, gram long")
 
 
 _GRAMS = "_hash long, grams array<bigint>"
@@ -123,18 +136,46 @@ def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "_hash", "grams"])
 
 
-def votes(docs: DataFrame, templates: DataFrame) -> DataFrame:
-    """doc_id, _hash, template, label, phrase, n_grams, lo, hi, diagonal, and the template positions qs that voted."""
-    rows = docs.select("doc_id", "_hash", "text").mapInArrow(_grams, f"doc_id {dict(docs.dtypes)['doc_id']}, {_GRAMS}")
-    rolled = rows.select("doc_id", "_hash", F.posexplode("grams").alias("p", "gram"))
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        n = pa.array([len(words_of(text.as_py())) for text in batch.column("text")], pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_hash"), n], names=["doc_id", "_hash", "n_words"])
+
+
+def votes(rows: DataFrame, templates: DataFrame) -> DataFrame:
+    """doc_id, _hash, template, phrase, n_grams, diagonal, and the template positions qs that voted."""
+    grams = rows.mapInArrow(_grams, f"doc_id {dict(rows.dtypes)['doc_id']}, {_GRAMS}")
+    rolled = grams.select("doc_id", "_hash", F.posexplode("grams").alias("p", "gram"))
     small = F.broadcast(templates) if templates.count() <= BROADCAST_GRAMS else templates
     matched = rolled.join(small, "gram").withColumn("diagonal", F.col("p") - F.col("q"))
-    return matched.groupBy("doc_id", "_hash", "template", "label", "phrase", "n_grams", "lo", "hi", "diagonal").agg(F.collect_set("q").alias("qs"))
+    return matched.groupBy("doc_id", "_hash", "template", "phrase", "n_grams", "diagonal").agg(F.collect_set("q").alias("qs"))
+
+
+def common_words(words: list[bytes], span: list[bytes]) -> int:
+    """The most words of a template that stand in a span in their order."""
+    best = [0] * (len(span) + 1)
+    for w in words:
+        diagonal = 0
+        for k, x in enumerate(span, 1):
+            diagonal, best[k] = best[k], diagonal + 1 if w == x else max(best[k], best[k - 1])
+    return best[-1]
+
+
+def verified(words: list[bytes], found: list[dict]) -> list[dict]:
+    """Of the spans (template, start, end) of one text those that its words bear out, with label, phrase and share."""
+    kept = []
+    for s in found:
+        label, template, phrase = ALL_TEMPLATES[s["template"]]
+        span, word = words[s["start"] : s["end"]], telling(s["template"])
+        share = float(span == template) if phrase else common_words(template, span) / len(template)
+        if share >= LEAST_SHARE and (word is None or word in span):
+            kept.append({"label": label, "phrase": phrase, "start": s["start"], "end": s["end"], "share": share, "n_words": len(template)})
+    return kept
 
 
 def strongest(spans: list[dict]) -> list[dict]:
     """The spans of one text without those that a stronger one covers by more than half of the shorter."""
-    rank = lambda s: (s["label"] == FIRST, s["share"], s["n_grams"])
+    rank = lambda s: (s["label"] == FIRST, s["share"], s["n_words"])
     kept, run, reach = [], [], -1
     for s in [*sorted(spans, key=lambda s: (s["start"], s["end"])), None]:
         if run and (s is None or s["start"] >= reach):  # a run of spans that overlap one another ends
@@ -151,20 +192,25 @@ def strongest(spans: list[dict]) -> list[dict]:
     return kept
 
 
-_SPANS = T.ArrayType(T.StructType().add("label", "string").add("phrase", "boolean").add("start", "integer").add("end", "integer").add("share", "double").add("n_grams", "integer"))
+_SPANS = T.ArrayType(T.StructType().add("label", "string").add("phrase", "boolean").add("start", "integer").add("end", "integer").add("share", "double"))
 
 
 @F.pandas_udf(_SPANS)
-def _strongest(found: pd.Series) -> pd.Series:
-    return found.map(lambda spans: strongest(list(spans)))
-
-
-def spans(voted: DataFrame) -> DataFrame:
-    """doc_id, _hash, label, phrase, start, end (in words) and share of every verified match."""
+def _judged(text: pd.Series, found: pd.Series) -> pd.Series:
+    """Phrases as they are found, and the strongest of the other spans."""
+    out = []
+    for t, spans_ in zip(text, found, strict=True):
+        good = verified(words_of(t), list(spans_))
+        kept = [s for s in good if s["phrase"]] + strongest([s for s in good if not s["phrase"]])
+        out.append([{k: s[k] for k in ("label", "phrase", "start", "end", "share")} for s in kept])
+    return pd.Series(out)
+
+
+def candidates(voted: DataFrame) -> DataFrame:
+    """doc_id, _hash, template, start and end (in words) of the spans to verify."""
     sized = voted.withColumns({"start": F.col("diagonal") + F.array_min("qs"), "end": F.col("diagonal") + F.array_max("qs") + GRAM})
     sized = sized.withColumn("whole", F.size("qs") == F.col("n_grams"))
-    columns = ["doc_id", "_hash", "label", "phrase", "start", "end", "share", "n_grams"]
-    exact = sized.where("whole").withColumn("share", F.lit(1.0)).select(*columns)
+    columns = ["doc_id", "_hash", "template", "start", "end"]
     keys = ["doc_id", "_hash", "template"]
     parts = sized.where(~F.col("phrase") & ~F.col("whole"))
     along = Window.partitionBy(*keys).orderBy("diagonal")
@@ -174,27 +220,35 @@ def spans(voted: DataFrame) -> DataFrame:
     last_end = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     islands = parts.withColumn("new", F.coalesce(F.col("start") > last_end + NEAR, F.lit(True)).cast("int"))
     islands = islands.withColumn("island", F.sum("new").over(order))
-    merged = islands.groupBy(*keys, "label", "phrase", "n_grams", "lo", "hi", "band", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.array_distinct(F.flatten(F.collect_list("qs"))).alias("held"))
-    share = F.size("held") / F.col("n_grams")
-    length = F.col("end") - F.col("start")
-    told = F.col("hi").isNull() | F.exists("held", lambda q: q.between(F.col("lo"), F.col("hi")))
-    verified = merged.withColumn("share", share).where((share >= LEAST_SHARE) & told & (length <= MOST_STRETCH * (F.col("n_grams") + GRAM - 1)))
-    rivals = exact.where(~F.col("phrase")).unionByName(verified.select(*columns)).groupBy("doc_id", "_hash").agg(F.collect_list(F.struct("label", "phrase", "start", "end", "share", "n_grams")).alias("all"))
-    kept = rivals.select("doc_id", "_hash", F.inline(_strongest("all")))
-    return exact.where("phrase").unionByName(kept).drop("n_grams")
+    merged = islands.groupBy(*keys, "n_grams", "band", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.size(F.array_distinct(F.flatten(F.collect_list("qs")))).alias("held"))
+    likely = merged.where((F.col("held") >= LEAST_GRAMS * F.col("n_grams")) & (F.col("end") - F.col("start") <= MOST_STRETCH * (F.col("n_grams") + GRAM - 1)))
+    return sized.where("whole").select(*columns).unionByName(likely.select(*columns))
+
+
+def spans(rows: DataFrame) -> DataFrame:
+    """doc_id, _hash, label, phrase, start, end (in words) and share of every verified match in rows (doc_id, _hash, text)."""
+    voted = written(votes(rows, template_grams(rows.sparkSession)))
+    found = written(candidates(voted).groupBy("doc_id", "_hash").agg(F.collect_list(F.struct("template", "start", "end")).alias("found")))
+    few = found.count() <= BROADCAST_DOCS
+    same = F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("d._hash") == F.col("f._hash"))
+    keys = found.select("doc_id", "_hash").alias("f")
+    texts = rows.alias("d").join(F.broadcast(keys) if few else keys, same, "left_semi").dropDuplicates(["doc_id", "_hash"])
+    judged = texts.alias("d").join(found.alias("f"), same).select("d.doc_id", "d._hash", _judged("d.text", "f.found").alias("kept"))
+    return judged.select("doc_id", "_hash", F.inline("kept"))
 
 
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).withColumn("_hash", F.xxhash64("text"))
-    found = spans(votes(rows, template_grams(docs.sparkSession)))
+    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text")).withColumn("_hash", F.xxhash64("text"))
+    found = spans(rows)
     base = F.when(F.col("phrase"), F.col("start"))
     labels = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
     per_doc = found.groupBy("doc_id", "_hash").agg(
         F.count(base).alias("n_base"), F.min(base).cast("long").alias("first_word"), F.max(base).cast("long").alias("last_word"),
         labels(F.when(F.col("phrase"), F.col("label"))).alias("base_labels"), labels("label").alias("labels"), F.max("share").alias("score"))
-    n_words = F.regexp_count("text", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")).cast("long")
-    all_rows = rows.select("doc_id", "_hash", n_words.alias("n_words")).alias("d")
-    joined = all_rows.join(per_doc.alias("f"), F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("d._hash") == F.col("f._hash")), "left")
+    per_doc = written(per_doc)
+    all_rows = rows.mapInArrow(_word_counts, f"doc_id {dict(rows.dtypes)['doc_id']}, _hash long, n_words long").alias("d")
+    small = F.broadcast(per_doc) if per_doc.count() <= BROADCAST_DOCS else per_doc
+    joined = all_rows.join(small.alias("f"), F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("d._hash") == F.col("f._hash")), "left")
     none = F.lit("")
     return joined.select("d.doc_id", "n_words", F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"), "first_word", "last_word", F.coalesce("base_labels", none).alias("base_labels"), F.coalesce("labels", none).alias("labels"), F.coalesce("score", F.lit(0.0)).alias("score"))

@@ -1,3 +1,4 @@
+import random
 import re
 
 from devicelogs.llm import license_scan as m
@@ -59,6 +60,69 @@ def test_siblings_and_repeats(spark):
     assert got == {i: labels for i, (_, labels) in enumerate(want)}
 
 
+def slow_scan(text):
+    """labels and score by the description, without hashes: votes, bands, islands, words, rivals."""
+    ws = words(text)
+    spans = []
+    for number, (label, template, phrase) in enumerate(m.ALL_TEMPLATES):
+        tw = [w.decode() for w in template]
+        n = len(tw) - 2
+        held = {}
+        for p in range(len(ws) - 2):
+            for q in range(n):
+                if ws[p : p + 3] == tw[q : q + 3]:
+                    held.setdefault(p - q, set()).add(q)
+        whole = [(d, d + len(tw)) for d, qs in held.items() if len(qs) == n]
+        tries = [] if phrase else whole
+        spans += [(label, True, a, b, 1.0, len(tw)) for a, b in whole] if phrase else []
+        bands, last = [], None
+        for d in sorted(d for d, qs in held.items() if len(qs) < n and not phrase):
+            if last is None or d - last > 2 * m.NEAR:
+                bands.append([])
+            bands[-1].append((d + min(held[d]), d, d + max(held[d]) + 3, held[d]))
+            last = d
+        for band in bands:
+            island = None
+            for start, _, end, qs in sorted(band, key=lambda x: x[:2]) + [(10**9, 0, 0, set())]:
+                if island and start > island[1] + m.NEAR:
+                    if len(island[2]) >= 0.3 * n and island[1] - island[0] <= 1.5 * len(tw):
+                        tries = [*tries, island[:2]]
+                    island = None
+                island = (min(island[0], start), max(island[1], end), island[2] | qs) if island else (start, end, qs)
+        for a, b in tries:
+            span = ws[a:b]
+            table = {}
+            for i in range(len(tw) + 1):
+                for j in range(len(span) + 1):
+                    table[i, j] = 0 if not i or not j else table[i - 1, j - 1] + 1 if tw[i - 1] == span[j - 1] else max(table[i - 1, j], table[i, j - 1])
+            share = table[len(tw), len(span)] / len(tw)
+            if share >= 0.75 and m.TELLING.get(label, span[0]) in span:
+                spans.append((label, False, a, b, share, len(tw)))
+    rank = lambda s: (s[0] == "lgpl", s[4], s[5])
+    rivals, won = [s for s in spans if not s[1]], []
+    for x in sorted(rivals, key=rank, reverse=True):
+        covers = [w for w in won if 2 * (min(x[3], w[3]) - max(x[2], w[2])) > min(x[3] - x[2], w[3] - w[2])]
+        if all(rank(w) == rank(x) for w in covers):
+            won.append(x)
+    all_ = won + [s for s in spans if s[1]]
+    return ",".join(sorted({s[0] for s in all_})), max((s[4] for s in all_), default=0.0)
+
+
+def test_labels_and_score_against_brute_force(spark):
+    rng = random.Random(2)
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()][:60]
+    for label, template in m.TEMPLATES * 3:
+        ws = template.split()
+        for _ in range(rng.choice([0, 1, 2, 4])):
+            k = rng.randrange(len(ws))
+            ws[k : k + rng.choice([0, 1])] = rng.choice([[], ["x"], ["version"], [ws[k], ws[k]]])
+        texts.append("word " * rng.randint(0, 9) + " ".join(ws) + rng.choice(["", " under the MIT license", " " + rng.choice(m.TEMPLATES)[1]]))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in m.scan(df).collect():
+        labels, score = slow_scan(texts[r.doc_id])
+        assert (r.labels, round(r.score, 9)) == (labels, round(score, 9)), texts[r.doc_id][-300:]
+
+
 def test_query_against_brute_force(spark):
     texts = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
     rows = op7_license_scan(spark, "/root/testdata/sf0.001").collect()

@@ -54,3 +54,18 @@ def test_empty_and_odd_rows(spark):
         assert made.columns == odd.columns, name
         made.collect()
     assert corpus_pipeline.best_fit_packing(spark, odd, SF).count() == 5
+
+
+def test_near_duplicates_keep_unlike_texts_of_one_id(spark):
+    x, y = (" ".join(f"{c}{k}" for k in range(30)) for c in "xy")
+    rows = [(3, x), (7, x), (7, y)]
+    names = ["_hash", "_doc", "_new", "_n_lines", "_score", "score", "text_hash"]
+    docs = spark.createDataFrame([(d, t, *["v"] * len(names)) for d, t in rows], ["doc_id", "text", *names])
+    kept = corpus_pipeline.near_duplicates(spark, docs, SF)
+    assert kept.columns == docs.columns and sorted((r.doc_id, r.text) for r in kept.collect()) == [(3, x), (7, y)]
+    long_text = "\n".join(f"the {k} line of a long and plain text that goes on" for k in range(20_000))
+    more = docs.withColumn("text", F.lit(long_text)).limit(1)
+    for name, stage in corpus_pipeline.STAGES[1:3]:
+        made = stage(spark, more, SF)
+        assert made.columns == docs.columns, name
+        assert all(r.text == long_text for r in made.collect()), name
