@@ -1,12 +1,14 @@
 """Media columns: payloads in tar shards, addressed by content, with metadata columns from header-only reads.
 
-A task packs the payloads of its rows as lossless 8-bit grey PNG members into tar shards in the shared folder. Members are named by the
-payload's SHA-256 and a shard holds each digest once, so rows with equal payloads share a member. Rows carry digest, shard, offset and
-length. ``header_columns`` fills metadata by a ranged read of each member's first 33 bytes; ``read_payloads`` reads members back, checks
-them against their digest and computes features.
-
-Null and empty texts become one line of padding. Equal rows get equal values, an empty table gives an empty result. A task that is run
-again writes a shard of another name; the index names only the shards of the attempts that were committed.
+Spark computes the SHA-256 of every payload and shuffles the digests alone: of rows with equal payloads, the one with the smallest doc_id
+stores it. Tasks pack what their rows store as lossless 8-bit grey PNG members, named by digest, into tar shards in the shared folder, so a
+digest has one member in the corpus. Rows carry digest, shard, offset and length. ``header_columns`` fills metadata by a ranged read of each
+member's first 33 bytes; ``read_payloads`` reads members back, checks them against their digest and computes features.
+
+Null and empty texts become one line of padding. Rows that are equal, doc_id included, may be stored by two tasks; one of the members is in
+the index. Equal payloads get equal values whatever the doc_id, which keeps its type; other columns are not read. A payload of any length is
+one member. An empty table gives an empty result. A task that is run again writes a shard of another name; the index names only the shards
+of the attempts that were committed.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import shared_dir, written
@@ -33,7 +35,9 @@ SHARD_BYTES = 256 * 1024 * 1024
 #: PNG signature and the IHDR chunk.
 HEADER_BYTES = 33
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
-_INDEX = "doc_id long, digest string, shard string, offset long, length long, n_bytes long"
+_STORED = "doc_id {kind}, digest string, shared boolean, shard string, offset long, length long, n_bytes long"
+#: More digests of several rows than this are joined by a shuffle instead of a broadcast.
+BROADCAST_DIGESTS = 500_000
 #: Members of a shard that lie closer than this are fetched by one read.
 READ_BYTES = 4 * 1024 * 1024
 
@@ -136,16 +140,19 @@ def _write_shards(folder: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shards = _ShardWriter(folder)
         for batch in batches:
-            rows: list[list] = [[] for _ in range(5)]
-            for text in batch.column(1):
-                raw = text.as_py() or ""
-                data = payload(raw)
-                digest = hashlib.sha256(data).hexdigest()
-                for column, value in zip(rows, (digest, *shards.add(digest, to_png(data)), len(raw.encode("utf-8", "surrogatepass"))), strict=True):
-                    column.append(value)
-            kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64())
-            arrays = [batch.column(0), *[pa.array(c, k) for c, k in zip(rows, kinds, strict=True)]]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "digest", "shard", "offset", "length", "n_bytes"])
+            rows: list[tuple] = []
+            for text, digest, stores in zip(batch.column("text"), batch.column("digest").to_pylist(), batch.column("stores").to_pylist(), strict=True):
+                text = text.as_py() or ""
+                place = (None, None, None)
+                if stores:
+                    data = payload(text)
+                    if hashlib.sha256(data).hexdigest() != digest:
+                        raise ValueError("Spark and Python disagree on a payload")
+                    place = shards.add(digest, to_png(data))
+                rows.append((*place, len(text.encode("utf-8", "surrogatepass"))))
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64())
+            arrays = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("doc_id", "digest", "shared")], *arrays], names=["doc_id", "digest", "shared", "shard", "offset", "length", "n_bytes"])
         shards.close()
 
     return run
@@ -155,13 +162,42 @@ def _local(uri: str) -> str:
     return uri if "://" in uri else f"file://{uri}"
 
 
-def store_payloads(docs: DataFrame, folder: str | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Writes the shards and returns the index: doc_id, digest, shard, offset, length, n_bytes."""
+def _digest(text: Column) -> Column:
+    """The SHA-256 of a text's payload."""
+    size = F.octet_length(text)
+    room = F.when(size == 0, WIDTH).otherwise(F.pmod(-size, F.lit(WIDTH)))
+    return F.sha2(F.concat(text, F.repeat(F.lit(" "), room.cast("int"))), 256)
+
+
+def _small(table: DataFrame) -> DataFrame:
+    return F.broadcast(table) if table.count() <= BROADCAST_DIGESTS else table
+
+
+def _stored(docs: DataFrame, folder: str | None, doc_id: str, text: str) -> DataFrame:
+    """Writes the shards. Per row: doc_id, digest, whether several rows share it, n_bytes, and the member's place if this row stored it."""
     folder = _local(folder or f"{shared_dir(docs.sparkSession)}-shards")
     store, root = fs.FileSystem.from_uri(folder)
     store.create_dir(root)
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return written(rows.mapInArrow(_write_shards(folder), _INDEX))
+    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text")).withColumn("digest", _digest(F.col("text")))
+    several = written(rows.groupBy("digest").agg(F.count("*").alias("n"), F.min("doc_id").alias("storer")).where("n > 1").select("digest", "storer", F.lit(True).alias("shared")))
+    marked = rows.join(_small(several), "digest", "left").withColumn("stores", F.col("shared").isNull() | F.col("doc_id").eqNullSafe(F.col("storer")))
+    marked = marked.select("doc_id", "text", "digest", F.coalesce("shared", F.lit(False)).alias("shared"), "stores")
+    return written(marked.mapInArrow(_write_shards(folder), _STORED.format(kind=dict(rows.dtypes)["doc_id"])))
+
+
+_PLACE = ["shard", "offset", "length"]
+
+
+def members(stored: DataFrame) -> DataFrame:
+    """digest, shard, offset and length: one member for each digest that rows share."""
+    there = stored.where("shared and shard is not null")
+    return there.groupBy("digest").agg(F.min(F.struct(*_PLACE)).alias("m")).select("digest", "m.*")
+
+
+def store_payloads(docs: DataFrame, folder: str | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Writes the shards and returns the index: doc_id, digest, n_bytes, shard, offset, length."""
+    stored = _stored(docs, folder, doc_id, text)
+    return stored.where("not shared").drop("shared").unionByName(stored.where("shared").select("doc_id", "digest", "n_bytes").join(_small(written(members(stored))), "digest"))
 
 
 class _ShardReader:
@@ -236,5 +272,9 @@ def read_payloads(index: DataFrame) -> DataFrame:
 
 
 def media_columns(docs: DataFrame, folder: str | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Stores the payloads, then gives every row its place, the header's metadata and what was read back."""
-    return read_payloads(header_columns(store_payloads(docs, folder, doc_id, text)))
+    """Stores the payloads, then gives every row its place, the header's metadata and what was read back of its member."""
+    stored = _stored(docs, folder, doc_id, text)
+    own = read_payloads(header_columns(stored.where("not shared").select("doc_id", "digest", "n_bytes", *_PLACE)))
+    once = written(read_payloads(header_columns(members(stored))))
+    shared = stored.where("shared").select("doc_id", "digest", "n_bytes").join(_small(once), "digest")
+    return own.unionByName(shared.select(*own.columns))

@@ -6,7 +6,8 @@ shrunken rate exceeds the limit has that rule enforced: its documents that fail
 passes all rules is kept on any host; the two base rules reject on any host.
 
 Null text counts as empty text (0 words, so the base rule fails); documents with a null host get no host verdict. Equal rows get equal results,
-an empty table gives an empty result, and further columns of the input pass through ``filter_documents`` untouched.
+whatever their doc_id; a text of any length is measured whole; an empty table gives an empty result, and further columns of the input, of any
+name, pass through ``filter_documents`` untouched.
 """
 
 from __future__ import annotations
@@ -100,25 +101,34 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def host_rates(rows: DataFrame, host: str = "host") -> DataFrame:
-    """Per host: documents, and for each rule the failure rate shrunk by a beta prior fitted to all hosts by moments."""
+    """Per host: documents, and for each rule the failure rate shrunk by a beta prior fitted to all hosts."""
     sums = [F.sum(F.expr(rule).cast("long")).alias(f"k_{name}") for name, rule in HOST_RULES.items()]
     hosts = written(rows.where(F.col(host).isNotNull()).groupBy(host).agg(F.count("*").alias("n"), *sums))
-    stats = []
+    n = F.col("n")
+    stats = [F.count("*").alias("hosts"), F.sum("n").alias("n"), F.sum(n.cast("double") * n).alias("nn")]
     for name in HOST_RULES:
-        rate = F.col(f"k_{name}") / F.col("n")
-        stats += [F.avg(rate).alias(f"m_{name}"), F.coalesce(F.var_pop(rate), F.lit(0.0)).alias(f"v_{name}")]
-    prior = hosts.agg(*stats).first()  # ten numbers
+        k = F.col(f"k_{name}")
+        stats += [F.sum(k).alias(f"k_{name}"), F.sum(k.cast("double") * k / n).alias(f"kk_{name}")]
+    found = hosts.agg(*stats).first()  # thirteen numbers
     shrunk = []
     for name in HOST_RULES:
-        a, b = beta_prior(prior[f"m_{name}"], prior[f"v_{name}"])
+        a, b = beta_prior(found.hosts, found.n or 0, found.nn or 0.0, found[f"k_{name}"] or 0, found[f"kk_{name}"] or 0.0)
         shrunk.append(((F.col(f"k_{name}") + a) / (F.col("n") + a + b)).alias(f"rate_{name}"))
     return hosts.select(host, "n", *shrunk)
 
 
-def beta_prior(mean: float | None, variance: float | None) -> tuple[float, float]:
-    """Beta parameters of this mean and variance; a weight of 1 to 1000 documents where moments give none."""
-    m = min(max(mean if mean is not None else 0.5, 1e-3), 1 - 1e-3)
-    weight = min(max(m * (1 - m) / variance - 1, 1.0), 1000.0) if variance else 1000.0
+def beta_prior(hosts: int, n: int, nn: float, k: int, kk: float) -> tuple[float, float]:
+    """Beta parameters of a beta-binomial fitted by moments, hosts weighted by their documents.
+
+    n, nn, k and kk are the sums over the hosts of their documents, the squares of these, the failures, and failures ** 2 / documents. The
+    spread of the rates that binomial sampling makes by itself is taken off. The prior weighs 1 to 1000 documents: 1000 where no spread is left.
+    """
+    m = min(max(k / n if n else 0.5, 1e-3), 1 - 1e-3)
+    if not n:
+        return m * 1000.0, (1 - m) * 1000.0
+    spread, free = (kk - k * k / n) / (m * (1 - m)) - (hosts - 1), n - nn / n - (hosts - 1)
+    alike = spread / free if free > 0 else 0.0  # correlation of two documents of a host
+    weight = min(max(1 / alike - 1, 1.0), 1000.0) if alike > 0 else 1000.0
     return m * weight, (1 - m) * weight
 
 

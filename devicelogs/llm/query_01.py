@@ -11,8 +11,9 @@ def op1_host_quality_rules(spark, sf_dir):
 
 def _sql() -> str:
     counts = ", ".join(f"sum(({rule})::int) AS k_{n}" for n, rule in HOST_RULES.items())
-    stats = ", ".join(f"greatest(least(avg(k_{n} / n), 0.999), 0.001) AS m_{n}, var_pop(k_{n} / n) AS v_{n}" for n in HOST_RULES)
-    weight = {n: f"(CASE WHEN v_{n} > 0 THEN least(greatest(m_{n} * (1 - m_{n}) / v_{n} - 1, 1.0), 1000.0) ELSE 1000.0 END)" for n in HOST_RULES}
+    stats = ", ".join(f"greatest(least(sum(k_{n}) / sum(n), 0.999), 0.001) AS m_{n}, sum(k_{n}::DOUBLE * k_{n} / n) - sum(k_{n})::DOUBLE * sum(k_{n}) / sum(n) AS s_{n}" for n in HOST_RULES)
+    alike = {n: f"(s_{n} / (m_{n} * (1 - m_{n})) - (hosts - 1)) / free" for n in HOST_RULES}
+    weight = {n: f"(CASE WHEN free > 0 AND {alike[n]} > 0 THEN least(greatest(1 / ({alike[n]}) - 1, 1.0), 1000.0) ELSE 1000.0 END)" for n in HOST_RULES}
     flags = ", ".join(f"(k_{n} + m_{n} * {weight[n]}) / (n + {weight[n]}) > {HOST_LIMIT} AS e_{n}" for n in HOST_RULES)
     hit = " OR ".join(f"(e_{n} AND ({rule}))" for n, rule in HOST_RULES.items())
     return f"""
@@ -30,7 +31,7 @@ m AS (SELECT d.rid, doc_id, source, len(ws)::BIGINT AS n_words, length(array_to_
   coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words
   FROM d JOIN w USING (rid) LEFT JOIN rep USING (rid) LEFT JOIN dl USING (rid)),
 h AS (SELECT source, count(*) AS n, {counts} FROM m WHERE source IS NOT NULL GROUP BY source),
-s AS (SELECT {stats} FROM h),
+s AS (SELECT count(*) AS hosts, sum(n) - sum(n::DOUBLE * n) / sum(n) - (count(*) - 1) AS free, {stats} FROM h),
 v AS (SELECT source, {flags} FROM h, s)
 SELECT doc_id, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, ({BASE_FAILED}) AS base_failed,
   NOT ({BASE_FAILED}) AND NOT coalesce({hit}, false) AS kept

@@ -1,6 +1,8 @@
 import re
 from collections import Counter
 
+import numpy as np
+
 from devicelogs.llm import quality_rules as q
 
 DOCS = "doc_id long, text string, source string, kept string, n_words int"
@@ -39,7 +41,18 @@ def test_host_verdicts(spark):
     assert q.quality_rules(docs.limit(0)).count() == 0
 
 
+def sums(ns, ks):
+    return len(ns), sum(ns), float(sum(n * n for n in ns)), sum(ks), sum(k * k / n for n, k in zip(ns, ks))
+
+
 def test_beta_prior():
-    assert q.beta_prior(None, None) == (500.0, 500.0)
-    a, b = q.beta_prior(0.2, 0.01)
-    assert abs(a / (a + b) - 0.2) < 1e-9 and abs(a + b - 15) < 1e-9
+    assert q.beta_prior(0, 0, 0.0, 0, 0.0) == (500.0, 500.0)
+    rng = np.random.default_rng(1)
+    ns = rng.integers(1, 60, 20_000).tolist()
+    for a, b in ((2.0, 6.0), (0.8, 4.0), (20.0, 20.0)):  # hosts of few documents give the prior that they were drawn from
+        ks = rng.binomial(ns, rng.beta(a, b, len(ns))).tolist()
+        got = q.beta_prior(*sums(ns, ks))
+        assert abs(got[0] / sum(got) - a / (a + b)) < 0.01 and abs(sum(got) - a - b) < 0.08 * (a + b)
+    ks = rng.binomial(ns, 0.3).tolist()  # no spread but that of sampling
+    assert sum(q.beta_prior(*sums(ns, ks))) > 200
+    assert sum(q.beta_prior(*sums([50, 50], [0, 50]))) == 1.0
