@@ -400,9 +400,9 @@ def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     """
     found = written(_labelled(docs, doc_id, text))
     row = F.struct("doc_id", "text_hash")
-    kept = found.where(F.col("component").isNotNull()).groupBy("component").agg(F.min(row).alias("kept"))
-    by_row = found.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n"), F.max("component").alias("component"))
-    judged = by_row.join(kept, "component", "left").withColumn("goes", F.coalesce(row != F.col("kept"), F.lit(False)))
+    kept = found.where(F.col("component").isNotNull()).groupBy("component").agg(F.min(row).alias("kept")).select("kept.*", F.lit(True).alias("stays"))
+    by_row = found.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n"), F.max("component").isNotNull().alias("grouped"))
+    judged = by_row.join(kept, ["doc_id", "text_hash"], "left").withColumn("goes", F.col("grouped") & F.col("stays").isNull())
     odd = written(judged.where("goes or n > 1").select("doc_id", "text_hash", "goes"))
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.xxhash64(F.col(f"`{text}`").cast("string")).alias("text_hash"))
     plain = whole.join(odd, ["doc_id", "text_hash"], "left_anti")
