@@ -32,7 +32,7 @@ ALPHA, COST, MEAN_SHARE = 1.0, 10.0, 0.25
 #: Passes over the sample end where no dual could gain more than this, or after so many.
 TOLERANCE, PASSES = 0.05, 12
 THRESHOLD = 0.5
-_CACHED = 300_000
+_CACHED = 200_000
 
 
 class Features:
@@ -55,7 +55,7 @@ class Features:
     def __call__(self, text: str) -> np.ndarray:
         words = text.split()
         if not words:
-            return np.zeros(1, np.int64)
+            return np.zeros(1, np.int32)
         get, make = self.known.get, self._word
         pairs = [get(w) or make(w) for w in words]
         both = np.array(pairs, np.uint64)
@@ -67,7 +67,7 @@ class Features:
         parts.append(np.array([int(np.log2(len(words))) + 99], np.uint64))
         mixed = np.concatenate(parts)
         mixed = (mixed ^ (mixed >> np.uint64(31))) * one
-        return np.unique((mixed >> np.uint64(46)).astype(np.int64))
+        return np.unique((mixed >> np.uint64(46)).astype(np.int32))
 
 
 def ratios(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
@@ -107,7 +107,7 @@ def fit(rows: list[np.ndarray], y: np.ndarray) -> tuple[np.ndarray, float, float
         level = np.log(max(share, 0.01) / max(1 - share, 0.01))
         return np.zeros(BUCKETS), 0.0, 0.0, float(level)
     r = ratios(rows, y)
-    unit = [r[row] / max(np.sqrt((r[row] ** 2).sum()), 1e-9) for row in rows]
+    unit = [(r[row] / max(np.sqrt((r[row] ** 2).sum()), 1e-9)).astype(np.float32) for row in rows]
     test = np.arange(len(rows)) % 5 == 0 if len(rows) >= 50 else np.zeros(len(rows), bool)
     train = np.flatnonzero(~test)
     w, bias = dual_coordinate_descent([rows[i] for i in train], [unit[i] for i in train], y[train])
@@ -124,6 +124,7 @@ def _fit_group(sample: pd.DataFrame) -> pd.DataFrame:
     order = sample.sort_values("doc_id")
     rows = [make(t) for t in order.text]
     y = order.label.to_numpy(np.int64)
+    make.known.clear()
     w, bias, slope, level = fit(rows, y)
     r = ratios(rows, y)
     blob = np.concatenate([w, r, [bias, slope, level]]).astype("<f4").tobytes()
