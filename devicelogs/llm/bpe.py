@@ -180,7 +180,7 @@ def in_groups(texts: list[str | None]) -> Iterator[list[str]]:
 
 # Tree concatenation
 
-Segment = tuple[int, int, list[tuple[int, int, int]]]  # start, end, tokens as (start, end, id)
+Segment = tuple[int, int, np.ndarray]  # start, end, tokens as rows of start, end, id
 
 
 def leaf_bounds(n: int, most: int) -> list[tuple[int, int]]:
@@ -193,7 +193,8 @@ def leaf_bounds(n: int, most: int) -> list[tuple[int, int]]:
 
 def segment(coder: Encoder, text: str, start: int) -> Segment:
     made = coder.tokenizer.encode(text, add_special_tokens=False)
-    return start, start + len(text), [(a + start, b + start, i) for (a, b), i in zip(made.offsets, made.ids, strict=True)]
+    spans = np.array(made.offsets, np.int64).reshape(-1, 2) + start
+    return start, start + len(text), np.column_stack([spans, np.array(made.ids, np.int64)])
 
 
 def _agreement(tokens: list, window: list, forward: bool) -> tuple[int, int] | None:
@@ -210,22 +211,24 @@ def _agreement(tokens: list, window: list, forward: bool) -> tuple[int, int] | N
 
 
 def join(coder: Encoder, left: Segment, right: Segment, text_of: Callable[[int, int], str], half: int = WINDOW) -> Segment:
-    """The encoding of two neighbouring stretches of a text from those of each."""
-    cut = right[0]
+    """The encoding of two neighbouring stretches of a text from those of each. Only tokens around the cut are looked at."""
+    cut, tuples = right[0], lambda rows: list(map(tuple, rows.tolist()))
     while True:
         a, b = max(left[0], cut - half), min(right[1], cut + half)
-        window = segment(coder, text_of(a, b), a)[2]
-        near_left = [t for t in left[2] if t[0] >= a] if a > left[0] else []
-        near_right = [t for t in right[2] if t[1] <= b] if b < right[1] else []
-        from_left = _agreement(near_left, window, True) if a > left[0] else (0, 0)
-        from_right = _agreement(near_right, window, False) if b < right[1] else (0, len(window))
-        if from_left and from_right and from_left[1] + AGREE * (a > left[0]) <= from_right[1] + AGREE * (b < right[1]):
-            kept = left[2][: len(left[2]) - len(near_left) + from_left[0]] if a > left[0] else []
-            rest = right[2][from_right[0] :] if b < right[1] else []
-            if not kept or not rest or from_left[1] <= from_right[1]:
-                return left[0], right[1], kept + window[from_left[1] : from_right[1]] + rest
-        if a == left[0] and b == right[1]:
-            return left[0], right[1], window
+        made = segment(coder, text_of(a, b), a)[2]
+        window = tuples(made)
+        whole_left, whole_right = a == left[0], b == right[1]
+        first = len(left[2]) if whole_left else int(np.searchsorted(left[2][:, 0], a))
+        last = 0 if whole_right else int(np.searchsorted(right[2][:, 1], b, side="right"))
+        from_left = (0, 0) if whole_left else _agreement(tuples(left[2][first:]), window, True)
+        from_right = (0, len(window)) if whole_right else _agreement(tuples(right[2][:last]), window, False)
+        if from_left and from_right and from_left[1] + AGREE * (not whole_left) <= from_right[1] + AGREE * (not whole_right):
+            kept = left[2][:0] if whole_left else left[2][: first + from_left[0]]
+            rest = right[2][:0] if whole_right else right[2][from_right[0] :]
+            if not len(kept) or not len(rest) or from_left[1] <= from_right[1]:
+                return left[0], right[1], np.concatenate([kept, made[from_left[1] : from_right[1]], rest])
+        if whole_left and whole_right:
+            return left[0], right[1], made
         half *= 2
 
 
@@ -233,7 +236,7 @@ def tree(coder: Encoder, leaves: list[Segment], text_of: Callable[[int, int], st
     """Joins neighbours, level by level."""
     while len(leaves) > 1:
         leaves = [join(coder, *leaves[k : k + 2], text_of) if k + 1 < len(leaves) else leaves[k] for k in range(0, len(leaves), 2)]
-    return [t[2] for t in leaves[0][2]]
+    return leaves[0][2][:, 2].tolist()
 
 
 # Spark
@@ -258,7 +261,7 @@ def _cut(most: int) -> Callable:
 def _encode_leaves(path: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [np.array(segment(encoder(path), t, a)[2], "<i8").tobytes() for t, a in zip(batch.column("text").to_pylist(), batch.column("start").to_pylist(), strict=True)]
+            made = [segment(encoder(path), t, a)[2].astype("<i8").tobytes() for t, a in zip(batch.column("text").to_pylist(), batch.column("start").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.binary())], names=[*batch.schema.names, "tokens"])
 
     return run
@@ -268,7 +271,7 @@ def _join_leaves(path: str, decoded: bool) -> Callable:
     def run(leaves: pd.DataFrame) -> pd.DataFrame:
         leaves = leaves.sort_values("leaf")
         text = "".join(leaves.text)
-        segments = [(a, a + len(t), [tuple(x) for x in np.frombuffer(k, "<i8").reshape(-1, 3).tolist()]) for a, t, k in zip(leaves.start, leaves.text, leaves.tokens, strict=True)]
+        segments = [(a, a + len(t), np.frombuffer(k, "<i8").reshape(-1, 3)) for a, t, k in zip(leaves.start, leaves.text, leaves.tokens, strict=True)]
         raw = np.array(tree(encoder(path), segments, lambda a, b: text[a:b]), "<u4").tobytes()
         found = {"row": [leaves.row.iloc[0]], "ids": [raw]}
         return pd.DataFrame(found | {"decoded": [encoder(path).decode(raw)]} if decoded else found)
