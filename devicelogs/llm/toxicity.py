@@ -37,7 +37,9 @@ STEMS = range(4, 9)
 LEAST_DOCS, LEAST_SHARE, DEVIATIONS = 4, 0.5, 2.0
 #: Words that a negation reaches.
 NEGATION_SCOPE = 3
-_CACHED = 300_000
+#: Words whose class a worker keeps, and stems that it counts before it passes their sums on.
+_CACHED = 120_000
+_COUNTED = 150_000
 
 # Closed word lists. Threats are stems with the endings of their kind.
 THREATS = {
@@ -210,7 +212,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents of each label by stem, summed in the task."""
 
     def out(counts: list[Counter]) -> pa.RecordBatch:
-        names = list(counts[0].keys() | counts[1].keys())
+        names = [*counts[0], *(n for n in counts[1] if n not in counts[0])]
         arrays = [pa.array(names, pa.string()), *[pa.array([c[n] for n in names], pa.int64()) for c in (counts[1], counts[0])]]
         return pa.RecordBatch.from_arrays(arrays, names=["stem", "toxic", "clean"])
 
@@ -219,9 +221,9 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for label, text in zip(batch.column("label").to_pylist(), batch.column("text"), strict=True):
             words = {core(w) for w in set((text.as_py() or "").split())}
             counts[int(label > 0)].update({s for w in words for s in stems(w)})
-            if len(counts[0]) + len(counts[1]) > 400_000:
-                yield out(counts)
-                counts = [Counter(), Counter()]
+            if len(counts[0]) + len(counts[1]) > _COUNTED:
+                made, counts = out(counts), [Counter(), Counter()]
+                yield made
     yield out(counts)
 
 
