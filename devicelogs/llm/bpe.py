@@ -295,15 +295,19 @@ def _encode_rows(path: str, decoded: bool) -> Callable:
     return run
 
 
+def encode_long(rows: DataFrame, path: str, most: int = LONG_CHARS, decoded: bool = False) -> DataFrame:
+    """doc_id and ids of rows (doc_id, text) by tree concatenation, and decoded if that is asked for."""
+    numbered = rows.withColumn("row", F.monotonically_increasing_id())
+    leaves = numbered.select("row", "text").mapInArrow(_cut(max(most // 2, 1)), _LEAF).repartition("row", "leaf").mapInArrow(_encode_leaves(path), _ENCODED_LEAF)
+    joined = leaves.groupBy("row").applyInPandas(_join_leaves(path, decoded), "row long, ids binary" + ", decoded string" * decoded)
+    return numbered.select("row", "doc_id").join(joined, "row").drop("row")
+
+
 def _encoded(docs: DataFrame, path: str, doc_id: str, text: str, long_chars: int, decoded: bool) -> DataFrame:
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    kind = dict(rows.dtypes)["doc_id"]
+    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
     is_long = F.char_length("text") > long_chars
-    short = rows.where(~is_long).mapInArrow(_encode_rows(path, decoded), f"doc_id {kind}, ids binary" + ", decoded string" * decoded)
-    long_rows = rows.where(is_long).withColumn("row", F.monotonically_increasing_id())
-    leaves = long_rows.select("row", "text").mapInArrow(_cut(max(long_chars // 2, 1)), _LEAF).repartition("row", "leaf").mapInArrow(_encode_leaves(path), _ENCODED_LEAF)
-    joined = leaves.groupBy("row").applyInPandas(_join_leaves(path, decoded), "row long, ids binary" + ", decoded string" * decoded)
-    return short.unionByName(long_rows.select("row", "doc_id").join(joined, "row").drop("row"))
+    short = rows.where(~is_long).mapInArrow(_encode_rows(path, decoded), f"doc_id {dict(rows.dtypes)['doc_id']}, ids binary" + ", decoded string" * decoded)
+    return short.unionByName(encode_long(rows.where(is_long), path, long_chars, decoded))
 
 
 def encode(docs: DataFrame, tokenizer: str | None = None, doc_id: str = "doc_id", text: str = "text", long_chars: int = LONG_CHARS) -> DataFrame:

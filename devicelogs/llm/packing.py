@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import default_tokenizer, encoder, in_groups
+from .bpe import LONG_CHARS, default_tokenizer, encode_long, encoder, in_groups
 from .common import written
 
 CAPACITY = 4096
@@ -93,22 +93,24 @@ def cut_pieces(raw: bytes, capacity: int = CAPACITY) -> list[tuple[int, int, int
     return [(k, a, min(capacity, n - a), zlib.crc32(view[4 * a : 4 * (a + capacity)])) for k, a in enumerate(range(0, n, capacity))]
 
 
-def _pieces(path: str, capacity: int) -> Callable:
+def _pieces(path: str | None, capacity: int) -> Callable:
+    """Pieces of rows with a text, or without a path of rows with ids."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, task = encoder(path), TaskContext.get().partitionId()
-        counts: dict[int, int] = defaultdict(int)
+        task, counts = TaskContext.get().partitionId(), defaultdict(int)
         for batch in batches:
             at, doc_ids = 0, batch.column("doc_id")
-            for group in in_groups(batch.column("text").to_pylist()):
+            groups = map(encoder(path).batch, in_groups(batch.column("text").to_pylist())) if path else ([x.as_py()] for x in batch.column("ids"))
+            for ids in groups:
                 owners, rows, local = [], [], []
-                for k, raw in enumerate(coder.batch(group), at):
+                for k, raw in enumerate(ids, at):
                     cut = cut_pieces(raw, capacity)
                     rows += cut
                     for _, _, length, _ in cut:
                         owners.append(k)
                         local.append(counts[length])
                         counts[length] += 1
-                at += len(group)
+                at += len(ids)
                 piece, start, length, crc = zip(*rows, strict=True)
                 columns = [doc_ids.take(pa.array(owners, pa.int64())), pa.array(piece, pa.int32()), *[pa.array(c, pa.int64()) for c in (start, length, crc)], pa.array([task] * len(rows), pa.int32()), pa.array(local, pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in _PIECE.split(", ")])
@@ -116,10 +118,14 @@ def _pieces(path: str, capacity: int) -> Callable:
     return run
 
 
-def pieces(docs: DataFrame, tokenizer: str | None = None, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY) -> DataFrame:
-    """The pieces of all documents, with the task that made each and its number among that task's pieces of equal length."""
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(_pieces(tokenizer or default_tokenizer(), capacity), _PIECE.format(kind=dict(rows.dtypes)["doc_id"]))
+def pieces(docs: DataFrame, tokenizer: str | None = None, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, long_chars: int = LONG_CHARS) -> DataFrame:
+    """The pieces of all documents, with the task that made each and its number among that task's pieces of equal length.
+
+    Texts above long_chars are encoded in parts, by tree concatenation.
+    """
+    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
+    path, schema, is_long = tokenizer or default_tokenizer(), _PIECE.format(kind=dict(rows.dtypes)["doc_id"]), F.char_length("text") > long_chars
+    return rows.where(~is_long).mapInArrow(_pieces(path, capacity), schema).unionByName(encode_long(rows.where(is_long), path, long_chars).mapInArrow(_pieces(None, capacity), schema))
 
 
 def pack(docs: DataFrame, tokenizer: str | None = None, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY) -> DataFrame:
