@@ -18,23 +18,27 @@ from .sessions import _shares, temps_within, with_frequency
 SECOND = 1_000_000
 
 
-def reduce_for_ambient(events: DataFrame, max_temp: int = 35, keys=KEYS, slices=None) -> DataFrame:
-    """Suspend events with temp_before, and the first cool reading after each of them: all that the helper needs."""
+def reduce_for_ambient(events: DataFrame, max_temp: int = 35, require_unplugged: bool = False, keys=KEYS, slices=None) -> DataFrame:
+    """Suspend events (while unplugged, if that is required) with temp_before, and the first cool reading after each of them: all that the helper needs."""
     reading = F.when(F.col("pm").isNull() & F.col("temp").isNotNull(), F.struct("temp", "ts_us"))
     cool = F.when(F.col("temp") <= max_temp, reading)
-    seen = running(events, {"_before": last(reading), "_cool": following(cool)}, keys, slices=slices)
+    charge = {"_charge": last(F.col("charge"))} if require_unplugged else {}
+    seen = running(events, {"_before": last(reading), "_cool": following(cool)} | charge, keys, slices=slices)
+    if require_unplugged:
+        seen = seen.withColumn("pm", F.when(F.col("_charge") == "unplugged", F.col("pm")))
     order = [c for c in ("token", "trace_time", "line_id") if c in events.columns]
     return seen.where("pm is not null").select(*keys, *order, "ts_us", "pm", F.coalesce("_before.temp", F.lit(0)).alias("temp_before"), F.col("_cool.temp").alias("cool_temp"), F.col("_cool.ts_us").alias("cool_ts"))
 
 
-def _walk(order: list[str], least_sleep_us: int):
+def _walk(order: list[str], least_sleep_us: int, least_awake_us: int | None):
     def walk(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(order)
         found, before, entry, left, waiting = [], 0, None, None, False
         records = rows.to_dict("records")
         for r, after in zip(records, [*records[1:], None], strict=True):
             if r["pm"] == "entry":
-                if not (left is not None and before != 0 and r["temp_before"] <= before):
+                short = left is not None and (least_awake_us is None or r["ts_us"] - left < least_awake_us)
+                if not (short and before != 0 and r["temp_before"] <= before):
                     before, entry = r["temp_before"], r["ts_us"]
                     if left is not None:
                         waiting = False
@@ -51,11 +55,14 @@ def _walk(order: list[str], least_sleep_us: int):
     return walk
 
 
-def ambient_from_suspend(events: DataFrame, least_sleep_us: int = 1200 * SECOND, max_temp: int = 35, keys=KEYS, slices=None) -> DataFrame:
-    """The first reading of at most max_temp after each long sleep, with its day."""
-    small = reduce_for_ambient(events, max_temp, keys, slices)
+def ambient_from_suspend(events: DataFrame, least_sleep_us: int = 1200 * SECOND, max_temp: int = 35, least_awake_us: int | None = None, require_unplugged: bool = False, keys=KEYS, slices=None) -> DataFrame:
+    """The first reading of at most max_temp after each long sleep, with its day.
+
+    A wake-up that does not warm the device counts as none, if it is shorter than least_awake_us where that is given.
+    """
+    small = reduce_for_ambient(events, max_temp, require_unplugged, keys, slices)
     order = [c for c in ("token", "trace_time", "line_id") if c in small.columns]
-    found = small.groupBy(*keys).applyInPandas(_walk(order, least_sleep_us), "device_id string, boot_id string, ts_us long, ambient_temp int")
+    found = small.groupBy(*keys).applyInPandas(_walk(order, least_sleep_us, least_awake_us), "device_id string, boot_id string, ts_us long, ambient_temp int")
     return found.withColumn("day", F.date_format(F.timestamp_micros("ts_us"), "yyyyMMdd"))
 
 

@@ -202,6 +202,17 @@ def test_ambient_from_suspend_against_a_state_machine(spark):
     assert sorted(got) == sorted(want) and got
 
 
+def test_ambient_options(spark):
+    minute = 60_000_000
+    rows = [(0, None, 30, "unplugged"), (1, "entry", None, None), (30, "exit", None, None), (33, "entry", None, None), (60, "exit", None, None), (61, None, 25, None)]
+    log = spark.createDataFrame([("d", "b", i + 1, float(i), i, m * minute, pm, t, c) for i, (m, pm, t, c) in enumerate(rows)], "device_id string, boot_id string, token long, trace_time double, line_id long, ts_us long, pm string, temp int, charge string")
+    found = lambda df, **more: [(r.ts_us // minute, r.ambient_temp) for r in M.ambient_from_suspend(df, **more).collect()]
+    assert found(log) == [(61, 25)] == found(log, require_unplugged=True)
+    assert found(log, least_sleep_us=40 * minute) == [(61, 25)]  # from the first entry on
+    assert found(log, least_sleep_us=40 * minute, least_awake_us=minute) == []
+    assert found(log.withColumn("charge", F.lit("charging")), require_unplugged=True) == []
+
+
 LOCKS = "device_id string, boot_id string, token long, trace_time double, line_id long, ts_us long, screen string, charge string, what string, pid long, lock long, alarm_key string"
 
 
