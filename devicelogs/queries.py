@@ -578,8 +578,8 @@ def parse_thermal(spark, sf_dir):
 
 #: Payloads of the further kinds of lines, by k % 9, with the arguments of their formats.
 _KINDS = [
-    ("cpu_frequency: state=%d cpu_id=%d", "temp", "k"), ("sched_cpu_hotplug: cpu %d state=offline error=%d", "k", "temp"), ("phonelab_periodic_ctx_switch_marker: BEGIN cpu=%d count=%d", "k", "temp"),
-    ("phonelab_periodic_ctx_switch_info: cpu=%d pid=%d tgid=7 rtime=9 comm=app", "k", "temp"), ("phonelab_proc_foreground: pid=%d tgid=%d comm=app", "k", "temp"),
+    ("cpu_frequency: state=%d cpu_id=%d", "temp", "k"), ("sched_cpu_hotplug: cpu %d state=offline error=%d", "k", "temp"), ("periodic_ctx_switch_marker: BEGIN cpu=%d count=%d", "k", "temp"),
+    ("periodic_ctx_switch_info: cpu=%d pid=%d tgid=7 rtime=9 comm=app", "k", "temp"), ("proc_foreground: pid=%d tgid=%d comm=app", "k", "temp"),
     ('{"func":"acquireWakeLockInternal","lock":%d,"tag":"t","flags":1,"pid":%d,"uid":3}', "k", "temp"), ('{"func":"releaseWakeLockInternal","lock":%d,"tag":"t","flags":0,"pid":%d}', "k", "temp"),
     ('{"BatteryProperties":{"ChargerAcOnline":false,"ChargerUsbOnline":true,"ChargerWirelessOnline":false,"k":%d,"t":%d}}', "k", "temp"), ("healthd: battery l=%d v=%d chg=", "k", "temp"),
 ]
@@ -605,9 +605,9 @@ def _parsed(name: str, k: int, columns: dict[str, str], read) -> None:
 _trace = lambda tag, **fields: lambda log: P.extract_trace(log, tag, fields)
 _parsed("parse_cpu_frequency", 0, {"state": "temp", "cpu_id": "k"}, _trace("cpu_frequency", state="int", cpu_id="int"))
 _parsed("parse_hotplug", 1, {"state": "'offline'", "error": "temp"}, _trace("sched_cpu_hotplug", state="string", error="int"))
-_parsed("parse_ctx_marker", 2, {"cpu": "k", "count": "temp"}, _trace("phonelab_periodic_ctx_switch_marker", cpu="int", count="int"))
-_parsed("parse_ctx_info", 3, {"cpu": "k", "pid": "temp", "tgid": "7", "rtime": "9::BIGINT", "comm": "'app'"}, _trace("phonelab_periodic_ctx_switch_info", cpu="int", pid="int", tgid="int", rtime="long", comm="string"))
-_parsed("parse_foreground", 4, {"pid": "k", "tgid": "temp"}, _trace("phonelab_proc_foreground", pid="int", tgid="int"))
+_parsed("parse_ctx_marker", 2, {"cpu": "k", "count": "temp"}, _trace("periodic_ctx_switch_marker", cpu="int", count="int"))
+_parsed("parse_ctx_info", 3, {"cpu": "k", "pid": "temp", "tgid": "7", "rtime": "9::BIGINT", "comm": "'app'"}, _trace("periodic_ctx_switch_info", cpu="int", pid="int", tgid="int", rtime="long", comm="string"))
+_parsed("parse_foreground", 4, {"pid": "k", "tgid": "temp"}, _trace("proc_foreground", pid="int", tgid="int"))
 _parsed("parse_acquire", 5, {"lock": "k::BIGINT", "lock_pid": "temp", "uid": "3", "kind": "'acquire'"}, lambda log: P.extract_wakelocks(log).where("kind = 'acquire'"))
 _parsed("parse_release", 6, {"lock": "k::BIGINT", "lock_pid": "temp", "kind": "'release'"}, lambda log: P.extract_wakelocks(log).where("kind = 'release'"))
 _parsed("parse_battery", 7, {"ac": "false", "usb": "true", "wireless": "false"}, P.extract_battery)

@@ -43,7 +43,7 @@ def test_trace_pm_and_healthd(spark):
     assert sorted(r.temp for r in P.extract_trace(lines, "thermal_temp", {"temp": "int"}).collect() if r.temp is not None) == [63]
     (r,) = P.extract_trace(lines, "cpu_frequency", {"state": "int", "cpu_id": "int"}).collect()
     assert (r.state, r.cpu_id) == (300000, 1)
-    (r,) = P.extract_trace(log(spark, HEAD + "K phonelab_proc_foreground: pid=5 tgid=6"), "phonelab_proc_foreground", {"pid": "int", "tgid": "int"}).collect()
+    (r,) = P.extract_trace(log(spark, HEAD + "K proc_foreground: pid=5 tgid=6"), "proc_foreground", {"pid": "int", "tgid": "int"}).collect()
     assert (r.pid, r.tgid, r.tid) == (5, 6, 32)
     assert sorted(r.pm for r in P.extract_pm(lines).collect()) == ["entry", "exit"]
     assert sorted(r.chg for r in P.extract_healthd(lines).collect()) == ["", "a"]
