@@ -37,7 +37,7 @@ HEADER_BYTES = 33
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
 _STORED = "doc_id {kind}, digest string, shared boolean, shard string, offset long, length long, n_bytes long"
 #: More digests of several rows than this are joined by a shuffle instead of a broadcast.
-BROADCAST_DIGESTS = 500_000
+BROADCAST_DIGESTS = 200_000
 #: Members of a shard that lie closer than this are fetched by one read.
 READ_BYTES = 4 * 1024 * 1024
 
