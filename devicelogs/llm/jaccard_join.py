@@ -288,7 +288,6 @@ class _Join:
         postings = head_rows.select(F.col("rep").alias("gid"), "n", "own", F.posexplode("prefix").alias("i", "key")).select("gid", "n", "key", (F.col("own") + F.col("i")).alias("pos"))
         self.postings = tables.keep(postings)
         tables.drop(prefixes)
-        self.hot_from = max(HOT_GROUPS, self.postings.count() // HOT_SHINGLES)  # so there are HOT_SHINGLES of them at most
 
     def units(self) -> DataFrame:
         """gid, label, head: the groups, cut by label."""
@@ -315,12 +314,14 @@ class _Join:
         self.tables.drop(links)
         self.labels = self.tables.keep(old.unionByName(more))
 
-    def salted(self, rows: DataFrame, stats: DataFrame, way: str) -> tuple[DataFrame, DataFrame]:
-        """Rows and one row per key of stats, with a salt that deals the rows of a key with many groups."""
-        hot = F.broadcast(stats.where(F.col("m") > self.hot_from).select("key", F.ceil(F.col("m") / self.hot_from).cast("int").alias("salts")))
-        dealt = rows.join(hot, "key", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64(way), "salts"), F.lit(0))).drop("salts")
-        copies = F.coalesce(F.ceil(F.col("m") / self.hot_from).cast("int"), F.lit(1))
-        return dealt, stats.withColumn("salt", F.explode(F.sequence(F.lit(0), copies - 1)))
+    @staticmethod
+    def salted(rows: DataFrame, stats: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Rows with a salt that deals those of a key with many groups, and the rows of stats (key, m) for each salt of their key."""
+        hot_from = max(HOT_GROUPS, (stats.agg(F.sum("m")).first()[0] or 0) // HOT_SHINGLES)  # so there are HOT_SHINGLES of them at most
+        salts = F.greatest(F.ceil(F.col("m") / hot_from).cast("int"), F.lit(1))
+        hot = F.broadcast(stats.where(F.col("m") > hot_from).select("key", salts.alias("salts")))
+        dealt = rows.join(hot, "key", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("gid"), "salts"), F.lit(0))).drop("salts")
+        return dealt, stats.withColumn("salts", salts).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
 
     def stars(self) -> DataFrame:
         """Pairs (a, b): every class with its group's head, and of each shingle's groups one per label with the first."""
@@ -336,7 +337,7 @@ class _Join:
         lists = self.tables.keep(lists)
         first = lists.groupBy("key").agg(F.count("*").alias("m"), F.min_by(F.struct("gid", "n", "pos"), "gid").alias("h")).where("m > 1")
         first = self.tables.keep(first.select("key", "m", "h.*"))
-        dealt, hubs = self.salted(lists, first, "gid")
+        dealt, hubs = self.salted(lists, first)
         met = dealt.alias("o").join(hubs.alias("h"), ["key", "salt"]).where("o.gid <> h.gid").where(_sizes_fit(F.col("o.n"), F.col("h.n")) & _overlap_fits("o", "h"))
         return inside.unionByName(met.select(F.col("h.gid").alias("a"), F.col("o.gid").alias("b")))
 
@@ -348,12 +349,11 @@ class _Join:
         by_label = lists.groupBy("key", "label").agg(F.count("*").alias("k"))
         stats = by_label.groupBy("key").agg(F.sum("k").alias("m"), F.max_by("label", "k").alias("most"), F.count("*").alias("labels")).where("labels > 1")
         stats = self.tables.keep(stats.select("key", "m", "most"))
-        dealt, keys = self.salted(lists, stats, "gid")
-        open_lists = self.tables.keep(dealt.join(keys.select("key", "salt", "most", "m"), ["key", "salt"]))
+        dealt, keys = self.salted(lists, stats)
+        open_lists = self.tables.keep(dealt.join(keys.select("key", "salt", "most", "salts"), ["key", "salt"]))
         # of two labels one at least isn't the most frequent
-        fewer = open_lists.where("label <> most").drop("salt").withColumn("salt", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("m") / self.hot_from).cast("int"), F.lit(1)) - 1)))
-        every = open_lists.withColumn("salt", F.when(F.col("m") > self.hot_from, F.col("salt")).otherwise(0))
-        met = fewer.alias("h").join(every.alias("o"), ["key", "salt"]).where("o.label <> h.label")
+        fewer = open_lists.where("label <> most").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+        met = fewer.alias("h").join(open_lists.alias("o"), ["key", "salt"]).where("o.label <> h.label")
         met = met.where(_sizes_fit(F.col("o.n"), F.col("h.n")) & _overlap_fits("o", "h"))
         one, two = F.struct("h.gid", "h.label"), F.struct("o.gid", "o.label")
         groups = met.select(F.least(one, two).alias("x"), F.greatest(one, two).alias("y")).distinct()
