@@ -11,6 +11,7 @@ gives an empty result. Other columns of the input are not read. A text of any le
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 import re
@@ -20,8 +21,8 @@ from functools import lru_cache
 from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -241,19 +242,21 @@ def tree(coder: Encoder, leaves: list[Segment], text_of: Callable[[int, int], st
 
 # Spark
 
-_LEAF = "row long, leaf int, start long, text string"
+_LEAF = "doc_id {kind}, digest binary, leaf int, start long, text string"
 _ENCODED_LEAF = f"{_LEAF}, tokens binary"
 
 
 def _cut(most: int) -> Callable:
+    """Leaves of each text. A text's name is its digest: unlike a row number it is the same whenever the rows are computed again."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, text in zip(batch.column("row").to_pylist(), batch.column("text"), strict=True):
+            doc_ids = batch.column("doc_id")
+            for row, text in enumerate(batch.column("text")):
                 text = text.as_py()
-                bounds = leaf_bounds(len(text), most)
-                columns = [[row] * len(bounds), range(len(bounds)), [a for a, _ in bounds], [text[a:b] for a, b in bounds]]
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["row", "leaf", "start", "text"])
+                digest, bounds = hashlib.sha256(text.encode()).digest(), leaf_bounds(len(text), most)
+                columns = [doc_ids.take(pa.array([row] * len(bounds), pa.int64())), pa.array([digest] * len(bounds), pa.binary()), pa.array(range(len(bounds)), pa.int32()), pa.array([a for a, _ in bounds], pa.int64())]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([text[a:b] for a, b in bounds], pa.string())], names=["doc_id", "digest", "leaf", "start", "text"])
 
     return run
 
@@ -268,13 +271,14 @@ def _encode_leaves(path: str) -> Callable:
 
 
 def _join_leaves(path: str, decoded: bool) -> Callable:
-    def run(leaves: pd.DataFrame) -> pd.DataFrame:
-        leaves = leaves.sort_values("leaf")
-        text = "".join(leaves.text)
-        segments = [(a, a + len(t), np.frombuffer(k, "<i8").reshape(-1, 3)) for a, t, k in zip(leaves.start, leaves.text, leaves.tokens, strict=True)]
+    def run(leaves: pa.Table) -> pa.Table:
+        copies = pc.sum(pc.equal(leaves.column("leaf"), 0)).as_py()  # rows that are equal in doc_id and text
+        doc_ids, parts = leaves.column("doc_id").slice(0, 1), leaves.select(["leaf", "start", "text", "tokens"]).sort_by("leaf").to_pylist()[::copies]
+        text = "".join(p["text"] for p in parts)
+        segments = [(p["start"], p["start"] + len(p["text"]), np.frombuffer(p["tokens"], "<i8").reshape(-1, 3)) for p in parts]
         raw = np.array(tree(encoder(path), segments, lambda a, b: text[a:b]), "<u4").tobytes()
-        found = {"row": [leaves.row.iloc[0]], "ids": [raw]}
-        return pd.DataFrame(found | {"decoded": [encoder(path).decode(raw)]} if decoded else found)
+        columns = {"doc_id": doc_ids.take(pa.array([0] * copies)), "ids": pa.array([raw] * copies, pa.binary())}
+        return pa.table(columns | {"decoded": pa.array([encoder(path).decode(raw)] * copies, pa.string())} if decoded else columns)
 
     return run
 
@@ -296,11 +300,10 @@ def _encode_rows(path: str, decoded: bool) -> Callable:
 
 
 def encode_long(rows: DataFrame, path: str, most: int = LONG_CHARS, decoded: bool = False) -> DataFrame:
-    """doc_id and ids of rows (doc_id, text) by tree concatenation, and decoded if that is asked for."""
-    numbered = rows.withColumn("row", F.monotonically_increasing_id())
-    leaves = numbered.select("row", "text").mapInArrow(_cut(max(most // 2, 1)), _LEAF).repartition("row", "leaf").mapInArrow(_encode_leaves(path), _ENCODED_LEAF)
-    joined = leaves.groupBy("row").applyInPandas(_join_leaves(path, decoded), "row long, ids binary" + ", decoded string" * decoded)
-    return numbered.select("row", "doc_id").join(joined, "row").drop("row")
+    """doc_id and ids of rows (doc_id, text) by tree concatenation, and decoded if that is asked for. doc_id goes with the leaves."""
+    kind = dict(rows.dtypes)["doc_id"]
+    leaves = rows.mapInArrow(_cut(max(most // 2, 1)), _LEAF.format(kind=kind)).repartition("digest", "leaf").mapInArrow(_encode_leaves(path), _ENCODED_LEAF.format(kind=kind))
+    return leaves.groupBy("doc_id", "digest").applyInArrow(_join_leaves(path, decoded), f"doc_id {kind}, ids binary" + ", decoded string" * decoded)
 
 
 def _encoded(docs: DataFrame, path: str, doc_id: str, text: str, long_chars: int, decoded: bool) -> DataFrame:

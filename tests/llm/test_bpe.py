@@ -4,6 +4,8 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from devicelogs.llm import bpe
 from devicelogs.llm.query_09 import op9_bpe_round_trip
 
@@ -54,6 +56,20 @@ def test_spark_round_trip(spark):
     assert bpe.encode(docs.limit(0)).count() == 0
 
 
+def test_shuffled_input(spark, tmp_path):
+    """Long texts keep their doc_id when a shuffle, a random sort or a join comes before; rows that are equal each give a row."""
+    texts = [f"text {i} " + f"w{i}x " * (200 + 7 * i) for i in range(40)]
+    path = str(tmp_path / "docs")
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(3, texts[3]), (None, texts[5]), (None, texts[6])], "doc_id long, text string").write.parquet(path)
+    docs = spark.read.parquet(path)
+    keys = docs.select(F.col("doc_id").alias("k")).distinct()
+    shuffled = [docs, docs.repartition(3), docs.orderBy(F.rand()), docs.join(keys, F.expr("doc_id <=> k")).drop("k")]
+    expected = sorted([(str(i), want(t)) for i, t in enumerate(texts)] + [("3", want(texts[3])), ("None", want(texts[5])), ("None", want(texts[6]))])
+    for rows in shuffled:
+        assert sorted((str(r.doc_id), ids(r.ids)) for r in bpe.encode(rows, long_chars=300).collect()) == expected
+    assert sorted((str(r.doc_id), ids(r.ids)) for r in bpe.round_trip(shuffled[1], long_chars=300).select("doc_id", "ids").collect()) == expected
+
+
 def test_query_on_the_small_tables(spark):
     rows = {r.doc_id: r for r in op9_bpe_round_trip(spark, "/root/testdata/sf0.001").collect()}
     for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect():

@@ -75,6 +75,8 @@ def test_pack_against_brute_force(spark):
     parts = p.pieces(docs, long_chars=3000).collect()  # most of the long text's tokens come from the tree
     assert {(r.doc_id, r.piece): (r.start, r.length, r.ids_crc32) for r in parts} == want and len(parts) == len(want)
     assert len({(r.length, r.task, r.local) for r in parts}) == len(parts)
+    parts = p.pieces(docs.repartition(5), long_chars=3000).collect()
+    assert {(r.doc_id, r.piece): (r.start, r.length, r.ids_crc32) for r in parts} == want and len(parts) == len(want)
     odd = p.pack(docs.selectExpr("if(doc_id % 2 = 0, null, concat('d', doc_id)) as doc_id", "text")).collect()
     assert len(odd) == len(want) and sum(r.doc_id is None for r in odd) > 90
 
