@@ -1,14 +1,16 @@
 """Language identification by the code length of a text under one byte model for each language (prediction by partial matching).
 
 Words (between ASCII white space, lower-cased, as UTF-8) are coded byte by byte, each with the space after it. The context of a byte is up to
-ORDER bytes before it and reaches back to the space before the word, so a word costs the same wherever it stands; each worker keeps the costs
-of the words it has met. Where a byte was never seen after a context, an escape is coded and the next shorter context tried, without the
-bytes that the longer one would have coded (exclusion); below the empty context all bytes left are alike. With d distinct bytes among n
-after a context the escape has probability d / (n + d). The statistics are frozen: coding changes no count. Costs are whole numbers of
-1 / UNIT bit, so sums are exact and don't depend on the order of words. The language with the least cost is predicted, of equals the first by name.
+ORDER bytes before it and reaches back to the space before the word. Where a byte was never seen after a context, an escape is coded and the
+next shorter context tried, without the bytes that the longer one would have coded (exclusion); below the empty context all bytes left are
+alike. With d distinct bytes among n after a context the escape has probability d / (n + d). The statistics are frozen: coding changes no
+count, so the cost of a byte depends on its window alone, which is the byte with its context. Each worker keeps the costs of the windows it
+has met and sums them over a text. Costs are whole numbers of 1 / UNIT bit, so sums are exact and don't depend on their order. The language
+with the least cost is predicted, of equals the first by name.
 
 The model is fitted on a bounded sample: in each language the PER_LANGUAGE documents with the smallest hash of their doc_id, outside of the
-held-out fold; contexts seen once are left out, but for the empty one. Spark counts words by language and then contexts by language.
+held-out fold; contexts seen once are left out, but for the empty one. Spark counts windows by
+language and then the contexts in them.
 
 Null text, and text without a letter, is ``und`` with score 0, and so is every row if nothing can be learnt. Rows are scored by their texts
 alone; a null doc_id is not held out and is never learnt from. Repeated rows get equal results and are learnt from as often as they occur.
@@ -22,14 +24,13 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import held_out, written
+from .common import SPACES, held_out, written
 
 #: Documents that a language is learnt from, at most.
 PER_LANGUAGE = 2_000
@@ -37,14 +38,19 @@ ORDER = 4
 FOLDS, HELD_OUT = 4, 2
 UNIT = 1 << 16
 UNDETERMINED = "und"
-#: Words whose costs a worker keeps, and the longest of them.
-CACHED_WORDS = 200_000
-CACHED_CHARS = 64
+#: Code points whose windows are held at once, or one text.
+BATCH_CHARS = 1_000_000
+#: Costs (windows times languages) that a worker keeps.
+CACHED_COSTS = 1 << 22
 #: More languages than this are joined by a shuffle.
 BROADCAST_LANGUAGES = 10_000
 
 _LETTER = re.compile(r"[^\W\d_]")
 _SPACE = 0x20
+_FIELD = 9
+_MASK = (1 << _FIELD) - 1
+#: Bytes as they are, and a space for each byte of white space.
+_PLAIN = np.array([_SPACE if bytes([b]) in SPACES else b for b in range(256)], np.uint8)
 
 Counts = dict[bytes, dict[int, int]]  # by context: how often each byte followed
 
@@ -52,34 +58,52 @@ Counts = dict[bytes, dict[int, int]]  # by context: how often each byte followed
 # Code lengths
 
 
-def steps(word: bytes, order: int = ORDER) -> Iterator[tuple[bytes, int]]:
-    """The contexts and bytes of a word and the space after it."""
-    line = b" " + word + b" "
-    for k in range(1, len(line)):
-        yield line[max(0, k - order) : k], line[k]
-
-
-def cost(counts: Counts, word: bytes, order: int = ORDER) -> int:
-    """Code length of a word in 1 / UNIT bit."""
-    total = 0.0
-    for context, byte in steps(word, order):
-        excluded: set[int] = set()
-        while True:
-            after = counts.get(context)
-            if after:
-                seen = {b: n for b, n in after.items() if b not in excluded} if excluded else after
-                if seen:
-                    size, distinct = sum(seen.values()), len(seen)
-                    if byte in seen:
-                        total -= math.log2(seen[byte] / (size + distinct))
-                        break
-                    total -= math.log2(distinct / (size + distinct)) if len(excluded) + distinct < 256 else 0.0
-                    excluded.update(seen)
-            if not context:
-                total += math.log2(256 - len(excluded))
-                break
-            context = context[1:]
-    return round(total * UNIT)
+def windows(texts: list[str], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
+    """The windows of all coded bytes and how many each text has. A window is a number of FIELD bits for the byte (one more than it), then the byte before it and so on."""
+    parts = [b" %b " % t.lower().encode() for t in texts]
+    raw = _PLAIN[np.frombuffer(b"".join(parts), np.uint8)]
+    begins = np.cumsum([0, *map(len, parts)])[:-1]
+    space = raw == _SPACE
+    kept = ~space
+    kept[1:] |= ~space[:-1]
+    kept[begins] = True  # each text has one space before its first word
+    sizes = np.add.reduceat(kept, begins, dtype=np.int64)
+    raw, space = raw[kept], space[kept]
+    value, inside = raw.astype(np.int64) + 1, np.ones(len(raw), bool)
+    found = value.copy()
+    for k in range(1, order + 1):
+        before = np.zeros(len(raw), np.int64)
+        before[k:] = value[:-k] << (_FIELD * k)
+        found |= np.where(inside, before, 0)
+        inside[k:] &= ~space[:-k]  # a context ends at the space before the word
+    coded = np.ones(len(raw), bool)
+    coded[np.cumsum([0, *sizes])[:-1]] = False
+    return found[coded], sizes - 1
+
+
+def unpacked(window: int) -> tuple[bytes, int]:
+    """Context and byte of a window."""
+    byte, context = (window & _MASK) - 1, []
+    while window := window >> _FIELD:
+        context.append((window & _MASK) - 1)
+    return bytes(context[::-1]), byte
+
+
+def cost(counts: Counts, context: bytes, byte: int) -> int:
+    """Code length of a byte in 1 / UNIT bit."""
+    total, excluded = 0.0, set()
+    while True:
+        after = counts.get(context)
+        seen = {b: n for b, n in after.items() if b not in excluded} if after and excluded else after
+        if seen:
+            size, distinct = sum(seen.values()), len(seen)
+            if byte in seen:
+                return round((total - math.log2(seen[byte] / (size + distinct))) * UNIT)
+            total -= math.log2(distinct / (size + distinct))
+            excluded.update(seen)
+        if not context:
+            return round((total + math.log2(256 - len(excluded))) * UNIT)
+        context = context[1:]
 
 
 class Model:
@@ -94,45 +118,77 @@ class Model:
 
 
 class Scorer:
-    """A model with the costs of the words met so far."""
+    """A model with the costs of the windows met so far: most in a table by a hash of the window, those whose place is taken in a sorted list."""
 
     def __init__(self, model: Model):
-        self.model, self.costs, self.known = model, [], {}
-
-    def number(self, word: str) -> int:
-        raw = word.lower().encode()
-        self.costs.append([cost(c, raw, self.model.order) for c in self.model.counts])
-        return len(self.costs) - 1
-
-    def totals(self, words: list[str]) -> np.ndarray:
-        """The cost of the words in each language."""
-        known, numbers = self.known, []
-        for w in words:
-            k = known.get(w)
-            if k is None:
-                k = known[w] = self.number(w)
-            numbers.append(k)
-        distinct, times = np.unique(np.array(numbers, np.int64), return_counts=True)
-        made = times @ np.array([self.costs[k] for k in distinct.tolist()], np.int64).reshape(-1, len(self.model.languages))
-        if len(self.costs) > CACHED_WORDS:
-            self.known, self.costs = {}, []
-        elif words and max(map(len, words)) > CACHED_CHARS:
-            for w in words:
-                if len(w) > CACHED_CHARS:
-                    known.pop(w, None)
-        return made
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        """The language and its share of the probability of the text, all languages alike before."""
-        if not self.model.languages or not text or not _LETTER.search(text):
-            return UNDETERMINED, 0.0
-        totals = self.totals(_words(text))
-        best = int(totals.argmin())
-        return self.model.languages[best], float(1 / np.exp2(np.clip((totals[best] - totals) / UNIT, -1000, 0)).sum())
-
-
-def _words(text: str) -> list[str]:
-    return [w.decode() for w in text.encode().split()]
+        self.model, self.bits = model, max(8, (CACHED_COSTS // (len(model.languages) + 2)).bit_length() - 1)
+        self.forget()
+
+    def forget(self) -> None:
+        n = len(self.model.languages)
+        self.keys, self.table = np.zeros(1 << self.bits, np.int64), np.zeros((1 << self.bits, n), np.int32)
+        self.others, self.costs, self.size = np.zeros(0, np.int64), np.zeros((0, n), np.int32), 0
+
+    def _places(self, found: np.ndarray) -> np.ndarray:
+        return ((found.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).view(np.int64)
+
+    def learn(self, found: np.ndarray) -> None:
+        """Computes the costs of distinct windows."""
+        new = found[~np.isin(found, self.others)]
+        if not len(new):
+            return
+        orders = [[cost(c, context, byte) for c in self.model.counts] for context, byte in map(unpacked, new.tolist())]
+        made, places = np.array(orders, np.int32), self._places(new)
+        first = np.zeros(len(new), bool)
+        first[np.unique(places, return_index=True)[1]] = True
+        first &= self.keys[places] == 0
+        self.keys[places[first]], self.table[places[first]] = new[first], made[first]
+        others, costs = np.concatenate([self.others, new[~first]]), np.concatenate([self.costs, made[~first]])
+        order = np.argsort(others)
+        self.others, self.costs, self.size = others[order], costs[order], self.size + len(new)
+
+    def totals(self, texts: list[str]) -> np.ndarray:
+        """The cost of each text in each language."""
+        found, sizes = windows(texts, self.model.order)
+        places = self._places(found)
+        missed = np.flatnonzero(self.keys[places] != found)
+        if len(missed):
+            self.learn(np.unique(found[missed]))
+            missed = missed[self.keys[places[missed]] != found[missed]]
+        ends, made = np.cumsum(sizes), []
+        rest = np.searchsorted(self.others, found[missed])
+        for k in range(len(self.model.languages)):
+            each = self.table[places, k]
+            each[missed] = self.costs[rest, k]
+            upto = np.concatenate([[0], np.cumsum(each, dtype=np.int64)])
+            made.append(upto[ends] - upto[ends - sizes])
+        if self.size > 1 << self.bits:
+            self.forget()
+        return np.array(made).T
+
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """Of each text the language and its share of the probability of the text, all languages alike before."""
+        found = [(UNDETERMINED, 0.0)] * len(texts)
+        chosen = [k for k, t in enumerate(texts) if t and _LETTER.search(t)] if self.model.languages else []
+        if chosen:
+            totals = self.totals([texts[k] for k in chosen])
+            best = totals.argmin(axis=1)
+            share = 1 / np.exp2(np.clip((totals.min(axis=1, keepdims=True) - totals) / UNIT, -1000, 0)).sum(axis=1)
+            for k, b, x in zip(chosen, best.tolist(), share.tolist(), strict=True):
+                found[k] = self.model.languages[b], x
+        return found
+
+
+def _grouped(texts: list[str | None]) -> Iterator[list[str | None]]:
+    group, size = [], 0
+    for text in texts:
+        if group and size + len(text or "") > BATCH_CHARS:
+            yield group
+            group, size = [], 0
+        group.append(text)
+        size += len(text or "")
+    if group:
+        yield group
 
 
 # Spark
@@ -148,33 +204,36 @@ def sample(docs: DataFrame, bound: int = PER_LANGUAGE) -> DataFrame:
     return rows.join(F.broadcast(last) if small else last, "lang").where("h <= last and text is not null").select("lang", "text")
 
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        counts: Counter = Counter()
-        for language, text in zip(batch.column("lang").to_pylist(), batch.column("text"), strict=True):
-            counts.update((language, w.lower()) for w in _words(text.as_py()))
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in counts], pa.string()), pa.array([k[1] for k in counts], pa.string()), pa.array(counts.values(), pa.int64())], names=["lang", "word", "n"])
-
-
-def _count_contexts(order: int) -> Callable:
+def _count_windows(order: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts: Counter = Counter()
-            for language, word, n in zip(*(batch.column(c).to_pylist() for c in ("lang", "word", "n")), strict=True):
-                for context, byte in steps(word.encode(), order):
-                    for k in range(len(context) + 1):
-                        counts[language, context[k:], byte] += n
-            language, context, byte = zip(*counts, strict=True) if counts else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(language, pa.string()), pa.array(context, pa.binary()), pa.array(byte, pa.int32()), pa.array(counts.values(), pa.int64())], names=["lang", "context", "byte", "n"])
+            by = defaultdict(list)
+            for language, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                by[language].append(text)
+            for language, texts in by.items():
+                for group in _grouped(texts):
+                    distinct, n = np.unique(windows(group, order)[0], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([language] * len(distinct), pa.string()), pa.array(distinct), pa.array(n, pa.int64())], names=["lang", "window", "n"])
 
     return run
 
 
+def _count_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        counts: Counter = Counter()
+        for language, window, n in zip(*(batch.column(c).to_pylist() for c in ("lang", "window", "n")), strict=True):
+            context, byte = unpacked(window)
+            for k in range(len(context) + 1):
+                counts[language, context[k:], byte] += n
+        language, context, byte = zip(*counts, strict=True) if counts else ((), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(language, pa.string()), pa.array(context, pa.binary()), pa.array(byte, pa.int32()), pa.array(counts.values(), pa.int64())], names=["lang", "context", "byte", "n"])
+
+
 def count_contexts(rows: DataFrame, order: int = ORDER) -> DataFrame:
     """lang, context, byte, n of rows (lang, text)."""
-    words = rows.mapInArrow(_count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    found = words.mapInArrow(_count_contexts(order), "lang string, context binary, byte int, n long").groupBy("lang", "context", "byte").agg(F.sum("n").alias("n"))
-    return found.where((F.col("n") > 1) | (F.length("context") == 0))
+    found = rows.mapInArrow(_count_windows(order), "lang string, window long, n long").groupBy("lang", "window").agg(F.sum("n").alias("n"))
+    counted = found.mapInArrow(_count_contexts, "lang string, context binary, byte int, n long").groupBy("lang", "context", "byte").agg(F.sum("n").alias("n"))
+    return counted.where((F.col("n") > 1) | (F.length("context") == 0))
 
 
 def train(docs: DataFrame, bound: int = PER_LANGUAGE, order: int = ORDER) -> Model:
@@ -191,7 +250,7 @@ def _score(shared) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _scorer(shared)
         for batch in batches:
-            found = [scorer.predict(t.as_py()) for t in batch.column("text")]
+            found = [x for group in _grouped(batch.column("text").to_pylist()) for x in scorer.predict(group)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     return run

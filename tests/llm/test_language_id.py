@@ -47,9 +47,29 @@ def test_costs_equal_the_definition(texts, word, order):
     rows = count([("x", t) for t in texts], order)
     model = g.Model([(*k, n) for k, n in rows.items()], order)
     counts = {(c, b): n for (_, c, b), n in rows.items()}
-    got = g.cost(model.counts[0], word.encode(), order) if model.counts else None
-    if got is not None:
-        assert abs(got / g.UNIT - brute_cost(counts, word.encode(), order)) < 1e-4
+    if model.counts:
+        line = b" " + word.encode() + b" "
+        got = sum(g.cost(model.counts[0], line[max(0, k - order) : k], line[k]) for k in range(1, len(line)))
+        assert abs(got / g.UNIT - brute_cost(counts, word.encode(), order)) < 1e-3
+        if word:
+            scorer = g.Scorer(model)
+            scorer.keys[:] = 1  # every place is taken
+            assert g.Scorer(model).totals(["", word, f" {word}\t\n{word}"])[:, 0].tolist() == scorer.totals(["", word, f" {word}\t\n{word}"])[:, 0].tolist() == [0, got, 2 * got]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text(alphabet="abÉ \x00\n\x1c", max_size=8), min_size=1, max_size=4), st.integers(0, 6))
+def test_windows(texts, order):
+    found, sizes = g.windows(texts, order)
+    want, at = [], 0
+    for text, n in zip(texts, sizes.tolist()):
+        steps = []
+        for word in text.lower().encode().split():
+            line = b" " + word + b" "
+            steps += [(line[max(0, k - order) : k], line[k]) for k in range(1, len(line))]
+        assert [g.unpacked(x) for x in found[at : at + n].tolist()] == steps
+        at += n
+    assert at == len(found)
 
 
 def test_probabilities_sum_to_one():
@@ -78,7 +98,7 @@ def test_spark_counts_and_prediction(spark):
     for (x, c, b), n in want.items():
         counts[x][c, b] = n
     bits = {x: sum(brute_cost(counts[x], w.lower().encode(), 3) for w in "The cat est".split()) for x in ("en", "fr")}
-    got = g.Scorer(model).predict("The cat est")
+    got = g.Scorer(model).predict(["The cat est"])[0]
     assert got[0] == min(bits, key=bits.get) and abs(got[1] - 1 / sum(2 ** (min(bits.values()) - b) for b in bits.values())) < 1e-3
     empty = g.identify(docs.limit(0), model)
     assert empty.count() == 0 and empty.columns == ["doc_id", "held_out", "lang_pred", "score"]
