@@ -13,7 +13,7 @@ held-out fold; contexts seen once are left out, but for the empty one. Spark cou
 language and then the contexts in them.
 
 Null text, and text without a letter, is ``und`` with score 0, and so is every row if nothing can be learnt. Rows are scored by their texts
-alone; a null doc_id is not held out and is never learnt from. Repeated rows get equal results and are learnt from as often as they occur.
+alone; a null doc_id is not held out and is never learnt from. Repeated rows get equal results and are learnt from as often as they occur, together or not at all.
 Other columns are not read. Texts of any length are scored whole. An empty table gives an empty result.
 """
 
@@ -195,13 +195,18 @@ def _grouped(texts: list[str | None]) -> Iterator[list[str | None]]:
 
 
 def sample(docs: DataFrame, bound: int = PER_LANGUAGE) -> DataFrame:
-    """lang and text of the rows that are learnt from: all with a hash up to the bound-th smallest of their language."""
+    """lang and text of the rows that are learnt from: those with the smallest hashes of their language, as many as the bound takes. Rows of one
+    doc_id go together; if they are more than the bound by themselves, they and all behind them stay out."""
     known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), FOLDS, HELD_OUT))
     rows = known.select("lang", F.xxhash64(F.col("doc_id").cast("string")).alias("h"), F.col("text").cast("string").alias("text"))
-    first = rows.select("lang", "h").withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("k") <= bound)  # cut down before the shuffle
-    last = written(first.groupBy("lang").agg(F.max("h").alias("last")))
-    small = last.count() <= BROADCAST_LANGUAGES
-    return rows.join(F.broadcast(last) if small else last, "lang").where("h <= last and text is not null").select("lang", "text")
+    sizes = written(rows.groupBy("lang").agg(F.count("*").alias("size")))
+    small = sizes.count() <= BROADCAST_LANGUAGES
+    by_language = lambda df, other: df.join(F.broadcast(other) if small else other, "lang")
+    share = (F.col("h") / 2.0**64 + 0.5) * F.col("size") <= 2 * bound  # hashes are even: about twice the bound stays to be ordered
+    hashes = by_language(rows.select("lang", "h"), sizes).where(share).groupBy("lang", "h").agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("lang").orderBy("h"))
+    last = written(hashes.withColumn("upto", upto).where(F.col("upto") <= bound).groupBy("lang").agg(F.max("h").alias("last")))
+    return by_language(rows, last).where("h <= last and text is not null").select("lang", "text")
 
 
 def _count_windows(order: int) -> Callable:

@@ -109,6 +109,8 @@ def test_spark_counts_and_prediction(spark):
 def test_sample_is_bounded_by_language(spark):
     docs = spark.range(400).selectExpr("id as doc_id", "if(id % 10 = 0, 'b', 'a') as lang", "'t' as text")
     assert {r.lang: r["count"] for r in g.sample(docs, 25).groupBy("lang").count().collect()} == {"a": 25, "b": 25}
+    same = docs.selectExpr("if(lang = 'a', 5, doc_id) as doc_id", "lang", "text")
+    assert {r.lang: r["count"] for r in g.sample(same, 25).groupBy("lang").count().collect()} == {"b": 25}
 
 
 def test_held_out_accuracy(spark):
