@@ -17,6 +17,7 @@ from .plans import sessions as W
 from .sources import logs as L
 from .sources.adapter import alarms_of, read_ctx, read_events
 from .streaming import jobs as R
+from .streaming import stateful as T
 
 HOUR = 3_600_000_000
 #: (ts_us, line_id) isn't unique in the context-switch rows; these are, but for rows that are equal.
@@ -510,9 +511,6 @@ def match_set_alarms(spark, sf_dir):
     return A.match_set_alarms(rows.where("tag = 'signup'"), rows.where("tag = 'click'")).select("set_line", "delivered_line")
 
 
-@query()
-def ambient_from_suspend(spark, sf_dir):
-    return M.ambient_from_suspend(states(read_events(spark, sf_dir)))
 
 
 def _lock_events(spark, sf_dir) -> DataFrame:
@@ -772,6 +770,62 @@ def stream_ambient_from_suspend(spark, sf_dir):
     return _streamed(R.ambient_from_suspend(_event_stream(spark, sf_dir)))
 
 
+#: As a walk over all rows, in the order of tokens, which is that of ts_us and event_id.
+_AMBIENT = f"WITH RECURSIVE {LOG}, {{walk}} SELECT device_id, boot_id, hit AS ts_us, now AS ambient_temp, strftime(make_timestamp(hit), '%Y%m%d') AS day FROM wk WHERE hit IS NOT NULL"
+
+
+# Keyed state behind the watermark
+
+#: Rows that the watermark, an hour behind the last event, has passed.
+_BEHIND = "ts_us <= (SELECT max(ts_us) FROM log) // 1000 * 1000 - 3600000000"
+
+
+def _stateful(df: DataFrame) -> DataFrame:
+    with T.start_with_rocksdb(df.sparkSession):
+        return _streamed(df)
+
+
+@query(f"WITH {LOG}, l AS (SELECT device_id, boot_id, event_id, lag(event_id) OVER (PARTITION BY device_id, boot_id ORDER BY ts_us, event_id) AS b FROM log WHERE {_BEHIND}) SELECT device_id, boot_id, event_id AS line_id, event_id AS token FROM l WHERE b <> 0 AND event_id > b + 1")
+def stateful_gap_events(spark, sf_dir):
+    return _stateful(T.gap_events(_event_stream(spark, sf_dir)))
+
+
+@query(f"WITH {LOG}, e AS (SELECT *, last_value(CASE WHEN pm = 'entry' THEN ts_us END IGNORE NULLS) OVER (PARTITION BY device_id, boot_id ORDER BY ts_us, event_id ROWS UNBOUNDED PRECEDING) AS en FROM st WHERE {_BEHIND}) SELECT device_id, boot_id, event_id AS line_id, coalesce((ts_us - en) * 1000, -1) AS sleep_ns FROM e WHERE pm = 'exit'")
+def stateful_sleep_durations(spark, sf_dir):
+    return _stateful(T.sleep_durations(_event_stream(spark, sf_dir)))
+
+
+#: The ambient walk, one event a step: rows of (device_id, boot_id) with the state after step i and the reading that it gave.
+_AMBIENT_WALK = """am AS (SELECT device_id, boot_id, ts_us, pm, temp, row_number() OVER (PARTITION BY device_id, boot_id ORDER BY ts_us, event_id) AS i FROM st{where}),
+wk AS (SELECT device_id, boot_id, 0::BIGINT AS i, NULL::BIGINT AS entry, NULL::BIGINT AS gone, 0 AS before, 0 AS now, false AS waiting, NULL::BIGINT AS hit FROM (SELECT DISTINCT device_id, boot_id FROM am)
+  UNION ALL SELECT w.device_id, w.boot_id, a.i,
+    CASE WHEN a.pm = 'entry' AND (w.gone IS NULL OR w.before = 0 OR w.now > w.before) THEN a.ts_us WHEN a.pm IS NULL AND w.waiting AND a.temp <= 35 THEN NULL ELSE w.entry END,
+    CASE WHEN a.pm = 'exit' THEN a.ts_us WHEN a.pm IS NULL AND w.waiting AND a.temp <= 35 THEN NULL ELSE w.gone END,
+    CASE WHEN a.pm = 'entry' AND (w.gone IS NULL OR w.before = 0 OR w.now > w.before) THEN w.now ELSE w.before END,
+    CASE WHEN a.pm IS NULL THEN a.temp ELSE w.now END,
+    CASE WHEN a.pm = 'entry' THEN w.waiting AND NOT (w.gone IS NOT NULL AND (w.before = 0 OR w.now > w.before)) WHEN a.pm = 'exit' THEN w.waiting OR coalesce(a.ts_us - w.entry > 1200000000, false) ELSE w.waiting AND a.temp > 35 END,
+    CASE WHEN a.pm IS NULL AND w.waiting AND a.temp <= 35 THEN a.ts_us END
+  FROM wk w JOIN am a ON a.device_id = w.device_id AND a.boot_id = w.boot_id AND a.i = w.i + 1)"""
+
+
+@query(f"WITH RECURSIVE {LOG}, {_AMBIENT_WALK.format(where=' WHERE ' + _BEHIND)} SELECT device_id, boot_id, hit AS ts_us, now AS ambient_temp FROM wk WHERE hit IS NOT NULL")
+def stateful_ambient_from_suspend(spark, sf_dir):
+    return _stateful(T.ambient_from_suspend(_event_stream(spark, sf_dir)))
+
+
+@query(f"""WITH {LOG}, rd AS (SELECT * FROM log WHERE tag = 'view' AND {_BEHIND}), fr AS (SELECT device_id, boot_id, min(ts_us) AS f FROM rd GROUP BY ALL)
+SELECT p.event_id AS line_id, r.temp, count(*) AS n, p.ts_us - any_value(f) > 86400000000 AS is_full FROM rd p JOIN rd r ON r.device_id = p.device_id AND r.boot_id = p.boot_id AND r.ts_us BETWEEN p.ts_us - 86400000000 AND p.ts_us JOIN fr ON fr.device_id = p.device_id AND fr.boot_id = p.boot_id GROUP BY p.event_id, p.ts_us, r.temp""")
+def stateful_trailing_distribution(spark, sf_dir):
+    """Over the readings of one kind of event; the others only move the watermark on."""
+    readings = _event_stream(spark, sf_dir).withColumn("temp", F.when(F.col("tag") == "view", F.col("temp")))
+    return _stateful(T.trailing_at_readings(readings).select("line_id", "temp", "n", "is_full"))
+
+
+@query(_AMBIENT.format(walk=_AMBIENT_WALK.format(where="")))
+def ambient_from_suspend(spark, sf_dir):
+    return M.ambient_from_suspend(states(read_events(spark, sf_dir)))
+
+
 def queries() -> dict:
     return dict(QUERIES)
 
