@@ -826,6 +826,12 @@ def ambient_from_suspend(spark, sf_dir):
     return M.ambient_from_suspend(states(read_events(spark, sf_dir)))
 
 
+@query(_AMBIENT.format(walk=_AMBIENT_WALK.format(where="")))
+def ambient_from_suspend_in_slices(spark, sf_dir):
+    """As for boots that are too long for one task."""
+    return M.ambient_from_suspend(states(read_events(spark, sf_dir)), slices=O.token_slice(50))
+
+
 def queries() -> dict:
     return dict(QUERIES)
 
