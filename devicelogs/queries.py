@@ -642,25 +642,20 @@ def _stitched(spark, sf_dir) -> str:
     return path
 
 
-def _as_text(log: DataFrame) -> DataFrame:
-    """Partition columns are read as numbers where they look like such."""
-    return log.withColumns({c: F.col(c).cast("string") for c in ("device_id", "boot_id")})
-
-
 @query(f"WITH {LOG} SELECT device_id, boot_id, token, event_id FROM log")
 def stitch_in_steps(spark, sf_dir):
-    return _as_text(L.read_loglines(spark, _stitched(spark, sf_dir))).select("device_id", "boot_id", "token", "event_id")
+    return L.read_loglines(spark, _stitched(spark, sf_dir)).select("device_id", "boot_id", "token", "event_id")
 
 
 @query(f"WITH {LOG} SELECT device_id, boot_id, event_id FROM log WHERE device_id IN ('2', '5') AND boot_id LIKE '%-1' AND ts >= '2024-01-12' AND ts < '2024-01-16'")
 def read_selection(spark, sf_dir):
     log = L.read_loglines(spark, _stitched(spark, sf_dir), ["2", "5"], ["2-1", "5-1"])
-    return _as_text(L.in_daterange(log, "20240112-20240115")).select("device_id", "boot_id", "event_id")
+    return L.in_daterange(log, "20240112-20240115").select("device_id", "boot_id", "event_id")
 
 
 @query(f"WITH {LOG} SELECT device_id, boot_id, min(ts_us) * 1000 AS start_ns, max(ts_us) * 1000 AS end_ns, count(*) AS lines FROM log GROUP BY ALL")
 def manifest(spark, sf_dir):
-    files = _as_text(L.build_manifest(spark, _stitched(spark, sf_dir)))
+    files = L.build_manifest(spark, _stitched(spark, sf_dir))
     return files.groupBy("device_id", "boot_id").agg(F.min("start_ns").alias("start_ns"), F.max("end_ns").alias("end_ns"), F.sum("lines").alias("lines"))
 
 
@@ -832,6 +827,69 @@ def ambient_from_suspend_in_slices(spark, sf_dir):
     return M.ambient_from_suspend(states(read_events(spark, sf_dir)), slices=O.token_slice(50))
 
 
+# The stored manifest, device folders and the streaming sink
+
+
+def _stitched_by_manifest(spark, sf_dir) -> str:
+    """A stitched log in three steps, the last of which is given all files again; a third of the lines come in two files. Device ids get a leading zero where they are odd."""
+    path = f"{O.new_folder(spark)}/log"
+    odd = F.col("device_id").cast("int") % 2 == 1
+    rows = _lines(read_events(spark, sf_dir)).drop("copy").withColumn("device_id", F.when(odd, F.concat(F.lit("0"), "device_id")).otherwise(F.col("device_id")))
+    part = lambda keep, file: rows.where(keep).withColumn("file", F.lit(file))
+    files = [part("event_id % 3 < 2 and dayofmonth(ts) <= 20", "a"), part("event_id % 3 > 0 and dayofmonth(ts) <= 20", "b"), part("dayofmonth(ts) > 15", "c")]
+    given = files[0]
+    for step in range(3):
+        L.stitch_step(given, path, lambda df: df.drop("file"))
+        given = given.unionByName(files[min(step + 1, 2)]) if step < 2 else given
+    return path
+
+
+_ZEROS = "CASE WHEN device_id::INT % 2 = 1 THEN '0' ELSE '' END || device_id"
+
+
+@query(f"WITH {LOG} SELECT {_ZEROS} AS device_id, boot_id, token, event_id FROM log")
+def stitch_by_manifest(spark, sf_dir):
+    return L.read_loglines(spark, _stitched_by_manifest(spark, sf_dir)).select("device_id", "boot_id", "token", "event_id")
+
+
+@query(f"WITH {LOG} SELECT {_ZEROS} AS device_id, boot_id, min(token) AS first_token, max(token) AS last_token, min(ts_us) * 1000 AS start_ns, max(ts_us) * 1000 AS end_ns, count(*) AS lines FROM log GROUP BY ALL")
+def stored_manifest(spark, sf_dir):
+    parts = L.manifest(spark, _stitched_by_manifest(spark, sf_dir))
+    return parts.groupBy("device_id", "boot_id").agg(F.min("first_token").alias("first_token"), F.max("last_token").alias("last_token"), F.min("start_ns").alias("start_ns"), F.max("end_ns").alias("end_ns"), F.sum("lines").alias("lines"))
+
+
+def _device_folders(spark, sf_dir) -> str:
+    """Raw files in folders of devices."""
+    path = f"{O.new_folder(spark)}/raw"
+    log = read_events(spark, sf_dir)
+    lines = _text_lines(log).withColumn("device", F.split("value", "\t")[0])
+    lines.write.option("compression", "gzip").partitionBy("device").text(path)
+    return path
+
+
+_THREE = f"WITH {LOG} SELECT device_id, boot_id, token, tag || ':' AS tag FROM log WHERE device_id IN ('3', '7', '11')"
+
+
+@query(_THREE)
+def read_device_files(spark, sf_dir):
+    lines = L.read_device_files(spark, _device_folders(spark, sf_dir), ["3", "7", "11"], "device={device}", "*.gz")
+    return P.parse_loglines(lines).select("device_id", "boot_id", "token", "tag")
+
+
+@query(_THREE)
+def stream_device_files(spark, sf_dir):
+    lines = L.read_device_files(spark, _device_folders(spark, sf_dir), ["3", "7", "11"], "device={device}", "*.gz", stream=True)
+    return _streamed(P.parse_loglines(lines).select("device_id", "boot_id", "token", "tag"))
+
+
+@query(f"WITH {LOG} SELECT device_id, event_id, tag FROM log WHERE k % 2 = 0")
+def stream_result_sink(spark, sf_dir):
+    path = O.new_folder(spark)
+    rows = _event_stream(spark, sf_dir).where("k % 2 = 0").select("device_id", F.col("line_id").alias("event_id"), "tag")
+    rows.writeStream.foreachBatch(L.result_sink(path, "even")).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("device_id string, event_id long, tag string, batch int").json(f"{path}/analysis/even").drop("batch")
+
+
 def queries() -> dict:
     return dict(QUERIES)
 
