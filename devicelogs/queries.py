@@ -890,6 +890,46 @@ def stream_result_sink(spark, sf_dir):
     return spark.read.schema("device_id string, event_id long, tag string, batch int").json(f"{path}/analysis/even").drop("batch")
 
 
+# Holds in the hundreds
+
+
+def _hold_events(log: DataFrame) -> DataFrame:
+    """Each event as five lines of a second each; a click's are an alarm and two locks of its process, the second of which is released last."""
+    rows = states(log).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(4))))
+    first = lambda c: F.when(F.col("i") == 0, F.col(c)).alias(c)
+    what = F.when(F.col("tag") == "click", F.element_at(F.array(*map(F.lit, ("alarm", "acquire", "acquire", "release", "release"))), F.col("i") + 1))
+    lock = F.col("event_id") * 2 + F.when(F.col("i").isin(1, 3), 0).otherwise(1)
+    return rows.select("device_id", "boot_id", (F.col("token") * 5 + F.col("i")).alias("token"), (F.col("event_id") * 10 + F.col("i")).alias("line_id"), (F.col("ts_us") + F.col("i") * 1_000_000).alias("ts_us"),
+        first("charge"), first("screen"), what.alias("what"), (F.col("k") % 2).cast("long").alias("pid"), lock.alias("lock"), F.md5(F.col("event_id").cast("string")).alias("alarm_key"))
+
+
+_HELD = f"""{LOG}, wl AS (SELECT *, last_value(charge IGNORE NULLS) OVER w AS c, last_value(screen IGNORE NULLS) OVER w AS s, sum(CASE WHEN charge = 'charging' OR screen = 'on' THEN 1 ELSE 0 END) OVER w AS reset_id
+  FROM ep WINDOW w AS (PARTITION BY device_id, boot_id, gap_epoch ORDER BY token ROWS UNBOUNDED PRECEDING)),
+wm AS (SELECT *, max(ts_us) OVER (PARTITION BY device_id, boot_id, gap_epoch, reset_id) AS last_us FROM wl),
+hl AS (SELECT * FROM wm WHERE tag = 'click' AND c = 'unplugged' AND s = 'off' AND last_us - ts_us > 10000000)"""
+
+
+@query(f"WITH {_HELD} SELECT device_id, boot_id, (k % 2)::BIGINT AS pid, md5(event_id::VARCHAR) AS alarm_key, ts_us AS alarm_us, ts_us + 1000000 AS acquire_us, ts_us + 4000000 AS release_us, ts_us + 14000000 AS until_us FROM hl")
+def nested_holds(spark, sf_dir):
+    return M.wakelock_holds(_hold_events(read_events(spark, sf_dir)))
+
+
+@query(f"""WITH {_HELD} SELECT md5(event_id::VARCHAR) AS alarm_key, event_id % 2 AS cpu, event_id * 10 + 2 AS line_id, (3 * temp + 6)::BIGINT AS period_total, round((temp + 2) / (3 * temp + 6), 6) AS share, temp * 1000 AS frequency, 3000000::BIGINT AS duration_us
+FROM hl WHERE temp <> -2""")
+def nested_hold_cpu(spark, sf_dir):
+    """Each click's process runs in a period of three seconds within its hold."""
+    log = read_events(spark, sf_dir)
+    ctx = _event_ctx(log).withColumns({"pid": F.col("pid") % 2, "tgid": F.col("tgid") % 2, "ts_us": F.col("ts_us") + 2_000_000})
+    freq = log.where("tag = 'click'").select("device_id", "boot_id", (F.col("ts_us") + 1_500_000).alias("ts_us"), (F.col("event_id") % 2).alias("cpu"), (F.col("temp") * 1000).alias("freq"))
+    found = M.alarm_wakelock_cpu(O.written(M.wakelock_holds(_hold_events(log))), ctx, freq)
+    return found.select("alarm_key", "cpu", "line_id", "period_total", F.round("share", 6).alias("share"), "frequency", "duration_us")
+
+
+@query(f"WITH {_HELD} SELECT device_id, 3.0::DOUBLE AS mean_hold_s FROM hl GROUP BY device_id")
+def nested_mean_hold(spark, sf_dir):
+    return M.mean_hold(M.wakelock_holds(_hold_events(read_events(spark, sf_dir))))
+
+
 def queries() -> dict:
     return dict(QUERIES)
 
