@@ -930,6 +930,33 @@ def nested_mean_hold(spark, sf_dir):
     return M.mean_hold(M.wakelock_holds(_hold_events(read_events(spark, sf_dir))))
 
 
+# Idle gaps
+
+_IDLE = f"""{LOG}, ig AS (SELECT *, ts_us + CASE WHEN tag = 'error' THEN {HOUR} ELSE {2 * HOUR} END AS e FROM log),
+jf AS (SELECT *, (ts_us > coalesce(max(e) OVER (PARTITION BY device_id, boot_id ORDER BY ts_us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1))::INT AS fresh FROM ig),
+js AS (SELECT *, sum(fresh) OVER (PARTITION BY device_id, boot_id ORDER BY ts_us, event_id ROWS UNBOUNDED PRECEDING) AS sid FROM jf),
+jg AS (SELECT device_id, boot_id, min(ts_us) AS start_us, max(e) AS end_us, count(*) AS n FROM js GROUP BY device_id, boot_id, sid)"""
+
+
+def _idle(df: DataFrame) -> DataFrame:
+    """After an error a boot is idle after one hour, else after two."""
+    return R.idle_sessions(df, F.when(F.col("tag") == "error", "1 hour").otherwise("2 hours"))
+
+
+def _in_us(df: DataFrame) -> DataFrame:
+    return df.select("device_id", "boot_id", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "n")
+
+
+@query(f"WITH {_IDLE} SELECT * FROM jg")
+def idle_sessions(spark, sf_dir):
+    return _in_us(_idle(read_events(spark, sf_dir)))
+
+
+@query(f"WITH {_IDLE} SELECT * FROM jg WHERE end_us <= (SELECT max(ts_us) FROM log) // 1000 * 1000 - 3600000000")
+def stream_idle_sessions(spark, sf_dir):
+    return _in_us(_streamed(_idle(_event_stream(spark, sf_dir))))
+
+
 def queries() -> dict:
     return dict(QUERIES)
 

@@ -1,7 +1,8 @@
-"""Streaming jobs. Event time is ts; each takes a watermark, the lateness that it waits for.
+"""Streaming jobs. Event time is ts; most take a watermark, the lateness that they wait for.
 
 Rows of one (device, boot) may arrive out of order within a micro-batch: keyed-state jobs sort them by position first. Rows behind the
-watermark are dropped by the windowed and joined jobs.
+watermark are dropped by the windowed and joined jobs. sleep_durations, ambient_from_suspend and gap_events here replay a log that is in order
+between micro-batches and keep the state of every boot; those in ``stateful`` are for streams that don't end.
 """
 
 from __future__ import annotations
@@ -52,6 +53,16 @@ def readings_of_alarms(alarms: DataFrame, temps: DataFrame, watermark: str = WAT
     return a.join(t, same & inside & bound).select("a.device_id", "a.boot_id", "a.alarm_key", "t.ts", "t.temp")
 
 
+def idle_sessions(events: DataFrame, gap: Column | str = "30 minutes", watermark: str = WATERMARK) -> DataFrame:
+    """Sessions that end when a boot has been idle for the gap, which may differ from row to row; for tables and for streams.
+
+    An event lasts from its time until the gap is over, and a session is what such spans cover without a break. A stream gives a session when
+    the watermark passes its end.
+    """
+    spans = events.withWatermark("ts", watermark).groupBy(F.session_window("ts", gap).alias("w"), "device_id", "boot_id")
+    return spans.agg(F.count("*").alias("n")).select("device_id", "boot_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
+
+
 def sleep_durations(events: DataFrame) -> DataFrame:
     """Per suspend exit the time since the latest entry, with one number of state per boot."""
 
