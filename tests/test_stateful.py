@@ -55,7 +55,7 @@ def test_late_and_shuffled_rows(spark, root):
 
 def test_restart_gives_the_same_rows(spark, tmp_path):
     rows = [("b", 1000 + 600 * k, k + (k > 20) + 2 * (k > 33), [None, "entry", None, "exit"][k % 4], 30 + k % 9) for k in range(60)] + [("end", 10**6, 1, None, 1)]
-    parts = [sorted(rows[k : k + 9], key=lambda r: -r[1]) for k in range(0, len(rows), 16)]
+    parts = [sorted(rows[k : k + 16], key=lambda r: -r[1]) for k in range(0, len(rows), 16)]
     jobs = {"gap": stateful.gap_events, "sleep": stateful.sleep_durations, "ambient": lambda s: stateful.ambient_from_suspend(s, 600_000_000), "trailing": lambda s: stateful.trailing_at_readings(s, 2 * HOUR)}
     batch = table(spark, rows).where("boot_id = 'b'")
     for name, job in jobs.items():
