@@ -100,23 +100,26 @@ def dual_coordinate_descent(rows: list[np.ndarray], values: list[np.ndarray], y:
     return w, bias
 
 
-def fit(rows: list[np.ndarray], y: np.ndarray) -> tuple[np.ndarray, float, float, float]:
-    """Weights per bucket (ratios included), bias, and the calibration's slope and level."""
+def fit(rows: list[np.ndarray], y: np.ndarray) -> tuple[np.ndarray, float, float, float, np.ndarray]:
+    """Weights per bucket, bias, the calibration's slope and level, and the ratios per bucket.
+
+    The fifth of the rows that calibrates is in neither the ratios nor the weights, so its margins are those of unseen texts.
+    """
     share = float(y.mean()) if len(y) else 0.5
     if len(set(y.tolist())) < 2:
         level = np.log(max(share, 0.01) / max(1 - share, 0.01))
-        return np.zeros(BUCKETS), 0.0, 0.0, float(level)
-    r = ratios(rows, y)
-    unit = [(r[row] / max(np.sqrt((r[row] ** 2).sum()), 1e-9)).astype(np.float32) for row in rows]
+        return np.zeros(BUCKETS), 0.0, 0.0, float(level), np.zeros(BUCKETS)
     test = np.arange(len(rows)) % 5 == 0 if len(rows) >= 50 else np.zeros(len(rows), bool)
     train = np.flatnonzero(~test)
+    r = ratios([rows[i] for i in train], y[train])
+    unit = [(r[row] / max(np.sqrt((r[row] ** 2).sum()), 1e-9)).astype(np.float32) for row in rows]
     w, bias = dual_coordinate_descent([rows[i] for i in train], [unit[i] for i in train], y[train])
     mean = np.abs(w).sum() / max((w != 0).sum(), 1)
     w = (1 - MEAN_SHARE) * w + MEAN_SHARE * mean * np.sign(w)
     used = np.flatnonzero(test) if test.any() and len(set(y[test].tolist())) == 2 else train
     margin = np.array([w[rows[i]] @ unit[i] + bias for i in used])
     slope, level = logistic_fit(np.column_stack([margin, np.ones(len(margin))]), y[used].astype(float), np.array([1.0, 0.0]), np.array([1e-2, 1e-2]))
-    return w, bias, float(slope), float(level)
+    return w, bias, float(slope), float(level), r
 
 
 def _fit_group(sample: pd.DataFrame) -> pd.DataFrame:
@@ -125,8 +128,7 @@ def _fit_group(sample: pd.DataFrame) -> pd.DataFrame:
     rows = [make(t) for t in order.text]
     y = order.label.to_numpy(np.int64)
     make.known.clear()
-    w, bias, slope, level = fit(rows, y)
-    r = ratios(rows, y)
+    w, bias, slope, level, r = fit(rows, y)
     blob = np.concatenate([w, r, [bias, slope, level]]).astype("<f4").tobytes()
     return pd.DataFrame({"model": [blob]})
 

@@ -35,6 +35,29 @@ def test_solver_reaches_the_least_loss():
     assert loss(found) <= best + 1e-6 and best - loss(found) < 0.01 * best
 
 
+def test_calibration_rows_are_unseen():
+    rng = np.random.default_rng(2)
+    y = rng.integers(0, 2, 200)
+    rows = [np.unique(np.concatenate([rng.integers(0, 50, 5) + 50 * t, [1000 + k]])) for k, t in enumerate(y)]
+    *_, r = q.fit(rows, y)
+    assert all((len({r[1000 + k], r[999]}) == 1) == (k % 5 == 0) for k in range(200))  # a bucket of one calibration row has the ratio of no row
+    kept = [k for k in range(200) if k % 5]
+    assert np.allclose(r, q.ratios([rows[k] for k in kept], y[kept]))
+
+
+def test_scores_against_plain_arithmetic(spark):
+    texts = [(k, f"{'good fine' if k % 2 else 'bad poor'} words {k} and more of them") for k in range(80)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    model = q.train(docs, spark.createDataFrame([(k, k % 2) for k, _ in texts], "doc_id long, quality int"))
+    numbers = np.frombuffer(model, "<f4").astype(float)
+    w, r, (bias, slope, level), make = numbers[: q.BUCKETS], numbers[q.BUCKETS : -3], numbers[-3:], q.Features()
+    for row in q.score(docs, model).collect():
+        found = [int(k) for k in make(row.text)]
+        norm = sum(r[k] ** 2 for k in found) ** 0.5
+        margin = sum(w[k] * r[k] / norm for k in found) + bias
+        assert abs(row.score - 1 / (1 + np.exp(-(slope * margin + level)))) < 1e-6
+
+
 def test_held_out_accuracy(spark):
     got = {r.doc_id: r for r in op8_quality_classifier(spark, "/root/testdata/sf0.01").collect()}
     labels = {r.doc_id: r.quality for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
