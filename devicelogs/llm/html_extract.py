@@ -4,15 +4,15 @@ A page goes through the standard library's streaming parser. Block elements end
 text, the number of tags met in it, and the box (the innermost block element that holds other blocks) it stands in. The ratio of a line is
 its text outside of links per tag. Ratios are smoothed with a Gaussian kernel, and lines fall into two clusters at a threshold, the page's
 own deviation. The high cluster votes for regions: a region is an ``article`` or ``main`` element, or what lies outside of them. In an
-``article`` or ``main`` that is chosen all lines are content but for runs of the low cluster that are mostly links. Outside of them content
-reaches from the first high line to the last, and over their neighbours in the same boxes, without such runs. What the
+``article`` or ``main`` that is chosen all lines are content, lists of references too. Outside of them content reaches from the first high
+line to the last, and over their neighbours in the same boxes, without runs of the low cluster that are mostly links. What the
 markup itself marks as menu, header, footer, sidebar, notice, advert, form, script, style or reader comment has the ratio 0 and is never
 content. A class or id that only tells of a layout (has-sidebar) marks nothing. Where no article or main stands outside of what class and id
 mark, those inside of it are regions, but not within reader comments or links to other pages; where nothing at all stands outside, class and
 id are not heeded.
 
 Null html counts as empty html and gives an empty text. Elements that are not closed end where HTML lets them end (a list item before the
-next one), or with their parent; no markup stops a page: what can't be parsed is text or, if it looks like a comment, nothing. Time grows
+next one), or with their parent. The end of an inline element ends no block that began within it. No markup stops a page: what can't be parsed is text or, if it looks like a comment, nothing. Time grows
 with the length of a page, however it is nested. Equal rows get equal results, page_id keeps its type, columns of other names are not read,
 and an empty table gives an empty result.
 """
@@ -104,13 +104,25 @@ def _skips(tag: str, attrs: list[tuple[str, str | None]]) -> int:
     return found
 
 
+class Open(NamedTuple):
+    """An open element, and what held before it."""
+
+    tag: str
+    region: int
+    skipped: int
+    box: int
+    #: How its own markup skips it.
+    skips: int
+
+
 class Lines(HTMLParser):
     """Parser events to lines."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
-        self.stack: list[tuple[str, int, int, int]] = []
+        self.stack: list[Open | None] = []  # None: ended before what began within it
+        self.blocks: list[int] = []  # places of the open blocks
         self.places: defaultdict[str, list[int]] = defaultdict(list)  # of the open elements of a name
         self.parts: list[str] = []
         self.tags = self.linked = 0
@@ -142,14 +154,31 @@ class Lines(HTMLParser):
 
     def _cut(self, k: int) -> None:
         """Ends all elements from this place of the stack on."""
-        _, region, skipped, box = self.stack[k]
-        if any(e[0] in BLOCKS for e in self.stack[k:]) or (region, skipped) != (self.region, self.skipped):
+        _, region, skipped, box, _ = self.stack[k]
+        if self.blocks and self.blocks[-1] >= k or (region, skipped) != (self.region, self.skipped):
             self.end_line()
         self.region, self.skipped, self.box = region, skipped, box
-        for name, *_ in self.stack[k:]:
-            self.places[name].pop()
+        for e in filter(None, self.stack[k:]):
+            self.places[e.tag].pop()
+        while self.blocks and self.blocks[-1] >= k:
+            self.blocks.pop()
         del self.stack[k:]
 
+    def _end_alone(self, k: int) -> None:
+        """Ends the element at this place and keeps what began within it."""
+        ended, self.stack[k] = self.stack[k], None
+        self.places[ended.tag].pop()
+        if ended.skips <= ended.skipped:
+            return
+        self.end_line()
+        now, inner = ended.skipped, [(i, e) for i, e in enumerate(self.stack[k + 1 :], k + 1) if e]
+        for (i, e), after in zip(inner, [*(e.region for _, e in inner[1:]), self.region], strict=True):
+            self.stack[i] = e._replace(skipped=now)
+            if after != e.region:  # it began a region, which stays what it was
+                return
+            now = max(now, e.skips)
+        self.skipped = now
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in CLOSES_P:
             self._close_open(("p",), HOLDS_P)
@@ -164,7 +193,9 @@ class Lines(HTMLParser):
         if skips > self.skipped:
             self.end_line()
         self.places[tag].append(len(self.stack))
-        self.stack.append((tag, self.region, self.skipped, self.box))
+        if tag in BLOCKS:
+            self.blocks.append(len(self.stack))
+        self.stack.append(Open(tag, self.region, self.skipped, self.box, skips))
         if tag in CONTENT and self.skipped < CLOSED and not self.region:
             self.end_line()
             self.skipped = AROUND if self.skipped else OPEN
@@ -183,7 +214,9 @@ class Lines(HTMLParser):
             self.end_line()
         self.tags += 1
         if self.places[tag]:
-            self._cut(self.places[tag][-1])
+            k = self.places[tag][-1]
+            alone = tag not in BLOCKS and tag not in SKIPPED and tag not in CONTENT and self.blocks and self.blocks[-1] > k
+            (self._end_alone if alone else self._cut)(k)
 
     def handle_data(self, data: str) -> None:
         self.parts.append(data)
@@ -248,7 +281,7 @@ def content_lines(lines: list[Line]) -> list[bool]:
         votes[lines[k].region] = votes.get(lines[k].region, 0.0) + smooth[k]
     least = REGION_SHARE * max(votes.values(), default=0.0)
     chosen = {region for region, vote in votes.items() if vote >= least}
-    menus = _runs([not near[k] and x.linked >= LINK_SHARE * len("".join(x.text.split())) for k, x in enumerate(lines)], MENU_LINES)
+    menus = _runs([not x.region and not near[k] and x.linked >= LINK_SHARE * len("".join(x.text.split())) for k, x in enumerate(lines)], MENU_LINES)
     fits = [x.skipped <= heeded and not menu for x, menu in zip(lines, menus, strict=True)]
     if chosen == {0} or not chosen:  # no element holds the content
         at = np.flatnonzero(high)

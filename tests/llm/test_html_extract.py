@@ -1,10 +1,11 @@
 import math
+import random
 import re
 import time
 
 import numpy as np
 
-from devicelogs.llm.html_extract import LINK_SHARE, Lines, content_lines, extract, extract_pages, smoothed
+from devicelogs.llm.html_extract import LINK_SHARE, MENU_LINES, Lines, content_lines, extract, extract_pages, smoothed
 
 PAGE = """<!DOCTYPE html><html><head><title>No</title><style>p{x}</style><script>var t="</p>";</script></head><body>
 <header>site</header><nav><ul><li><a href="/a">menu</a></li></ul></nav><div class="ad">buy</div><div class="cookie-notice">cookies</div>
@@ -86,12 +87,34 @@ def test_titles_and_short_ends_stay_without_an_article():
     assert got == "Title " + "word " * 60 + "end. short"
 
 
-def test_ratios_drop_lists_of_links_within_an_article():
-    links = "".join(f'<li><a href="/{i}">other page {i}</a></li>' for i in range(12))
-    text = "<p>" + "word " * 80 + "end.</p><p>short</p>"
-    got = extract(f"<article>{text}<ul>{links}</ul></article>")
-    assert got == "word " * 80 + "end. short"
-    assert extract(f'<article>{text}<p><a href="/x">the source</a></p>{text}</article>').count("the source") == 1
+def test_references_of_an_article_stay_and_its_menus_go():
+    links = "".join(f'<li><a href="/{i}">page {i}</a></li>' for i in range(6))
+    text, plain = "<p>" + "word " * 80 + "end.</p><p>short</p>", "word " * 80 + "end. short"
+    shown = " ".join(f"page {i}" for i in range(6))
+    assert extract(f"<article>{text}<ul>{links}</ul></article>") == f"{plain} {shown}"
+    assert extract(f"<article>{text}<nav>{links}</nav><ul class='menu'>{links}</ul></article>") == plain
+    ends = "".join(f'<p><a href="/{i}">page {i}</a></p>' for i in range(6))
+    assert extract(f"<article>{text}{ends}</article>") == f"{plain} {shown}"
+    lines = "<p>" + "word " * 80 + "end.</p>"
+    got = extract(f"<div>{lines * 4}</div><ul>{links}</ul><div>{lines * 4}</div>")
+    assert got.count("end.") == 8 and "page" not in got  # between blocks of no article they are a menu
+
+
+def test_inline_ends_end_no_blocks():
+    assert extract("<b><article><p>one</b><p>two</p></article>") == "one two"
+    assert extract("<a><article><p>one</p></a><p>two</p></article>") == "one two"
+    assert extract("<article><p>a<b>b<p>c</b>d</p><p>e</p></article>") == "ab cd e"
+    assert extract('<article><p>a</p><b class="ad">buy<div>buy</b>one</div><p>two</p></article>') == "a one two"
+    assert extract('<b class="ad"><div class="menu">buy</b>menu</div><article><p>one</p></article>') == "one"
+    assert extract('<span class="ad"><article><p>one</span><p>two</p></article><p>foot</p>') == "one two"
+    assert Lines().read("<i><article><a>x</i><p>y</a>z</p></article>")[-1].linked == 1
+
+
+def test_hostile_inline_ends_take_seconds():
+    began = time.time()
+    for page in ("<b><div>" * 40_000 + "</b>" * 40_000, "<b>" * 40_000 + "<i>" * 40_000 + "<div>" + "</b>" * 40_000, '<b class="ad"><div></b>' * 20_000):
+        extract("<article>" + page + "</div>x")
+    assert time.time() - began < 60
 
 
 def test_hostile_pages_take_seconds():
@@ -103,7 +126,9 @@ def test_hostile_pages_take_seconds():
 
 
 def slow_content(lines):
-    """The described choice for pages with an article, number by number."""
+    """The described choice, line by line and number by number."""
+    if not lines:
+        return []
     heeded = 0 if any(x.region and x.skipped == 0 for x in lines) else 1 if any(x.skipped < 2 for x in lines) else 2
     given = [0 if x.skipped > heeded else max(len(x.text) - x.linked, 0) / max(x.tags, 1) * (4 if x.region else 1) for x in lines]
     smooth = []
@@ -117,22 +142,40 @@ def slow_content(lines):
     for x, s, h in zip(lines, smooth, high):
         if h:
             votes[x.region] = votes.get(x.region, 0) + s
-    chosen = {r for r, v in votes.items() if v >= 0.1 * max(votes.values())} - {0}
-    links = [s < limit - 1e-9 and x.linked >= LINK_SHARE * len("".join(x.text.split())) for x, s in zip(lines, smooth)]
-    menu = [any(all(links[i : i + 3]) and len(links[i : i + 3]) == 3 for i in range(max(0, k - 2), k + 1)) for k in range(len(lines))]
-    return [x.region in chosen and x.skipped <= heeded and not m for x, m in zip(lines, menu)]
+    chosen = {r for r, v in votes.items() if v >= 0.1 * max(votes.values())}
+    if chosen - {0}:
+        return [x.region in chosen - {0} and x.skipped <= heeded for x in lines]
+    menu = set()
+    for k in range(len(lines) - MENU_LINES + 1):
+        run = range(k, k + MENU_LINES)
+        if all(not lines[i].region and smooth[i] < limit - 1e-9 and lines[i].linked >= LINK_SHARE * len("".join(lines[i].text.split())) for i in run):
+            menu |= set(run)
+    fits = [x.skipped <= heeded and k not in menu for k, x in enumerate(lines)]
+    if not any(high):
+        return [f and (not any(x.region for x in lines) or x.region > 0) for f, x in zip(fits, lines)]
+    ends = [k for k, h in enumerate(high) if h]
+    first, last = ends[0], ends[-1]
+    while first and fits[first - 1] and lines[first - 1].box == lines[ends[0]].box and not lines[first - 1].region:
+        first -= 1
+    while last + 1 < len(lines) and fits[last + 1] and lines[last + 1].box == lines[ends[-1]].box and not lines[last + 1].region:
+        last += 1
+    return [f and first <= k <= last for k, f in enumerate(fits)]
 
 
 def test_ratios_against_brute_force(spark):
     pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
     links = "".join(f'<li><a href="/{i}">other page {i}</a></li>' for i in range(9))
     pages += [f"<p>teaser text</p><article><p>{'w ' * n}</p><ul>{links}</ul><p>{'v ' * 50}</p></article><article><p>x</p></article>" for n in (1, 9, 80, 400)]
+    pages += [re.sub(r"<(/?)article", r"<\1div", html) for html in pages]
+    rng = random.Random(3)
+    parts = ["<ul>" + links + "</ul>", "<div>", "</div>", "<p>few</p>", f"<p>{'many ' * 60}</p>", f"<p>{'some ' * 15}<a>link</a></p>", "<nav>menu</nav>", "<h2>head</h2>", '<p class="ad">buy</p>']
+    pages += ["".join(rng.choices(parts, k=rng.randint(1, 25))) for _ in range(400)]
     dropped = 0
     for html in pages:
         lines = Lines().read(html)
         want = slow_content(lines)
         assert content_lines(lines) == want
-        dropped += any(x.region and not w and x.skipped == 0 for x, w in zip(lines, want))
+        dropped += any(not w and x.skipped == 0 for x, w in zip(lines, want))
     assert dropped
 
 
