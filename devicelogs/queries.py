@@ -816,6 +816,25 @@ def stateful_trailing_distribution(spark, sf_dir):
     return _stateful(T.trailing_at_readings(readings).select("line_id", "temp", "n", "is_full"))
 
 
+_ALARMS_BEHIND = _AL.replace("FROM log ", "FROM lb ")
+
+
+@query(f"""WITH {LOG}, lb AS (SELECT * FROM log WHERE {_BEHIND}), {_ALARMS_BEHIND},
+gone AS (SELECT device_id, boot_id FROM lb GROUP BY ALL HAVING max(ts_us) // 1000 + 604800000 <= (SELECT max(ts_us) FROM log) // 1000 - 3600000),
+got AS (SELECT nr.alarm_key, any_value(nr.window_length_ms) AS window_length_ms, any_value(nr.close_us) AS close_us, any_value(nr.start_ts) AS start_ts, any_value(nr.trigger_temp) AS trigger_temp,
+  count(l.ts_us) AS readings, min(l.temp) AS min_temp, arg_max(l.temp, l.ts_us) AS last_temp
+  FROM nr LEFT JOIN lb l ON l.device_id = nr.device_id AND l.boot_id = nr.boot_id AND l.ts_us >= nr.start_ts AND l.ts_us < least(nr.max_us, nr.close_us + 1) GROUP BY nr.alarm_key)
+SELECT * FROM got UNION ALL SELECT alarm_key, window_length_ms, NULL, NULL, NULL, 0, NULL, NULL FROM al JOIN gone USING (device_id, boot_id)
+WHERE NOT EXISTS (SELECT 1 FROM lb l WHERE l.device_id = al.device_id AND l.boot_id = al.boot_id AND l.ts_us > al.max_us)""")
+def stateful_alarm_temps(spark, sf_dir):
+    """Alarms that a reading closes, and those that none did before their boot was idle for a week."""
+    log = _event_stream(spark, sf_dir)
+    alarms = alarms_of(log.withColumn("trace_time", F.lit(None).cast("double")), keep=("ts",))
+    rows = _stateful(T.alarm_temps(alarms, log, trigger_tolerance_us=_TRIGGER))
+    temps = F.transform("readings", lambda r: r["temp"])
+    return rows.select("alarm_key", "window_length_ms", "close_us", "start_ts", "trigger_temp", F.size("readings").cast("long").alias("readings"), F.array_min(temps).alias("min_temp"), F.try_element_at(temps, F.lit(-1)).alias("last_temp"))
+
+
 @query(_AMBIENT.format(walk=_AMBIENT_WALK.format(where="")))
 def ambient_from_suspend(spark, sf_dir):
     return M.ambient_from_suspend(states(read_events(spark, sf_dir)))

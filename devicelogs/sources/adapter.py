@@ -32,9 +32,9 @@ def read_ctx(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(line % 11 == 0, "begin").when(line % 7 == 0, "end").otherwise("info").alias("kind"))
 
 
-def alarms_of(log: DataFrame, hour_ms: int = 3_600_000) -> DataFrame:
+def alarms_of(log: DataFrame, hour_ms: int = 3_600_000, keep: tuple[str, ...] = ()) -> DataFrame:
     """click: a delivered alarm with window_length_ms, when_rtc_us, max_when_us, elapsed_us and app_pid."""
     window_us = (F.col("k") + 1) * F.lit(hour_ms).cast("long") * 1000
     return log.where("tag = 'click'").select(
-        "device_id", "boot_id", "token", "trace_time", "line_id", "ts_us", F.md5(F.col("event_id").cast("string")).alias("alarm_key"), ((F.col("k") + 1) * hour_ms).cast("long").alias("window_length_ms"),
-        F.col("ts_us").alias("when_rtc_us"), (F.col("ts_us") + window_us).alias("max_when_us"), (window_us / 2).cast("long").alias("late_us"), (F.col("k") % 10).alias("app_pid"))
+        "device_id", "boot_id", "token", "trace_time", "line_id", "ts_us", F.md5(F.col("line_id").cast("string")).alias("alarm_key"), ((F.col("k") + 1) * hour_ms).cast("long").alias("window_length_ms"),
+        F.col("ts_us").alias("when_rtc_us"), (F.col("ts_us") + window_us).alias("max_when_us"), (window_us / 2).cast("long").alias("late_us"), (F.col("k") % 10).alias("app_pid"), *keep)

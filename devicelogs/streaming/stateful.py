@@ -11,6 +11,8 @@ State is kept by the RocksDB provider, which ``start_with_rocksdb`` sets for a q
 
 from __future__ import annotations
 
+import heapq
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
@@ -25,6 +27,9 @@ IDLE = "7 days"
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _KEY = "device_id string, boot_id string"
+HOUR_US = 3_600_000_000
+_ALARM = "ts_us long, alarm_key string, when_rtc_us long, max_when_us long, late_us long, window_length_ms long"
+_CLOSED = "alarm_key string, window_length_ms long, close_us long, start_ts long, trigger_temp int, times array<long>, temps array<int>"
 _ROW = {"ts_us": "long", "token": "long", "line_id": "long", "pm": "string", "temp": "int"}
 
 Row = tuple  # ts_us, token, line_id, pm, temp
@@ -45,17 +50,20 @@ def start_with_rocksdb(spark: SparkSession) -> Iterator[None]:
 class InOrder(StatefulProcessor):
     """Walks the rows of each boot in order, behind the watermark. Value state ``memory`` is what the walk remembers, with the last row's time before it."""
 
+    #: The columns of a waiting row; the first three are the order.
+    row = _ROW
+
     def __init__(self, walk: Walk, memory: str, columns: list[str], idle_ms: int):
         self.walk, self.schema, self.columns, self.idle_ms = walk, memory, columns, idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", ", ".join(f"{c} {t}" for c, t in _ROW.items()))
+        self.waiting = handle.getListState("waiting", ", ".join(f"{c} {t}" for c, t in self.row.items()))
         self.memory = handle.getValueState("memory", f"last_us long, {self.schema}")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         fresh = pd.concat(list(rows))
-        fresh = [tuple(None if pd.isna(x) else x if isinstance(x, str) else int(x) for x in r) for r in fresh[list(_ROW)].itertuples(index=False)]
+        fresh = [tuple(None if pd.isna(x) else x if isinstance(x, str) else int(x) for x in r) for r in fresh[list(self.row)].itertuples(index=False)]
         yield self._advance(key, fresh, timerValues.getCurrentWatermarkInMs())
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -78,11 +86,14 @@ class InOrder(StatefulProcessor):
         for t in list(self.handle.listTimers()):
             self.handle.deleteTimer(t)
         if rest:
-            self.handle.registerTimer(min(r[0] for r in rest) // 1000)
+            self.handle.registerTimer(-(-min(r[0] for r in rest) // 1000))  # rounded up: a timer at the watermark itself would fire at once and be gone
         elif memory and memory[0] // 1000 + self.idle_ms <= watermark_ms:
             self.memory.clear()
         elif memory:
             self.handle.registerTimer(memory[0] // 1000 + self.idle_ms)
+        return self._frame(key, out)
+
+    def _frame(self, key: tuple, out: list[tuple]) -> pd.DataFrame:
         return pd.DataFrame([(*key, *r) for r in out], columns=["device_id", "boot_id", *self.columns])
 
     def close(self) -> None:
@@ -219,3 +230,96 @@ def trailing_at_readings(temps: DataFrame, period_us: int = 24 * 3_600_000_000,
     timed = _timed(temps, watermark, "temp is not null", ("pm",))
     processor = Trailing(period_us, int(pd.Timedelta(idle).total_seconds() * 1000))
     return timed.groupBy("device_id", "boot_id").transformWithStateInPandas(processor, f"{_KEY}, line_id long, ts_us long, temp int, n long, is_full boolean", "Append", "EventTime")
+
+
+class Closing(InOrder):
+    """Alarms with the readings of their windows. Readings wait in a ring of list state as long as an alarm can need them, and alarms in another
+    list until the first reading after their window closes them."""
+
+    row = {"ts_us": "long", "side": "int", "alarm_key": "string", "temp": "int", "when_rtc_us": "long", "max_when_us": "long", "late_us": "long", "window_length_ms": "long"}
+
+    def __init__(self, reach_us: int, period_us: int, start_us: int, trigger_us: int, idle_ms: int):
+        super().__init__(self._turn, "begun long", [c.split()[0] for c in _CLOSED.split(", ")], idle_ms)
+        self.reach_us, self.period_us, self.start_us, self.trigger_us = reach_us, period_us, start_us, trigger_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.ring = handle.getListState("ring", "ts_us long, temp int")
+        self.open = handle.getListState("open", _ALARM)
+
+    def _turn(self, memory: tuple | None, rows: list[Row]) -> tuple[tuple, list[tuple]]:
+        if memory is None:
+            self._forget()
+        begun = memory[0] if memory else None
+        times, temps = map(list, zip(*self.ring.get())) if self.ring.exists() else ([], [])
+        waits = [(max(a[0], a[3]), *a) for a in map(tuple, self.open.get())] if self.open.exists() else []
+        heapq.heapify(waits)  # by the ends of the windows
+        out = []
+        for ts_us, side, alarm_key, temp, when, until, late, length in rows:
+            if side == 0:
+                begun = ts_us if begun is None else begun
+                times.append(ts_us)
+                temps.append(temp)
+                while waits and waits[0][0] < ts_us:
+                    out += self._close(heapq.heappop(waits)[1:], ts_us, begun, times, temps)
+            elif length and ts_us - min(when, when + late) > self.reach_us:
+                out.append((alarm_key, length, None, None, None, [], []))
+            elif length:
+                heapq.heappush(waits, (max(ts_us, until), ts_us, alarm_key, when, until, late, length))
+        needed = min([rows[-1][0] - self.reach_us, *(min(a[3], a[3] + a[5]) for a in waits)]) - max(self.start_us, self.trigger_us)
+        first = bisect_left(times, needed)
+        for state, held in ((self.ring, list(zip(times[first:], temps[first:]))), (self.open, [a[1:] for a in waits])):
+            if held:
+                state.put(held)
+            else:
+                state.clear()
+        return (begun,), out
+
+    def _close(self, alarm: tuple, close: int, begun: int, times: list[int], temps: list[int]) -> list[tuple]:
+        ts_us, alarm_key, when, until, late, length = alarm
+        if ts_us - begun <= self.period_us:
+            return []
+        start, trigger = self._nearest(times, when), self._nearest(times, when + late)
+        if abs(times[start] - when) > self.start_us or abs(times[trigger] - when - late) > self.trigger_us:
+            return []
+        within = slice(start, max(bisect_left(times, until), start))
+        while within.start and times[within.start - 1] == times[start]:  # all readings of the start's time
+            within = slice(within.start - 1, within.stop)
+        return [(alarm_key, length, close, times[start], temps[trigger], times[within], temps[within])]
+
+    @staticmethod
+    def _nearest(times: list[int], t: int) -> int:
+        """The place of the nearest reading up to now; of equally near ones the earlier."""
+        ahead = bisect_right(times, t)
+        if ahead == len(times) or ahead and t - times[ahead - 1] <= times[ahead] - t:
+            return ahead - 1
+        return ahead
+
+    def _advance(self, key: tuple, fresh: list[Row], watermark_ms: int) -> pd.DataFrame:
+        out = super()._advance(key, fresh, watermark_ms)
+        if self.memory.exists() or not (self.ring.exists() or self.open.exists()):
+            return out
+        never = [(a[1], a[5], None, None, None, [], []) for a in self.open.get()] if self.open.exists() else []
+        self._forget()
+        return pd.concat([out, self._frame(key, never)]) if never else out
+
+    def _forget(self) -> None:
+        self.ring.clear()
+        self.open.clear()
+
+    def _frame(self, key: tuple, out: list[tuple]) -> pd.DataFrame:
+        return super()._frame(key, out).astype(object)
+
+
+def alarm_temps(alarms: DataFrame, temps: DataFrame, start_tolerance_us: int = 3_000_000, trigger_tolerance_us: int = 2_000_000, period_us: int = 24 * HOUR_US, reach_us: int = 26 * HOUR_US, watermark: str = WATERMARK, idle: str = IDLE) -> DataFrame:
+    """Per closed alarm its close_us, start_ts, trigger_temp and readings, as the batch plan of this name closes them at the window's end; for streams.
+
+    An alarm is given when the watermark passes the reading that closes it. One that none closes before its boot has been idle, or that comes
+    later than ``reach_us`` after the start of its window, is given with these columns null and no readings. Alarms whose window has no readings
+    have none either.
+    """
+    columns = lambda d, **made: d.select("device_id", "boot_id", "ts", *[made.get(c, F.col(c) if c in d.columns else F.lit(None)).cast(t).alias(c) for c, t in Closing.row.items()])
+    rows = columns(temps, side=F.lit(0), alarm_key=F.lit(""), when_rtc_us=F.lit(0), max_when_us=F.lit(0), late_us=F.lit(0), window_length_ms=F.lit(0)).unionByName(columns(alarms, side=F.lit(1), temp=F.lit(0)))
+    processor = Closing(reach_us, period_us, start_tolerance_us, trigger_tolerance_us, int(pd.Timedelta(idle).total_seconds() * 1000))
+    found = rows.withWatermark("ts", watermark).groupBy("device_id", "boot_id").transformWithStateInPandas(processor, f"{_KEY}, {_CLOSED}", "Append", "EventTime")
+    return found.withColumn("readings", F.arrays_zip(F.col("times").alias("ts_us"), F.col("temps").alias("temp"))).drop("times", "temps")

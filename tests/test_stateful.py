@@ -92,3 +92,40 @@ def test_state_goes_after_the_idle_time(spark, root):
     assert got(found, "boot_id", "line_id", "sleep_ns") == [("b", 2, -1), ("c", 2, 2990 * 10**9)]
     states = query.lastProgress["stateOperators"][0]
     assert states["numRowsTotal"] <= 12  # of x alone, and not of three boots
+
+
+def test_alarms_of_a_stream(spark, root):
+    """Each file is an hour of readings with an alarm; the stream stops and goes on, and gives what the batch plan gives."""
+    from devicelogs.plans import alarms as plans
+
+    def log(rows):
+        return spark.createDataFrame(rows, "device_id string, boot_id string, ts_us long, temp int, alarm_key string, when_rtc_us long, max_when_us long, late_us long, window_length_ms long").withColumn("ts", F.timestamp_micros("ts_us"))
+
+    def job(stream):
+        return stateful.alarm_temps(stream.where("alarm_key is not null"), stream.where("temp is not null"), 70_000_000, 100_000_000, 2 * HOUR, 3 * HOUR, "10 minutes", "9 hours")
+
+    minute, rows = 60_000_000, []
+    for k in range(400):
+        if not 150 <= k < 170:  # a hole
+            rows.append(("d", "b", k * minute + 7, 20 + k * 7 % 31, None, None, None, None, None))
+        if k % 9 == 4:
+            late = (k % 5) * 5 * minute
+            when = k * minute - late + 11_000_000
+            rows.append(("d", "b", k * minute + 11_000_000, None, f"a{k:03}", when, when + (k % 4) * 20 * minute, late, (k % 4) * 1_200_000))
+    parts = [rows[k : k + 90][::-1] for k in range(0, len(rows), 90)]
+    schema = log(rows[:1]).schema
+    for k, part in enumerate([*parts, [("d", "x", 10**12, 1, None, None, None, None, None)]]):
+        log(part).coalesce(1).write.mode("append").parquet(f"{root}/in")
+        if k in (1, len(parts)):
+            stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+            with stateful.start_with_rocksdb(spark):
+                job(stream).writeStream.format("parquet").option("checkpointLocation", f"{root}/state").option("path", f"{root}/out").trigger(availableNow=True).start().awaitTermination()
+    whole = spark.read.parquet(f"{root}/out").collect()
+    batch = log(rows)
+    alarms, temps = batch.where("alarm_key is not null").drop("temp"), batch.where("temp is not null").select("device_id", "boot_id", "ts_us", "temp")
+    want = plans.alarm_temps(alarms, temps, start_tolerance_us=70_000_000, trigger_tolerance_us=100_000_000, period_us=2 * HOUR).collect()
+    key = lambda r: (r.alarm_key, r.window_length_ms, r.close_us, r.start_ts, r.trigger_temp, [tuple(x) for x in r.readings])
+    assert sorted(key(r) for r in whole if r.readings) == sorted(map(key, want)) and len(want) > 10
+    never = {r.alarm_key for r in whole if r.close_us is None}
+    assert never == {r[4] for r in rows if r[4] and r[8] and max(r[2], r[6]) >= 399 * minute + 7} and never
+    assert len({r.alarm_key for r in whole}) == len(whole)
