@@ -1,16 +1,18 @@
 """Deferral algorithms as column expressions.
 
 An algorithm sees when_rtc_us, window_us, trigger_temp, readings (an array of structs ts_us, temp in time order) and percentiles (the
-nearest-rank temperatures of the percentiles 0 to 100) and names a temperature. User algorithms are builders of the same kind; a
-``pandas_udf`` over these columns is one.
+nearest-rank temperatures of the percentiles 0 to 100) and names a temperature. User algorithms are builders of the same kind; ``vectorized``
+makes one of a function over whole Arrow batches.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 Algorithm = Callable[[], Column]
@@ -78,3 +80,58 @@ def android() -> Column:
 
 def registry(base: int = 25) -> dict[str, Algorithm]:
     return {f"simple-linear-threshold-{base}": linear_threshold(base), "optimal-stopping": stopping(), "optimal-stopping-cardinal": cardinal_stopping(), "oracle": oracle, "android": android}
+
+
+# Algorithms in Python
+
+#: Of one alarm: times and temperatures of its readings, start and length of its window, the percentiles, the temperature at delivery.
+Pick = Callable[[np.ndarray, np.ndarray, int, int, np.ndarray, int], int | None]
+
+
+def vectorized(pick: Pick) -> Algorithm:
+    """An algorithm in numpy. Readings reach it as two arrays, batch by batch, so there is one call into Python per Arrow batch and not per reading."""
+
+    def batch(times: pd.Series, temps: pd.Series, when: pd.Series, window: pd.Series, percentiles: pd.Series, trigger: pd.Series) -> pd.Series:
+        return pd.Series([pick(*alarm) for alarm in zip(times, temps, when, window, percentiles, trigger, strict=True)], dtype="Int32")
+
+    udf = F.pandas_udf(batch, "int")
+    field = lambda name: F.transform("readings", lambda r: r[name])
+    return lambda: udf(field("ts_us"), field("temp"), F.col("when_rtc_us"), F.col("window_us"), F.col("percentiles"), F.col("trigger_temp"))
+
+
+def steepest_fall() -> Algorithm:
+    """The reading after the steepest fall between neighbour readings of the window (the first of equal ones); the last reading if it never falls."""
+
+    def pick(times: np.ndarray, temps: np.ndarray, when: int, window: int, percentiles: np.ndarray, trigger: int) -> int | None:
+        inside = temps[times >= when]
+        if not len(inside):
+            return int(temps[-1]) if len(temps) else None
+        falls = -np.diff(inside)
+        return int(inside[int(falls.argmax()) + 1]) if len(falls) and falls.max() > 0 else int(inside[-1])
+
+    return vectorized(pick)
+
+
+class WindowReadings:
+    """A table function: of each whole percent of the window that has readings the number of them and the lowest temperature."""
+
+    def eval(self, times: list[int], temps: list[int], when_rtc_us: int, window_us: int) -> Iterator[tuple[int, int, int]]:
+        steps: dict[int, list[int]] = {}
+        for t, temp in zip(times or [], temps or [], strict=True):
+            if window_us and t >= when_rtc_us:
+                steps.setdefault((t - when_rtc_us) * 100 // window_us, []).append(temp)
+        for percent, seen in sorted(steps.items()):
+            yield percent, len(seen), min(seen)
+
+
+def register_functions(spark: SparkSession) -> None:
+    """window_readings(times, temps, when_rtc_us, window_us) for SQL."""
+    spark.udtf.register("window_readings", F.udtf(WindowReadings, returnType="percent int, n int, min_temp int", useArrow=True))
+
+
+def readings_by_percent(alarms: DataFrame) -> DataFrame:
+    """percent, n and min_temp of the readings of each alarm (alarm_key, readings, when_rtc_us, window_length_ms)."""
+    register_functions(alarms.sparkSession)
+    sql = """SELECT a.alarm_key, w.* FROM {alarms} a,
+    LATERAL window_readings(transform(a.readings, r -> r.ts_us), transform(a.readings, r -> r.temp), a.when_rtc_us, a.window_length_ms * 1000) w"""
+    return alarms.sparkSession.sql(sql, alarms=alarms)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 #: Device, epoch ms, the same with fraction, boot, token, trace time, datetime, pid, tid, level, tag, payload.
 HEADER = r"^(\S+)\s+(\d+)\s+(\S+)\s+(\S+)\s+(\d+)\s+(\S+)\s+(\d{4}-\d\d-\d\d \d\d:\d\d:\d\d\.\d+)\s+(\d+)\s+(\d+)\s+(\w)\s+(\S+)\s+(.*)$"
+#: How a line begins: device and epoch ms.
+BEGUN = r"^\S+\s+\d+(\s|$)"
 FIELDS = (("device_id", "string"), ("epoch_ms", "bigint"), ("epoch_ms_frac", "string"), ("boot_id", "string"), ("token", "bigint"), ("trace_time", "double"), ("ts", "timestamp"), ("pid", "int"), ("tid", "int"), ("level", "string"), ("tag", "string"), ("payload", "string"))
 
 # Markers and patterns of the log format.
@@ -38,6 +40,28 @@ def rejected(raw: DataFrame, line: str = "value") -> DataFrame:
     return raw.where(~F.coalesce(F.col(line).rlike(HEADER), F.lit(False)))
 
 
+def _kind_of_line(line: str) -> Column:
+    """parsed; cut: begins as a line does and ends before its payload; rejected."""
+    column = F.coalesce(F.col(line), F.lit(""))
+    return F.when(column.rlike(HEADER), "parsed").when(column.rlike(BEGUN), "cut").otherwise("rejected")
+
+
+def counted_lines(raw: DataFrame, metrics: Observation | str, line: str = "value") -> DataFrame:
+    """raw unchanged; lines, parsed, rejected and cut are counted on the way, in the same job.
+
+    They are in ``metrics.get`` after an action if it is an Observation, and in each progress of a stream (observedMetrics) if it is a name.
+    """
+    kind = _kind_of_line(line)
+    counts = [F.count_if(kind == k).alias(k) for k in ("parsed", "rejected", "cut")]
+    return raw.observe(metrics, F.count(F.lit(1)).alias("lines"), *counts)
+
+
+def lines_by_file(raw: DataFrame, line: str = "value", file: str = "file") -> DataFrame:
+    """file, lines, parsed, rejected and cut of each file (a column of its name)."""
+    kinds = raw.select(file, _kind_of_line(line).alias("_kind")).groupBy(file)
+    return kinds.agg(F.count("*").alias("lines"), *[F.count_if(F.col("_kind") == k).alias(k) for k in ("parsed", "rejected", "cut")])
+
+
 def extract_alarms(log: DataFrame, require_prefix: bool = True, rtc_offset_ms: int = RTC_OFFSET_MS) -> DataFrame:
     """Delivered alarms with their fields flat, alarm_key, and the derived when_rtc_ms and max_when_rtc_ms."""
     rows = log.where(F.col("payload").startswith(DELIVER)) if require_prefix else log

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from .functions import algorithms as G
 from .functions import parse as P
 from .operators import distribution as D
 from .operators import states as S
@@ -357,6 +358,23 @@ def evaluate_algorithms(spark, sf_dir):
     return _evaluated(spark, sf_dir).select("alarm_key", "window_length_ms", "algorithm", "temp")
 
 
+@query(f"""WITH {LOG}, {_AL}, {_INSIDE}, big AS (SELECT alarm_key FROM ins GROUP BY alarm_key HAVING count(*) > 5), x AS (SELECT ins.* FROM ins JOIN big USING (alarm_key) WHERE window_length_ms >= 3600000),
+fl AS (SELECT alarm_key, temp, ts_us, lag(temp) OVER (PARTITION BY alarm_key ORDER BY ts_us, temp) - temp AS fall FROM x WHERE ts_us >= when_us),
+st1 AS (SELECT alarm_key, temp FROM fl WHERE fall > 0 QUALIFY row_number() OVER (PARTITION BY alarm_key ORDER BY fall DESC, ts_us, temp) = 1)
+SELECT x.alarm_key, any_value(window_length_ms) AS window_length_ms, 'steepest-fall' AS algorithm, coalesce(any_value(st1.temp), arg_max(x.temp, ts_us)) AS temp FROM x LEFT JOIN st1 USING (alarm_key) GROUP BY x.alarm_key""")
+def evaluate_vectorized(spark, sf_dir):
+    """A user's algorithm over Arrow batches."""
+    log = read_events(spark, sf_dir)
+    found = A.evaluate_algorithms(alarms_of(log), log.select("device_id", "boot_id", "ts_us", "temp"), min_readings=5, algorithms={"steepest-fall": G.steepest_fall()}, bucket_us=24 * HOUR, trigger_tolerance_us=_TRIGGER)
+    return found.select("alarm_key", "window_length_ms", "algorithm", "temp")
+
+
+@query(f"WITH {LOG}, {_AL}, {_INSIDE} SELECT alarm_key, ((ts_us - when_us) * 100 // (window_length_ms * 1000))::INT AS percent, count(*)::INT AS n, min(temp) AS min_temp FROM ins WHERE ts_us >= when_us GROUP BY 1, 2")
+def readings_by_percent(spark, sf_dir):
+    log = read_events(spark, sf_dir)
+    return G.readings_by_percent(A.alarm_temps(alarms_of(log), log.select("device_id", "boot_id", "ts_us", "temp"), 24 * HOUR, trigger_tolerance_us=_TRIGGER))
+
+
 @query(f"WITH {_EVALUATED} SELECT device_id, q.a AS algorithm, count(*) AS alarms, round(avg(q.t), 6) AS avg_temp, min(q.t) AS min_temp, max(q.t) AS max_temp FROM ev GROUP BY ALL")
 def algorithm_results(spark, sf_dir):
     return A.algorithm_results(_evaluated(spark, sf_dir))
@@ -976,6 +994,47 @@ def stream_idle_sessions(spark, sf_dir):
     return _in_us(_streamed(_idle(_event_stream(spark, sf_dir))))
 
 
+def _damaged(spark, sf_dir) -> str:
+    """Raw files of devices; every 13th line ends within its header, and every 17th has none."""
+    path = f"{O.new_folder(spark)}/raw"
+    log = read_events(spark, sf_dir)
+    lines = _text_lines(log.withColumn("tag", F.concat("tag", F.lit("#"), F.col("event_id").cast("string")))).withColumn("device", F.split("value", "\t")[0])
+    event = F.regexp_extract("value", r"#(\d+):", 1).cast("long")
+    value = F.when(event % 17 == 0, "-- log restarts --").when(event % 13 == 0, F.substring("value", 1, 24)).otherwise(F.col("value"))
+    lines.withColumn("value", value).write.option("compression", "gzip").partitionBy("device").text(path)
+    return path
+
+
+_LINE_COUNTS = "count(*) AS lines, count(*) FILTER (event_id % 17 <> 0 AND event_id % 13 <> 0) AS parsed, count(*) FILTER (event_id % 17 = 0) AS rejected, count(*) FILTER (event_id % 17 <> 0 AND event_id % 13 = 0) AS cut"
+
+
+@query(f"WITH {LOG} SELECT device_id, {_LINE_COUNTS} FROM log GROUP BY device_id")
+def lines_by_file(spark, sf_dir):
+    found = P.lines_by_file(L.read_raw(spark, _damaged(spark, sf_dir), "*.gz"))
+    device = F.regexp_extract("file", "device=([^/]+)", 1).alias("device_id")
+    return found.groupBy(device).agg(*[F.sum(c).alias(c) for c in ("lines", "parsed", "rejected", "cut")])
+
+
+@query(f"WITH {LOG} SELECT {_LINE_COUNTS} FROM log")
+def line_metrics(spark, sf_dir):
+    """Counted on the way while the lines are parsed and written."""
+    metrics = Observation()
+    O.written(P.parse_loglines(P.counted_lines(L.read_raw(spark, _damaged(spark, sf_dir), "*.gz"), metrics)))
+    return spark.createDataFrame([metrics.get]).select("lines", "parsed", "rejected", "cut")
+
+
+@query(f"WITH {LOG} SELECT {_LINE_COUNTS} FROM log")
+def stream_line_metrics(spark, sf_dir):
+    """The sum over the micro-batches' progress."""
+    path = O.new_folder(spark)
+    raw = spark.readStream.option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 16).text(_damaged(spark, sf_dir))
+    parsed = P.parse_loglines(P.counted_lines(raw, "lines"))
+    run = parsed.writeStream.format("parquet").option("checkpointLocation", f"{path}/state").option("path", f"{path}/rows").trigger(availableNow=True).start()
+    run.awaitTermination()
+    counts = [p["observedMetrics"]["lines"].asDict() for p in run.recentProgress if "lines" in p["observedMetrics"]]
+    return spark.createDataFrame(counts, "lines long, parsed long, rejected long, cut long").groupBy().agg(*[F.sum(c).alias(c) for c in ("lines", "parsed", "rejected", "cut")])
+
+
 def queries() -> dict:
     return dict(QUERIES)
 
