@@ -14,6 +14,8 @@ from .timeops import KEYS, interval_join, last, running, total
 
 HOUR_US = 3_600_000_000
 PERIOD_US = 24 * HOUR_US
+#: Places in a block of running counts.
+PLACES = 24
 
 
 def trailing_is_full(temps: DataFrame, period_us: int = PERIOD_US, keys=KEYS) -> DataFrame:
@@ -22,27 +24,56 @@ def trailing_is_full(temps: DataFrame, period_us: int = PERIOD_US, keys=KEYS) ->
     return temps.join(first, [*keys]).withColumn("is_full", F.col("ts_us") - F.col("_first") > period_us).drop("_first")
 
 
+def running_counts(temps: DataFrame, place_us: int, keys=KEYS) -> DataFrame:
+    """Per stream and _block of PLACES times place_us: _runs, of each temperature its running counts at the ends of the block's places.
+
+    Counts start anew in each block, so blocks are built side by side and no stream is ordered as a whole.
+    """
+    number = F.floor(F.col("ts_us") / place_us)
+    placed = temps.select(*keys, "temp", F.floor(number / PLACES).alias("_block"), F.pmod(number, F.lit(PLACES)).alias("_place"))
+    upto = F.array(*[F.count_if(F.col("_place") <= k) for k in range(PLACES)])
+    by_temp = placed.groupBy(*keys, "_block", "temp").agg(upto.alias("upto"))
+    return by_temp.groupBy(*keys, "_block").agg(F.collect_list(F.struct("temp", "upto")).alias("_runs"))
+
+
 def trailing_histogram(probes: DataFrame, temps: DataFrame, period_us: int = PERIOD_US, probe: str = "probe_id", at: str = "at_us", keys=KEYS) -> DataFrame:
-    """probe, temp, n: readings in [at - period, at]. Whole hours come from hourly histograms, only the edges from single readings."""
+    """probe, temp, n: readings in [at - period, at].
+
+    Time is cut into places of a 24th of the period, and these into blocks as long as the period. The whole places of a window lie in two
+    blocks at most: two look-ups of running counts. Only the places at the edges are read by single readings.
+    """
+    place_us = max(-(-period_us // PLACES), 1)
     bounds = probes.select(*keys, probe, F.col(at).alias("_to"), (F.col(at) - period_us).alias("_from"))
-    low, high = F.floor(F.col("_from") / HOUR_US), F.floor(F.col("_to") / HOUR_US)
-    bounds = bounds.withColumns({"_low": low, "_high": high})
-    hourly = temps.groupBy(*keys, F.floor(F.col("ts_us") / HOUR_US).alias("_hour"), "temp").agg(F.count("*").alias("n"))
-    whole = bounds.where("_low + 1 <= _high - 1").withColumn("_hour", F.explode(F.sequence(F.col("_low") + 1, F.col("_high") - 1))).join(hourly, [*keys, "_hour"]).select(*keys, probe, "temp", "n")
-    edges = bounds.withColumn("_hour", F.explode(F.array_distinct(F.array("_low", "_high"))))
-    readings = temps.select(*keys, "ts_us", "temp", F.floor(F.col("ts_us") / HOUR_US).alias("_hour"))
-    single = edges.join(readings, [*keys, "_hour"]).where("ts_us between _from and _to").select(*keys, probe, "temp", F.lit(1).cast("long").alias("n"))
-    return whole.unionByName(single).groupBy(*keys, probe, "temp").agg(F.sum("n").alias("n"))
+    bounds = bounds.withColumns({"_low": F.floor(F.col("_from") / place_us), "_high": F.floor(F.col("_to") / place_us)})
+    start, end = F.col("_low") + 1, F.col("_high") - 1
+    block, place = lambda h: F.floor(h / PLACES), lambda h: F.pmod(h, F.lit(PLACES)).cast("int")
+    look = lambda b, before, upto: F.struct(b.alias("block"), before.alias("before"), upto.alias("upto"))
+    one = F.array(look(block(start), place(start) - 1, place(end)))
+    two = F.array(look(block(start), place(start) - 1, F.lit(PLACES - 1)), look(block(end), F.lit(-1), place(end)))
+    looks = bounds.where(start <= end).withColumn("_look", F.explode(F.when(block(start) == block(end), one).otherwise(two)))
+    looks = looks.select(*keys, probe, F.col("_look.block").alias("_block"), "_look.before", "_look.upto").repartition(*keys, "_block")
+    runs = looks.join(running_counts(temps, place_us, keys), [*keys, "_block"]).select(*keys, probe, "before", "upto", F.explode("_runs").alias("_run"))
+    n = F.get("_run.upto", F.col("upto")) - F.coalesce(F.get("_run.upto", F.col("before")), F.lit(0))
+    whole = runs.select(*keys, probe, "_run.temp", n.alias("n")).where("n > 0")
+    edges = bounds.withColumn("_number", F.explode(F.array_distinct(F.array("_low", "_high")))).repartition(*keys, "_number")
+    readings = temps.select(*keys, "ts_us", "temp", F.floor(F.col("ts_us") / place_us).alias("_number"))
+    single = edges.join(readings, [*keys, "_number"]).where("ts_us between _from and _to").groupBy(*keys, "_number", probe, "temp").agg(F.count("*").alias("n"))
+    parts = whole.unionByName(single.drop("_number")).repartition(*keys, probe)  # also what percentiles are ordered by
+    return parts.groupBy(*keys, probe, "temp").agg(F.sum("n").alias("n"))
 
 
 def nearest_rank(histogram: DataFrame, percentiles: list[int], by: list[str], temp: str = "temp", n: str = "n") -> DataFrame:
-    """Per group and percentile the smallest temperature whose cumulative count reaches ceil(size * p / 100); p = 0 gives the minimum."""
+    """Per group and percentile the smallest temperature whose cumulative count reaches ceil(size * p / 100); p = 0 gives the minimum.
+
+    A temperature is the answer for a range of percentiles, which follows from the counts before and with it.
+    """
     group = Window.partitionBy(*by)
-    counted = histogram.withColumns({"_upto": F.sum(n).over(group.orderBy(temp)), "_size": F.sum(n).over(group)})
-    rank = lambda p: F.greatest(F.ceil(F.col("_size") * p / 100), F.lit(1))
-    found = counted.groupBy(*by).agg(*[F.min(F.when(F.col("_upto") >= rank(p), F.col(temp))).alias(f"_p{p}") for p in percentiles])
-    rows = F.explode(F.array(*[F.struct(F.lit(p).alias("p"), F.col(f"_p{p}").alias("percentile_temp")) for p in percentiles]))
-    return found.select(*by, rows.alias("_r")).select(*by, "_r.*")
+    counted = histogram.where(F.col(n) > 0).withColumns({"_upto": F.sum(n).over(group.orderBy(temp)), "_size": F.sum(n).over(group)})
+    share = lambda c: F.floor(c * 100 / F.col("_size")).cast("int")
+    before = F.col("_upto") - F.col(n)
+    ranges = counted.withColumns({"_least": F.when(before == 0, 0).otherwise(share(before) + 1), "_most": share(F.col("_upto"))}).where("_least <= _most")
+    rows = ranges.select(*by, F.explode(F.sequence("_least", "_most")).alias("p"), F.col(temp).alias("percentile_temp"))
+    return rows.where(F.col("p").isin(sorted(set(percentiles))))
 
 
 def trailing_percentile(probes: DataFrame, temps: DataFrame, percentiles: list[int], period_us: int = PERIOD_US, probe: str = "probe_id", at: str = "at_us", keys=KEYS) -> DataFrame:

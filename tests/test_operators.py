@@ -1,6 +1,7 @@
 import bisect
 import random
 import time
+from collections import Counter
 from datetime import datetime, timezone
 
 import pytest
@@ -336,3 +337,24 @@ def test_idx_and_bisect(spark):
     df = readings(spark, [(t, 1) for t in times])
     assert D.idx_for_duration(df, 4000).first().idx == bisect.bisect_left(times, times[0] + 4000)
     assert D.idx_for_duration(df, 20_000).first().idx == -1
+
+
+@pytest.mark.parametrize("period", [1, 40, 24 * 7, D.PERIOD_US // 1000])
+def test_trailing_histogram_is_what_the_window_holds(spark, period):
+    rng = random.Random(period)
+    span = 4 * period + 30
+    temps = [(str(k % 2), "b", rng.randint(-span, span), rng.randint(20, 26)) for k in range(150)]
+    probes = [(str(k % 3), "b", k, rng.randint(-2 * span, 2 * span)) for k in range(40)] + [(d, b, 100 + k, t) for k, (d, b, t, _) in enumerate(temps[:40])]
+    readings = spark.createDataFrame(temps, "device_id string, boot_id string, ts_us long, temp int")
+    got = D.trailing_histogram(spark.createDataFrame(probes, "device_id string, boot_id string, probe_id long, at_us long"), readings, period)
+    want = Counter((p, t) for d, _, p, at in probes for e, _, ts, t in temps if d == e and at - period <= ts <= at)
+    assert {(r.probe_id, r.temp): r.n for r in got.collect()} == want
+
+
+def test_nearest_rank_against_its_definition(spark):
+    rng = random.Random(3)
+    groups = {g: sorted(rng.randint(0, 30) for _ in range(rng.choice([1, 2, 7, 100, 333]))) for g in range(30)}
+    histogram = spark.createDataFrame([(g, t, n) for g, ts in groups.items() for t, n in Counter(ts).items()], "g int, temp int, n long")
+    for percentiles in (list(range(101)), [0, 1, 50, 99, 100], [33]):
+        got = {(r.g, r.p): r.percentile_temp for r in D.nearest_rank(histogram, percentiles, ["g"]).collect()}
+        assert got == {(g, p): ts[max(-(-len(ts) * p // 100), 1) - 1] for g, ts in groups.items() for p in percentiles}
