@@ -116,7 +116,7 @@ class _Block:
             hot, n = values[frequent], counts[frequent]
             at = np.minimum(np.searchsorted(hot, all_shingles), len(hot) - 1)
             is_hot = hot[at] == all_shingles
-            yield alone, block, HOT_REFS, _token(all_shingles[is_hot], bits).tobytes(), owners[is_hot].tobytes(), b""
+            yield alone, block, HOT_REFS, all_shingles[is_hot].tobytes(), owners[is_hot].tobytes(), b""
             all_shingles, owners = all_shingles[~is_hot], owners[~is_hot]
             yield from self._by_bucket(block, bits, HOT, hot, n.astype("<u4"))
         yield from self._by_bucket(block, bits, COLD, all_shingles, owners)
@@ -126,15 +126,9 @@ class _Block:
         bucket = shingles >> np.uint64(64 - bits)
         order = np.argsort(bucket, kind="stable")
         found, starts = np.unique(bucket[order], return_index=True)
-        rest = (shingles[order] & np.uint64(0xFFFFFFFF)).astype("<u4")
-        with_ = with_[order]
-        for k, a, b in zip(found.tolist(), starts.tolist(), [*starts[1:].tolist(), len(rest)], strict=True):
-            yield k, block, kind, rest[a:b].tobytes(), with_[a:b].tobytes(), b""
-
-
-def _token(shingles: np.ndarray, bits: int) -> np.ndarray:
-    """What a bucket knows of a shingle: the bucket and 32 bits."""
-    return (shingles >> np.uint64(64 - bits)) << np.uint64(32) | shingles & np.uint64(0xFFFFFFFF)
+        sent, with_ = shingles[order].astype("<u8"), with_[order]
+        for k, a, b in zip(found.tolist(), starts.tolist(), [*starts[1:].tolist(), len(sent)], strict=True):
+            yield k, block, kind, sent[a:b].tobytes(), with_[a:b].tobytes(), b""
 
 
 def _pack(bits: int) -> Callable:
@@ -159,7 +153,7 @@ def _pack(bits: int) -> Callable:
 def _count_bucket(rows: pd.DataFrame) -> pd.DataFrame:
     """The shingles of a bucket that occur in two sets or more, to each block its own, with the number of sets; other rows pass."""
     made = []
-    counted = [(r, np.frombuffer(r.a, "<u4")) for r in rows.itertuples() if r.kind in (COLD, HOT)]
+    counted = [(r, np.frombuffer(r.a, "<u8")) for r in rows.itertuples() if r.kind in (COLD, HOT)]
     if counted:
         tokens = np.concatenate([t for _, t in counted])
         weights = np.concatenate([np.frombuffer(r.b, "<u4") if r.kind == HOT else np.ones(len(t)) for r, t in counted])
@@ -170,8 +164,7 @@ def _count_bucket(rows: pd.DataFrame) -> pd.DataFrame:
             n = sets[inverse[a:b]]
             often = n >= 2
             if often.any():
-                token = (np.uint64(r.bucket) << np.uint64(32)) | t[often].astype(np.uint64)
-                made.append((r.block, r.kind, token.tobytes(), np.frombuffer(r.b, "<u2")[often].tobytes() if r.kind == COLD else b"", n[often].tobytes()))
+                made.append((r.block, r.kind, t[often].tobytes(), np.frombuffer(r.b, "<u2")[often].tobytes() if r.kind == COLD else b"", n[often].tobytes()))
     made += [(r.block, r.kind, r.a, r.b, r.c) for r in rows.itertuples() if r.kind in (HOT_REFS, DOCS)]
     return pd.DataFrame(made, columns=["block", "kind", "a", "b", "c"])
 

@@ -61,6 +61,26 @@ def test_against_brute_force(spark, seed):
     assert got == brute(docs)
 
 
+def test_overlaps_are_counted_on_whole_hashes(spark, monkeypatch):
+    """Shingles that agree in all but the middle bits are different ones, in sets, in frequencies and in overlaps."""
+
+    class Close(j.Shingler):
+        def __call__(self, text):
+            return np.array(sorted(np.uint64(int(w)) << np.uint64(40) for w in set((text or "").split())), np.uint64)
+
+    monkeypatch.setattr(j, "Shingler", Close)
+    sets = {1: range(1, 9), 2: [*range(1, 8), 20], 3: [1, 2, 3, 4, 31, 32, 33, 34], 4: range(40, 48), 5: range(50, 58)}
+    df = pd.DataFrame([(d, d, " ".join(map(str, s))) for d, s in sets.items()], columns=["doc_id", "text_hash", "text"])
+    batch = [j.pa.RecordBatch.from_pandas(df)]
+    monkeypatch.setattr(j.TaskContext, "get", staticmethod(lambda: type("T", (), {"partitionId": lambda self: 0})()))
+    rows = pd.concat([b.to_pandas() for b in j._pack(6)(iter(batch))])
+    counted = pd.concat([j._count_bucket(g) for _, g in rows.groupby("bucket")])
+    made = pd.concat([j._sets_of_block(g) for _, g in counted.groupby("block")]).set_index("doc_id")
+    assert made.n_shingles.to_dict() == {d: 8 for d in sets} and made.tokens[4] is None and made.tokens[5] is None
+    both = len(np.intersect1d(*[np.frombuffer(made.tokens[d], "<u8") for d in (1, 2)]))
+    assert both == 7 and len(np.frombuffer(made.tokens[1], "<u8")) == 7
+
+
 def test_odd_rows(spark):
     text = "one two three four five six seven eight"
     rows = [(5, None), (6, ""), (7, " \n"), (8, "a b"), (9, "A  b"), (3, text), (4, text + " nine"), (4, text + " nine"), (None, text), (2, "w " * 50_000)]
@@ -86,7 +106,7 @@ def test_frequent_shingles_travel_as_counts(monkeypatch):
         for x in np.frombuffer(s, np.uint64):
             df[x] += 1
     for k, s in enumerate(sets):
-        want = sorted((df[x], int(j._token(np.array([x]), 6)[0])) for x in s if df[x] > 1)
+        want = sorted((df[x], int(x)) for x in s if df[x] > 1)
         assert made.n_shingles[k] == len(s)
         if made.tokens[k] is not None:
             assert np.frombuffer(made.tokens[k], "<u8").tolist() == [t for _, t in want]
