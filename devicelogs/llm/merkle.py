@@ -10,7 +10,8 @@ appends the siblings that all its leaves share. A leaf's proof is its run's chai
 No task holds a source: ranks come from a range partitioning and running counts per partition, and a run with many leaves below it is stored
 in as many copies as keep SHARE leaves to each, so that a join never meets a hot key. The number of steps grows with the logarithm of rows.
 
-Null columns hash as "-", and a null source is a source of its own, before all others. Rows with a null doc_id come first in their source
+A leaf is the hash of its columns, each with its length before it; a parent is the hash of its children's hex texts, one after the other, and
+a proof likewise that of its siblings. Null columns hash as "-", and a null source is a source of its own, before all others. Rows with a null doc_id come first in their source
 and are never tampered. Rows that are equal each get a result. Columns other than those of LEAF are not read. An empty table gives an empty
 result; a single row is leaf, subroot and root at once, with an empty proof. Texts of any length are hashed whole.
 """
@@ -47,8 +48,8 @@ def _hash(*values: Column) -> Column:
 
 
 def _spelled(digests: str) -> str:
-    """SQL for binary digests in a row as the inputs of a hash: the length and the hex text of each."""
-    return f"regexp_replace(lower(hex({digests})), '(.{{{2 * _BYTES}}})', '{2 * _BYTES}:$1')"
+    """SQL for binary digests in a row as the inputs of a hash: their hex texts, without lengths."""
+    return f"lower(hex({digests}))"
 
 
 def _joined(digests: Column) -> Column:
@@ -124,7 +125,7 @@ def _linked(levels: list[DataFrame], n_trees: int, fan: int, share: int) -> Data
 
 _LEFT = f"substring(n.kids, 1, c.place * {_BYTES})"
 _RIGHT = f"substring(n.kids, c.place * {_BYTES} + {_BYTES + 1})"
-_FOLDED = _spelled(f"concat({_LEFT}, c.state, {_RIGHT})").replace("{", "{{").replace("}", "}}")  # spark.sql takes single ones as names
+_FOLDED = _spelled(f"concat({_LEFT}, c.state, {_RIGHT})")
 _CLIMB = f"""
 WITH RECURSIVE climb AS (
   SELECT * FROM {{start}}

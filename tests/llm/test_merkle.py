@@ -16,8 +16,13 @@ def H(*values):
     return hashlib.sha256(b"".join(map(piece, values))).hexdigest()
 
 
+def digest(*hexes):
+    """Lengths stand before a leaf's columns alone, digests follow one another as hex text."""
+    return hashlib.sha256("".join(hexes).encode()).hexdigest()
+
+
 def parents(nodes):
-    return [H(*nodes[k : k + 16]) for k in range(0, len(nodes), 16)]
+    return [digest(*nodes[k : k + 16]) for k in range(0, len(nodes), 16)]
 
 
 def path(nodes, at):
@@ -52,8 +57,8 @@ def brute(rows):
             cut = r[0] is not None and zlib.crc32(str(r[0]).encode()) % 5 == 0
             folded = H(r[0], r[3], r[2], r[4], lowered(r[1])) if cut else leaf
             for left, right in steps:
-                folded = H(*left, folded, *right)
-            proof = H(*[x for left, right in steps for x in left + right])
+                folded = digest(*left, folded, *right)
+            proof = digest(*[x for left, right in steps for x in left + right])
             out.append((r[0], leaf, subroot, root, proof, folded, folded == root))
     return sorted(out, key=str)
 
@@ -77,6 +82,16 @@ def test_manifest_against_brute_force(spark, rows):
     assert got(m.manifest(docs, share=20)) == brute(rows)
 
 
+def test_digests_are_hashed_as_plain_hex_text(spark):
+    sha = lambda text: hashlib.sha256(text.encode()).hexdigest()
+    a, b, c = sha("1:1" "1:s" "2:en" "1:3" "3:One"), sha("1:2" "1:s" "-" "-" "-"), sha("1:3" "1:t" "2:de" "1:2" "2:é")
+    docs = spark.createDataFrame([(1, "One", "en", "s", 3), (2, None, None, "s", None), (3, "é", "de", "t", 2)], SCHEMA)
+    root = sha(sha(a + b) + c)
+    assert got(m.manifest(docs)) == [
+        (1, a, sha(a + b), root, sha(b + c), root, True), (2, b, sha(a + b), root, sha(a + c), root, True), (3, c, c, root, sha(sha(a + b)), root, True),
+    ]
+
+
 def test_tampering_is_found(spark):
     rows = [(k, "Upper" if k % 2 else "lower", "en", "ab"[k % 2], 5) for k in range(300)]
     found = {r.doc_id: r.verified for r in m.manifest(spark.createDataFrame(rows, SCHEMA)).collect()}
