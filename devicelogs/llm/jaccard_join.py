@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, written
+from .common import Scratch, frees_batches, frees_group, written
 
 SHINGLE = 5
 #: Similarity as a fraction: 75 / 100.
@@ -201,9 +201,9 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
     """_SETS of docs, which have doc_id, text_hash and text."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = int(np.clip(np.ceil(np.log2(max(size / 7 / BUCKET_SHINGLES, 1))), *BUCKET_BITS))
-    packed = docs.mapInArrow(_pack(bits), _PACKED)
-    counted = packed.groupBy("bucket").applyInPandas(_count_bucket, "block long, kind int, a binary, b binary, c binary")
-    return counted.groupBy("block").applyInPandas(_sets_of_block, _SETS)
+    packed = docs.mapInArrow(frees_batches(_pack(bits)), _PACKED)
+    counted = packed.groupBy("bucket").applyInPandas(frees_group(_count_bucket), "block long, kind int, a binary, b binary, c binary")
+    return counted.groupBy("block").applyInPandas(frees_group(_sets_of_block), _SETS)
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

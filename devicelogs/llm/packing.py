@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import LONG_CHARS, default_tokenizer, encode_long, encoder, in_groups
-from .common import written
+from .common import frees_batches, written
 
 CAPACITY = 4096
 END_ID = 1
@@ -125,7 +125,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, doc_id: str = "doc_id"
     """
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
     path, schema, is_long = tokenizer or default_tokenizer(), _PIECE.format(kind=dict(rows.dtypes)["doc_id"]), F.char_length("text") > long_chars
-    return rows.where(~is_long).mapInArrow(_pieces(path, capacity), schema).unionByName(encode_long(rows.where(is_long), path, long_chars).mapInArrow(_pieces(None, capacity), schema))
+    return rows.where(~is_long).mapInArrow(frees_batches(_pieces(path, capacity)), schema).unionByName(encode_long(rows.where(is_long), path, long_chars).mapInArrow(_pieces(None, capacity), schema))
 
 
 def pack(docs: DataFrame, tokenizer: str | None = None, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY) -> DataFrame:

@@ -21,6 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import frees_batches, frees_group
 from .training import labelled_sample, logistic_fit, sigmoid
 
 FOLDS, FOLD = 3, 1
@@ -136,7 +137,7 @@ def _fit_group(sample: pd.DataFrame) -> pd.DataFrame:
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = FOLDS, fold: int = FOLD, rows: int = TRAIN_ROWS) -> bytes:
     """The model as bytes: weights and ratios per bucket, bias, slope and level."""
     sample = labelled_sample(docs, labels, label, folds, fold, rows).withColumn("_all", F.lit(1))
-    made = sample.groupBy("_all").applyInPandas(_fit_group, "model binary").first()  # at most ``rows`` documents in one task
+    made = sample.groupBy("_all").applyInPandas(frees_group(_fit_group), "model binary").first()  # at most ``rows`` documents in one task
     if made is None:
         return np.zeros(2 * BUCKETS + 3, "<f4").tobytes()
     return bytes(made.model)
@@ -164,4 +165,4 @@ def score(docs: DataFrame, model: bytes, column: str = "score", text: str = "tex
         raise ValueError(f"docs has a column {column}; choose another name")
     held = docs.sparkSession.sparkContext.broadcast(model)  # 2 * BUCKETS + 3 floats
     schema = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes)
-    return docs.mapInArrow(_score(held, column, text), f"{schema}, `{column}` double")
+    return docs.mapInArrow(frees_batches(_score(held, column, text)), f"{schema}, `{column}` double")
