@@ -1,7 +1,8 @@
 """BPE encoding and decoding with a given tokenizer file.
 
-Where the tokenizer file splits each word by itself with a pattern (``splitter``), the ids of a text are those of its pieces, and each worker
-keeps the ids of the pieces it has met; words beyond Latin-1 are pieces as they are. With any other file texts are encoded whole. Decoding is the tokenizer's own. A text above LONG_CHARS is cut into leaves that Spark deals out as rows and encodes in
+Where the tokenizer file splits each word by itself with a pattern (``splitter``), the ids of a text are those of its words, and each worker
+keeps the ids of the words it has met; Latin-1 words are split here and their pieces given to the file's model. With any other file texts are
+encoded whole. Decoding is the tokenizer's own. A text above LONG_CHARS is cut into leaves that Spark deals out as rows and encodes in
 parallel; a tree of joins then puts the halves together. A join re-encodes a window around the cut, and lets it grow until its tokens agree
 with those of both halves: the halves' tokens outside of the agreement and the window's tokens inside are the encoding of the whole.
 
@@ -28,8 +29,9 @@ from pyspark.sql import functions as F
 
 #: Longer texts are cut into leaves of at most half as many code points.
 LONG_CHARS = 65_536
-#: From so many pieces on a worker forgets those that it met once, and those that are longer than this.
-CACHED_PIECES = 350_000
+#: From so many words on, or so many code points of new ones, a worker forgets the words that it met once, and those that are longer than this.
+CACHED_WORDS = 350_000
+HELD_CHARS = 8_000_000
 CACHED_CHARS = 48
 #: Code points that are encoded together; bounds the words held at once.
 BATCH_CHARS = 1_000_000
@@ -64,20 +66,20 @@ def default_tokenizer() -> str:
 
 
 class _Numbered(dict):
-    """Pieces and their numbers; a new one gets the next."""
+    """Words and their numbers; a new one gets the next."""
 
-    def __init__(self, pieces: list[str] = ()):
-        super().__init__(zip(pieces, range(len(pieces)), strict=True))
+    def __init__(self, words: list[str] = ()):
+        super().__init__(zip(words, range(len(words)), strict=True))
         self.new: list[str] = []
 
-    def __missing__(self, piece: str) -> int:
-        self[piece] = n = len(self)
-        self.new.append(piece)
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        self.new.append(word)
         return n
 
 
 class Encoder:
-    """A tokenizer with the ids of the pieces met so far."""
+    """A tokenizer with the ids of the words met so far."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -86,40 +88,53 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.pattern = splitter(self.tokenizer)
+        self.pattern, self.model = splitter(self.tokenizer), self.tokenizer.model
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known, self.pool = _Numbered(), np.zeros(0, "<u4")
-        self.starts, self.counts, self.seen = (np.zeros(0, np.int64) for _ in range(3))  # of each piece: place and length in the pool, how often met
+        self.clear()
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.tokens = [self.tokenizer.id_to_token(i) or "" for i in range(size)]
 
+    def clear(self) -> None:
+        """Forgets all words."""
+        self.known, self.held, self.pool = _Numbered(), 0, np.zeros(0, "<u4")
+        self.starts, self.counts, self.seen = (np.zeros(0, np.int64) for _ in range(3))  # of each word: place and length in the pool, how often met
+
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def pieces(self, text: str) -> list[str] | None:
+    def words(self, text: str) -> list[str] | None:
         """What the tokenizer encodes one by one; None if only the tokenizer knows."""
         if self.pattern is None or any(c in text for c in _NOT_SPACE) or any(t in text for t in self.added):
             return None
-        if _latin(text):
-            return self.pattern.findall(text.lower())
-        return [p for w in text.split() for p in (self.pattern.findall(w.lower()) if _latin(w) else (w,))]
-
-    def learn(self, pieces: list[str]) -> None:
-        """Appends the ids of distinct pieces to the pool; encodes them in one call."""
-        made = self.tokenizer.encode(pieces, is_pretokenized=True, add_special_tokens=False)
-        counts = np.bincount(np.array(made.word_ids, np.int64), minlength=len(pieces))
+        return (text.lower() if _latin(text) else text).split()
+
+    def _latin_ids(self, word: str) -> list[int]:
+        """Ids of a Latin-1 word, which is its own normal form: the model gets its pieces with characters for their bytes."""
+        return [t.id for piece in self.pattern.findall(word.lower()) for t in self.model.tokenize(piece if piece.isascii() and piece.isprintable() else piece.translate(_byte_characters()))]
+
+    def learn(self, words: list[str]) -> None:
+        """Appends the ids of distinct words to the pool; encodes those beyond Latin-1 in one call."""
+        ids = [self._latin_ids(w) if _latin(w) else None for w in words]
+        beyond = [k for k, made in enumerate(ids) if made is None]
+        if beyond:
+            made = self.tokenizer.encode([words[k] for k in beyond], is_pretokenized=True, add_special_tokens=False)
+            ends = np.cumsum(np.bincount(np.array(made.word_ids, np.int64), minlength=len(beyond)))
+            for k, part in zip(beyond, np.split(np.array(made.ids, "<u4"), ends[:-1]), strict=True):
+                ids[k] = part.tolist()
+        counts = np.array([len(made) for made in ids], np.int64)
         self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(counts) - counts])
         self.counts = np.concatenate([self.counts, counts])
-        self.seen = np.concatenate([self.seen, np.zeros(len(pieces), np.int64)])
-        self.pool = np.concatenate([self.pool, np.array(made.ids, "<u4")])
+        self.seen = np.concatenate([self.seen, np.zeros(len(words), np.int64)])
+        self.pool = np.concatenate([self.pool, np.fromiter(chain.from_iterable(ids), "<u4")])
+        self.held += sum(map(len, words))
 
     def forget(self) -> None:
-        """Keeps the pieces that were met more than once."""
+        """Keeps the words that were met more than once."""
         kept = self.seen > 1
-        pieces = [p for p, k in zip(self.known, kept.tolist(), strict=True) if k and len(p) <= CACHED_CHARS]
-        old = np.array([self.known[p] for p in pieces], np.int64)
+        words = [w for w, k in zip(self.known, kept.tolist(), strict=True) if k and len(w) <= CACHED_CHARS]
+        old = np.array([self.known[w] for w in words], np.int64)
         flat = self._ids_of(old)
-        self.known = _Numbered(pieces)
+        self.known, self.held = _Numbered(words), 0
         self.pool, self.counts, self.seen = flat, self.counts[old], self.seen[old] // 2
         self.starts = np.cumsum(self.counts) - self.counts
 
@@ -130,7 +145,7 @@ class Encoder:
 
     def batch(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        cut = [self.pieces(text) for text in texts]
+        cut = [self.words(text) for text in texts]
         numbers = np.fromiter(map(self.known.__getitem__, chain.from_iterable(filter(None, cut))), np.int64)
         if self.known.new:
             self.learn(self.known.new)
@@ -139,7 +154,7 @@ class Encoder:
         raw = memoryview(self._ids_of(numbers).tobytes())
         ends = np.concatenate([[0], np.cumsum(self.counts[numbers])])[np.cumsum([0, *[len(x or ()) for x in cut]])] * 4
         made = [self.whole(t) if x is None else bytes(raw[a:b]) for t, x, a, b in zip(texts, cut, ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-        if len(self.known) > CACHED_PIECES:
+        if len(self.known) > CACHED_WORDS or self.held > HELD_CHARS:
             self.forget()
         return made
 
@@ -149,6 +164,15 @@ class Encoder:
         return " ".join(map(self.tokens.__getitem__, numbers)) if self.tokenizer.decoder is None else self.tokenizer.decode(numbers, skip_special_tokens=False)
 
 
+@lru_cache(maxsize=1)
+def _byte_characters() -> dict[int, str]:
+    """What byte-level splitting makes of each Latin-1 character."""
+    from tokenizers.pre_tokenizers import ByteLevel
+
+    level = ByteLevel(add_prefix_space=False, use_regex=False)
+    return {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(256)}
+
+
 def _latin(text: str) -> bool:
     """Whether all characters are Latin-1: these are their own normal form, and their lower case doesn't depend on their neighbours."""
     if text.isascii():

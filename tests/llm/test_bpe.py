@@ -27,6 +27,22 @@ def test_words_equal_the_whole_text(text):
     assert ids(CODER.batch([text])[0]) == want(text)
 
 
+def test_latin_words_need_only_the_model(monkeypatch):
+    text = "Plain words, it's é-ß\x00\x7f 3²¼ µª x\xady <|>"
+    coder = bpe.Encoder(bpe.default_tokenizer())
+    monkeypatch.setattr(coder, "tokenizer", None)  # the way through normalizer and splitter takes most of the time
+    assert ids(coder.batch([text])[0]) == want(text)
+
+
+def test_long_words_are_not_held(monkeypatch):
+    monkeypatch.setattr(bpe, "HELD_CHARS", 1000)
+    coder = bpe.Encoder(bpe.default_tokenizer())
+    texts = ["漢字" * 300, "a short word " * 3, "ab" * 400]
+    assert [ids(x) for x in coder.batch(texts)] == [want(t) for t in texts]
+    assert set(coder.known) == {"a", "short", "word"}
+    assert [ids(x) for x in coder.batch(texts)] == [want(t) for t in texts]
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet=st.one_of(st.sampled_from("ab cés'0漢!́\n"), st.characters(codec="utf-8")), min_size=1, max_size=400), st.integers(3, 60), st.integers(1, 16))
 def test_tree_equals_the_whole_text(text, most, half):
