@@ -114,6 +114,8 @@ def _pieces(path: str | None, capacity: int) -> Callable:
                 piece, start, length, crc = zip(*rows, strict=True)
                 columns = [doc_ids.take(pa.array(owners, pa.int64())), pa.array(piece, pa.int32()), *[pa.array(c, pa.int64()) for c in (start, length, crc)], pa.array([task] * len(rows), pa.int32()), pa.array(local, pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in _PIECE.split(", ")])
+        if path:
+            encoder(path).clear()  # workers wait by turns, so each would come to hold words
 
     return run
 

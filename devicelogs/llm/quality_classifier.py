@@ -15,13 +15,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import frees_batches, frees_group
+from .common import frees_batches
 from .training import labelled_sample, logistic_fit, sigmoid
 
 FOLDS, FOLD = 3, 1
@@ -123,21 +122,23 @@ def fit(rows: list[np.ndarray], y: np.ndarray) -> tuple[np.ndarray, float, float
     return w, bias, float(slope), float(level), r
 
 
-def _fit_group(sample: pd.DataFrame) -> pd.DataFrame:
-    make = Features()
-    order = sample.sort_values("doc_id")
-    rows = [make(t) for t in order.text]
-    y = order.label.to_numpy(np.int64)
+def _fit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The model of rows (text, label) in their order; none without rows. Of each batch only the buckets and labels are kept."""
+    make, rows, labels = Features(), [], []
+    for batch in batches:
+        rows += [make(text.as_py()) for text in batch.column("text")]
+        labels += batch.column("label").to_pylist()
     make.known.clear()
-    w, bias, slope, level, r = fit(rows, y)
-    blob = np.concatenate([w, r, [bias, slope, level]]).astype("<f4").tobytes()
-    return pd.DataFrame({"model": [blob]})
+    if rows:
+        w, bias, slope, level, r = fit(rows, np.array(labels, np.int64))
+        blob = np.concatenate([w, r, [bias, slope, level]]).astype("<f4").tobytes()
+        yield pa.RecordBatch.from_arrays([pa.array([blob], pa.binary())], names=["model"])
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = FOLDS, fold: int = FOLD, rows: int = TRAIN_ROWS) -> bytes:
     """The model as bytes: weights and ratios per bucket, bias, slope and level."""
-    sample = labelled_sample(docs, labels, label, folds, fold, rows).withColumn("_all", F.lit(1))
-    made = sample.groupBy("_all").applyInPandas(frees_group(_fit_group), "model binary").first()  # at most ``rows`` documents in one task
+    sample = labelled_sample(docs, labels, label, folds, fold, rows).repartition(1).sortWithinPartitions("doc_id")  # at most ``rows`` documents in one task
+    made = sample.select("text", "label").mapInArrow(frees_batches(_fit_rows), "model binary").first()
     if made is None:
         return np.zeros(2 * BUCKETS + 3, "<f4").tobytes()
     return bytes(made.model)

@@ -3,6 +3,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 
 from devicelogs.llm import packing as p
 from devicelogs.llm.bpe import default_tokenizer, encoder
@@ -84,3 +85,10 @@ def test_pack_against_brute_force(spark):
 def test_query(spark):
     rows = op10_best_fit_packing(spark, "/root/testdata/sf0.001").collect()
     assert check([(r.length, r.sequence_id, r.offset) for r in rows], 4096) <= 1.02 * sum(r.length for r in rows) / 4096 + 1
+
+
+def test_a_waiting_worker_holds_no_words(monkeypatch):
+    monkeypatch.setattr(p.TaskContext, "get", lambda: type("Task", (), {"partitionId": lambda self: 0})())
+    docs = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": ["some words", "and more of them"]})
+    made = pa.Table.from_batches(p._pieces(default_tokenizer(), 4096)(iter([docs])))
+    assert made.column("doc_id").to_pylist() == [1, 2] and not encoder(default_tokenizer()).known

@@ -1,4 +1,7 @@
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from devicelogs.llm import quality_classifier as q
@@ -80,3 +83,17 @@ def test_odd_rows(spark):
     assert q.score(docs.withColumnRenamed("label", "_score"), q.train(docs, labels)).columns == ["doc_id", "text", "_score", "score"]
     twice = [spark.createDataFrame(x, "doc_id long, text string") for x in ([(1, "a b"), (1, "c d"), (2, "e")], [(2, "e"), (1, "c d"), (1, "a b")])]
     assert q.train(twice[0], labels) == q.train(twice[1], labels)
+
+
+def test_fitting_does_not_hold_the_texts():
+    texts = ((word * 1000 + " ") * 100 for word in ["good_", "poor_"] * 100)  # 100 MB
+    batches = (pa.RecordBatch.from_pydict({"text": [t], "label": [int(t[0] == "g")]}) for t in texts)
+    made = q._fit_rows(batches)
+    q.Features()("numpy is loaded")
+    tracemalloc.start()
+    (model,) = made
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    numbers = np.frombuffer(model.column("model")[0].as_py(), "<f4")
+    assert len(numbers) == 2 * q.BUCKETS + 3 and peak < 60_000_000
+    assert not list(q._fit_rows(iter([])))
