@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.states import ctx_periods
-from ..operators.timeops import KEYS, following, gap_epochs, interval_join, last, running, total, written
+from ..operators.timeops import KEYS, ORDER, following, gap_epochs, interval_join, last, running, total, written
 from .sessions import _shares, temps_within, with_frequency
 
 SECOND = 1_000_000
@@ -183,7 +183,8 @@ def ambient_from_suspend(events: DataFrame, least_sleep_us: int = 1200 * SECOND,
 
 
 def _holds(tail_us: int):
-    """Pairs the locks of one epoch. A release belongs to the acquire of its lock, whoever calls it; the alarm goes the tail after the hold."""
+    """Pairs the locks of one epoch, in the log's order: clocks may go back between lines. A release belongs to the acquire of its lock, whoever
+    calls it; the alarm goes the tail after the hold."""
 
     def holds(rows: pd.DataFrame) -> pd.DataFrame:
         found = []
@@ -200,7 +201,7 @@ def _holds(tail_us: int):
                     alarm = queues[pid].popleft()
                     found.append((rows.device_id.iloc[0], rows.boot_id.iloc[0], pid, alarm["alarm_key"], int(alarm["ts_us"]), acquire, release, release + tail_us))
 
-        for r in rows.sort_values(["ts_us", "line_id"]).to_dict("records"):
+        for r in rows.sort_values([c for c in ORDER if c in rows.columns]).to_dict("records"):
             now = int(r["ts_us"])
             serve(now)
             if r["what"] == "alarm":
@@ -236,7 +237,7 @@ def wakelock_holds(events: DataFrame, tail_us: int = 10 * SECOND, keys=KEYS, sli
     epoch = [*scope, "reset_id"]
     ends = stated.groupBy(*epoch).agg(F.max("ts_us").alias("last_us"))
     dark = (F.col("_charge") == "unplugged") & (F.col("_screen") == "off")
-    small = stated.where("what is not null").where((F.col("what") != "alarm") | dark).select(*epoch, "pid", "ts_us", "line_id", "what", "lock", "alarm_key")
+    small = stated.where("what is not null").where((F.col("what") != "alarm") | dark).select(*epoch, *[c for c in ORDER if c in events.columns], "pid", "ts_us", "what", "lock", "alarm_key")
     waiting = small.where("what = 'alarm'").select(*epoch, "pid").distinct()
     taken = small.where("what <> 'release'").join(waiting, [*epoch, "pid"], "left_semi")
     released = small.where("what = 'release'").join(taken.where("what = 'acquire'").select(*epoch, "lock").distinct(), [*epoch, "lock"], "left_semi")
