@@ -25,7 +25,7 @@ def bag(rows, columns):
     return sorted(str([r[k] for k in order]) for r in rows)
 
 
-@pytest.mark.parametrize("name", ["nested_holds", "nested_mean_hold"])
+@pytest.mark.parametrize("name", ["nested_holds", "nested_mean_hold", "nested_hold_cpu"])
 def test_query_equals_sql(spark, dense, name):
     path, c = dense
     got, want = q.queries()[name](spark, path), c.sql(q.oracle_sql()[name])
