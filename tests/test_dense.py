@@ -1,10 +1,13 @@
 """Queries over a table that repeats the events with shifted keys: boots are dense, and events share their times."""
 
+import random
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from devicelogs import queries as q
+from devicelogs.operators import distribution as D
 from devicelogs.plans import ambient as M
 
 SF = "/root/testdata/sf0.001"
@@ -20,12 +23,35 @@ def dense(tmp_path_factory):
     return str(path), c
 
 
+@pytest.fixture(scope="module")
+def crowded(tmp_path_factory):
+    """As dense, of one boot with 5,000 events in six days: windows hold thousands of readings."""
+    path, c = tmp_path_factory.mktemp("crowded"), duckdb.connect()
+    rows = """select i as event_id, timestamp '2024-01-01' + to_microseconds((i * 100000000 + hash(i) % 90000000)::bigint) as ts, 40 as user_id, ['click', 'view', 'error', 'signup', 'purchase'][(hash(i, 1) % 5 + 1)::bigint] as event_type,
+        (hash(i, 2) % 9000) / 100.0 as value, '{"k": ' || (hash(i, 3) % 100)::varchar || '}' as props from range(5000) t(i)"""
+    c.execute(f"copy ({rows}) to '{path}/events.parquet' (format parquet)")
+    c.execute(f"create view events as select * from '{path}/events.parquet'")
+    return str(path), c
+
+
+def shuffled(spark) -> int:
+    """Bytes that the session has written for shuffles so far."""
+    sc = spark.sparkContext
+    jvm, store = sc._jvm, sc._jsc.sc().statusStore()
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = store.stageList(jvm.java.util.ArrayList(), False, False, sc._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList()).iterator()
+    total = 0
+    while stages.hasNext():
+        total += stages.next().shuffleWriteBytes()
+    return total
+
+
 def bag(rows, columns):
     order = sorted(range(len(columns)), key=lambda k: columns[k])
     return sorted(str([r[k] for k in order]) for r in rows)
 
 
-@pytest.mark.parametrize("name", ["nested_holds", "nested_mean_hold", "nested_hold_cpu"])
+@pytest.mark.parametrize("name", ["nested_holds", "nested_mean_hold", "nested_hold_cpu", "distribution_snapshot", "trailing_percentile"])
 def test_query_equals_sql(spark, dense, name):
     path, c = dense
     got, want = q.queries()[name](spark, path), c.sql(q.oracle_sql()[name])
@@ -43,3 +69,43 @@ def test_holds_follow_the_log_and_not_the_clock(spark):
         "device_id string, boot_id string, token long, trace_time double, line_id long, ts_us long, screen string, charge string, what string, pid long, lock long, alarm_key string")
     found = M.wakelock_holds(log).select("alarm_key", F.col("acquire_us") / 1e6, F.col("release_us") / 1e6).collect()
     assert sorted(map(tuple, found)) == [("k0", 11.0, 14.0), ("k1", 11.5, 14.5)]
+
+
+@pytest.mark.parametrize("name", ["distribution_snapshot", "trailing_percentile"])
+def test_windows_are_not_shuffled_reading_by_reading(spark, crowded, name):
+    path, c = crowded
+    before = shuffled(spark)
+    frame = q.queries()[name](spark, path)
+    rows, want = frame.collect(), c.sql(q.oracle_sql()[name])
+    assert shuffled(spark) - before < 1_000_000
+    assert rows and bag(map(tuple, rows), frame.columns) == bag(want.fetchall(), want.columns)
+
+
+@pytest.mark.parametrize("kind", ["int", "double"])
+def test_trailing_percentiles_against_their_definition(spark, kind):
+    """Over chunk borders, with empty windows and missing temperatures, which are behind all others."""
+    rng, day = random.Random(5), 86_400_000_000
+    temps = [("d", "b", rng.randint(0, 30) * day // 2, rng.choice([None, *range(20, 29)]) if kind == "int" else rng.randint(20, 28) / 2) for _ in range(300)]
+    probes = [("d", rng.choice("bbbc"), k, rng.randint(-4, 40) * day // 2) for k in range(60)]
+    readings = spark.createDataFrame(temps, f"device_id string, boot_id string, ts_us long, temp {kind}")
+    got = D.trailing_percentile(spark.createDataFrame(probes, "device_id string, boot_id string, probe_id long, at_us long"), readings, [90, 0, 50])
+    want = {}
+    for _, boot, probe, at in probes:
+        held = sorted((t for _, b, ts, t in temps if b == boot and at - day <= ts <= at), key=lambda t: (t is None, t))
+        for p in (0, 50, 90):
+            if held:
+                want[probe, p] = held[max(-(-len(held) * p // 100), 1) - 1]
+    assert {(r.probe_id, r.p): r.percentile_temp for r in got.collect()} == want
+
+
+def test_snapshots_are_the_readings_of_the_window(spark):
+    rng, day = random.Random(6), 86_400_000_000
+    temps = [("d", "b", rng.randint(0, 40) * day // 4, rng.randint(20, 29)) for _ in range(200)]
+    probes = [("d", "b", k, rng.randint(-4, 60) * day // 4) for k in range(50)]
+    readings, at = spark.createDataFrame(temps, "device_id string, boot_id string, ts_us long, temp int"), spark.createDataFrame(probes, "device_id string, boot_id string, probe_id long, at_us long")
+    begun = min(t for _, _, t, _ in temps)
+    want = {p: (sorted((ts, t) for _, _, ts, t in temps if u - day <= ts <= u), u - begun > day) for _, _, p, u in probes}
+    want = {p: w for p, w in want.items() if w[0]}
+    got = D.distribution_snapshot(readings, at).collect()
+    assert {r.probe_id: (list(zip(r.ts_us, r.temp)), r.is_full) for r in got} == want and all(r.num_entries == len(r.temp) for r in got)
+    assert {r.probe_id: (r.sum_temp, r.num_entries, r.is_full) for r in D.distribution_sums(readings, at).collect()} == {p: (sum(t for _, t in held), len(held), full) for p, (held, full) in want.items()}
