@@ -7,7 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from devicelogs import queries as q
+from devicelogs.functions import algorithms as G
 from devicelogs.operators import distribution as D
+from devicelogs.plans import alarms as A
 from devicelogs.plans import ambient as M
 
 SF = "/root/testdata/sf0.001"
@@ -51,7 +53,7 @@ def bag(rows, columns):
     return sorted(str([r[k] for k in order]) for r in rows)
 
 
-@pytest.mark.parametrize("name", ["nested_holds", "nested_mean_hold", "nested_hold_cpu", "distribution_snapshot", "trailing_percentile"])
+@pytest.mark.parametrize("name", ["nested_holds", "nested_mean_hold", "nested_hold_cpu", "distribution_snapshot", "trailing_percentile", "alarm_temps"])
 def test_query_equals_sql(spark, dense, name):
     path, c = dense
     got, want = q.queries()[name](spark, path), c.sql(q.oracle_sql()[name])
@@ -71,7 +73,7 @@ def test_holds_follow_the_log_and_not_the_clock(spark):
     assert sorted(map(tuple, found)) == [("k0", 11.0, 14.0), ("k1", 11.5, 14.5)]
 
 
-@pytest.mark.parametrize("name", ["distribution_snapshot", "trailing_percentile"])
+@pytest.mark.parametrize("name", ["distribution_snapshot", "trailing_percentile", "alarm_temps"])
 def test_windows_are_not_shuffled_reading_by_reading(spark, crowded, name):
     path, c = crowded
     before = shuffled(spark)
@@ -109,3 +111,39 @@ def test_snapshots_are_the_readings_of_the_window(spark):
     got = D.distribution_snapshot(readings, at).collect()
     assert {r.probe_id: (list(zip(r.ts_us, r.temp)), r.is_full) for r in got} == want and all(r.num_entries == len(r.temp) for r in got)
     assert {r.probe_id: (r.sum_temp, r.num_entries, r.is_full) for r in D.distribution_sums(readings, at).collect()} == {p: (sum(t for _, t in held), len(held), full) for p, (held, full) in want.items()}
+
+
+@pytest.fixture(scope="module")
+def alarmed(spark):
+    """Alarms over nineteen days, more than a chunk, and readings, some of which share a time or have no temperature."""
+    rng, hour = random.Random(8), 3_600_000_000
+    temps = [("d", b, rng.randint(0, 900) * hour // 2, rng.choice([None, *range(20, 60)])) for b in "ab" for _ in range(700)]
+    alarms = [("d", rng.choice("abc"), str(k), t := rng.randint(0, 900) * hour // 2, (w := rng.randint(1, 90)) * 3_600_000, t, t + w * hour, 0) for k in range(80)]
+    return (spark.createDataFrame(alarms, "device_id string, boot_id string, alarm_key string, ts_us long, window_length_ms long, when_rtc_us long, max_when_us long, late_us long"),
+        spark.createDataFrame(temps, "device_id string, boot_id string, ts_us long, temp int"))
+
+
+def test_slices_give_what_arrays_give(spark, alarmed):
+    """The algorithms' forms in numpy and as columns, and the summaries, over the same closed alarms."""
+    alarms, temps = alarmed
+    near = {"start_tolerance_us": 10**12, "trigger_tolerance_us": 10**12}
+    named = G.registry() | {"steepest-fall": G.steepest_fall()}
+    plain = {name: (lambda build: lambda: build())(build) for name, build in named.items() if name != "steepest-fall"}  # without pick
+    whole = temps.where("temp is not null")
+    got = {(r.alarm_key, r.algorithm): r.temp for r in A.evaluate_algorithms(alarms, whole, min_readings=3, algorithms=named, **near).collect()}
+    want = {(r.alarm_key, r.algorithm): r.temp for r in A.evaluate_algorithms(alarms, whole, min_readings=3, algorithms=plain, **near).collect()}
+    assert want and {k: v for k, v in got.items() if k[1] != "steepest-fall"} == want and len(got) == len(want) // 5 * 6
+    rows = {r.alarm_key: r for r in A.alarm_temps(alarms, temps, **near).collect()}
+    held = {(b, r.ts_us, r.temp) for b in "ab" for r in temps.where(F.col("boot_id") == b).collect()}
+    for r in rows.values():
+        inside = sorted(((t, x) for b, t, x in held if b == r.boot_id and r.start_ts <= t < min(r.max_when_us, r.close_us + 1)), key=str)
+        assert sorted({(x.ts_us, x.temp) for x in r.readings}, key=str) == inside and [x.ts_us for x in r.readings] == sorted(x.ts_us for x in r.readings)
+    known = {k: [x.temp for x in r.readings if x.temp is not None] for k, r in rows.items()}
+    assert {r.alarm_key: (r.readings, r.min_temp) for r in A.alarm_summary(alarms, temps, **near).collect()} == {k: (len(r.readings), min(known[k], default=None)) for k, r in rows.items()}
+    percents = {}
+    for k, r in rows.items():
+        for x in r.readings:
+            if x.ts_us >= r.when_rtc_us:
+                percents.setdefault((k, (x.ts_us - r.when_rtc_us) * 100 // (r.window_length_ms * 1000)), []).append(x.temp)
+    got = {(r.alarm_key, r.percent): (r.n, r.min_temp) for r in A.alarm_percents(alarms, temps, **near).collect()}
+    assert got == {k: (len(v), min((t for t in v if t is not None), default=None)) for k, v in percents.items()}
