@@ -53,7 +53,7 @@ def bag(rows, columns):
     return sorted(str([r[k] for k in order]) for r in rows)
 
 
-@pytest.mark.parametrize("name", ["nested_holds", "nested_mean_hold", "nested_hold_cpu", "distribution_snapshot", "trailing_percentile", "alarm_temps", "readings_by_percent", "evaluate_algorithms"])
+@pytest.mark.parametrize("name", ["nested_holds", "nested_mean_hold", "nested_hold_cpu", "distribution_snapshot", "trailing_percentile", "alarm_temps", "readings_by_percent", "evaluate_algorithms", "evaluate_vectorized"])
 def test_query_equals_sql(spark, dense, name):
     path, c = dense
     got, want = q.queries()[name](spark, path), c.sql(q.oracle_sql()[name])
@@ -73,7 +73,7 @@ def test_holds_follow_the_log_and_not_the_clock(spark):
     assert sorted(map(tuple, found)) == [("k0", 11.0, 14.0), ("k1", 11.5, 14.5)]
 
 
-@pytest.mark.parametrize("name", ["distribution_snapshot", "trailing_percentile", "alarm_temps", "readings_by_percent", "evaluate_algorithms"])
+@pytest.mark.parametrize("name", ["distribution_snapshot", "trailing_percentile", "alarm_temps", "readings_by_percent", "evaluate_algorithms", "evaluate_vectorized"])
 def test_windows_are_not_shuffled_reading_by_reading(spark, crowded, name):
     path, c = crowded
     before = shuffled(spark)
