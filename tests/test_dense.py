@@ -73,7 +73,7 @@ def test_holds_follow_the_log_and_not_the_clock(spark):
     assert sorted(map(tuple, found)) == [("k0", 11.0, 14.0), ("k1", 11.5, 14.5)]
 
 
-@pytest.mark.parametrize("name", ["distribution_snapshot", "trailing_percentile", "alarm_temps", "readings_by_percent", "evaluate_algorithms", "evaluate_vectorized"])
+@pytest.mark.parametrize("name", ["distribution_snapshot", "trailing_percentile", "alarm_temps", "readings_by_percent", "evaluate_algorithms", "evaluate_vectorized", "algorithm_results"])
 def test_windows_are_not_shuffled_reading_by_reading(spark, crowded, name):
     path, c = crowded
     before = shuffled(spark)
