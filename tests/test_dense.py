@@ -11,6 +11,7 @@ from devicelogs.functions import algorithms as G
 from devicelogs.operators import distribution as D
 from devicelogs.plans import alarms as A
 from devicelogs.plans import ambient as M
+from devicelogs.streaming import stateful as T
 
 SF = "/root/testdata/sf0.001"
 COPIES = 6
@@ -53,7 +54,7 @@ def bag(rows, columns):
     return sorted(str([r[k] for k in order]) for r in rows)
 
 
-@pytest.mark.parametrize("name", ["nested_holds", "nested_mean_hold", "nested_hold_cpu", "distribution_snapshot", "trailing_percentile", "alarm_temps", "readings_by_percent", "evaluate_algorithms", "evaluate_vectorized"])
+@pytest.mark.parametrize("name", ["nested_holds", "nested_mean_hold", "nested_hold_cpu", "distribution_snapshot", "trailing_percentile", "alarm_temps", "readings_by_percent", "evaluate_algorithms", "evaluate_vectorized", "stateful_alarm_temps"])
 def test_query_equals_sql(spark, dense, name):
     path, c = dense
     got, want = q.queries()[name](spark, path), c.sql(q.oracle_sql()[name])
@@ -147,3 +148,15 @@ def test_slices_give_what_arrays_give(spark, alarmed):
                 percents.setdefault((k, (x.ts_us - r.when_rtc_us) * 100 // (r.window_length_ms * 1000)), []).append(x.temp)
     got = {(r.alarm_key, r.percent): (r.n, r.min_temp) for r in A.alarm_percents(alarms, temps, **near).collect()}
     assert got == {k: (len(v), min((t for t in v if t is not None), default=None)) for k, v in percents.items()}
+
+
+def test_readings_of_streamed_alarms_come_in_parts(monkeypatch):
+    """Alarms that share their readings: lists are made when they are given, and not all at once; sums make none."""
+    monkeypatch.setattr(T, "ROWS", 50)
+    times, temps = list(range(100)), [20 + k % 7 for k in range(100)]
+    out = [(str(k), 1, 99, 0, 20, slice(k, 90)) for k in range(20)]
+    lists, sums = T.Closing(9, 9, 9, 9, 9), T.Summing(9, 9, 9, 9, 9)
+    parts = list(lists._frames(("d", "b"), lists._with_readings(out, times, temps)))
+    assert [len(p) for p in parts] == [1] * 20 + [0] and [t for p in parts for t in p.temps] == [temps[k:90] for k in range(20)]
+    (summed,) = [p for p in sums._frames(("d", "b"), sums._with_readings(out, times, temps)) if len(p)]
+    assert list(summed.readings) == [90 - k for k in range(20)] and set(summed.min_temp) == {20} and set(summed.last_temp) == {temps[89]}
