@@ -54,7 +54,7 @@ def bag(rows, columns):
     return sorted(str([r[k] for k in order]) for r in rows)
 
 
-@pytest.mark.parametrize("name", ["nested_holds", "nested_mean_hold", "nested_hold_cpu", "distribution_snapshot", "trailing_percentile", "alarm_temps", "readings_by_percent", "evaluate_algorithms", "evaluate_vectorized", "stateful_alarm_temps"])
+@pytest.mark.parametrize("name", ["nested_holds", "nested_mean_hold", "nested_hold_cpu", "distribution_snapshot", "trailing_percentile", "alarm_temps", "readings_by_percent", "evaluate_algorithms", "evaluate_vectorized", "stateful_alarm_temps", "stateful_trailing_distribution"])
 def test_query_equals_sql(spark, dense, name):
     path, c = dense
     got, want = q.queries()[name](spark, path), c.sql(q.oracle_sql()[name])
@@ -160,3 +160,18 @@ def test_readings_of_streamed_alarms_come_in_parts(monkeypatch):
     assert [len(p) for p in parts] == [1] * 20 + [0] and [t for p in parts for t in p.temps] == [temps[k:90] for k in range(20)]
     (summed,) = [p for p in sums._frames(("d", "b"), sums._with_readings(out, times, temps)) if len(p)]
     assert list(summed.readings) == [90 - k for k in range(20)] and set(summed.min_temp) == {20} and set(summed.last_temp) == {temps[89]}
+
+
+def test_streamed_histograms_come_in_parts(monkeypatch):
+    monkeypatch.setattr(T, "ROWS", 40)
+    rng, trailing = random.Random(3), T.Trailing(25, 9)
+    readings = sorted((rng.randint(0, 60), rng.randint(20, 30)) for _ in range(90))
+    parts = list(trailing._frames(("d", "b"), trailing._histograms(readings, 10, list(range(80)), 0)))
+    assert len(parts) > 10 and max(map(len, parts)) < 40 + 11
+    got = {(r.line_id, r.temp): (r.ts_us, r.n, r.is_full) for p in parts for r in p.itertuples()}
+    want = {}
+    for line, (at, _) in enumerate(readings[10:]):
+        for k, (t, temp) in enumerate(readings):
+            if at - 25 <= t <= at:
+                want[line, temp] = (at, want.get((line, temp), (0, 0))[1] + 1, at > 25)
+    assert got == want
